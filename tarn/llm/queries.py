@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarn.llm import bpe
 from tarn.llm.common import table
 from tarn.llm.decontaminate import decontaminate, digest
 from tarn.llm.exact_dedup import exact_dedup
@@ -15,6 +16,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def vocabulary() -> str:
+    """Where the installed tokenizer package keeps the vocabulary of op8."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.bpe_encode(table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.digest(bpe.bpe_decode(tokens, vocabulary()))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -22,6 +35,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_bpe": op8_bpe,
 }
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
