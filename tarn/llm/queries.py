@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe
+from tarn.llm import bpe, substring_dedup
 from tarn.llm.common import table
 from tarn.llm.decontaminate import decontaminate, digest
 from tarn.llm.exact_dedup import exact_dedup
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
+
+
 def vocabulary() -> str:
     """Where the installed tokenizer package keeps the vocabulary of op8."""
     import public_tokenizers
@@ -34,6 +38,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,
 }
@@ -56,6 +61,20 @@ items as (select doc_id, count(distinct item_id) n_items, string_agg(distinct it
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
        sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join words using (doc_id) left join items using (doc_id)
+""",
+    "op5_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+win as (select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') s
+        from (select doc_id, w, unnest(range(1, len(w) - 11)) i from d where len(w) >= 13)),
+low as (select doc_id, i, min(doc_id) over (partition by s) m from win),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) p from low where m < doc_id),
+lists as (select doc_id, list(p) g from gone group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(len(g), 0)::bigint n_removed,
+       sha256(case when g is null then array_to_string(w, ' ') else coalesce(k, '') end) kept_sha256
+from d left join lists using (doc_id)
+left join (select doc_id, string_agg(x, ' ' order by i) k
+           from (select doc_id, unnest(w) x, generate_subscripts(w, 1) i from d semi join lists using (doc_id)) u
+           anti join gone on gone.doc_id = u.doc_id and gone.p = u.i group by 1) using (doc_id)
 """,
     "op6_exact_dedup": f"""
 with n as (select doc_id, {_FOLD.replace('text', "coalesce(text, '')")} t from documents)
