@@ -10,12 +10,17 @@ from tarn.llm import bpe, substring_dedup
 from tarn.llm.common import table
 from tarn.llm.decontaminate import decontaminate, digest
 from tarn.llm.exact_dedup import exact_dedup
+from tarn.llm.jaccard_join import jaccard_join
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), shingle=4, similarity=(85, 100))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
 
@@ -38,6 +43,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_jaccard_join": op2_jaccard_join,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,
