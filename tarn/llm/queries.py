@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import bpe, substring_dedup
+from tarn.llm import bpe, line_dedup, substring_dedup, warc
 from tarn.llm.common import table
 from tarn.llm.decontaminate import decontaminate, digest
 from tarn.llm.exact_dedup import exact_dedup
@@ -21,6 +21,15 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), shingle=4, similarity=(85, 100))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, records = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.with_payload_sizes(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
 
@@ -44,9 +53,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
+    "op4_warc": op4_warc,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -67,6 +78,12 @@ items as (select doc_id, count(distinct item_id) n_items, string_agg(distinct it
 select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
        sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join words using (doc_id) left join items using (doc_id)
+""",
+    "op4_warc": """
+with p as (select page_id, coalesce(html, '') t from pages),
+r as (select page_id, t, strlen(t) n, case when strlen(t) >= 1000 then max(page_id) over (partition by t) else page_id end m from p)
+select page_id, n payload_bytes, sha1(t) payload_digest, case when m = page_id then 'response' else 'revisit' end record_type,
+       case when m <> page_id then m end refers_to from r
 """,
     "op5_substring_dedup": r"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
@@ -86,5 +103,15 @@ left join (select doc_id, string_agg(x, ' ' order by i) k
 with n as (select doc_id, {_FOLD.replace('text', "coalesce(text, '')")} t from documents)
 select doc_id, keep_id, group_size, doc_id is not distinct from keep_id kept, text_sha256 from (
   select doc_id, max(doc_id) over w keep_id, count(*) over w group_size, sha256(t) text_sha256 from n window w as (partition by t))
+""",
+    "op10_line_dedup": """
+with l as (select doc_id, source, x, i from (select doc_id, source, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) i from documents where text is not null)),
+t as (select source, count(*) total from documents group by 1),
+c as (select source, trim(x) k, count(distinct doc_id) n from l where trim(x) <> '' group by 1, 2),
+bad as (select c.source, k from c join t on c.source is not distinct from t.source where n >= 3 and n > total * cast(0.02 as double)),
+j as (select doc_id, x, i, b.k is not null gone from l left join bad b on l.source is not distinct from b.source and trim(x) = b.k),
+g as (select doc_id, count(*)::bigint n_lines, count(*) filter (gone)::bigint n_dropped, string_agg(x, chr(10) order by i) filter (not gone) kept from j group by 1)
+select doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped, sha256(coalesce(kept, '')) kept_sha256
+from documents left join g using (doc_id)
 """,
 }
