@@ -36,18 +36,23 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder, its lineage cut.
+def shared_base(spark: SparkSession) -> str:
+    """The folder for what outlives executors: the cluster's checkpoint folder, as spark.checkpoint.dir names it.
 
-    The folder is the one that spark.checkpoint.dir names.  Only a session on one machine that names none gets a
-    temporary folder.
+    Only a session on one machine that names none gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut."""
+    shared_base(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarn.llm import bpe, line_dedup, substring_dedup, warc
 from tarn.llm.common import table
 from tarn.llm.decontaminate import decontaminate, digest
 from tarn.llm.exact_dedup import exact_dedup
 from tarn.llm.jaccard_join import jaccard_join
+from tarn.llm.language import language_id
+from tarn.llm.licenses import document_files, license_scan
+from tarn.llm.toxicity import toxicity
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +25,22 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), shingle=4, similarity=(85, 100))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("clauses")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, records = warc.archive(table(spark, sf_dir, "pages"))
     return warc.with_payload_sizes(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(document_files(table(spark, sf_dir, "documents")))
+    number = F.regexp_extract("path", r"([^/]*)\.txt$", 1).cast("long")
+    origin = F.regexp_extract("license_from", r"([^/]*)\.txt$", 1).cast("long")
+    return found.select(number.alias("doc_id"), "license", F.round("score", 6).alias("score"), "basis", origin.alias("from_doc_id"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
@@ -34,6 +49,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def vocabulary() -> str:
     """Where the installed tokenizer package keeps the vocabulary of op8."""
     import public_tokenizers
@@ -53,10 +72,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
+    "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
 }
 

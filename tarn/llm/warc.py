@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed
+from tarn.llm.common import checkpointed, shared_base
 
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -33,9 +33,7 @@ RECORDS_DDL = "page_id long, url string, record_type string, record_id string, r
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's name under the cluster's checkpoint folder."""
-    checkpointed(spark.range(0))  # sets the folder where it is unset
-    base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/warc-{uuid.uuid4().hex}"
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
