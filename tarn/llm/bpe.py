@@ -200,8 +200,8 @@ def _chunks(batches, kinds) -> Iterator[tuple[int, np.ndarray, np.ndarray, Chunk
             at = end
 
 
-def _bucket(words: list[bytes], buckets: int) -> np.ndarray:
-    return np.array([zlib.crc32(w) for w in words], np.int64) % buckets
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([zlib.crc32(w) for w in words], np.int64)
 
 
 _ROWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
@@ -218,7 +218,7 @@ def _words_out(kinds, buckets: int):
 
     def run(batches):
         for key, _, _, chunk in _chunks(batches, kinds.value):
-            by = _bucket(chunk.words, buckets)
+            by = _hashes(chunk.words) % buckets
             order = np.argsort(by, kind="stable")
             cut = np.searchsorted(by[order], np.arange(buckets + 1))
             out = [(b, key, 0, _pack_words([chunk.words[i] for i in order[cut[b] : cut[b + 1]].tolist()])) for b in np.flatnonzero(np.diff(cut)).tolist()]
@@ -234,7 +234,7 @@ def _positions_out(kinds):
     def run(batches):
         for key, ids, nulls, chunk in _chunks(batches, kinds.value):
             head = zlib.compress(ids.astype("<i8").tobytes() + nulls.astype(np.uint8).tobytes() + chunk.counts.astype("<i8").tobytes(), 1)
-            words = _bucket(chunk.words, 1 << 31).astype("<u4").tobytes()
+            words = _hashes(chunk.words).astype("<u4").tobytes()
             body = len(ids).to_bytes(4, "little") + len(head).to_bytes(4, "little") + len(chunk.words).to_bytes(4, "little") + head + words + _pack(chunk.sequence)
             yield _rows([(-1, key, 1, body)])
 
