@@ -173,7 +173,8 @@ def _read(batches):
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """The records of the manifest's files; payload and its size are null for revisits, see `with_payload_sizes`."""
-    return manifest.select("file").repartition("file").mapInArrow(_read, RECORDS_DDL)
+    # A given number of parts, which Spark does not merge however short the list of files is.
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(_read, RECORDS_DDL)
 
 
 def with_payload_sizes(records: DataFrame) -> DataFrame:
@@ -183,7 +184,8 @@ def with_payload_sizes(records: DataFrame) -> DataFrame:
     keeps a null size.
     """
     originals = records.where("record_type = 'response'").groupBy("record_id").agg(F.max("payload_bytes").alias("full_bytes")).withColumnRenamed("record_id", "original_id")
-    joined = records.drop("payload").join(originals, F.col("refers_to_id") == F.col("original_id"), "left")
+    # The responses are most records, so they must not be broadcast, whatever size Spark expects of them.
+    joined = records.drop("payload").join(originals.hint("merge"), F.col("refers_to_id") == F.col("original_id"), "left")
     return joined.select("page_id", "url", "record_type", "refers_to", "payload_digest", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"))
 
 
