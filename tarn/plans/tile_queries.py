@@ -395,10 +395,6 @@ def _(spark, sf):
     return terrain.hillshade(d.dem(spark), 1000.0)
 
 
-def _gen04_points(spark, sf) -> DataFrame:
-    return _segments(spark, sf)
-
-
 @query("gen04_grid_traversal")
 def _(spark, sf):
     import numpy as np
