@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import long_column, string_column
+from tarn.llm.common import checkpointed, long_column, string_column
 
 #: Fixed word lists of the grammar, in four languages.
 TARGETS = frozenset("you your yours yourself they them their he him she her du dich dir dein ihr euch sie vous toi votre vos tu usted ustedes tú ellos".split())
@@ -149,8 +149,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int, label: str = "t
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    # The sample's ids are as many as ``rows`` says, whatever the input, so they go to the texts and not the texts to them.
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.join(known, F.col("doc_id") == F.col("__id")).select("text", "y")
+    return checkpointed(text.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("text", "y"))
 
 
 def _terms(batches):
