@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.chunks import Docs, at_chunk, bucket_count, bucket_cuts, by_bucket, compress, expand, packed, rows
+from tarn.llm.chunks import DDL, Docs, at_chunk, bucket_count, bucket_cuts, by_bucket, compress, documents, expand, packed, plain, rows
 from tarn.llm.common import U, Words, mix
 
 K = 5
@@ -113,8 +113,6 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def _seeds(buckets: int, threshold: int):
     def run(batches):
-        from tarn.llm.chunks import documents
-
         for docs in documents(batches):
             keys = np.unique(Anchors(docs, threshold).hash)
             cut, key = bucket_cuts(keys, buckets), docs.key()
@@ -283,8 +281,7 @@ def substring_dedup(docs: DataFrame, *, threshold: int = 13) -> DataFrame:
     """
     buckets = bucket_count(docs.sparkSession)
     chunks = packed(docs)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seeds = by_bucket(plain.mapInArrow(_seeds(buckets, threshold), "bucket int, chunk long, kind int, blob binary"), buckets, _answer_seeds)
+    seeds = by_bucket(plain(docs).mapInArrow(_seeds(buckets, threshold), DDL), buckets, _answer_seeds)
     stretches = by_bucket(at_chunk(chunks, seeds, _stretches(buckets, threshold)), buckets, _answer_stretches)
     known = seeds.unionByName(stretches)
     windows = by_bucket(at_chunk(chunks, known, _windows(buckets, threshold)), buckets, _answer_windows)
