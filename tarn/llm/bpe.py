@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +36,30 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merges the adjacent pair of the lowest rank, leftmost first, until none merges; a heap keeps long words fast."""
+    """Merges the adjacent pair of the lowest rank, leftmost first, until none merges."""
     whole = ranks.get(word)
     if whole is not None:
         return [whole]
+    if len(word) > 200:
+        return _encode_long(word, ranks)
+    rank, never = ranks.get, 1 << 30
+    cut = list(range(len(word) + 1))
+    pair = [rank(word[i : i + 2], never) for i in range(len(word) - 1)]
+    while pair:
+        low = min(pair)
+        if low == never:
+            break
+        i = pair.index(low)
+        del cut[i + 1], pair[i]
+        if i < len(pair):
+            pair[i] = rank(word[cut[i] : cut[i + 2]], never)
+        if i:
+            pair[i - 1] = rank(word[cut[i - 1] : cut[i + 1]], never)
+    return [ranks[word[x:y]] for x, y in zip(cut, cut[1:], strict=False)]
+
+
+def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges from a heap, for words whose pairs are too many to look through each time."""
     n = len(word)
     parts: list[bytes] = [word[i : i + 1] for i in range(n)]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -228,14 +249,14 @@ def _words_out(kinds, buckets: int):
     return run
 
 
-def _positions_out(kinds):
+def _positions_out(kinds, buckets: int):
     """A chunk's sequence of word numbers and its documents."""
 
     def run(batches):
         for key, ids, nulls, chunk in _chunks(batches, kinds.value):
             head = zlib.compress(ids.astype("<i8").tobytes() + nulls.astype(np.uint8).tobytes() + chunk.counts.astype("<i8").tobytes(), 1)
-            words = _hashes(chunk.words).astype("<u4").tobytes()
-            body = len(ids).to_bytes(4, "little") + len(head).to_bytes(4, "little") + len(chunk.words).to_bytes(4, "little") + head + words + _pack(chunk.sequence)
+            words = _pack(_hashes(chunk.words) % buckets)
+            body = len(ids).to_bytes(4, "little") + len(head).to_bytes(4, "little") + len(words).to_bytes(4, "little") + head + words + _pack(chunk.sequence)
             yield _rows([(-1, key, 1, body)])
 
     return run
@@ -268,44 +289,39 @@ def _encode_words(ranks):
 _OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
-def _together(buckets: int):
-    """Rows of a chunk come one after another, the ids of its words by bucket first, then its positions."""
-
-    def run(batches):
-        at, parts = None, {}
-        for batch in batches:
-            for b, key, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if key != at:
-                    at, parts = key, {}
-                if kind == 0:
-                    parts[b] = blob
-                    continue
-                n, head, words = (int.from_bytes(blob[i : i + 4], "little") for i in (0, 4, 8))
-                raw = zlib.decompress(blob[12 : 12 + head])
-                ids, nulls = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n).astype(bool)
-                counts = np.frombuffer(raw, "<i8", n, 9 * n)
-                by = np.frombuffer(blob, "<u4", words, 12 + head).astype(np.int64) % buckets
-                seq = _unpack(blob[12 + head + 4 * words :])
-                size = np.zeros(words, np.int64)
-                flat, begin, total = [], np.zeros(words, np.int64), 0
-                for bucket in np.unique(by).tolist():
-                    if bucket not in parts:
-                        raise RuntimeError("the documents changed between the two passes; write them to a table first")
-                    got = parts[bucket]
-                    m = int.from_bytes(got[:4], "little")
-                    each, mine = _unpack(got[4 : 4 + m]), np.flatnonzero(by == bucket)
-                    size[mine] = each
-                    begin[mine] = total + np.cumsum(each) - each
-                    flat.append(_unpack(got[4 + m :]))
-                    total += len(flat[-1])
-                table = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-                each = size[seq]
-                upto = np.concatenate(([0], np.cumsum(each)))
-                tokens = table[np.repeat(begin[seq] - upto[:-1], each) + np.arange(upto[-1])].astype(np.int32)
-                ends = upto[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], schema=_OUT)
-
-    return run
+def _assemble(blob: bytes, parts: dict[int, bytes]) -> pa.Table:
+    """Tokens of a chunk's documents: its positions filled with the ids of its words, which came by bucket."""
+    n, head, size = (int.from_bytes(blob[i : i + 4], "little") for i in (0, 4, 8))
+    raw = zlib.decompress(blob[12 : 12 + head])
+    ids, nulls = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n).astype(bool)
+    counts = np.frombuffer(raw, "<i8", n, 9 * n)
+    by, seq = _unpack(blob[12 + head : 12 + head + size]), _unpack(blob[12 + head + size :])
+    words = len(by)
+    each_word, begin = np.zeros(words, np.int64), np.zeros(words, np.int64)
+    flat, total = [], 0
+    for bucket in np.unique(by).tolist():
+        if bucket not in parts:
+            raise RuntimeError("the documents changed between the two passes; write them to a table first")
+        got = parts[bucket]
+        m = int.from_bytes(got[:4], "little")
+        each, mine = _unpack(got[4 : 4 + m]), np.flatnonzero(by == bucket)
+        each_word[mine] = each
+        begin[mine] = total + np.cumsum(each) - each
+        flat.append(_unpack(got[4 + m :]))
+        total += len(flat[-1])
+    table = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+    each = each_word[seq]
+    upto = np.concatenate(([0], np.cumsum(each)))
+    tokens = table[np.repeat(begin[seq] - upto[:-1], each) + np.arange(upto[-1])].astype(np.int32)
+    ends = upto[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
+    return pa.table([pa.array(ids, mask=nulls), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))], schema=_OUT)
+
+
+def _together(_key, table):
+    """All rows of a chunk: the ids of its words by bucket, and its positions (more than once if it comes more than once)."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True))
+    parts = {b: blob for b, kind, blob in rows if kind == 0}
+    return pa.concat_tables([_assemble(blob, parts) for _, kind, blob in rows if kind == 1])
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, *, pattern: str = PATTERN, buckets: int | None = None) -> DataFrame:
@@ -328,17 +344,32 @@ def bpe_encode(docs: DataFrame, ranks_path: str, *, pattern: str = PATTERN, buck
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     words = rows.mapInArrow(_words_out(kinds, buckets), _ROWS_DDL).repartition(buckets, "bucket")
     ids = words.mapInArrow(_encode_words(ranks), _ROWS_DDL)
-    both = ids.unionByName(rows.mapInArrow(_positions_out(kinds), _ROWS_DDL))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_together(buckets), "doc_id long, ids array<int>")
+    both = ids.unionByName(rows.mapInArrow(_positions_out(kinds, buckets), _ROWS_DDL))
+    return both.groupBy("chunk").applyInArrow(_together, "doc_id long, ids array<int>")
 
 
 def _decoder(table):
     def run(batches):
-        lookup = table.value.__getitem__
+        words = table.value
+        size = np.zeros(max(words, default=-1) + 1, np.int64)
+        for i, w in words.items():
+            size[i] = len(w)
+        begin = np.cumsum(size) - size
+        every = np.frombuffer(b"".join(words.get(i, b"") for i in range(len(size))), np.uint8)
         for batch in batches:
-            col = batch.column(batch.schema.get_field_index("ids"))
-            made = [b"".join(map(lookup, x)) if x is not None else None for x in col.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                col = part.column(part.schema.get_field_index("ids"))
+                ids = col.flatten().to_numpy(zero_copy_only=False)
+                if len(ids) and not (0 <= ids.min() and ids.max() < len(size) and size[ids].all()):
+                    raise ValueError("an id is not in the vocabulary")
+                each = size[ids]
+                upto = np.concatenate(([0], np.cumsum(each)))
+                raw = every[np.repeat(begin[ids] - upto[:-1], each) + np.arange(upto[-1])].tobytes()
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))
+                cut = upto[np.concatenate(([0], ends))].tolist()
+                made = [raw[a:b] if ok else None for a, b, ok in zip(cut, cut[1:], col.is_valid().to_pylist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=[*part.schema.names, "decoded"])
 
     return run
 
