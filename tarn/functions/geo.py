@@ -30,7 +30,7 @@ def degrees_of(units: Column | str, granularity: int | Column = 100, offset: int
     """Degrees of a fixed-point coordinate: a billionth of (offset + granularity * units)."""
     g = granularity if isinstance(granularity, Column) else F.lit(granularity)
     o = offset if isinstance(offset, Column) else F.lit(offset)
-    return (F.coalesce(o, F.lit(0)) + F.coalesce(g, F.lit(100)) * col(units)).cast("double") * F.lit(1e-9)
+    return (F.coalesce(o, F.lit(0)).cast("long") + F.coalesce(g, F.lit(100)).cast("long") * col(units)).cast("double") * F.lit(1e-9)
 
 
 def mercator_x(lon: Column | str) -> Column:

@@ -19,7 +19,7 @@ EXEMPT = rf"{_MARK}\s*RULE-EXEMPT\(([PR]\d+[a-z]?)\):\s*(\S.*)\s*$"
 def source_tree(spark: SparkSession, root: str, ignore: tuple[str, ...] = (".git/", "node_modules/", "dist/", "docs/")) -> DataFrame:
     """path (below root), line, text of files with a scanned extension, those under ignored prefixes left out."""
     base = root.rstrip("/")
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(base).select(F.regexp_replace(F.input_file_name(), rf"^.*?{base}/", "").alias("path"), "value")
+    files = spark.read.text(base, wholetext=True, recursiveFileLookup=True).select(F.regexp_replace(F.input_file_name(), rf"^.*?{base}/", "").alias("path"), "value")
     kept = files.where(F.element_at(F.split("path", r"\."), -1).isin(*EXTENSIONS))
     for prefix in ignore:
         kept = kept.where(~F.col("path").startswith(prefix))
