@@ -1,33 +1,33 @@
 """N-gram Jaccard join: shingles hashed into groups, group counts in an R-tree, surviving pairs verified.
 
-Two sets with Jaccard similarity s or more differ in few shingles.  When shingles are hashed into more groups than the
-sets may differ in, some groups are equal in content; so the contents of groups, as keys, bring together every pair
-that can link (`routes`).  Sets that share a key, directly or through others, form candidate groups; inside each,
-points of group counts stand in an R-tree, whose nodes bound the overlap by summed coordinate minima
-(`CountTree`), and pairs that survive are verified on the shingles.  Candidate groups too large for one task are dealt
-in blocks, each pair of blocks to one task, so every pair is judged exactly once.
-
-Sets of equal content are one node from the start, whatever number of documents has them.  Sets and shingles are told
-apart by 64-bit hashes.
+Which pairs could link at all is settled first, exactly: with shingles in one order for all documents, the rarest
+first, two sets of similarity s share one of the first (1 - s) n + 1 shingles of each.  Shingles that only one set has
+are no use there, so most documents send nothing.  Sets that share such a shingle, directly or through others, form
+candidate groups; inside each, points of group counts stand in an R-tree, whose nodes bound the overlap by summed
+coordinate minima (`CountTree`), and pairs that survive are verified on the shingles.  Candidate groups too large for
+one task are dealt in blocks, each pair of blocks to one task, so every pair is judged exactly once.
+
+The order comes from counts over the whole corpus, by buckets of the hash space that see each shingle once a chunk (see
+`chunks`).  They are counts of 40-bit hashes: a collision moves a shingle in the order, for all documents alike, and
+changes no result.  Sets of equal content are one node from the start, whatever number of documents has them.  Sets
+and shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.chunks import DDL, bucket_count, bucket_cuts, documents, plain, rows
-from tarn.llm.common import U, Words, checkpointed, mix, string_column
+from tarn.llm.chunks import DDL, Docs, at_chunk, bucket_count, bucket_cuts, by_bucket, compress, documents, expand, packed, plain, rows
+from tarn.llm.common import U, Words, checkpointed, mix
 from tarn.llm.components import components
 
 DIMS = 64
 BLOCK = 1 << 20
+#: Kinds of packed rows.
+COUNTS, SETS, KEYS, TEXTS = 1, 2, 3, 4
 
 
 class Sets:
@@ -55,78 +55,87 @@ class Sets:
         self.id = (mix(sums[self.at[1:]] - sums[self.at[:-1]] + self.size.astype(U)) >> U(1)).astype(np.int64)
 
 
-@lru_cache
-def levels(num: int, den: int, largest: int) -> tuple[list[int], list[int], list[int]]:
-    """Starts of size classes, the shingles that a pair of each class may differ in, and the groups hashed into.
+def _order_keys(shingles: np.ndarray) -> np.ndarray:
+    """What shingles are counted by: 40 bits of a hash, at the upper end of the word."""
+    return mix(shingles + U(0x51ED270B)) & ~U(0xFFFFFF)
 
-    A set links only with sets of its class or the next, because a class is as wide as the similarity allows.
-    """
-    starts, differ, groups = [1], [], []
-    while starts[-1] <= largest:
-        top = max(starts[-1], (starts[-1] - 1) * den // num)  # largest size in this class
-        starts.append(top + 1)
-        most = top + top * den // num
-        t = (den - num) * most // (den + num)
-        size, spare = (starts[-2] + top) / 2, 2
-        for _ in range(8):
-            load = size / (t + spare)
-            few = (t + spare) * math.exp(-load) * (1 + load)
-            spare = max(2, min(1 + math.ceil(few + 2.5 * math.sqrt(few)), int(size / 4) - t))
-        differ.append(t)
-        groups.append(t + spare)
-    return starts, differ, groups
-
-
-def routes(sets: Sets, chosen: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, set id) such that any two of the sets that can link have a key in common.
-
-    In each level of a set, groups of two or more shingles give a key each.  With g groups and at most t shingles of
-    difference, g - t groups at least are equal.  A set with g - t or more groups of fewer shingles also gives those
-    with one, and a key for each choice of g - t of its empty groups.
+
+def _distinct(s: Sets) -> np.ndarray:
+    """One document of each set that is not empty."""
+    _, chosen = np.unique(np.where(s.size > 0, s.id, -1), return_index=True)
+    return chosen[s.size[chosen] > 0]
+
+
+def _members(s: Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of the chosen sets, number of the set among them)."""
+    size = s.size[chosen]
+    pick = np.repeat(s.at[chosen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return s.flat[pick], np.repeat(np.arange(len(chosen)), size)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 40-bit keys as planes of the bytes of their differences."""
+    steps = np.diff(keys >> U(24), prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    return compress(np.ascontiguousarray(steps.T).tobytes())
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(expand(blob), np.uint8).reshape(5, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :5] = planes.T
+    return np.cumsum(out.reshape(-1).view("<u8").astype(U), dtype=U) << U(24)
+
+
+def _count_out(shingle: int, buckets: int):
+    """A chunk's distinct shingle keys by bucket, with how many of its sets have each (255: or more)."""
+
+    def run(batches):
+        for d in documents(batches):
+            s = Sets(d.data, d.offs, shingle)
+            keys, counts = np.unique(_order_keys(_members(s, _distinct(s))[0]), return_counts=True)
+            cut, key = bucket_cuts(keys, buckets), d.key()
+            out = []
+            for b in range(buckets):
+                if cut[b] < cut[b + 1]:
+                    packed = _pack_keys(keys[cut[b] : cut[b + 1]])
+                    out.append((b, key, COUNTS, len(packed).to_bytes(4, "little") + packed + compress(np.minimum(counts[cut[b] : cut[b + 1]], 255).astype(np.uint8).tobytes())))
+            if out:
+                yield from rows(out).to_batches()
+
+    return run
+
+
+def _answer_counts(held: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """For each key of each chunk the magnitude of its count: 0 for one set, then the binary logarithm rounded up."""
+    each, counts = [], []
+    for _, blob in held:
+        n = int.from_bytes(blob[:4], "little")
+        each.append(_unpack_keys(blob[4 : 4 + n]))
+        counts.append(np.frombuffer(expand(blob[4 + n :]), np.uint8))
+    every = np.concatenate(each)
+    order = np.argsort(every, kind="stable")
+    head = np.ones(len(every), bool)
+    head[1:] = every[order][1:] != every[order][:-1]
+    total = np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], np.flatnonzero(head))
+    size = np.empty(len(every), np.uint8)
+    size[order] = np.ceil(np.log2(total)).astype(np.uint8)[np.cumsum(head) - 1]
+    ends = np.cumsum([len(x) for x in each])
+    return [(chunk, COUNTS, compress(size[e - len(x) : e].tobytes())) for (chunk, _), x, e in zip(held, each, ends.tolist(), strict=True)]
+
+
+def routes(s: Sets, chosen: np.ndarray, magnitude, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, number among the chosen sets): the shingles by which the chosen sets meet those that they can link with.
+
+    ``magnitude`` gives, for shingles, 0 where only one set has them and more for more common ones.
     """
-    keys, owners = [], []
-    if not len(chosen):
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    starts, differ, groups = (np.array(x) for x in levels(num, den, int(sets.size.max())))
-    classes = np.searchsorted(starts, sets.size[chosen], "right") - 1
-    size = sets.size[chosen]
-    pick = np.repeat(sets.at[chosen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    shingles = sets.flat[pick]
-    body, place = mix(shingles ^ U(0xA5A5A5A5)), mix(shingles + U(0x51ED270B)) >> U(32)
-    for lower in (0, 1):
-        level = classes - lower
-        ok = (level >= 0) & (differ[np.maximum(level, 0)] > 0)
-        if not ok.any():
-            continue
-        who = np.flatnonzero(ok)
-        g = groups[level[who]]
-        base = np.zeros(len(chosen), np.int64)
-        base[who] = np.cumsum(g) - g
-        total = int(g.sum())
-        mask = np.repeat(ok, size)
-        owner = np.repeat(np.arange(len(chosen)), size)[mask]
-        at = base[owner] + ((place[mask] * groups[level[owner]].astype(U)) >> U(32)).astype(np.int64)
-        count = np.bincount(at, minlength=total)
-        sums = np.zeros(total, U)
-        np.add.at(sums, at, body[mask])
-        own = np.repeat(who, g)
-        number = np.arange(total) - np.repeat(np.cumsum(g) - g, g)
-        key = mix(mix(sums + count.astype(U)) + (level[own].astype(U) << U(32)) + number.astype(U))
-        spare = (groups - differ)[level]
-        short = np.bincount(own, weights=count < 2, minlength=len(chosen)).astype(np.int64) >= spare
-        take = (count > 1) | ((count == 1) & short[own])
-        keys.append(key[take])
-        owners.append(own[take])
-        empties = np.bincount(own, weights=count == 0, minlength=len(chosen)).astype(np.int64)
-        for s in np.flatnonzero(ok & (empties >= spare)).tolist():
-            none = number[(own == s) & (count == 0)].tolist()
-            seed = U(int(level[s]) + 1) << U(40)
-            for some in itertools.combinations(none, int(spare[s])):
-                keys.append(mix(mix(np.array([hash(some) & (2**63 - 1)], U)) + seed))
-                owners.append(np.array([s]))
-    if not keys:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(keys), sets.id[chosen][np.concatenate(owners)]
+    flat, owner = _members(s, chosen)
+    size = s.size[chosen]
+    level = magnitude(flat)
+    order = np.lexsort((flat, level, owner))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    first = size - -(-size * num // den) + 1
+    take = order[(place < first[owner]) & (level[order] > 0)]
+    return flat[take], owner[take]
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,33 +154,57 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[head], ids[head], k[new], a[new], b[new]
 
 
-def _describe(shingle: int):
-    def run(batches):
-        for d in documents(batches):
-            s = Sets(d.data, d.offs, shingle)
-            yield pa.RecordBatch.from_arrays([pa.array(d.ids, mask=d.nulls), pa.array(s.size), pa.array(s.id, mask=s.size == 0)], names=["doc_id", "n", "sid"])
-
-    return run
-
-
-def _route(shingle: int, num: int, den: int, buckets: int):
-    """Keys by bucket, each once a chunk, with more ids only for links that the chunk has not shown yet."""
+def _prepare(shingle: int, num: int, den: int, buckets: int):
+    """For each chunk: its documents' sets, keys by bucket (each once a chunk, and more ids only for links that it has not
+    shown yet), and the texts of sets that have keys."""
+
+    def step(d: Docs, got: dict, key: int) -> pa.Table:
+        s = Sets(d.data, d.offs, shingle)
+        chosen = _distinct(s)
+
+        def magnitude(flat: np.ndarray) -> np.ndarray:
+            own = _order_keys(flat)
+            keys = np.unique(own)
+            cut = bucket_cuts(keys, buckets)
+            every = np.zeros(len(keys), np.uint8)
+            for b in range(buckets):
+                if cut[b] < cut[b + 1]:
+                    every[cut[b] : cut[b + 1]] = np.frombuffer(expand(got[(COUNTS, b)]), np.uint8)
+            return every[np.searchsorted(keys, own)]
+
+        keys, owner = routes(s, chosen, magnitude, num, den)
+        k, i, k2, _, other = _stars(keys, s.id[chosen][owner])
+        k, i = np.concatenate((k, k2)), np.concatenate((i, other))
+        order = np.argsort(k, kind="stable")
+        k, i = k[order], i[order]
+        cut = bucket_cuts(k, buckets)
+        out = [(-1, key, SETS, compress(len(d).to_bytes(8, "little") + d.ids.astype("<i8").tobytes() + s.size.astype("<i8").tobytes() + s.id.astype("<i8").tobytes() + d.nulls.astype(np.uint8).tobytes()))]
+        out += [(b, key, KEYS, k[cut[b] : cut[b + 1]].tobytes() + i[cut[b] : cut[b + 1]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
+        sent = chosen[np.unique(owner)]
+        if len(sent):
+            raw = [d.raw(x) for x in sent.tolist()]
+            offs = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+            out.append((-1, key, TEXTS, Docs(s.id[sent], np.zeros(len(sent), bool), np.frombuffer(b"".join(raw), np.uint8), offs).pack()))
+        return rows(out)
+
+    return step
+
+
+def _described(batches):
+    for batch in batches:
+        for blob in batch.column(3).to_pylist():
+            raw = expand(blob)
+            n = int.from_bytes(raw[:8], "little")
+            ids, size, sid = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(3))
+            nulls = np.frombuffer(raw, np.uint8, n, 8 + 24 * n).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(size), pa.array(sid, mask=size == 0)], names=["doc_id", "n", "sid"])
 
-    def run(batches):
-        for d in documents(batches):
-            s = Sets(d.data, d.offs, shingle)
-            _, chosen = np.unique(np.where(s.size > 0, s.id, -1), return_index=True)
-            keys, ids = routes(s, chosen[s.size[chosen] > 0], num, den)
-            k, i, k2, _, b = _stars(keys, ids)
-            k, i = np.concatenate((k, k2)), np.concatenate((i, b))
-            order = np.argsort(k, kind="stable")
-            k, i = k[order], i[order]
-            cut, key = bucket_cuts(k, buckets), d.key()
-            out = [(b, key, 0, k[cut[b] : cut[b + 1]].tobytes() + i[cut[b] : cut[b + 1]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
-            if out:
-                yield from rows(out).to_batches()
 
-    return run
+def _texts(batches):
+    for batch in batches:
+        for blob in batch.column(3).to_pylist():
+            d = Docs.unpack(blob)
+            yield pa.RecordBatch.from_arrays([pa.array(d.ids), pa.array([d.raw(i).decode("utf-8", "replace") for i in range(len(d))], pa.string())], names=["sid", "text"])
 
 
 def _meet(batches):
@@ -326,19 +359,6 @@ def _verify(shingle: int, num: int, den: int):
     return run
 
 
-def _texts(shingle: int):
-    """One text of each distinct set of a chunk."""
-
-    def run(batches):
-        for d in documents(batches):
-            s = Sets(d.data, d.offs, shingle)
-            _, chosen = np.unique(np.where(s.size > 0, s.id, -1), return_index=True)
-            chosen = chosen[s.size[chosen] > 0]
-            yield pa.RecordBatch.from_arrays([pa.array(s.id[chosen]), pa.array([d.raw(i).decode("utf-8", "replace") for i in chosen.tolist()], pa.string())], names=["sid", "text"])
-
-    return run
-
-
 def jaccard_join(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (4, 5), block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
@@ -353,17 +373,18 @@ def jaccard_join(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, in
     doc_ids are documents of their own, which share the id.  Other columns are ignored; an empty table gives no rows.
     """
     num, den = similarity
-    rows_in = plain(docs)
     buckets = bucket_count(docs.sparkSession)
-    each = checkpointed(rows_in.mapInArrow(_describe(shingle), "doc_id long, n long, sid long"))
+    counts = by_bucket(plain(docs).mapInArrow(_count_out(shingle, buckets), DDL), buckets, _answer_counts)
+    prepared = checkpointed(at_chunk(packed(docs), counts, _prepare(shingle, num, den, buckets)))
+    each = prepared.where(F.col("kind") == SETS).mapInArrow(_described, "doc_id long, n long, sid long")
     sets = each.where("sid is not null").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.max("n").alias("n"))
-    keys = rows_in.mapInArrow(_route(shingle, num, den, buckets), DDL)
-    met = keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long")
+    keys = prepared.where(F.col("kind") == KEYS)
+    met = checkpointed(keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long"))
     near = components(met)
     members = near.join(sets, near["node"] == sets["sid"]).select("sid", "root", "copies", "n")
     members = checkpointed(members)
     size = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(float(block))).cast("long").alias("blocks"))
-    texts = rows_in.mapInArrow(_texts(shingle), "sid long, text string")
+    texts = prepared.where(F.col("kind") == TEXTS).mapInArrow(_texts, "sid long, text string")
     placed = members.join(size, "root").withColumn("own", F.col("sid") % F.col("blocks"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     full = placed.join(texts, "sid").select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "blocks", "sid", "copies", "text")
