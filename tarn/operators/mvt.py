@@ -102,15 +102,20 @@ def commands(segments: list[np.ndarray]) -> tuple[int, list[int]]:
     return (2, out) if out else (0, [])
 
 
-def encode_tile(z: int, x: int, y: int, features: list[dict]) -> bytes | None:
-    """A tile of features (is_poi, osm_id, layer, class, sac_scale, name, segments), or None if nothing is left of them.
+def geometry(segments: list[np.ndarray], z: int, x: int, y: int) -> tuple[int, bytes]:
+    """(type, packed commands) of a feature's segments in metres; type 0: nothing is left to draw."""
+    kind, numbers = commands([grid(np.asarray(s, float).reshape(-1, 2), z, x, y) for s in segments])
+    return kind, _packed(numbers)
+
+
+def assemble_tile(features: list[dict]) -> bytes | None:
+    """A tile of features (is_poi, osm_id, layer, class, sac_scale, name, kind, geometry), or None if none has a geometry.
 
     Ways come before points of interest, each by id; layers by number; keys and values in order of first use.
     """
     layers: dict[int, dict] = {}
     for f in sorted(features, key=lambda f: (bool(f["is_poi"]), f["osm_id"])):
-        kind, geometry = commands([grid(np.asarray(s, float).reshape(-1, 2), z, x, y) for s in f["segments"]])
-        if not kind:
+        if not f["kind"]:
             continue
         own = layers.setdefault(f["layer"], {"keys": {"class": 0}, "values": {}, "features": []})
         tags = []
@@ -119,7 +124,7 @@ def encode_tile(z: int, x: int, y: int, features: list[dict]) -> bytes | None:
             if key == "class" or value:
                 tags += [own["keys"].setdefault(key, len(own["keys"])), own["values"].setdefault(value or "", len(own["values"]))]
         number = f["osm_id"] | (POI_BIT if f["is_poi"] else 0)
-        own["features"].append(field(1, number) + field(2, _packed(tags)) + field(3, kind) + field(4, _packed(geometry)))
+        own["features"].append(field(1, number) + field(2, _packed(tags)) + field(3, f["kind"]) + field(4, f["geometry"]))
     if not layers:
         return None
     out = b""
@@ -130,6 +135,15 @@ def encode_tile(z: int, x: int, y: int, features: list[dict]) -> bytes | None:
     return out
 
 
+def encode_tile(z: int, x: int, y: int, features: list[dict]) -> bytes | None:
+    """A tile of features with segments in metres."""
+    made = []
+    for f in features:
+        kind, raw = geometry(f["segments"], z, x, y)
+        made.append({**f, "kind": kind, "geometry": raw})
+    return assemble_tile(made)
+
+
 def fields(raw: bytes):
     """(number, value) of a message's fields; of wire types other than varint and bytes only fixed widths are passed over."""
     at = 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarn.functions import geo
 from tarn.operators import kernels
 from tarn.operators.ways import lengths, with_previous
+from tarn.sources.files import checkpoint_folder
 
 
 def parse_elements(elements: DataFrame) -> DataFrame:
@@ -202,13 +203,6 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 64) -
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the cluster's folder; a session on one machine without one gets a temporary folder."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    """``df`` checkpointed in the cluster's folder, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

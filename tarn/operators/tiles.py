@@ -14,7 +14,6 @@ from tarn.operators import kernels, mvt
 
 _SEGMENTS = "array<array<struct<x:double,y:double>>>"
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-_SEG_TYPE = pa.list_(pa.list_(_POINT))
 
 
 def _lines(col: pa.Array) -> list[np.ndarray]:
@@ -50,16 +49,18 @@ def binned(lines: DataFrame, zooms: tuple[int, ...] = (geo.DETAIL_ZOOM,), box: t
     """
 
     def run(batches):
-        for b in batches:
-            ids, every = b.column(b.schema.get_field_index("way_id")).to_pylist(), _lines(b.column(b.schema.get_field_index("line")))
-            out: list[list] = [[], [], [], [], []]
-            for i, line in zip(ids, every, strict=True):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                ids, every = b.column(b.schema.get_field_index("way_id")), _lines(b.column(b.schema.get_field_index("line")))
                 for z in zooms:
-                    thin = kernels.simplify(line, kernels.extent(z) / geo.TILE_PIXELS / 2)
-                    for x, y, runs in kernels.bin_line(thin, z):
-                        for c, v in zip(out, (z, x, y, i, [_points(r) for r in runs]), strict=True):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], _SEG_TYPE)], names=["z", "x", "y", "way_id", "segments"])
+                    thin = [kernels.simplify(x, kernels.extent(z) / geo.TILE_PIXELS / 2) for x in every]
+                    offs = np.concatenate(([0], np.cumsum([len(x) for x in thin])))
+                    own, cell, row_offs, run_offs, points = kernels.bin_lines(np.vstack([np.zeros((0, 2)), *thin]), offs, z)
+                    flat = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], names=["x", "y"])
+                    runs = pa.ListArray.from_arrays(pa.array(run_offs.astype(np.int32)), flat)
+                    segments = pa.ListArray.from_arrays(pa.array(row_offs.astype(np.int32)), runs)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), z, np.int32)), pa.array(cell[:, 0]), pa.array(cell[:, 1]), ids.take(pa.array(own)), segments], names=["z", "x", "y", "way_id", "segments"])
 
     tiles = lines.select("way_id", "line").mapInArrow(run, f"z int, x long, y long, way_id long, segments {_SEGMENTS}")
     if box is None:
@@ -82,18 +83,31 @@ def poi_features(pois: DataFrame, z: int = geo.DETAIL_ZOOM) -> DataFrame:
     return pois.select(F.lit(z).alias("z"), geo.tile_x("mx", z).alias("x"), geo.tile_y("my", z).alias("y"), F.lit(True).alias("is_poi"), F.col("node_id").alias("osm_id"), F.lit(2).alias("layer"), F.lit("peak").alias("class"), F.lit(None).cast("string").alias("sac_scale"), F.nullif("name", F.lit("")).alias("name"), point.alias("segments"))
 
 
+def _geometries(batches):
+    """Geometry of each feature, encoded where the feature is; those with nothing left to draw are dropped."""
+    for b in batches:
+        z, x, y = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("z", "x", "y"))
+        segments = b.column(b.schema.get_field_index("segments"))
+        lines, offs = _lines(segments.values), segments.offsets.to_pylist()
+        made = [mvt.geometry(lines[lo:hi], *tile) for lo, hi, tile in zip(offs, offs[1:], zip(z, x, y, strict=True), strict=False)]
+        out = b.drop_columns(["segments"]).append_column("kind", pa.array([k for k, _ in made], pa.int32())).append_column("geometry", pa.array([g for _, g in made], pa.binary()))
+        yield out.filter(pa.array([k > 0 for k, _ in made], pa.bool_()))
+
+
 def encoded(features: DataFrame, compress: bool = True) -> DataFrame:
     """tile_id, z, x, y, payload: one vector tile for each tile with anything left to draw.
 
-    Features are dealt and sorted by tile and streamed, so a task holds the features of one tile at a time.
+    Geometries are encoded feature by feature before the shuffle, so a crowded tile only has its features' bytes put
+    together in one task; features are dealt and sorted by tile and streamed, one tile at a time.
     """
-    wanted = ("z", "x", "y", "is_poi", "osm_id", "layer", "class", "sac_scale", "name", "segments")
+    plain = "z int, x long, y long, is_poi boolean, osm_id long, layer int, class string, sac_scale string, name string"
+    names = [c.split()[0] for c in plain.split(", ")]
 
     def run(batches):
         at, held = None, []
 
         def done():
-            raw = mvt.encode_tile(*at, held) if at else None
+            raw = mvt.assemble_tile(held) if at else None
             return [(*at, gzip.compress(raw, mtime=0) if compress else raw)] if raw else []
 
         def made(rows):
@@ -106,14 +120,14 @@ def encoded(features: DataFrame, compress: bool = True) -> DataFrame:
                 if key != at:
                     out += done()
                     at, held = key, []
-                f["segments"] = [np.array([(p["x"], p["y"]) for p in s]) for s in f["segments"]]
                 held.append(f)
             if out:
                 yield made(out)
         if rows := done():
             yield made(rows)
 
-    dealt = features.select(*wanted).repartition("z", "x", "y").sortWithinPartitions("z", "x", "y")
+    drawn = features.select(*names, "segments").mapInArrow(_geometries, f"{plain}, kind int, geometry binary")
+    dealt = drawn.repartition("z", "x", "y").sortWithinPartitions("z", "x", "y")
     return dealt.mapInArrow(run, "z int, x long, y long, payload binary").select(geo.hilbert_id("z", "x", "y").alias("tile_id"), "z", "x", "y", "payload")
 
 

@@ -276,12 +276,12 @@ def _(spark, sf):
 
 @query("geo13_shortest_path")
 def _(spark, sf):
-    """Costs from one node over the road graph of consecutive way nodes, for the nodes within eight edges."""
+    """Costs from one node to all others over the road graph of consecutive way nodes."""
     p = d.route_points(spark, sf).join(d.refs(spark, sf).select(F.col("way_id").alias("route_id"), F.posexplode("refs").alias("seq", "node_id")), ["route_id", "seq"])
     s = ways.with_previous(p, "route_id", "seq", "node_id", "lng", "lat").where("prev_node_id is not null and prev_node_id <> node_id")
     edges = s.select(F.col("prev_node_id").alias("a"), F.col("node_id").alias("b"), geo.haversine("prev_lng", "prev_lat", "lng", "lat").alias("cost"))
     sources = spark.createDataFrame([(0, 1)], "source long, node long")
-    return online.shortest_paths(edges, sources, max_rounds=8).select("source", "node", r3("cost", "cost"))
+    return online.shortest_paths(edges, sources).select("source", "node", r3("cost", "cost"))
 
 
 @query("geo14_cell_index", "with recursive x as (select 1) select cx, cy, count(*) n from (select id, unnest(range(floor(min_x / 0.05::double)::bigint, floor(max_x / 0.05::double)::bigint + 1)) cx, min_y, max_y from (select * from trails)) s, lateral (select unnest(range(floor(min_y / 0.05::double)::bigint, floor(max_y / 0.05::double)::bigint + 1)) cy) l group by 1, 2", "trails")

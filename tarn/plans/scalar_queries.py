@@ -240,12 +240,12 @@ def _(spark, sf):
     return segment_codec(spark, sf)
 
 
-@query("prj24_fnv1a", """with recursive w as (select o_orderkey::bigint id, 'order ' || o_orderkey::varchar s from orders where o_orderkey < 500),
+@query("prj24_fnv1a", """with recursive w as (select o_orderkey::bigint id, 'order ' || o_orderkey::varchar s from orders),
 f(id, s, i, h) as (select id, s, 0, 14695981039346656037::hugeint from w
  union all select id, s, i + 1, (xor(h, ascii(s[i + 1])::hugeint) * 1099511628211::hugeint) % 18446744073709551616::hugeint from f where i < length(s))
 select id, lpad(lower(to_hex(h::ubigint)), 16, '0') hash from f where i = length(s)""")
 def _(spark, sf):
-    o = d.read(spark, sf, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").cast("long").alias("id"))
+    o = d.read(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("id"))
     return o.select("id", tx.fnv1a(F.encode(F.concat(F.lit("order "), F.col("id").cast("string")), "UTF-8")).alias("hash"))
 
 
@@ -556,9 +556,9 @@ def _(spark, sf):
     return spark.range(100).where((area > 0) & (area <= 64 << 20)).select(i.alias("i"))
 
 
-@query("fil16_glyph_ranges", "select distinct unicode(c)::bigint // 256 * 256 first from (select unnest(string_split(left(coalesce(text, ''), 2000), '')) c from documents) where c <> '' and unicode(c) // 256 * 256 in (0, 256, 512, 768, 7680, 8192)")
+@query("fil16_glyph_ranges", "select distinct unicode(c)::bigint // 256 * 256 first from (select unnest(string_split(coalesce(text, ''), '')) c from documents) where c <> '' and unicode(c) // 256 * 256 in (0, 256, 512, 768, 7680, 8192)")
 def _(spark, sf):
-    codes = d.read(spark, sf, "documents").select(F.explode(F.array_distinct(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 2000), ""))).alias("c")).where("c <> ''").select((F.floor(F.ascii("c") / 256) * 256).cast("long").alias("first")).distinct()
+    codes = d.read(spark, sf, "documents").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), ""))).alias("c")).where("c <> ''").select((F.floor(F.ascii("c") / 256) * 256).cast("long").alias("first")).distinct()
     return codes.where(F.col("first").isin(0, 256, 512, 768, 7680, 8192))
 
 

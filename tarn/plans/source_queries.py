@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from tarn.plans import derived as d
 from tarn.plans.online_queries import _TRIP
 from tarn.plans.scalar_queries import r3, svg_paths
 from tarn.sources import geotiff, pbf
+from tarn.sources.files import shared_folder
 from tarn.streaming import trips
 
 QUERIES: dict = {}
@@ -43,7 +43,7 @@ def _blocks(rows, size: int, make):
 
 def extract(spark, sf) -> str:
     """An extract of the derived nodes, peaks and ways, written block by block on the driver."""
-    path = os.path.join(tempfile.mkdtemp(prefix="extract-"), "map.osm.pbf")
+    path = os.path.join(shared_folder(spark, "extract"), "map.osm.pbf")
     nodes = ((r.node_id, r.lon_u, r.lat_u, []) for r in d.nodes(spark, sf).orderBy("node_id").toLocalIterator())
     peaks = ((r.node_id, r.lon_u, r.lat_u, [("natural", "peak"), ("name", r.name)]) for r in d.peaks(spark, sf).orderBy("node_id").toLocalIterator())
     made = ((r.way_id, list(r.refs), [(t.k, t.v) for t in r.tags]) for r in d.ways(spark, sf).orderBy("way_id").toLocalIterator())
@@ -89,7 +89,7 @@ def _(spark, sf):
 
 
 def raster(spark) -> str:
-    path = os.path.join(tempfile.mkdtemp(prefix="raster-"), "dem.tif")
+    path = os.path.join(shared_folder(spark, "raster"), "dem.tif")
     grid = np.full((d.DEM_ROWS, d.DEM_COLS), np.nan, np.float32)
     for r in d.dem(spark).where("elev is not null").collect():  # as many pixels as the fixed raster has
         grid[r.py, r.px] = r.elev
@@ -111,15 +111,15 @@ def _(spark, sf):
 
 @query("str04_gps_stream", f"{_TRIP} select trip_id, segment::bigint segment, round(metres, 3) metres from m join (select trip_id, segment, count(*) k from q group by 1, 2) using (trip_id, segment) where metres is not null", "fixes")
 def _(spark, sf):
-    folder = tempfile.mkdtemp(prefix="fixes-")
-    d.fixes(spark, sf).repartition(1).sortWithinPartitions("ts", "seq").write.parquet(f"{folder}/in")
-    updates = trips.trip_updates(spark.readStream.schema(trips.FIXES).parquet(f"{folder}/in"))
+    folder = shared_folder(spark, "fixes")
+    d.fixes(spark, sf).repartition(1).sortWithinPartitions("ts", "seq").write.parquet(f"file://{folder}/in")
+    updates = trips.trip_updates(spark.readStream.schema(trips.FIXES).parquet(f"file://{folder}/in"))
 
     def keep(df: DataFrame, number: int) -> None:
-        df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/slice={number}")
+        df.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"file://{folder}/out/slice={number}")
 
-    updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.parquet(f"{folder}/out")
+    updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"file://{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"file://{folder}/out")
     last = ways.latest(found.select(F.struct("trip_id", "segment").alias("k"), "batch", "fixes", "metres"), "k", "batch", "fixes")
     return last.where("metres > 0").select("k.trip_id", "k.segment", r3("metres", "metres"))
 

@@ -369,11 +369,9 @@ def compiled_archive(spark, sf, path: str, zoom: int = 10) -> DataFrame:
 
 @query("snk06_pmtiles_roundtrip")
 def _(spark, sf):
-    import os
-    import tempfile
+    from tarn.sources.files import shared_folder
 
-    path = os.path.join(tempfile.mkdtemp(prefix="archive-"), "map.pmtiles")
-    return compiled_archive(spark, sf, path).select("tile_id", "length")
+    return compiled_archive(spark, sf, f"{shared_folder(spark, 'archive')}/map.pmtiles").select("tile_id", "length")
 
 
 @query("geo08_terrain_tiles")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import shutil
+import tempfile
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 ELEMENTS = "elements array<struct<type:string,id:long,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>"
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a session on one machine without one gets a temporary folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors see by one path, for formats that are read by path."""
+    base = checkpoint_folder(spark)
+    if "://" in base and not base.startswith("file://"):
+        raise RuntimeError("the shared folder must be mounted to be used by path")
+    path = os.path.join(base.removeprefix("file://").removeprefix("file:"), f"{name}-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
+
+
 class PayloadError(ValueError):
     """A file is not what it should be."""
 

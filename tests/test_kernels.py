@@ -96,6 +96,17 @@ def test_way_over_an_edge_gives_two_tiles():
     assert max(got[0][2][0][:, 0]) == pytest.approx(e / 64) and min(got[1][2][0][:, 0]) == pytest.approx(-e / 64)
 
 
+def test_many_lines_as_one_by_one():
+    rng = np.random.default_rng(8)
+    e = kernels.extent(9)
+    lines = [np.cumsum(rng.normal(0, e * rng.choice([0.01, 0.3, 3]), (rng.integers(1, 12), 2)), axis=0) + rng.uniform(-1e7, 1e7, 2) for _ in range(200)]
+    lines += [np.zeros((3, 2)), np.array([[0.0, 0.0], [4 * e, 0.0]]), np.array([[0.0, 3 * e], [0.0, -2 * e]]), np.array([[0.0, 0.0], [3 * e, 3 * e]]), np.array([[-3e7, 1e6], [-1.9e7, 1e6]])]
+    offs = np.concatenate(([0], np.cumsum([len(x) for x in lines])))
+    own, cell, row_offs, run_offs, points = kernels.bin_lines(np.vstack(lines), offs, 9)
+    got = {(int(i), int(x), int(y)): [points[run_offs[r] : run_offs[r + 1]].tolist() for r in range(row_offs[k], row_offs[k + 1])] for k, (i, (x, y)) in enumerate(zip(own, cell, strict=True))}
+    assert got == {(i, x, y): [r.tolist() for r in runs] for i, line in enumerate(lines) for x, y, runs in kernels.bin_line(line, 9)}
+
+
 def test_rounding():
     assert kernels.away(np.array([0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 0.2])).tolist() == [1, -1, 2, 3, -3, 0, 0]
 
