@@ -66,8 +66,12 @@ def field(number: int, value: int | bytes) -> bytes:
     return varint(number << 3 | 2) + varint(len(value)) + value
 
 
-def _packed(values: list[int]) -> bytes:
-    return b"".join(map(varint, values))
+_SMALL = [bytes([v]) if v < 128 else bytes([v & 127 | 128, v >> 7]) for v in range(1 << 14)]
+
+
+def packed(values: list[int]) -> bytes:
+    """Varints one after another."""
+    return b"".join([_SMALL[v] if v < 16384 else varint(v) for v in values])
 
 
 def grid(points: np.ndarray, z: int, x: int, y: int) -> np.ndarray:
@@ -76,36 +80,41 @@ def grid(points: np.ndarray, z: int, x: int, y: int) -> np.ndarray:
     return np.stack([away((points[:, 0] - left) * scale), away((top - points[:, 1]) * scale)], 1)
 
 
-def commands(segments: list[np.ndarray]) -> tuple[int, list[int]]:
-    """(geometry type, command integers) of segments in grid units.
+def commands(segments: list) -> tuple[int, list[int]]:
+    """(geometry type, command integers) of segments in grid units, arrays or lists of pairs.
 
     All segments of one vertex make a point, without repeats; others lines, without consecutive repeats and without
     lines that shrink to a point.  Type 0: nothing is left.
     """
-    if segments and all(len(s) == 1 for s in segments):
-        points = list(dict.fromkeys((int(s[0, 0]), int(s[0, 1])) for s in segments))
-        out, at = [1 | len(points) << 3], (0, 0)
-        for p in points:
-            out += [zigzag(p[0] - at[0]), zigzag(p[1] - at[1])]
-            at = p
+    lines = [s.tolist() if isinstance(s, np.ndarray) else s for s in segments]
+    if lines and all(len(s) == 1 for s in lines):
+        points = list(dict.fromkeys((x, y) for ((x, y),) in lines))
+        out, ax, ay = [1 | len(points) << 3], 0, 0
+        for x, y in points:
+            out += [zigzag(x - ax), zigzag(y - ay)]
+            ax, ay = x, y
         return 1, out
-    out, at = [], (0, 0)
-    for s in segments:
-        s = s[np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1)))]
-        if len(s) < 2:
-            continue
-        for k, p in enumerate(s.tolist()):
-            if k < 2:
-                out.append(9 if k == 0 else 2 | (len(s) - 1) << 3)
-            out += [zigzag(p[0] - at[0]), zigzag(p[1] - at[1])]
-            at = p
+    out, ax, ay = [], 0, 0
+    for s in lines:
+        steps, bx, by = [], *s[0]
+        for x, y in s:
+            dx, dy = x - bx, y - by
+            if dx or dy:
+                steps.append(dx << 1 if dx >= 0 else (-dx << 1) - 1)
+                steps.append(dy << 1 if dy >= 0 else (-dy << 1) - 1)
+                bx, by = x, y
+        if steps:
+            x, y = s[0]
+            out += [9, zigzag(x - ax), zigzag(y - ay), 2 | len(steps) // 2 << 3]
+            out += steps
+            ax, ay = bx, by
     return (2, out) if out else (0, [])
 
 
 def geometry(segments: list[np.ndarray], z: int, x: int, y: int) -> tuple[int, bytes]:
     """(type, packed commands) of a feature's segments in metres; type 0: nothing is left to draw."""
     kind, numbers = commands([grid(np.asarray(s, float).reshape(-1, 2), z, x, y) for s in segments])
-    return kind, _packed(numbers)
+    return kind, packed(numbers)
 
 
 def assemble_tile(features: list[dict]) -> bytes | None:
@@ -124,7 +133,7 @@ def assemble_tile(features: list[dict]) -> bytes | None:
             if key == "class" or value:
                 tags += [own["keys"].setdefault(key, len(own["keys"])), own["values"].setdefault(value or "", len(own["values"]))]
         number = f["osm_id"] | (POI_BIT if f["is_poi"] else 0)
-        own["features"].append(field(1, number) + field(2, _packed(tags)) + field(3, f["kind"]) + field(4, f["geometry"]))
+        own["features"].append(field(1, number) + field(2, packed(tags)) + field(3, f["kind"]) + field(4, f["geometry"]))
     if not layers:
         return None
     out = b""

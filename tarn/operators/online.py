@@ -59,45 +59,60 @@ def nearest(points: DataFrame, trails: DataFrame, *, k: int = 3, cell: float = 0
     Trails are indexed by the cells that their boxes cover, points look into rings of cells until enough candidates
     are closer than the ring's edge: each round is an equi-join on the cell for the points still open.
     """
-    boxes = trails.select(F.col("id").alias("trail_id"), "min_x", "min_y", "max_x", "max_y")
-    grid = boxes.select("*", F.explode(F.sequence(F.floor(F.col("min_x") / cell), F.floor(F.col("max_x") / cell))).alias("cx")).select("*", F.explode(F.sequence(F.floor(F.col("min_y") / cell), F.floor(F.col("max_y") / cell))).alias("cy"))
+    boxes = durable(trails.select(F.col("id").alias("trail_id"), "min_x", "min_y", "max_x", "max_y"))
     px, py = F.col("lng"), F.col("lat")
-    extent = trails.agg(F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")).first()
+    extent = boxes.agg(F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")).first()
     open_points = points.select("point_id", "lng", "lat")
     if extent[0] is None:
         return open_points.select("point_id", F.lit(None).cast("long").alias("trail_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("highway"), F.lit(None).cast("long").alias("metres")).where(F.lit(False))
-    reach = points.agg(F.max(F.greatest(F.abs(px - extent[0]), F.abs(px - extent[2]), F.abs(py - extent[1]), F.abs(py - extent[3])))).first()[0] or 0.0
-    rounds, r = [], 1
+    grid = durable(_cell_index(boxes, cell, k))
+    open_points = durable(open_points)
+    reach = open_points.agg(F.max(F.greatest(F.abs(px - extent[0]), F.abs(px - extent[2]), F.abs(py - extent[1]), F.abs(py - extent[3])))).first()[0] or 0.0
+    found, r = None, 1
     while True:
-        last = r * cell >= reach
         asked = open_points.select("*", F.explode(F.sequence(F.floor(px / cell) - r, F.floor(px / cell) + r)).alias("cx")).select("*", F.explode(F.sequence(F.floor(py / cell) - r, F.floor(py / cell) + r)).alias("cy"))
         met = asked.join(grid, ["cx", "cy"]).dropDuplicates(["point_id", "trail_id"]).withColumn("d", _box_distance(px, py))
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("d", "trail_id"))).where(F.col("rank") <= k)
-        if last:
-            rounds.append(ranked)
+        ranked = durable(met.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("d", "trail_id"))).where(F.col("rank") <= k).select("point_id", "lng", "lat", "trail_id", "d"))
+        if r * cell >= reach:
+            found = ranked if found is None else found.unionByName(ranked)
             break
         # Anything outside of the ring is at least this far away.
-        edge = F.lit(r * cell)
-        done = ranked.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")).where((F.col("n") == k) & (F.col("far") < edge)).select("point_id")
-        rounds.append(ranked.join(done, "point_id", "left_semi"))
-        open_points = open_points.join(done, "point_id", "left_anti")
+        done = ranked.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")).where((F.col("n") == k) & (F.col("far") < r * cell)).select("point_id")
+        settled = ranked.join(done, "point_id", "left_semi")
+        found = settled if found is None else found.unionByName(settled)
+        open_points = durable(open_points.join(done, "point_id", "left_anti"))
+        if open_points.isEmpty():
+            break
         r *= 4
-    found = rounds[0]
-    for more in rounds[1:]:
-        found = found.unionByName(more)
     chosen = found.select("point_id", "lng", "lat", "trail_id")
     if exact:
         best = _on_segments(chosen, trails).groupBy("point_id").agg(F.min("d").alias("best"))
         # Every trail whose box is within the best distance, by cells again.
         wide = points.join(best, "point_id").withColumns({"x0": F.floor((px - F.col("best")) / cell), "x1": F.floor((px + F.col("best")) / cell), "y0": F.floor((py - F.col("best")) / cell), "y1": F.floor((py + F.col("best")) / cell)})
         cells = wide.select("point_id", "lng", "lat", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("cx")).select("point_id", "lng", "lat", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
-        chosen = cells.join(grid, ["cx", "cy"]).dropDuplicates(["point_id", "trail_id"]).select("point_id", "lng", "lat", "trail_id")
+        chosen = cells.join(_cell_index(boxes, cell, None), ["cx", "cy"]).dropDuplicates(["point_id", "trail_id"]).select("point_id", "lng", "lat", "trail_id")
     hits = _on_segments(chosen, trails)
     first = hits.groupBy("point_id").agg(F.min_by(F.struct("trail_id", "metres"), F.struct("metres", "trail_id") if not exact else F.struct("d", "trail_id")).alias("h"))
     named = trails.select(F.col("id").alias("trail_id"), "name", "highway")
     return first.select("point_id", "h.trail_id", F.round("h.metres").cast("long").alias("metres")).join(named, "trail_id").select("point_id", "trail_id", "name", "highway", "metres")
 
 
+def _cell_index(boxes: DataFrame, cell: float, k: int | None) -> DataFrame:
+    """Boxes by each cell that they touch.
+
+    With ``k``, of the boxes that cover a cell whole only the k smallest ids stay: to a point in the cell all are at
+    distance 0, and to other points the cell's edge is as near by each of them; where one reaches nearer, it touches a
+    nearer cell, too.
+    """
+    touched = boxes.select("*", F.explode(F.sequence(F.floor(F.col("min_x") / cell), F.floor(F.col("max_x") / cell))).alias("cx")).select("*", F.explode(F.sequence(F.floor(F.col("min_y") / cell), F.floor(F.col("max_y") / cell))).alias("cy"))
+    if k is None:
+        return touched
+    whole = (F.col("min_x") <= F.col("cx") * cell) & (F.col("max_x") >= (F.col("cx") + 1) * cell) & (F.col("min_y") <= F.col("cy") * cell) & (F.col("max_y") >= (F.col("cy") + 1) * cell)
+    marked = touched.withColumn("whole", whole)
+    first = marked.where("whole").withColumn("rank", F.row_number().over(Window.partitionBy("cx", "cy").orderBy("trail_id"))).where(F.col("rank") <= k).drop("rank")
+    return first.unionByName(marked.where("not whole")).drop("whole")
+
+
 def _on_segments(chosen: DataFrame, trails: DataFrame) -> DataFrame:
     """point_id, trail_id, d (plain) and metres of the nearest point of each chosen trail; of equals the first along it."""
     parts = chosen.join(trails.select(F.col("id").alias("trail_id"), "coords"), "trail_id")

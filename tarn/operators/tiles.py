@@ -84,14 +84,34 @@ def poi_features(pois: DataFrame, z: int = geo.DETAIL_ZOOM) -> DataFrame:
 
 
 def _geometries(batches):
-    """Geometry of each feature, encoded where the feature is; those with nothing left to draw are dropped."""
+    """Geometry of each feature, encoded where the feature is; those with nothing left to draw are dropped.
+
+    Points of a batch are put on their tiles' grids at once.
+    """
     for b in batches:
-        z, x, y = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("z", "x", "y"))
+        if not b.num_rows:
+            continue
+        z, x, y = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("z", "x", "y"))
         segments = b.column(b.schema.get_field_index("segments"))
-        lines, offs = _lines(segments.values), segments.offsets.to_pylist()
-        made = [mvt.geometry(lines[lo:hi], *tile) for lo, hi, tile in zip(offs, offs[1:], zip(z, x, y, strict=True), strict=False)]
-        out = b.drop_columns(["segments"]).append_column("kind", pa.array([k for k, _ in made], pa.int32())).append_column("geometry", pa.array([g for _, g in made], pa.binary()))
-        yield out.filter(pa.array([k > 0 for k, _ in made], pa.bool_()))
+        runs = segments.values
+        rows, cuts = segments.offsets.to_numpy(), runs.offsets.to_numpy()
+        points = runs.values
+        ends = cuts[rows]
+        own = np.repeat(np.arange(b.num_rows), np.diff(ends))
+        mx, my = (points.field(i).to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for i in (0, 1))
+        e = 2 * geo.HALF_WORLD_M / (1 << z)
+        scale = (geo.MVT_EXTENT / e)[own]
+        gx = kernels.away((mx - (x * e - geo.HALF_WORLD_M)[own]) * scale)
+        gy = kernels.away(((geo.HALF_WORLD_M - y * e)[own] - my) * scale)
+        grid = list(zip(gx.tolist(), gy.tolist(), strict=True))
+        at = (cuts - ends[0]).tolist()
+        kinds, made = [], []
+        for lo, hi in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+            kind, numbers = mvt.commands([grid[at[r] : at[r + 1]] for r in range(lo, hi)])
+            kinds.append(kind)
+            made.append(mvt.packed(numbers))
+        out = b.drop_columns(["segments"]).append_column("kind", pa.array(kinds, pa.int32())).append_column("geometry", pa.array(made, pa.binary()))
+        yield out.filter(pa.array([k > 0 for k in kinds], pa.bool_()))
 
 
 def encoded(features: DataFrame, compress: bool = True) -> DataFrame:
