@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import geo
@@ -80,7 +80,7 @@ def _(spark, sf):
     pos = F.when((F.col("k") == "natural") & (F.col("v") == "wood"), 2).when((F.col("k") == "sac_scale") & (F.col("v") == "alpine_hiking"), 4).when((F.col("k") == "name") & (F.col("v") == ""), 6)
     for k, i in order.items():
         pos = pos.when(F.col("k") == k, i)
-    strings = pairs.select("v").distinct().withColumn("value_idx", F.row_number().over(Window.orderBy("v")) - 1)
+    strings = placed(pairs.select("v").distinct(), "v", F.substring("v", 1, 6)).select("v", (F.col("place") - 1).alias("value_idx"))
     return pairs.join(strings, "v").select("way_id", pos.otherwise(1).alias("pos"), F.col("value_idx").cast("long"))
 
 
@@ -285,12 +285,16 @@ def _(spark, sf):
 def _(spark, sf):
     t = d.coordinates(spark, sf).select(geo.tile_x("mx", 14).alias("x"), geo.tile_y("my", 14).alias("y")).distinct()
     ids = t.select(geo.hilbert_id(F.lit(14), "x", "y").alias("tile_id"))
-    return placed(ids, "tile_id", 1 << 16)
+    return placed(ids, "tile_id", F.floor(F.col("tile_id") / (1 << 16)))
 
 
-def placed(rows: DataFrame, key: str, span: int) -> DataFrame:
-    """key and place: the row's number in the order of the key, counted within ranges of the key and across their totals."""
-    parts = rows.withColumn("part", F.floor(F.col(key) / span))
+def placed(rows: DataFrame, key: str, part: Column) -> DataFrame:
+    """key and place: the row's number in the order of the key.
+
+    Rows are counted within parts, which must follow each other as their keys do; only one row a part goes through a
+    single task.
+    """
+    parts = rows.withColumn("part", part)
     totals = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inner = parts.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(key)))
     return inner.join(totals, "part").select(key, (F.col("before") + F.col("rank")).alias("place"))
