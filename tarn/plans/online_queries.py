@@ -166,7 +166,7 @@ def _(spark, sf):
     top = _saved(spark, sf).orderBy(F.desc("at"), "id").limit(100)
     from pyspark.sql import Window
 
-    return top.select("id", F.row_number().over(Window.orderBy(F.desc("at"), "id")).alias("place"))
+    return top.select("id", F.row_number().over(Window.orderBy(F.desc("at"), "id")).cast("long").alias("place"))
 
 
 @query("snk19_route_upsert", "select o_orderkey::bigint id, case when o_orderkey % 10 = 0 then 'new' else o_orderpriority end title from orders where o_orderkey % 10 <> 3")
