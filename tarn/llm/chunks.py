@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import U, long_column, mix, string_column
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 DDL = "bucket int, chunk long, kind int, blob binary"
 SCHEMA = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 

@@ -121,10 +121,11 @@ class Words:
             self.hash = np.zeros(0, U)
             return
         size = self.end - self.start
-        rel = np.arange(n, dtype=np.int64)
-        base = np.zeros(n, np.int64)
-        base[self.start] = self.start
-        rel -= np.maximum.accumulate(base)
+        # Positions fit 32 bits: Arrow hands over less than 2 GB of text at once.
+        rel = np.zeros(n, np.int32)
+        rel[self.start] = self.start
+        np.maximum.accumulate(rel, out=rel)
+        np.subtract(np.arange(n, dtype=np.int32), rel, out=rel)
         power = np.cumprod(np.full(int(size.max()), _STEP, U), dtype=U)
         term = (FOLD[data] if fold else data).astype(U) + U(1)
         term[~inside] = 0
