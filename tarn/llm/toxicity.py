@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 A lexical transducer maps words to symbols (insult, threat, target, negation, report); small transducers for targets,
-negation and reported speech weigh what follows; their composition scores each clause that holds a matched term.  The
-lexicon's terms and their weights, and the weights that turn clause scores into a document's score, are learned from
+negation and reported speech weigh what follows; their composition scores each clause that holds a matched term or a
+fixed threat word.  The lexicon's terms and their weights, and the weights that turn clause scores into a document's score, are learned from
 labelled rows.
 """
 
@@ -97,19 +97,18 @@ def clause_score(clause: str, terms: dict[str, float]) -> float:
 
 
 class Matcher:
-    """Finds the clauses that hold a term, with one automaton over the text."""
+    """Finds the clauses that hold a term or a threat, with one automaton over the text."""
 
     def __init__(self, terms: dict[str, float]):
         self.terms, self.auto = terms, ahocorasick.Automaton()
+        for t in sorted(THREATS - {t.rstrip("*") for t in terms}):
+            self.auto.add_word(t, (len(t), False))
         for t in terms:
             self.auto.add_word(t.rstrip("*"), (len(t.rstrip("*")), t[-1] == "*"))
-        if terms:
-            self.auto.make_automaton()
+        self.auto.make_automaton()
 
     def clauses(self, text: str) -> list[str]:
         low = text.lower()
-        if not self.terms:
-            return []
         out, upto = [], -1
         for at, (size, stem) in self.auto.iter(low):
             first = at - size + 1
@@ -237,6 +236,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, model: Model | None = None,
     others than 0 and 1 are ignored.  Only the text enters a score.  Without labels of both kinds, all documents get
     the score of the only kind, and 0 without any.
 
+    A clause is selected by a learned term or by one of THREATS as a whole word, with or without learned terms.
+
     Null and empty texts have no clauses and get the score of such texts.  A null doc_id is held out or not as the empty string
     is.  Repeated ids are scored each.  Other columns are ignored; an empty table gives no rows.
     """

@@ -368,6 +368,26 @@ def test_grammar():
     assert toxicity.Matcher(terms).clauses("First. The oaf here! Boaf oafs.\nGrumbling on") == [" the oaf here", "grumbling on"]
 
 
+def test_threats_select_clauses(spark):
+    import math
+
+    for terms in ({}, {"oaf": 2.0}, {"kil*": 3.0}):
+        m = toxicity.Matcher(terms)
+        assert m.clauses("Skills here. We will kill you! Killjoys\nIch will dich töten") == [" we will kill you", *([" killjoys"] if "kil*" in terms else []), "ich will dich töten"]
+    assert toxicity.Matcher({}).features("Fine. We will kill you.") == (1.5, math.log1p(1.5), 1.0)
+    docs, labels = toxic_corpus()
+    shown = spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = table(spark, [*docs, (5001, ""), (5002, "word1. We will kill you."), (5003, "word2, word3.")])
+    model = toxicity.learn(rows, shown)
+    assert not any(t.rstrip("*").startswith("kil") for t in model.terms)
+    got = {r.doc_id: r for r in toxicity.toxicity(rows, shown, model=model).collect()}
+    assert [(c.text, c.score) for c in got[5002].clauses] == [(" we will kill you", 1.5)]
+    assert got[5002].score > got[5001].score == got[5003].score
+    # Without learned terms, threats are found all the same.
+    none = toxicity.toxicity(rows.where("doc_id >= 5001"), shown.where("false")).collect()
+    assert {r.doc_id: len(r.clauses) for r in none} == {5001: 0, 5002: 1, 5003: 0}
+
+
 # WARC
 
 
