@@ -101,10 +101,10 @@ class Matcher:
 
     def __init__(self, terms: dict[str, float]):
         self.terms, self.auto = terms, ahocorasick.Automaton()
-        for t in sorted(THREATS - {t.rstrip("*") for t in terms}):
-            self.auto.add_word(t, (len(t), False))
-        for t in terms:
-            self.auto.add_word(t.rstrip("*"), (len(t.rstrip("*")), t[-1] == "*"))
+        # A stem finds all that the equal whole word does, so of both the stem stays.
+        keys = dict.fromkeys((*sorted(THREATS), *(t.rstrip("*") for t in terms)))
+        for k in keys:
+            self.auto.add_word(k, (len(k), f"{k}*" in terms))
         self.auto.make_automaton()
 
     def clauses(self, text: str) -> list[str]:

@@ -388,6 +388,17 @@ def test_threats_select_clauses(spark):
     assert {r.doc_id: len(r.clauses) for r in none} == {5001: 0, 5002: 1, 5003: 0}
 
 
+def test_stems_win_over_equal_words():
+    text = "Losers lost. A loser. Such grumlets"
+    for lexicon in ("loser*", "loser", "grumle"), ("loser", "loser*", "grumle*"):
+        terms = dict.fromkeys(lexicon, 2.0)
+        assert toxicity.Matcher(terms).clauses(text)[:2] == ["losers lost", " a loser"]
+        assert toxicity.Matcher(terms).features("losers")[0] == 2.0
+    assert toxicity.Matcher({"loser": 2.0}).clauses(text) == [" a loser"]
+    # A threat that is also a learned stem is found with endings.
+    assert toxicity.Matcher({"kill*": 3.0}).clauses("Killers.") == ["killers"]
+
+
 # WARC
 
 
