@@ -197,24 +197,26 @@ def throttled(events: DataFrame, key: str, gap_ms: int = 120) -> DataFrame:
     return events.repartition(key).sortWithinPartitions(key, "ms", "seq").mapInArrow(run, events.schema)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """source, node, cost: least cost of edges (a, b, cost) from each source (source, node), edges taken both ways.
 
     Rounds of relaxation; each joins the nodes that changed with their edges and keeps the least, and its result is
-    checkpointed.  Ends when nothing changes; ``max_rounds`` bounds the number of edges of a path.
+    checkpointed.  Ends when nothing changes, after as many rounds as the longest of the least-cost paths has edges, and
+    one.  Edges without a cost are not taken; a negative cost is an error, since no path would be the least.
     """
-    both = edges.select("a", "b", "cost").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")).groupBy("a", "b").agg(F.min("cost").alias("cost"))
+    cost = F.when(F.col("cost") < 0, F.raise_error(F.lit("negative cost")).cast("double")).otherwise(F.col("cost")).alias("cost")
+    given = edges.where("cost is not null").select("a", "b", cost)
+    both = durable(given.unionByName(given.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")).groupBy("a", "b").agg(F.min("cost").alias("cost")))
     known = sources.select("source", "node", F.lit(0.0).alias("cost"))
     front = known
-    for _ in range(max_rounds):
+    while True:
         steps = front.join(both.select(F.col("a").alias("node"), F.col("b").alias("next"), F.col("cost").alias("step")), "node").select("source", F.col("next").alias("node"), (F.col("cost") + F.col("step")).alias("cost"))
         best = known.withColumn("old", F.col("cost")).unionByName(steps.withColumn("old", F.lit(None).cast("double"))).groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old"))
         best = durable(best)
         front = best.where("old is null or cost < old").select("source", "node", "cost")
         known = best.select("source", "node", "cost")
         if front.isEmpty():
-            break
-    return known
+            return known
 
 
 def durable(df: DataFrame) -> DataFrame:

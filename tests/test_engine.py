@@ -124,6 +124,15 @@ def test_shortest_paths(spark):
     assert {(r.source, r.node): r.cost for r in got.collect()} == {(0, 1): 0, (0, 2): 1, (0, 3): 2, (0, 4): 3, (7, 9): 0, (7, 8): 1}
 
 
+def test_shortest_paths_of_many_edges(spark):
+    chain = [(k, k + 1, 1.0) for k in range(80)]
+    edges = spark.createDataFrame([*chain, (0, 70, 500.0), (80, 99, None)], "a long, b long, cost double")
+    sources = spark.createDataFrame([(0, 0)], "source long, node long")
+    assert {r.node: r.cost for r in online.shortest_paths(edges, sources).collect()} == {k: float(k) for k in range(81)}
+    with pytest.raises(Exception, match="negative cost"):
+        online.shortest_paths(spark.createDataFrame([(0, 1, -1.0)], "a long, b long, cost double"), sources).collect()
+
+
 def fixture(path):
     rng = np.random.default_rng(5)
     nodes = [(k, int(113000000 + rng.integers(0, 900000)), int(472000000 + rng.integers(0, 600000)), [("natural", "peak"), ("name", f"P{k}")] if k % 40 == 0 else []) for k in range(1, 400)]
