@@ -345,10 +345,10 @@ def _(spark, sf):
 @query("geo03_tile_binning")
 def _(spark, sf):
     lines = ways.lines(d.refs(spark, sf), d.coordinates(spark, sf))
-    return tiles.binned(lines, zooms=(10,)).select("z", "x", "y", "way_id", F.size("segments").cast("long").alias("runs"))
+    return tiles.binned(lines).select("z", "x", "y", "way_id", F.size("segments").cast("long").alias("runs"))
 
 
-def compiled_features(spark, sf, zoom: int = 10) -> DataFrame:
+def compiled_features(spark, sf, zoom: int = geo.DETAIL_ZOOM) -> DataFrame:
     """Tile features of all ways and peaks."""
     kept = _classified(spark, sf)
     lines = ways.lines(d.refs(spark, sf), d.coordinates(spark, sf)).join(kept.select("way_id"), "way_id", "left_semi")
@@ -361,7 +361,7 @@ def _(spark, sf):
     return t.select("tile_id", "z", "x", "y", F.length("payload").cast("long").alias("n_bytes"))
 
 
-def compiled_archive(spark, sf, path: str, zoom: int = 10) -> DataFrame:
+def compiled_archive(spark, sf, path: str, zoom: int = geo.DETAIL_ZOOM) -> DataFrame:
     """The whole compile: features, tiles, an archive at ``path``, and the archive read back."""
     from tarn.sources import pmtiles
 
@@ -382,7 +382,7 @@ def _(spark, sf):
 def _(spark, sf):
     affine = terrain.Affine(d.DEM_WEST, d.DEM_NORTH, d.DEM_STEP, d.DEM_STEP)
     box = spark.createDataFrame([(0, 11.0, 47.1, 11.6, 47.5)], "box long, west double, south double, east double, north double")
-    made = terrain.rendered(tiles.pyramid(box, 5, 9), d.dem(spark), affine)
+    made = terrain.rendered(tiles.pyramid(box, 5, 12), d.dem(spark), affine)
     return made.select("tile_id", "z", "x", "y", F.length("payload").cast("long").alias("n_bytes"))
 
 
@@ -409,7 +409,7 @@ def _(spark, sf):
     def run(batches):
         for b in batches:
             xy = np.stack([b.column(i).to_numpy() for i in range(2, 6)], 1)
-            n = [len(kernels.crossed(p[:2], p[2:], 10)) for p in xy]
+            n = [len(kernels.crossed(p[:2], p[2:], geo.DETAIL_ZOOM)) for p in xy]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["way_id", "pos", "n_tiles"])
 
     return s.mapInArrow(run, "way_id long, pos int, n_tiles long")
