@@ -35,6 +35,7 @@ for _start, _script in _SCRIPT_STARTS:
     SCRIPT[_start:] = _script
 SCRIPT[65:91] = SCRIPT[97:123] = 1
 SCRIPT[0x80:0xC2] = 0
+ASCII_LETTERS = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -175,7 +176,7 @@ def _labelled(model, penalty: float):
             scores = m.words(words) if m.languages else np.zeros((words.count, 0))
             first = words.first.tolist()
             weight = (words.end - words.start).astype(np.float64)
-            ascii_letters = np.add.reduceat(np.append(SCRIPT[d.data] == 1, False).astype(np.int64), np.minimum(d.offs[:-1], len(d.data)))
+            ascii_letters = np.add.reduceat(np.append(ASCII_LETTERS[d.data], False).astype(np.int64), np.minimum(d.offs[:-1], len(d.data)))
             out: list[list] = [[], [], [], []]
             for i in range(len(d)):
                 a, b = first[i], first[i + 1]

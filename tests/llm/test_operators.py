@@ -452,6 +452,14 @@ def test_language(spark):
     assert language.language_id(df.where("false")).count() == 0
 
 
+def test_language_without_letters(spark):
+    known = [(i, "the cat sat on the mat", "en") for i in range(20)]
+    asked = ["12 £", "20 °C", "20 °", "§ 5", "«1»", "2×3", "1\u00a02", "", "é", "5 ñ", "дом", ""]
+    df = spark.createDataFrame([*known, *((100 + k, t, None) for k, t in enumerate(asked))], "doc_id long, text string, lang string").coalesce(1)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.language_id(df).collect()}
+    assert [got[100 + k] for k in range(len(asked))] == [("en", 1.0) if re.search(r"[^\W\d_]", t) else ("und", 0.0) for t in asked]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
