@@ -4,7 +4,8 @@ Two passes over the texts split them into pre-tokens, chunk by chunk.  The first
 chunk, packed and dealt by word hash, to the tasks that hold the global word table: there each distinct word is
 encoded once and every chunk gets the ids of its words back.  The second sends each chunk's sequence of word numbers
 (the positions) to where those ids arrive, and the tokens are put together by position.  A word that fills a third of
-all texts still is one entry a chunk.  Decoding looks ids up in the token-byte table.
+all texts still is one entry a chunk.  Words are equal when their bytes are; chunks are named by a digest of all that
+they hold (see `chunks`).  Decoding looks ids up in the token-byte table.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import U, long_column, mix, string_column
+from tarn.llm.chunks import DDL, Docs, Layout, documents, layout, plain, rows
+from tarn.llm.common import hash_spans
 
 #: The pre-token pattern that `token_heads` implements (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK_BYTES = 2 << 20
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 
 
@@ -161,15 +162,13 @@ class Chunk:
         data = np.frombuffer(raw, np.uint8)
         size = end - begin
         rel = np.arange(len(raw), dtype=np.int64) - np.repeat(begin, size)
-        hashes = []
-        for step in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            power = np.cumprod(np.full(int(size.max()), U(step), U), dtype=U)
-            hashes.append(mix(np.add.reduceat((data.astype(U) + U(1)) * power[rel], begin) + size.astype(U)))
-        seq, uniques = pd.factorize(hashes[0])
+        seq, uniques = pd.factorize(hash_spans(data, begin, end)[0])
         where = np.empty(len(uniques), np.int64)
         where[seq[::-1]] = np.arange(len(seq) - 1, -1, -1)
-        if (hashes[1][where][seq] != hashes[1]).any():  # two words of one hash
-            _, where, seq = np.unique(np.array([raw[a:b] for a, b in zip(begin, end, strict=True)], object), return_index=True, return_inverse=True)
+        # Every word is compared, byte by byte, with the first of its hash.
+        first_of = where[seq]
+        if (size[first_of] != size).any() or (data[np.repeat(begin[first_of], size) + rel] != data).any():
+            _, where, seq = np.unique(np.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], object), return_index=True, return_inverse=True)
         # Frequent words get small numbers, which pack well.
         order = np.argsort(-np.bincount(seq), kind="stable")
         number = np.empty_like(order)
@@ -205,59 +204,40 @@ def _unpack_words(blob: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def _chunks(batches, kinds) -> Iterator[tuple[int, np.ndarray, np.ndarray, Chunk]]:
-    """(chunk id, ids, null ids, chunk): runs of rows of about CHUNK_BYTES; the id is a hash of the rows' ids and sizes."""
-    for batch in batches:
-        texts = string_column(batch, "text")
-        ids, nulls = long_column(batch, "doc_id")
-        offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        at = 0
-        while at < len(texts):
-            end = min(len(texts), max(at + 1, int(np.searchsorted(offs, offs[at] + CHUNK_BYTES, "right")) - 1))
-            own = np.stack([ids[at:end].astype(U), np.diff(offs[at : end + 1]).astype(U), nulls[at:end].astype(U)])
-            state = mix(mix(mix(own[0]) + own[1]) + own[2] + np.arange(end - at, dtype=U))
-            key = int(mix(np.array([state.sum(dtype=U) + U(end - at)]))[0] >> U(1))
-            yield key, ids[at:end], nulls[at:end], Chunk(texts.slice(at, end - at).to_pylist(), kinds)
-            at = end
+def _chunks(batches, size: int, kinds) -> Iterator[tuple[bytes, Docs, Chunk]]:
+    """(name, documents, chunk) for runs of rows of about ``size`` bytes."""
+    for d in documents(batches, size):
+        yield d.key(), d, Chunk([d.raw(k).decode("utf-8", "replace") for k in range(len(d))], kinds)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.array([zlib.crc32(w) for w in words], np.int64)
 
 
-_ROWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
-_ROWS_DDL = "bucket int, chunk long, kind int, blob binary"
-
-
-def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _ROWS, strict=True)], schema=_ROWS)
-
-
-def _words_out(kinds, buckets: int):
+def _words_out(kinds, lay: Layout):
     """A chunk's distinct words by bucket, in the order of their numbers."""
 
     def run(batches):
-        for key, _, _, chunk in _chunks(batches, kinds.value):
-            by = _hashes(chunk.words) % buckets
+        for key, _, chunk in _chunks(batches, lay.chunk_bytes, kinds.value):
+            by = _hashes(chunk.words) % lay.buckets
             order = np.argsort(by, kind="stable")
-            cut = np.searchsorted(by[order], np.arange(buckets + 1))
+            cut = np.searchsorted(by[order], np.arange(lay.buckets + 1))
             out = [(b, key, 0, _pack_words([chunk.words[i] for i in order[cut[b] : cut[b + 1]].tolist()])) for b in np.flatnonzero(np.diff(cut)).tolist()]
             if out:
-                yield _rows(out)
+                yield from rows(out).to_batches()
 
     return run
 
 
-def _positions_out(kinds, buckets: int):
+def _positions_out(kinds, lay: Layout):
     """A chunk's sequence of word numbers and its documents."""
 
     def run(batches):
-        for key, ids, nulls, chunk in _chunks(batches, kinds.value):
-            head = zlib.compress(ids.astype("<i8").tobytes() + nulls.astype(np.uint8).tobytes() + chunk.counts.astype("<i8").tobytes(), 1)
-            words = _pack(_hashes(chunk.words) % buckets)
-            body = len(ids).to_bytes(4, "little") + len(head).to_bytes(4, "little") + len(words).to_bytes(4, "little") + head + words + _pack(chunk.sequence)
-            yield _rows([(-1, key, 1, body)])
+        for key, d, chunk in _chunks(batches, lay.chunk_bytes, kinds.value):
+            head = zlib.compress(d.ids.astype("<i8").tobytes() + d.nulls.astype(np.uint8).tobytes() + chunk.counts.astype("<i8").tobytes(), 1)
+            words = _pack(_hashes(chunk.words) % lay.buckets)
+            body = len(d).to_bytes(4, "little") + len(head).to_bytes(4, "little") + len(words).to_bytes(4, "little") + head + words + _pack(chunk.sequence)
+            yield from rows([(-1, key, 1, body)]).to_batches()
 
     return run
 
@@ -281,7 +261,7 @@ def _encode_words(ranks):
                     counts.append(len(got))
                 packed = _pack(np.array(counts))
                 out.append((b, key, 0, len(packed).to_bytes(4, "little") + packed + _pack(np.array(flat))))
-            yield _rows(out)
+            yield from rows(out).to_batches()
 
     return run
 
@@ -319,32 +299,34 @@ def _assemble(blob: bytes, parts: dict[int, bytes]) -> pa.Table:
 
 def _together(_key, table):
     """All rows of a chunk: the ids of its words by bucket, and its positions (more than once if it comes more than once)."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True))
-    parts = {b: blob for b, kind, blob in rows if kind == 0}
-    return pa.concat_tables([_assemble(blob, parts) for _, kind, blob in rows if kind == 1])
+    found = list(zip(*(table.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True))
+    parts = {b: blob for b, kind, blob in found if kind == 0}
+    return pa.concat_tables([_assemble(blob, parts) for _, kind, blob in found if kind == 1])
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, *, pattern: str = PATTERN, buckets: int | None = None) -> DataFrame:
     """Per document: doc_id, ids (array of int), as the vocabulary at ``ranks_path`` encodes its whole text.
 
     Every match of the pattern is encoded separately; there are no special tokens.  ``buckets`` is the number of parts
-    of the global word table (the session's shuffle partitions unless given): each holds its distinct words and their
+    of the global word table (as the size of all texts asks for unless given): each holds its distinct words and their
     ids, and nothing that grows with how often words occur.
 
-    Null and empty texts give an empty array.  Null and repeated doc_ids pass through, one row each.  Other columns
-    are ignored.  The input is read twice and must give the same rows in the same order, as files do; if it does not,
-    the query fails rather than mix them up.
+    Null and empty texts give an empty array.  Null and repeated doc_ids pass through, one row each, and so do repeated
+    rows.  A text of any length is one row and one chunk at least.  Other columns are ignored, whatever their names; an
+    empty table gives no rows.  The input is read twice and must give the same rows in the same order, as files do; if
+    it does not, the query fails rather than mix them up.
     """
     if pattern != PATTERN:
         raise ValueError("only the fixed pre-token pattern is supported")
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = plain(docs)
+    lay = layout(texts)
+    lay = Layout(2 * lay.chunk_bytes, buckets or lay.buckets)
     kinds = spark.sparkContext.broadcast(char_classes())
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    words = rows.mapInArrow(_words_out(kinds, buckets), _ROWS_DDL).repartition(buckets, "bucket")
-    ids = words.mapInArrow(_encode_words(ranks), _ROWS_DDL)
-    both = ids.unionByName(rows.mapInArrow(_positions_out(kinds, buckets), _ROWS_DDL))
+    words = texts.mapInArrow(_words_out(kinds, lay), DDL).repartitionById(lay.buckets, "bucket")
+    ids = words.mapInArrow(_encode_words(ranks), DDL)
+    both = ids.unionByName(texts.mapInArrow(_positions_out(kinds, lay), DDL))
     return both.groupBy("chunk").applyInArrow(_together, "doc_id long, ids array<int>")
 
 

@@ -4,34 +4,40 @@ Which pairs could link at all is settled first, exactly: with shingles in one or
 first, two sets of similarity s share one of the first (1 - s) n + 1 shingles of each.  Shingles that only one set has
 are no use there, so most documents send nothing.  Sets that share such a shingle, directly or through others, form
 candidate groups; inside each, points of group counts stand in an R-tree, whose nodes bound the overlap by summed
-coordinate minima (`CountTree`), and pairs that survive are verified on the shingles.  Candidate groups too large for
-one task are dealt in blocks, each pair of blocks to one task, so every pair is judged exactly once.
+coordinate minima (`CountTree`), and pairs that survive are verified on the shingles.
+
+Candidate groups of more than `block` shingles are cut: first into bands of set size, so narrow that only sets of one
+band or of neighbouring bands can link, then each band into blocks; every pair of blocks that can link is a task of its
+own, and every pair of sets is judged exactly once.
 
 The order comes from counts over the whole corpus, by buckets of the hash space that see each shingle once a chunk (see
 `chunks`).  They are counts of 40-bit hashes: a collision moves a shingle in the order, for all documents alike, and
-changes no result.  Sets of equal content are one node from the start, whatever number of documents has them.  Sets
-and shingles are told apart by 64-bit hashes.
+changes no result.  Sets of equal content are one node from the start, whatever number of documents has them, and send
+their text once.  Sets are told apart by 128 bits, the shingles of a pair by 64.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.chunks import DDL, Docs, at_chunk, bucket_count, bucket_cuts, by_bucket, compress, documents, expand, packed, plain, rows
+from tarn.llm.chunks import DDL, Docs, Layout, answers, asked, at_chunk, by_bucket, documents, layout, pack, packed, plain, questions, rows, unpack
 from tarn.llm.common import U, Words, checkpointed, mix
 from tarn.llm.components import components
 
 DIMS = 64
-BLOCK = 1 << 20
+#: Shingles of a block; a group of fewer than FEW blocks of that size is cut into smaller ones, down to 1 / SMALLER.
+BLOCK, FEW, SMALLER = 1 << 20, 8, 32
 #: Kinds of packed rows.
 COUNTS, SETS, KEYS, TEXTS = 1, 2, 3, 4
 
 
 class Sets:
-    """Distinct shingles of each of some documents, sorted: ``flat`` with bounds ``at``; sizes and set ids (0: empty)."""
+    """Distinct shingles of each of some documents, sorted: ``flat`` with bounds ``at``; sizes and set ids of two halves."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, shingle: int):
         words = Words(data, offs, fold=True)
@@ -51,8 +57,16 @@ class Sets:
         self.flat = np.concatenate(found) if found else np.zeros(0, U)
         self.size = np.array([len(x) for x in found], np.int64)
         self.at = np.concatenate(([0], np.cumsum(self.size)))
-        sums = np.concatenate(([U(0)], np.cumsum(mix(self.flat + U(1)), dtype=U)))
-        self.id = (mix(sums[self.at[1:]] - sums[self.at[:-1]] + self.size.astype(U)) >> U(1)).astype(np.int64)
+        halves = []
+        for salt in (U(1), U(0x6A09E667F3BCC909)):
+            sums = np.concatenate(([U(0)], np.cumsum(mix(self.flat ^ mix(np.array([salt]))), dtype=U)))
+            halves.append(mix(sums[self.at[1:]] - sums[self.at[:-1]] + self.size.astype(U)))
+        self.high, self.low = halves
+
+    def names(self, chosen: np.ndarray) -> list[bytes]:
+        """Set ids as they go between tasks."""
+        raw = np.stack((self.high[chosen], self.low[chosen]), axis=1).astype(">u8").tobytes()
+        return [raw[k : k + 16] for k in range(0, len(raw), 16)]
 
 
 def _order_keys(shingles: np.ndarray) -> np.ndarray:
@@ -62,8 +76,11 @@ def _order_keys(shingles: np.ndarray) -> np.ndarray:
 
 def _distinct(s: Sets) -> np.ndarray:
     """One document of each set that is not empty."""
-    _, chosen = np.unique(np.where(s.size > 0, s.id, -1), return_index=True)
-    return chosen[s.size[chosen] > 0]
+    order = np.lexsort((s.low, s.high))
+    order = order[s.size[order] > 0]
+    head = np.ones(len(order), bool)
+    head[1:] = (s.high[order][1:] != s.high[order][:-1]) | (s.low[order][1:] != s.low[order][:-1])
+    return order[head]
 
 
 def _members(s: Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,54 +90,29 @@ def _members(s: Sets, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s.flat[pick], np.repeat(np.arange(len(chosen)), size)
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted 40-bit keys as planes of the bytes of their differences."""
-    steps = np.diff(keys >> U(24), prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    return compress(np.ascontiguousarray(steps.T).tobytes())
-
-
-def _unpack_keys(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(expand(blob), np.uint8).reshape(5, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :5] = planes.T
-    return np.cumsum(out.reshape(-1).view("<u8").astype(U), dtype=U) << U(24)
-
-
-def _count_out(shingle: int, buckets: int):
-    """A chunk's distinct shingle keys by bucket, with how many of its sets have each (255: or more)."""
+def _count_out(shingle: int, lay: Layout):
+    """A chunk's distinct shingle keys, with how many of its sets have each (255: or more)."""
 
     def run(batches):
-        for d in documents(batches):
+        for d in documents(batches, lay.chunk_bytes):
             s = Sets(d.data, d.offs, shingle)
             keys, counts = np.unique(_order_keys(_members(s, _distinct(s))[0]), return_counts=True)
-            cut, key = bucket_cuts(keys, buckets), d.key()
-            out = []
-            for b in range(buckets):
-                if cut[b] < cut[b + 1]:
-                    packed = _pack_keys(keys[cut[b] : cut[b + 1]])
-                    out.append((b, key, COUNTS, len(packed).to_bytes(4, "little") + packed + compress(np.minimum(counts[cut[b] : cut[b + 1]], 255).astype(np.uint8).tobytes())))
+            out = questions(COUNTS, d.key(), lay, keys, np.minimum(counts, 255).astype(np.uint8))
             if out:
                 yield from rows(out).to_batches()
 
     return run
 
 
-def _answer_counts(held: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """For each key of each chunk the magnitude of its count: 0 for one set, then the binary logarithm rounded up."""
-    each, counts = [], []
-    for _, blob in held:
-        n = int.from_bytes(blob[:4], "little")
-        each.append(_unpack_keys(blob[4 : 4 + n]))
-        counts.append(np.frombuffer(expand(blob[4 + n :]), np.uint8))
-    every = np.concatenate(each)
-    order = np.argsort(every, kind="stable")
-    head = np.ones(len(every), bool)
-    head[1:] = every[order][1:] != every[order][:-1]
-    total = np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], np.flatnonzero(head))
-    size = np.empty(len(every), np.uint8)
+def _answer_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray]:
+    """The magnitude of each key's count: 0 for one set, then the binary logarithm rounded up."""
+    order = np.argsort(keys, kind="stable")
+    head = np.ones(len(keys), bool)
+    head[1:] = keys[order][1:] != keys[order][:-1]
+    total = np.add.reduceat(counts.astype(np.int64)[order], np.flatnonzero(head)) if len(keys) else np.zeros(0)
+    size = np.empty(len(keys), np.uint8)
     size[order] = np.ceil(np.log2(total)).astype(np.uint8)[np.cumsum(head) - 1]
-    ends = np.cumsum([len(x) for x in each])
-    return [(chunk, COUNTS, compress(size[e - len(x) : e].tobytes())) for (chunk, _), x, e in zip(held, each, ends.tolist(), strict=True)]
+    return (size,)
 
 
 def routes(s: Sets, chosen: np.ndarray, magnitude, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,68 +146,73 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[head], ids[head], k[new], a[new], b[new]
 
 
-def _prepare(shingle: int, num: int, den: int, buckets: int):
+def _prepare(shingle: int, num: int, den: int, lay: Layout):
     """For each chunk: its documents' sets, keys by bucket (each once a chunk, and more ids only for links that it has not
     shown yet), and the texts of sets that have keys."""
 
-    def step(d: Docs, got: dict, key: int) -> pa.Table:
+    def step(d: Docs, got: dict, key: bytes) -> pa.Table:
         s = Sets(d.data, d.offs, shingle)
         chosen = _distinct(s)
 
         def magnitude(flat: np.ndarray) -> np.ndarray:
             own = _order_keys(flat)
             keys = np.unique(own)
-            cut = bucket_cuts(keys, buckets)
-            every = np.zeros(len(keys), np.uint8)
-            for b in range(buckets):
-                if cut[b] < cut[b + 1]:
-                    every[cut[b] : cut[b + 1]] = np.frombuffer(expand(got[(COUNTS, b)]), np.uint8)
-            return every[np.searchsorted(keys, own)]
+            return answers(got, COUNTS, lay, keys, np.uint8)[0][np.searchsorted(keys, own)]
 
         keys, owner = routes(s, chosen, magnitude, num, den)
-        k, i, k2, _, other = _stars(keys, s.id[chosen][owner])
-        k, i = np.concatenate((k, k2)), np.concatenate((i, other))
+        k, i, k2, _, other = _stars(keys, owner)
+        k, i = np.concatenate((k, k2)), chosen[np.concatenate((i, other))]
         order = np.argsort(k, kind="stable")
         k, i = k[order], i[order]
-        cut = bucket_cuts(k, buckets)
-        out = [(-1, key, SETS, compress(len(d).to_bytes(8, "little") + d.ids.astype("<i8").tobytes() + s.size.astype("<i8").tobytes() + s.id.astype("<i8").tobytes() + d.nulls.astype(np.uint8).tobytes()))]
-        out += [(b, key, KEYS, k[cut[b] : cut[b + 1]].tobytes() + i[cut[b] : cut[b + 1]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
+        out = [(-1, key, SETS, pack(d.ids.astype("<i8"), d.nulls.astype(np.uint8), s.size, s.high, s.low))]
+        out += questions(KEYS, key, lay, k, s.high[i], s.low[i])
         sent = chosen[np.unique(owner)]
         if len(sent):
             raw = [d.raw(x) for x in sent.tolist()]
             offs = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
-            out.append((-1, key, TEXTS, Docs(s.id[sent], np.zeros(len(sent), bool), np.frombuffer(b"".join(raw), np.uint8), offs).pack()))
+            texts = Docs(np.zeros(len(sent), np.int64), np.zeros(len(sent), bool), np.frombuffer(b"".join(raw), np.uint8), offs)
+            out.append((-1, key, TEXTS, b"".join((len(sent).to_bytes(8, "little"), *s.names(sent), texts.pack()))))
         return rows(out)
 
     return step
 
 
 def _described(batches):
+    """Each document's id, size and set, and the chunk that it is in."""
     for batch in batches:
-        for blob in batch.column(3).to_pylist():
-            raw = expand(blob)
-            n = int.from_bytes(raw[:8], "little")
-            ids, size, sid = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(3))
-            nulls = np.frombuffer(raw, np.uint8, n, 8 + 24 * n).astype(bool)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(size), pa.array(sid, mask=size == 0)], names=["doc_id", "n", "sid"])
+        for chunk, blob in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            ids, nulls, size, high, low = unpack(blob)
+            raw = np.stack((high, low), axis=1).astype(">u8").tobytes()
+            sid = [raw[16 * k : 16 * k + 16] if n else None for k, n in enumerate(size.tolist())]
+            home = int.from_bytes(chunk[:8], "little", signed=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls.astype(bool)), pa.array(size), pa.array(sid, pa.binary()), pa.array(np.full(len(ids), home))], names=["doc_id", "n", "sid", "home"])
 
 
 def _texts(batches):
     for batch in batches:
-        for blob in batch.column(3).to_pylist():
-            d = Docs.unpack(blob)
-            yield pa.RecordBatch.from_arrays([pa.array(d.ids), pa.array([d.raw(i).decode("utf-8", "replace") for i in range(len(d))], pa.string())], names=["sid", "text"])
+        for chunk, blob in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            n = int.from_bytes(blob[:8], "little")
+            d = Docs.unpack(blob[8 + 16 * n :])
+            home = int.from_bytes(chunk[:8], "little", signed=True)
+            for a in range(0, n, 1000):
+                part = range(a, min(n, a + 1000))
+                yield pa.RecordBatch.from_arrays([pa.array([blob[8 + 16 * k : 24 + 16 * k] for k in part], pa.binary()), pa.array([home] * len(part), pa.int64()), pa.array([d.raw(k).decode("utf-8", "replace") for k in part], pa.string())], names=["sid", "home", "text"])
 
 
 def _meet(batches):
     """Links between the sets that share a key of the bucket."""
 
     def links(held):
-        half = [len(x) // 16 for x in held]
-        keys = np.concatenate([np.frombuffer(x, U, n) for x, n in zip(held, half, strict=True)])
-        ids = np.concatenate([np.frombuffer(x, np.int64, n, 8 * n) for x, n in zip(held, half, strict=True)])
-        _, _, _, a, b = _stars(keys, ids)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        keys, high, low = (np.concatenate(c) for c in zip(*map(asked, held), strict=True))
+        # The bucket's own numbers for sets, in the order of their ids.
+        order = np.lexsort((low, high))
+        head = np.ones(len(order), bool)
+        head[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(head) - 1
+        raw = np.stack((high[order[head]], low[order[head]]), axis=1).astype(">u8").tobytes()
+        _, _, _, a, b = _stars(keys, number)
+        return pa.RecordBatch.from_arrays([pa.array([raw[16 * k : 16 * k + 16] for k in x.tolist()], pa.binary()) for x in (a, b)], names=["a", "b"])
 
     at, held = None, []
     for batch in batches:
@@ -274,17 +271,17 @@ def overlaps(flat: np.ndarray, at: np.ndarray, mark: np.ndarray, which: np.ndarr
     return np.add.reduceat(mark[flat[pick]].astype(np.int64), begin) if len(which) else np.zeros(0, np.int64)
 
 
-def join_block(texts: list[str], ids: list[int], copies: list[int], sides: tuple[int, int], blocks: int, shingle: int, num: int, den: int) -> list[tuple[int, int, int]]:
+def join_block(texts: list[str], ids: list[int], copies: list[int], sides: list[int], across: bool, shingle: int, num: int, den: int) -> list[tuple[int, int, int]]:
     """(id, smallest id that it is linked with through this block, documents linked with it directly) for linked sets.
 
-    Of a pair of different blocks only pairs across are judged; sets that come more than once are judged once.
+    Of a pair of different blocks (``across``) only pairs of different sides are judged.
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     offs = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
     s = Sets(np.frombuffer(b"".join(raw), np.uint8), offs, shingle)
-    name, side = np.array(ids, np.int64), np.array(ids, np.int64) % blocks
+    side = np.array(sides, np.int64)
     weight = np.array(copies, np.int64)
-    n = len(name)
+    n = len(ids)
     if n < 2:
         return []
     group = (mix(s.flat + U(7)) >> U(58)).astype(np.int64)
@@ -300,7 +297,6 @@ def join_block(texts: list[str], ids: list[int], copies: list[int], sides: tuple
             x = root[x]
         return x
 
-    across = sides[0] != sides[1]
     for i in range(n):
         near = tree.near(points[i], int(s.size[i]), num, den)
         near = near[near > i]
@@ -329,7 +325,7 @@ def join_block(texts: list[str], ids: list[int], copies: list[int], sides: tuple
 
 
 def _verify(shingle: int, num: int, den: int):
-    """Rows come by candidate group and pair of blocks; each is judged when its last row is there."""
+    """Rows come by candidate group and pair of blocks; each pair is judged when its last row is there."""
 
     def run(batches):
         at, held = None, {}
@@ -337,7 +333,8 @@ def _verify(shingle: int, num: int, den: int):
 
         def done():
             if at is not None and len(held) > 1:
-                out.extend(join_block([x[0] for x in held.values()], list(held), [x[1] for x in held.values()], at[1:3], at[3], shingle, num, den))
+                own = list(held.values())
+                out.extend(join_block([x[2] for x in own], list(held), [x[1] for x in own], [x[0] for x in own], at[1:3] != at[3:5], shingle, num, den))
 
         def made():
             cols = list(zip(*out, strict=True)) or [[], [], []]
@@ -345,11 +342,11 @@ def _verify(shingle: int, num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "links"])
 
         for batch in batches:
-            for key in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if key[:4] != at:
+            for key in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if key[:5] != at:
                     done()
-                    at, held = key[:4], {}
-                held[key[4]] = (key[6], key[5])
+                    at, held = key[:5], {}
+                held[key[5]] = key[6:]
             if out:
                 yield made()
         done()
@@ -359,6 +356,43 @@ def _verify(shingle: int, num: int, den: int):
     return run
 
 
+def _blocks(total: Column, block: int) -> Column:
+    """Into how many blocks a band of so many shingles is cut: FEW more than its size asks for, while blocks stay worth it."""
+    whole = F.ceil(total / F.lit(float(block)))
+    return F.greatest(whole, F.least(F.lit(FEW), F.ceil(total / F.lit(float(max(1, block // SMALLER)))))).cast("long")
+
+
+def dealt(members: DataFrame, similarity: tuple[int, int], block: int) -> DataFrame:
+    """``members`` (root, node, n, ...) once for each pair of blocks (x, i), (y, j) that they are judged in, and their side.
+
+    A group of at most ``block`` / SMALLER shingles is one block.  Larger ones are cut into bands of size: sets that
+    link differ in size by 1 / similarity at most, which is less than a band is wide, so their bands are the same or
+    neighbours.
+    """
+    width = math.log(similarity[1] / similarity[0]) + 1e-3
+    groups = members.groupBy("root").agg(F.sum("n").alias("total"))
+    small = F.col("total") <= max(1, block // SMALLER)
+    banded = members.join(groups, "root").withColumn("band", F.when(small, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / F.lit(width))).cast("long"))
+    bands = banded.groupBy("root", "band").agg(_blocks(F.sum("n"), block).alias("blocks"), F.max(F.when(small, 1).otherwise(0)).alias("small"))
+    bands = bands.withColumn("blocks", F.when(F.col("small") == 1, F.lit(1).cast("long")).otherwise(F.col("blocks"))).drop("small")
+    # Each band with the number of blocks of those below and above it, worked out by sums, not by a window over a group.
+    near = bands.select("root", F.explode(F.array(*(F.struct((F.col("band") + k).alias("band"), F.lit(k).alias("place"), "blocks") for k in (-1, 0, 1)))).alias("x")).select("root", "x.*")
+    near = near.groupBy("root", "band").agg(*(F.coalesce(F.max(F.when(F.col("place") == k, F.col("blocks"))), F.lit(0)).alias(name) for k, name in ((1, "under"), (0, "here"), (-1, "over")))).where("here > 0")
+    placed = banded.join(near, ["root", "band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("here")))
+
+    def pairs(count: str, make) -> Column:
+        return F.transform(F.when(F.col(count) > 0, F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).otherwise(F.array().cast("array<long>")), make)
+
+    def task(x, i, y, j, side):
+        return F.struct(x.alias("x"), i.alias("i"), y.alias("y"), j.alias("j"), side.cast("long").alias("side"))
+
+    band, own = F.col("band"), F.col("own")
+    same = pairs("here", lambda k: task(band, F.least(own, k), band, F.greatest(own, k), own))
+    below = pairs("under", lambda k: task(band - 1, k, band, own, F.lit(1)))
+    above = pairs("over", lambda k: task(band, own, band + 1, k, F.lit(0)))
+    return placed.withColumn("task", F.explode(F.concat(same, below, above))).select(*members.columns, "task.*")
+
+
 def jaccard_join(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (4, 5), block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
@@ -370,29 +404,33 @@ def jaccard_join(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, in
     ``block`` is the number of shingles that one task holds at most of a side, but for a single document.
 
     Null text has no words.  A null doc_id never is a component_id unless no id of the component is known.  Repeated
-    doc_ids are documents of their own, which share the id.  Other columns are ignored; an empty table gives no rows.
+    doc_ids are documents of their own, which share the id.  A text of any length is one set in one task; equal texts
+    are one set, however many.  Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     num, den = similarity
-    buckets = bucket_count(docs.sparkSession)
-    counts = by_bucket(plain(docs).mapInArrow(_count_out(shingle, buckets), DDL), buckets, _answer_counts)
-    prepared = checkpointed(at_chunk(packed(docs), counts, _prepare(shingle, num, den, buckets)))
-    each = prepared.where(F.col("kind") == SETS).mapInArrow(_described, "doc_id long, n long, sid long")
-    sets = each.where("sid is not null").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.max("n").alias("n"))
+    rows_ = plain(docs)
+    lay = layout(rows_)
+    counts = by_bucket(rows_.mapInArrow(_count_out(shingle, lay), DDL), lay, _answer_counts)
+    prepared = checkpointed(at_chunk(packed(docs, lay), counts, _prepare(shingle, num, den, lay)))
+    each = prepared.where(F.col("kind") == SETS).mapInArrow(_described, "doc_id long, n long, sid binary, home long")
+    sets = each.where("sid is not null").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.max("n").alias("n"), F.min("home").alias("home"))
     keys = prepared.where(F.col("kind") == KEYS)
-    met = checkpointed(keys.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long"))
-    near = components(met)
-    members = near.join(sets, near["node"] == sets["sid"]).select("sid", "root", "copies", "n")
-    members = checkpointed(members)
-    size = members.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(float(block))).cast("long").alias("blocks"))
-    texts = prepared.where(F.col("kind") == TEXTS).mapInArrow(_texts, "sid long, text string")
-    placed = members.join(size, "root").withColumn("own", F.col("sid") % F.col("blocks"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    full = placed.join(texts, "sid").select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "blocks", "sid", "copies", "text")
-    dealt = full.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "sid")
-    judged = checkpointed(dealt.mapInArrow(_verify(shingle, num, den), "a long, b long, links long"))
-    roots = components(judged.select("a", "b")).withColumnRenamed("node", "sid")
-    links = judged.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
-    known = sets.join(roots, "sid", "left").join(links, "sid", "left").select("sid", "copies", "low", F.coalesce("root", "sid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    lows = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = known.join(lows, "root").select("sid", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    met = checkpointed(keys.repartitionById(lay.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a binary, b binary"))
+    # Sets that share a key get numbers, which are written so that a lost executor does not change them.
+    ends = met.select(F.col("a").alias("sid")).unionByName(met.select(F.col("b").alias("sid"))).distinct()
+    nodes = checkpointed(ends.withColumn("node", F.monotonically_increasing_id()))
+    edges = met.join(nodes.select(F.col("sid").alias("a"), F.col("node").alias("x")), "a").join(nodes.select(F.col("sid").alias("b"), F.col("node").alias("y")), "b")
+    near = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    members = checkpointed(nodes.join(near, "node").join(sets, "sid").select("sid", "home", "node", "root", "copies", "n"))
+    # A set's text comes from one of the chunks that have it.
+    texts = prepared.where(F.col("kind") == TEXTS).mapInArrow(_texts, "sid binary, home long, text string")
+    full = dealt(members, similarity, block).join(texts, ["sid", "home"]).select("root", "x", "i", "y", "j", "node", "side", "copies", "text")
+    tasks = full.repartition("root", "x", "i", "y", "j").sortWithinPartitions("root", "x", "i", "y", "j", "node")
+    judged = checkpointed(tasks.mapInArrow(_verify(shingle, num, den), "a long, b long, links long"))
+    roots = components(judged.select("a", "b"))
+    links = judged.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    linked = nodes.join(roots, "node").join(links, "node").select("sid", F.col("root").alias("root"), "links")
+    known = sets.join(linked, "sid", "left")
+    lows = known.where("root is not null").groupBy("root").agg(F.min("low").alias("lowest"))
+    known = known.join(lows, "root", "left").select("sid", F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return each.join(known, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

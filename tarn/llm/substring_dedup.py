@@ -11,8 +11,8 @@ extending:
    stretch are compared.
 
 Repeated windows are then merged into maximal repeats.  Every question is answered for the whole corpus by buckets of
-the hash space that see each key once a chunk (see `chunks`).  Words, anchors, stretches and windows are compared by
-64-bit hashes, stretches and windows under their anchor's hash as well.
+the hash space that see each key once a chunk (see `chunks`).  Anchors that agree by chance in 64 bits only ask more
+questions; stretches and windows, which decide, are told apart by 128 bits made of two hashes of every word.
 """
 
 from __future__ import annotations
@@ -22,22 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.chunks import DDL, Docs, at_chunk, bucket_count, bucket_cuts, by_bucket, compress, documents, expand, packed, plain, rows
+from tarn.llm.chunks import DDL, Docs, Layout, answers, at_chunk, by_bucket, documents, layout, packed, plain, questions, rows
 from tarn.llm.common import U, Words, mix
 
 K = 5
 LAST = np.iinfo(np.int64).max
-_Q, _QI = U(0xD1342543DE82EF95), U(pow(0xD1342543DE82EF95, -1, 1 << 64))
+#: Multipliers of the two sums over words, with their inverses.
+_Q = (U(0xD1342543DE82EF95), U(0x9FB21C651E98DF25))
+_QI = tuple(U(pow(int(q), -1, 1 << 64)) for q in _Q)
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string())])
 _KEPT_DDL = "doc_id long, n_words long, n_removed long, removed array<struct<first:long,end:long>>, kept string"
 SEED, STRETCH, WINDOW = 1, 2, 3
 
 
 class Anchors:
-    """Anchors of a chunk in order of position: hash, hash of the stretch, the windows owned, and the document."""
+    """Anchors of a chunk in order of position: hash, two hashes of the stretch, the windows owned, and the document."""
 
     def __init__(self, docs: Docs, threshold: int):
-        self.words = w = Words(docs.data, docs.offs)
+        self.words = w = Words(docs.data, docs.offs, wide=True)
         self.threshold = threshold
         self.order = np.where(docs.nulls, LAST, docs.ids)
         spread = threshold - min(K, threshold) + 1
@@ -47,7 +49,8 @@ class Anchors:
         ends = np.repeat(w.first[1:], np.diff(w.first))
         window = np.flatnonzero(np.arange(n) + threshold <= ends)
         if not len(window):
-            self.hash = self.stretch = np.zeros(0, U)
+            self.hash = np.zeros(0, U)
+            self.stretch = (self.hash, self.hash)
             self.first = self.last = self.doc = np.zeros(0, np.int64)
             return
         gram = w.grams(k)
@@ -64,35 +67,39 @@ class Anchors:
         self.first, self.last = window[at], window[np.append(at[1:], len(window)) - 1]
         place = owner[at]
         self.hash, self.doc = gram[place], doc[self.first]
-        power = np.cumprod(np.concatenate(([U(1)], np.full(n, _Q, U))), dtype=U)
-        undo = np.cumprod(np.concatenate(([U(1)], np.full(n, _QI, U))), dtype=U)
-        sums = np.concatenate(([U(0)], np.cumsum(w.hash * power[:n], dtype=U)))
         upto = self.last + threshold
-        body = (sums[upto] - sums[self.first]) * undo[self.first]
-        self.stretch = mix(mix(body) + (upto - self.first).astype(U) * U(0x9E3779B97F4A7C15) + (place - self.first).astype(U))
+        shape = (upto - self.first).astype(U) * U(0x9E3779B97F4A7C15) + (place - self.first).astype(U)
+        made = []
+        for q, qi, hashes in zip(_Q, _QI, (w.hash, w.hash2), strict=True):
+            power = np.cumprod(np.concatenate(([U(1)], np.full(n, q, U))), dtype=U)
+            undo = np.cumprod(np.concatenate(([U(1)], np.full(n, qi, U))), dtype=U)
+            sums = np.concatenate(([U(0)], np.cumsum(hashes * power[:n], dtype=U)))
+            made.append(mix(mix((sums[upto] - sums[self.first]) * undo[self.first]) + shape))
+        self.stretch = tuple(made)
 
     def ids(self) -> np.ndarray:
         return self.order[self.doc]
 
-    def pairs(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (anchor, stretch) of the chosen anchors, sorted, the smallest id of each, and each one's number."""
-        h, s, d = self.hash[chosen], self.stretch[chosen], self.ids()[chosen]
-        order = np.lexsort((d, s, h))
-        h, s, d = h[order], s[order], d[order]
-        head = np.ones(len(h), bool)
-        head[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+    def pairs(self, chosen: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """Distinct (anchor, stretch) of the chosen anchors, sorted: (anchor, two hashes, smallest id); each one's number."""
+        h, s, s2, d = self.hash[chosen], self.stretch[0][chosen], self.stretch[1][chosen], self.ids()[chosen]
+        order, head = _heads(h, s, s2, d)
         number = np.empty(len(h), np.int64)
         number[order] = np.cumsum(head) - 1
-        return h[head], s[head], d[head], number
+        first = order[head]
+        return (h[first], s[first], s2[first], d[first]), number
 
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows owned by the chosen anchors: hash (with the anchor's), position and id."""
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows owned by the chosen anchors: two hashes, position and id."""
         size = self.last[chosen] - self.first[chosen] + 1
         begin = np.repeat(self.first[chosen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        acc = np.repeat(self.hash[chosen], size)
-        for j in range(self.threshold):
-            acc = mix(acc * _Q + self.words.hash[begin + j])
-        return acc, begin, np.repeat(self.ids()[chosen], size)
+        made = []
+        for q, hashes in zip(_Q, (self.words.hash, self.words.hash2), strict=True):
+            acc = np.full(len(begin), q, U)
+            for j in range(self.threshold):
+                acc = mix(acc * q + hashes[begin + j])
+            made.append(acc)
+        return made[0], made[1], begin, np.repeat(self.ids()[chosen], size)
 
     def shared_within(self) -> np.ndarray:
         """Anchors that several documents of the chunk have."""
@@ -111,140 +118,96 @@ def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _seeds(buckets: int, threshold: int):
+def _heads(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by all columns, and which rows then begin another value of all columns but the last."""
+    order = np.lexsort(columns[::-1])
+    head = np.ones(len(order), bool)
+    head[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns[:-1]])
+    return order, head
+
+
+def _seeds(lay: Layout, threshold: int):
     def run(batches):
-        for docs in documents(batches):
-            keys = np.unique(Anchors(docs, threshold).hash)
-            cut, key = bucket_cuts(keys, buckets), docs.key()
-            out = [(b, key, SEED, keys[cut[b] : cut[b + 1]].tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
+        for docs in documents(batches, lay.chunk_bytes):
+            out = questions(SEED, docs.key(), lay, np.unique(Anchors(docs, threshold).hash))
             if out:
                 yield from rows(out).to_batches()
 
     return run
 
 
-def _answer_seeds(held: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """For each chunk, which of its anchors another chunk has too."""
-    each = [(c, np.frombuffer(x, U)) for c, x in held]
-    every = np.sort(np.concatenate([x for _, x in each]))
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    found = [(c, _among(x, shared)) for c, x in each]
-    return [(c, SEED, np.packbits(m).tobytes()) for c, m in found if m.any()]
+def _answer_seeds(keys: np.ndarray) -> tuple[np.ndarray]:
+    """Whether another chunk has the anchor too."""
+    every = np.sort(keys)
+    return (_among(keys, np.unique(every[1:][every[1:] == every[:-1]])),)
 
 
-def _shared(a: Anchors, got: dict, buckets: int) -> np.ndarray:
+def _shared(a: Anchors, got: dict, lay: Layout) -> np.ndarray:
     """Positions in ``a`` of anchors that more than one document of the corpus has."""
     keys = np.unique(a.hash)
-    cut = bucket_cuts(keys, buckets)
-    mask = np.zeros(len(keys), bool)
-    for b in range(buckets):
-        blob = got.get((SEED, b))
-        if blob is not None:
-            mask[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8), count=cut[b + 1] - cut[b]).astype(bool)
+    mask = answers(got, SEED, lay, keys, bool)[0]
     return np.flatnonzero(_among(a.hash, keys[mask]) | _among(a.hash, a.shared_within()))
 
 
-def _stretches(buckets: int, threshold: int):
-    def step(docs: Docs, got: dict, key: int) -> pa.Table:
+def _stretches(lay: Layout, threshold: int):
+    def step(docs: Docs, got: dict, key: bytes) -> pa.Table:
         a = Anchors(docs, threshold)
-        h, s, d, _ = a.pairs(_shared(a, got, buckets))
-        cut = bucket_cuts(h, buckets)
-        out = []
-        for b in range(buckets):
-            lo, hi = cut[b], cut[b + 1]
-            if lo < hi:
-                out.append((b, key, STRETCH, int(hi - lo).to_bytes(8, "little") + h[lo:hi].tobytes() + s[lo:hi].tobytes() + compress(d[lo:hi].tobytes())))
-        return rows(out)
+        return rows(questions(STRETCH, key, lay, *a.pairs(_shared(a, got, lay))[0]))
 
     return step
 
 
-def _answer_stretches(held: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """For each (anchor, stretch) of each chunk the smallest id that has it, and whether the anchor has other stretches."""
-    h, s, d, sizes = [], [], [], []
-    for _, blob in held:
-        n = int.from_bytes(blob[:8], "little")
-        h.append(np.frombuffer(blob, U, n, 8))
-        s.append(np.frombuffer(blob, U, n, 8 + 8 * n))
-        d.append(np.frombuffer(expand(blob[8 + 16 * n :]), np.int64))
-        sizes.append(n)
-    h, s, d = np.concatenate(h), np.concatenate(s), np.concatenate(d)
-    order = np.lexsort((d, s, h))
-    hs, ss, ds = h[order], s[order], d[order]
-    head = np.ones(len(hs), bool)
-    head[1:] = (hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])
-    top = np.ones(len(hs), bool)
-    top[1:] = hs[1:] != hs[:-1]
-    low = ds[head][np.cumsum(head) - 1]
-    several = np.add.reduceat(head.astype(np.int64), np.flatnonzero(top))[np.cumsum(top) - 1] > 1
-    lows, many = np.empty_like(low), np.empty_like(several)
-    lows[order], many[order] = low, several
-    out, at = [], 0
-    for (chunk, _), n in zip(held, sizes, strict=True):
-        out.append((chunk, STRETCH, compress(lows[at : at + n].tobytes() + many[at : at + n].astype(np.uint8).tobytes())))
-        at += n
-    return out
-
-
-def _resolved(a: Anchors, got: dict, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _answer_stretches(h: np.ndarray, s: np.ndarray, s2: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each (anchor, stretch) the smallest id that has it, and whether the anchor has other stretches."""
+    order, head = _heads(h, s, s2, d)
+    top = np.ones(len(order), bool)
+    top[1:] = h[order][1:] != h[order][:-1]
+    low, many = np.empty_like(d), np.empty(len(d), bool)
+    low[order] = d[order[head]][np.cumsum(head) - 1]
+    many[order] = np.add.reduceat(head.astype(np.int64), np.flatnonzero(top))[np.cumsum(top) - 1] > 1
+    return low, many
+
+
+def _resolved(a: Anchors, got: dict, lay: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions in ``a`` of shared anchors, those whose whole stretch is a repeat, those to be compared by window)."""
     # The chunk asks again what it asked before, so its answers line up.
-    chosen = _shared(a, got, buckets)
-    h, _, _, number = a.pairs(chosen)
-    cut = bucket_cuts(h, buckets)
-    low, many = np.full(len(h), LAST), np.zeros(len(h), bool)
-    for b in range(buckets):
-        n = cut[b + 1] - cut[b]
-        if n:
-            raw = expand(got[(STRETCH, b)])
-            low[cut[b] : cut[b + 1]] = np.frombuffer(raw, np.int64, n)
-            many[cut[b] : cut[b + 1]] = np.frombuffer(raw, np.uint8, n, 8 * n).astype(bool)
+    chosen = _shared(a, got, lay)
+    (h, *_), number = a.pairs(chosen)
+    low, many = answers(got, STRETCH, lay, h, np.int64, bool)
     ids = a.ids()[chosen]
     return chosen, low[number] < ids, (low[number] == ids) & many[number]
 
 
-def _windows(buckets: int, threshold: int):
-    def step(docs: Docs, got: dict, key: int) -> pa.Table:
+def _windows(lay: Layout, threshold: int):
+    def step(docs: Docs, got: dict, key: bytes) -> pa.Table:
         a = Anchors(docs, threshold)
-        chosen, _, unsure = _resolved(a, got, buckets)
-        w, d = _first_of(*a.windows(chosen[unsure])[::2])
-        cut = bucket_cuts(w, buckets)
-        return rows([(b, key, WINDOW, int(cut[b + 1] - cut[b]).to_bytes(8, "little") + w[cut[b] : cut[b + 1]].tobytes() + compress(d[cut[b] : cut[b + 1]].tobytes())) for b in range(buckets) if cut[b] < cut[b + 1]])
+        chosen, _, unsure = _resolved(a, got, lay)
+        w, w2, _, d = a.windows(chosen[unsure])
+        order, head = _heads(w, w2, d)
+        first = order[head]
+        return rows(questions(WINDOW, key, lay, w[first], w2[first], d[first]))
 
     return step
 
 
-def _first_of(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the smallest id of each."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    head = np.ones(len(keys), bool)
-    head[1:] = keys[1:] != keys[:-1]
-    return keys[head], ids[head]
-
-
-def _answer_windows(held: list[tuple[int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """For each window of each chunk the smallest id that has it."""
-    each = []
-    for chunk, blob in held:
-        n = int.from_bytes(blob[:8], "little")
-        each.append((chunk, np.frombuffer(blob, U, n, 8), np.frombuffer(expand(blob[8 + 8 * n :]), np.int64)))
-    keys, low = _first_of(np.concatenate([x[1] for x in each]), np.concatenate([x[2] for x in each]))
-    return [(chunk, WINDOW, compress(low[np.searchsorted(keys, w)].tobytes())) for chunk, w, _ in each]
+def _answer_windows(w: np.ndarray, w2: np.ndarray, d: np.ndarray) -> tuple[np.ndarray]:
+    """The smallest id that has each window."""
+    order, head = _heads(w, w2, d)
+    low = np.empty_like(d)
+    low[order] = d[order[head]][np.cumsum(head) - 1]
+    return (low,)
 
 
-def _remove(buckets: int, threshold: int):
-    def step(docs: Docs, got: dict, key: int) -> pa.Table:
+def _remove(lay: Layout, threshold: int):
+    def step(docs: Docs, got: dict, key: bytes) -> pa.Table:
         a = Anchors(docs, threshold)
-        chosen, repeats, unsure = _resolved(a, got, buckets)
-        w, begin, ids = a.windows(chosen[unsure])
-        keys = np.unique(w)
-        cut = bucket_cuts(keys, buckets)
-        low = np.full(len(keys), LAST)
-        for b in range(buckets):
-            if cut[b] < cut[b + 1]:
-                low[cut[b] : cut[b + 1]] = np.frombuffer(expand(got[(WINDOW, b)]), np.int64)
-        single = begin[low[np.searchsorted(keys, w)] < ids] if len(w) else begin
+        chosen, repeats, unsure = _resolved(a, got, lay)
+        w, w2, begin, ids = a.windows(chosen[unsure])
+        order, head = _heads(w, w2, ids)
+        (low,) = answers(got, WINDOW, lay, w[order[head]], np.int64)
+        single = np.empty(len(w), bool)
+        single[order] = low[np.cumsum(head) - 1] < ids[order]
+        single = begin[single]
         # Words from the first of a repeated window to its last.
         edge = np.zeros(a.words.count + threshold + 1, np.int64)
         np.add.at(edge, a.first[chosen[repeats]], 1)
@@ -279,13 +242,13 @@ def substring_dedup(docs: DataFrame, *, threshold: int = 13) -> DataFrame:
     Null text has no words.  A null doc_id counts as larger than all others; rows with equal ids take nothing from
     each other.  Each row gives one row.  Other columns are ignored.  An empty table gives an empty result.
     """
-    buckets = bucket_count(docs.sparkSession)
-    chunks = packed(docs)
-    seeds = by_bucket(plain(docs).mapInArrow(_seeds(buckets, threshold), DDL), buckets, _answer_seeds)
-    stretches = by_bucket(at_chunk(chunks, seeds, _stretches(buckets, threshold)), buckets, _answer_stretches)
+    lay = layout(plain(docs))
+    chunks = packed(docs, lay)
+    seeds = by_bucket(plain(docs).mapInArrow(_seeds(lay, threshold), DDL), lay, _answer_seeds)
+    stretches = by_bucket(at_chunk(chunks, seeds, _stretches(lay, threshold)), lay, _answer_stretches)
     known = seeds.unionByName(stretches)
-    windows = by_bucket(at_chunk(chunks, known, _windows(buckets, threshold)), buckets, _answer_windows)
-    return at_chunk(chunks, known.unionByName(windows), _remove(buckets, threshold), _KEPT_DDL)
+    windows = by_bucket(at_chunk(chunks, known, _windows(lay, threshold)), lay, _answer_windows)
+    return at_chunk(chunks, known.unionByName(windows), _remove(lay, threshold), _KEPT_DDL)
 
 
 def digest(found: DataFrame) -> DataFrame:
