@@ -1,8 +1,16 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised items, one pass over each text."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised items, one pass over each text.
+
+The automaton's alphabet are words, and its patterns are the blocks that an item's text falls into when it is cut every
+(window + 1) / 2 words: whatever window of the item occurs in a text, one of these blocks lies inside it.  So there is
+one node a word of the benchmark at most, not one a byte of every window.  Where a block is found, the item and the
+text are compared word by word in both directions, and what agrees over a whole window or more is hit.
+"""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -10,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import long_column, slices, string_column
+from tarn.llm.common import fresh, long_column, slices, string_column
 
 #: Bytes of words: 0-9, a-z after folding, and everything beyond ASCII; the rest becomes a space.
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+#: Bytes of item text that one automaton takes: about 120 MB in each Python worker, see `Items`.
+MAX_BYTES = 8 << 20
 _cache: dict = {}
 
 
@@ -23,51 +33,92 @@ def normalise(text: str | bytes | None) -> list[bytes]:
     return raw.translate(_FOLDED).split()
 
 
-def patterns(items: list[tuple[int, str]], window: int) -> dict[str, tuple[int, list[int]]]:
-    """Window (one character a byte, a space on either side) -> (words, numbers of the items that have it)."""
-    found: dict[str, tuple[int, list[int]]] = {}
-    for k, (_, text) in enumerate(items):
-        words = normalise(text)
-        n = min(window, len(words))
-        for at in range(len(words) - n + 1 if words else 0):
-            key = (b" " + b" ".join(words[at : at + n]) + b" ").decode("latin-1")
-            owners = found.setdefault(key, (n, []))[1]
-            if not owners or owners[-1] != k:
-                owners.append(k)
-    return found
-
-
-def automaton(items: list[tuple[int, str]], window: int) -> ahocorasick.Automaton | None:
-    out = ahocorasick.Automaton()
-    for key, value in patterns(items, window).items():
-        out.add_word(key, (len(key), *value))
-    if not len(out):
-        return None
-    out.make_automaton()
-    return out
-
-
-def scan(words: list[bytes], auto: ahocorasick.Automaton | None) -> tuple[list[tuple[int, int]], set[int], list[tuple[int, int, tuple]]]:
-    """Merged runs [from, to) of hit words, numbers of the items found, and each match (from, to, items)."""
-    if auto is None or not words:
-        return [], set(), []
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    found = list(auto.iter(line))
-    if not found:
-        return [], set(), []
-    gaps = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-    runs: list[tuple[int, int]] = []
-    items: set[int] = set()
-    matches = []
-    for at, (size, n, owners) in sorted(found, key=lambda x: x[0] - x[1][0]):
-        first = int(np.searchsorted(gaps, at - size + 1))
-        items.update(owners)
-        matches.append((first, first + n, tuple(owners)))
-        if runs and first <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(runs[-1][1], first + n))
-        else:
-            runs.append((first, first + n))
-    return runs, items, matches
+class Items:
+    """Items as numbers of their words, an automaton over blocks of them, and the items' ids.
+
+    ``line`` has all items' words one after the other, 0 before and after each; word numbers begin with 1.  Measured on
+    invented prose: about 14 bytes a byte of item text, of which the automaton's nodes are most.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], window: int):
+        self.window, self.block = window, (window + 1) // 2
+        self.ids = [i for i, _ in items]
+        self.number: dict[bytes, int] = {}
+        line, starts = [0], []
+        places: dict[tuple[int, ...], list[int]] = {}
+        for k, (_, text) in enumerate(items):
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in normalise(text)]
+            first = len(line)
+            starts.append(first)
+            line += words
+            line.append(0)
+            if len(words) < window:
+                blocks = [(0, tuple(words))] if words else []
+            else:
+                blocks = [(at, tuple(words[at : at + self.block])) for at in range(0, len(words) - self.block + 1, self.block)]
+            for at, key in blocks:
+                # A short item is one pattern, told apart from blocks by its negative number.
+                places.setdefault(key, []).append(-1 - k if len(words) < window else first + at)
+        self.line, self.starts = np.array(line, np.int32), np.array(starts, np.int64)
+        self.auto = None
+        if places:
+            self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for key, found in places.items():
+                self.auto.add_word(key, (len(key), [-1 - x for x in found if x < 0], np.array([x for x in found if x >= 0], np.int64)))
+            self.auto.make_automaton()
+
+    def matches(self, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(from, to, number of the item) of the longest stretches of a window or more that a text and an item share."""
+        if self.auto is None or not words:
+            return []
+        number = self.number.get
+        text = tuple([number(w, 0) for w in words])
+        found, line, padded = [], self.line, None
+        done: dict[int, int] = {}
+        for at, (size, short, places) in self.auto.iter(text):
+            first = at - size + 1
+            found += [(first, at + 1, k) for k in short]
+            if not len(places):
+                continue
+            if padded is None:
+                padded = np.array((0, *text, -1), np.int32)
+            if done:
+                # Stretches that an earlier block of theirs has led to already.
+                places = np.array([x for x in places.tolist() if done.get(x - first, -1) < first], np.int64)
+                if not len(places):
+                    continue
+            low = np.full(len(places), first)
+            high = np.full(len(places), at + 1)
+            alive = np.arange(len(places))
+            step = 1
+            while len(alive):
+                alive = alive[(padded[first - step + 1] != 0) & (line[places[alive] - step] == padded[first - step + 1])] if first - step >= 0 else alive[:0]
+                low[alive] -= 1
+                step += 1
+            alive = np.arange(len(places))
+            step = size
+            while len(alive):
+                alive = alive[line[places[alive] + step] == padded[first + step + 1]] if padded[first + step + 1] > 0 else alive[:0]
+                high[alive] += 1
+                step += 1
+            owner = np.searchsorted(self.starts, places, "right") - 1
+            for x, a, b, k in zip(places.tolist(), low.tolist(), high.tolist(), owner.tolist(), strict=True):
+                done[x - first] = b - 1
+                if b - a >= self.window:
+                    found.append((a, b, k))
+        return sorted(found)
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[int]]:
+        """Merged runs [from, to) of hit words, and the ids of the items found."""
+        runs: list[tuple[int, int]] = []
+        items: set[int] = set()
+        for a, b, k in self.matches(words):
+            items.add(k)
+            if runs and a <= runs[-1][1]:
+                runs[-1] = (runs[-1][0], max(runs[-1][1], b))
+            else:
+                runs.append((a, b))
+        return runs, sorted({self.ids[k] for k in items})
 
 
 def word_spans(raw: bytes) -> list[tuple[int, int]]:
@@ -77,24 +128,31 @@ def word_spans(raw: bytes) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])))])
-DDL = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long,text:string>>"
+FOUND = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])))])
+DDL = "n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long,text:string>>"
+
+
+def _items(shared, window: int, key: str) -> Items:
+    """The automaton, built once in each Python worker."""
+    if key not in _cache:
+        _cache.clear()
+        _cache[key] = Items(shared.value, window)
+    return _cache[key]
 
 
 def _scanner(shared, window: int, key: str):
+    """Rows (id, text) become (id, hits)."""
+
     def run(batches):
-        if key not in _cache:
-            _cache.clear()
-            _cache[key] = automaton(shared.value, window)
-        auto, ids = _cache[key], [i for i, _ in shared.value]
+        items = _items(shared, window, key)
         for batch in batches:
-            texts, (values, nulls) = string_column(batch, "text"), long_column(batch, "doc_id")
+            texts, ids = string_column(batch, "text"), batch.column(0)
             for a, b, data, offs in slices(texts):
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], []]
                 for d in range(b - a):
                     raw = data[offs[d] : offs[d + 1]].tobytes()
                     words = normalise(raw)
-                    runs, items, _ = scan(words, auto)
+                    runs, found = items.scan(words)
                     spans = []
                     if runs:
                         at = word_spans(raw)
@@ -103,15 +161,37 @@ def _scanner(shared, window: int, key: str):
                             chars = len(raw[:lo].decode("utf-8", "replace"))
                             piece = raw[lo:hi].decode("utf-8", "replace")
                             spans.append({"start": chars, "end": chars + len(piece), "text": piece})
-                    row = (None if nulls[a + d] else int(values[a + d]), len(words), sum(e - s for s, e in runs), sorted(ids[k] for k in items), spans)
-                    for col, v in zip(cols, row, strict=True):
+                    for col, v in zip(cols, (len(words), sum(e - s for s, e in runs), found, spans), strict=True):
                         col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, OUT, strict=True)], schema=OUT)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(c, t.type) for c, t in zip(cols, FOUND, strict=True))], names=[batch.schema.names[0], *FOUND.names])
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: tuple[int, int] = (1, 20), max_bytes: int = 32 << 20) -> DataFrame:
+def _dropper(shared, window: int, key: str, text_col: str, share: tuple[int, int]):
+    def run(batches):
+        items = _items(shared, window, key)
+        for batch in batches:
+            texts = string_column(batch, text_col)
+            keep = np.ones(len(texts), bool)
+            for a, b, data, offs in slices(texts):
+                for d in range(b - a):
+                    words = normalise(data[offs[d] : offs[d + 1]].tobytes())
+                    hit = sum(y - x for x, y in items.scan(words)[0])
+                    keep[a + d] = not (hit and hit * share[1] >= len(words) * share[0])
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _parts(benchmark: DataFrame, max_bytes: int) -> tuple[DataFrame, int]:
+    """Distinct items, and into how many parts their size asks to cut them."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, max(1, -(-total // max_bytes))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: tuple[int, int] = (1, 20), max_bytes: int = MAX_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items, spans, contaminated.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.  A word
@@ -121,41 +201,66 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
 
     The items are the only thing that each worker holds.  Their size is summed first: up to ``max_bytes`` of item text
     they make one automaton.  A larger benchmark is cut by id hash into several, each scanned over all texts in its
-    own pass, and the hits are united by document, so the result is the same and no worker holds more than one part.
+    own pass, and the hits are united by id and text, so the result is the same and no worker holds more than one part.
 
-    Null text has no words; null item text or id is ignored; items that repeat are reported by id.  Documents that
-    repeat an id are scanned each.  Columns other than doc_id, text, item_id are ignored.  Empty tables give no rows or
-    no hits.
+    Null text has no words, an empty one neither; null item text or id is ignored; items that repeat are reported by
+    id.  Documents that repeat an id, and repeated rows, are scanned each.  A text of any length is scanned whole, in
+    one task.  Columns other than doc_id, text, item_id are ignored, whatever their names.  Empty tables give no rows
+    or no hits.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // max_bytes))
+    items, parts = _parts(benchmark, max_bytes)
     if parts == 1:
-        out = _pass(spark, rows, items, window)
+        out = _hits(rows, "doc_id long", items, parts, window)
     else:
-        # A hash of id and text stands for the row, since ids may repeat.
-        rows = rows.withColumn("rid", F.xxhash64("doc_id", "text"))
-        found = None
-        for p in range(parts):
-            found = _united(found, _pass(spark, rows.select(F.col("rid").alias("doc_id"), "text"), items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p), window))
-        out = rows.select("doc_id", "rid").join(found.withColumnRenamed("doc_id", "rid"), "rid")
-    hit = F.col("n_hit")
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", ((hit > 0) & (hit * share[1] >= F.col("n_words") * share[0])).alias("contaminated"))
+        # Texts of one digest have the same hits, so each is scanned once and all its rows find the hits by it.
+        keyed = rows.withColumn("digest", _digest("text"))
+        out = keyed.select("doc_id", "digest").join(_hits(keyed.select("digest", "text").dropDuplicates(["digest"]), "digest string", items, parts, window), "digest")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans", _contaminated(share).alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: tuple[int, int] = (1, 20), max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``decontaminate`` does not call contaminated.
+
+    Every row is judged by its own text, so null and repeated ids do not matter, and a benchmark of up to ``max_bytes``
+    needs no shuffle.  Other columns pass through whatever their names.
+    """
+    items, parts = _parts(benchmark, max_bytes)
+    if parts == 1:
+        return _pass(docs, items, window, lambda shared, w, key: _dropper(shared, w, key, "text", share), docs.schema)
+    name = fresh(docs, "digest")
+    marked = docs.withColumn(name, _digest("text"))
+    texts = marked.select(F.col(name).alias("digest"), F.col("text").cast("string").alias("text")).dropDuplicates(["digest"])
+    bad = _hits(texts, "digest string", items, parts, window).where(_contaminated(share)).select(F.col("digest").alias(name))
+    return marked.join(bad, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _digest(text: str):
+    return F.sha2(F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8"), 256)
+
 
+def _contaminated(share: tuple[int, int]):
+    return (F.col("n_hit") > 0) & (F.col("n_hit") * share[1] >= F.col("n_words") * share[0])
 
-def _pass(spark, rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
+
+def _pass(rows: DataFrame, items: DataFrame, window: int, make: Callable, schema) -> DataFrame:
     got = sorted((r.item_id, r.text) for r in items.collect())
     key = hashlib.sha256(repr((window, got)).encode("utf-8", "surrogatepass")).hexdigest()
-    return rows.select("doc_id", "text").mapInArrow(_scanner(spark.sparkContext.broadcast(got), window, key), DDL)
+    return rows.mapInArrow(make(rows.sparkSession.sparkContext.broadcast(got), window, key), schema)
+
+
+def _hits(rows: DataFrame, id_ddl: str, items: DataFrame, parts: int, window: int) -> DataFrame:
+    """(id, n_words, n_hit, items, spans) for ``rows`` (id, text); with more than one part, ids are distinct."""
+    ddl = f"{id_ddl}, {DDL}"
+    if parts == 1:
+        return _pass(rows, items, window, _scanner, ddl)
+    found = [_pass(rows, items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p), window, _scanner, ddl) for p in range(parts)]
+    return _united(reduce(DataFrame.unionByName, found), rows.columns[0])
 
 
-def _united(left: DataFrame | None, right: DataFrame) -> DataFrame:
-    if left is None:
-        return right
-    both = left.unionByName(right)
-    merged = both.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+def _united(found: DataFrame, key: str) -> DataFrame:
+    """The hits of all parts, one row for each id."""
+    merged = found.groupBy(key, "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     # Overlapping spans of different parts become one; its words are counted again from its text.
     joined = F.aggregate(
         "spans",
@@ -164,7 +269,7 @@ def _united(left: DataFrame | None, right: DataFrame) -> DataFrame:
     )
     merged = merged.withColumn("spans", joined)
     words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + F.size(F.regexp_extract_all(x["text"], F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)))
-    return merged.select("doc_id", "n_words", words.alias("n_hit"), "items", "spans")
+    return merged.select(key, "n_words", words.alias("n_hit"), "items", "spans")
 
 
 def _glued(a, b):
