@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import lower_ascii
+from tarn.llm.common import fresh, lower_ascii
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = True, keep: str = "smallest") -> DataFrame:
@@ -15,24 +15,27 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     of a group stays.  The aggregation's key is (MD5, text): rows are dealt and first compared by hash, and the
     aggregation then compares the bytes, so texts that collide in MD5 form groups of their own.  It combines on the
     map side, so a group that holds a third of all rows leaves each task as one row.  A group's text is dropped right
-    after; its rows find it again by MD5, SHA-256 and length in a join whose large side Spark may split.
+    after; its rows find it again by MD5, a second hash and length in a join whose large side Spark may split.  SHA-256
+    is taken once a group.
 
     Null text counts as empty.  A null id takes part with its text; it is kept only if the group has no other id.
-    Rows that repeat an id and text are one document: all get the same ``kept``.  Columns other than the two named
-    are ignored, whatever their names.  An empty table gives an empty result.
+    Rows that repeat an id and text are one document: all get the same ``kept``.  A text of any length is one value of
+    one row.  Columns other than the two named are ignored, whatever their names.  An empty table gives an empty result.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    norm = docs.select(F.col(id_col).alias("id"), (lower_ascii(text) if fold_case else text).alias("norm"))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    norm = docs.select(F.col(f"`{id_col}`").alias("id"), (lower_ascii(text) if fold_case else text).alias("norm"))
     keyed = norm.select("id", "norm", F.md5(F.encode("norm", "UTF-8")).alias("h"))
     pick = F.max if keep == "largest" else F.min
-    groups = keyed.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), pick("id").alias("keep_id")).select("h", F.sha2(F.encode("norm", "UTF-8"), 256).alias("s"), F.length("norm").alias("n"), "group_size", "keep_id")
-    rows = keyed.select("id", "h", F.sha2(F.encode("norm", "UTF-8"), 256).alias("s"), F.length("norm").alias("n"))
-    return rows.join(groups, ["h", "s", "n"]).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("s").alias("text_sha256"))
+    second, size = F.xxhash64("norm").alias("x"), F.length("norm").alias("n")
+    groups = keyed.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), pick("id").alias("keep_id")).select("h", second, size, F.sha2(F.encode("norm", "UTF-8"), 256).alias("s"), "group_size", "keep_id")
+    rows = keyed.select("id", "h", second, size)
+    return rows.join(groups, ["h", "x", "n"]).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("s").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = True, keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns; of ids that repeat, all rows if one of them stays."""
     found = exact_dedup(docs, id_col=id_col, text_col=text_col, fold_case=fold_case, keep=keep)
-    return docs.join(found.where("kept").select(F.col(id_col).alias("__kept_id")).distinct(), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    name = fresh(docs, "kept_id")
+    return docs.join(found.where("kept").select(F.col(f"`{id_col}`").alias(name)).distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_semi")
