@@ -1,15 +1,18 @@
 """WARC archives with revisit resolution.
 
 Headers (id, URL, size, payload digest) are shuffled by digest; of records with equal payloads one stays a response
-and the others become revisits that refer to it.  Archives are written by the tasks into a folder that all executors
-share, one gzip member a record, under names that no other attempt uses; the manifest of finished files is what counts,
-so files of lost or repeated attempts are never read.
+and the others become revisits that refer to it.  Revisits are made of headers alone: their bodies are never shuffled,
+since tasks keep one body a digest before they send any, and payloads too small to be shared stay where they were read.
+Archives are written by the tasks into a folder that all executors share, one gzip member a record, under names that no
+other attempt uses; the manifest of finished files is what counts, so files of lost or repeated attempts are never
+read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +27,7 @@ from tarn.llm.common import checkpointed, shared_base
 
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\r\n")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 MANIFEST = "file string, records long, bytes long"
@@ -42,17 +46,33 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+RESOLVED = ("page_id", "url", "html", "digest", "n", "record_type", "refers_to", "refers_to_url")
+
+
 def resolve(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
-    """``pages`` (page_id, url, html) with payload digest and size, record type, and the response that a revisit refers to."""
+    """``pages`` (page_id, url, html) with payload digest and size, record type, and the response that a revisit refers to.
+
+    A revisit has no html.  Payloads are equal when SHA-1, a second hash and size are.
+    """
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("html"))
-    heads = rows.select("page_id", "url", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").cast("long").alias("n"))
-    groups = heads.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.max(F.struct("page_id", "url")).alias("original"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    groups = groups.select(F.col("digest").alias("g_digest"), F.col("n").alias("g_n"), "original")
-    keyed = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("n", F.octet_length("html").cast("long"))
-    joined = keyed.join(groups, (F.col("digest") == F.col("g_digest")) & (F.col("n") == F.col("g_n")), "left")
-    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original.page_id"))
-    return joined.select("page_id", "url", "html", "digest", "n", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original.page_id")).alias("refers_to"), F.when(revisit, F.col("original.url")).alias("refers_to_url"))
+    rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
+    none = F.lit(None)
+    small = rows.where(F.col("n") < min_bytes).select("page_id", "url", "html", "digest", "n", F.lit("response").alias("record_type"), none.cast("long").alias("refers_to"), none.cast("string").alias("refers_to_url"))
+    large = rows.where(F.col("n") >= min_bytes).withColumn("x", F.xxhash64("html"))
+    key = ("digest", "x", "n")
+    # One body a digest leaves each task, however many pages have it.
+    kept = large.groupBy(*key).agg(F.max(F.struct("page_id", "url", "html")).alias("r"))
+    kept = kept.select("r.page_id", "r.url", "r.html", "digest", "n", F.lit("response").alias("record_type"), none.cast("long").alias("refers_to"), none.cast("string").alias("refers_to_url"))
+    # All other pages of the digest, from headers alone; rows that repeat a page are counted, not compared.
+    heads = large.groupBy(*key, "page_id", "url").agg(F.count(F.lit(1)).alias("times"))
+    first = heads.groupBy(*key).agg(F.max(F.struct("page_id", "url")).alias("r"), F.sum("times").alias("size")).where("size > 1")
+    again = heads.join(first, list(key))
+    is_first = F.col("page_id").eqNullSafe(F.col("r.page_id")) & F.col("url").eqNullSafe(F.col("r.url"))
+    again = again.withColumn("times", F.col("times") - F.when(is_first, 1).otherwise(0)).where("times > 0")
+    again = again.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    again = again.select("page_id", "url", none.cast("string").alias("html"), "digest", "n", F.lit("revisit").alias("record_type"), F.col("r.page_id").alias("refers_to"), F.col("r.url").alias("refers_to_url"))
+    return small.unionByName(kept).unionByName(again)
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -63,10 +83,9 @@ def _clean(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, html: str, digest: str, kind: str, refers_to: int | None, refers_to_url: str | None, date: str) -> bytes:
-    """One WARC record with fresh headers."""
-    payload = html.encode("utf-8", "surrogatepass")
-    body = HTTP + b"Content-Length: %d\r\n\r\n" % len(payload)
+def record(page_id: int | None, url: str | None, html: str | None, digest: str, size: int, kind: str, refers_to: int | None, refers_to_url: str | None, date: str) -> bytes:
+    """One WARC record with fresh headers; a revisit has the response's HTTP headers and no payload."""
+    body = HTTP + b"Content-Length: %d\r\n\r\n" % size
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
@@ -80,7 +99,7 @@ def record(page_id: int | None, url: str | None, html: str, digest: str, kind: s
         if refers_to_url is not None:
             head.append(f"WARC-Refers-To-Target-URI: {_clean(refers_to_url)}")
     else:
-        body += payload
+        body += (html or "").encode("utf-8", "surrogatepass")
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(body).digest()).decode()}", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -105,8 +124,7 @@ def _writer(folder: str, date: str):
                         out = store.open_output_stream(f"{path}/{name}", compression=None)
                         info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: 22\r\n\r\nformat: WARC File 1.1\n\r\n\r\n".encode()
                         size += out.write(_member(info)) or 0
-                    page_id, url, html, digest, _, kind, refers_to, refers_to_url = row
-                    raw = _member(record(page_id, url, html, digest, kind, refers_to, refers_to_url, date))
+                    raw = _member(record(*row, date))
                     out.write(raw)
                     records, size = records + 1, size + len(raw)
         finally:
@@ -121,8 +139,7 @@ def _writer(folder: str, date: str):
 def write_archives(resolved: DataFrame, folder: str, *, date: str | None = None) -> DataFrame:
     """Writes what ``resolve`` gave into ``folder``; the manifest (file, records, bytes) names the files that count."""
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    rows = resolved.select("page_id", "url", "html", "digest", "n", "record_type", "refers_to", "refers_to_url")
-    return checkpointed(rows.mapInArrow(_writer(folder, date), MANIFEST))
+    return checkpointed(resolved.select(*RESOLVED).mapInArrow(_writer(folder, date), MANIFEST))
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -158,11 +175,13 @@ def _read(batches):
                     if head["WARC-Type"] == "warcinfo":
                         continue
                     page, refers = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page-ID")
-                    payload = block[block.index(b"\r\n\r\n") + 4 :] if head["WARC-Type"] == "response" else None
+                    cut = block.index(b"\r\n\r\n")
+                    length = int(_LENGTH.search(block, 0, cut + 2)[1])
+                    payload = block[cut + 4 :] if head["WARC-Type"] == "response" else None
                     digest = base64.b32decode(head["WARC-Payload-Digest"][5:]).hex()
-                    if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
+                    if payload is not None and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
                         raise ValueError(f"{file}: a payload does not match its digest")
-                    out.append((page and int(page), head.get("WARC-Target-URI"), head["WARC-Type"], head["WARC-Record-ID"], head.get("WARC-Refers-To"), refers and int(refers), digest, None if payload is None else len(payload), payload))
+                    out.append((page and int(page), head.get("WARC-Target-URI"), head["WARC-Type"], head["WARC-Record-ID"], head.get("WARC-Refers-To"), refers and int(refers), digest, length, payload))
                     size += len(block)
                     if size > 8 << 20:
                         yield made(out)
@@ -172,30 +191,22 @@ def _read(batches):
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The records of the manifest's files; payload and its size are null for revisits, see `with_payload_sizes`."""
-    # A given number of parts, which Spark does not merge however short the list of files is.
-    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(_read, RECORDS_DDL)
-
-
-def with_payload_sizes(records: DataFrame) -> DataFrame:
-    """Records without payloads; revisits get size and digest of the response that they refer to.
+    """The records of the manifest's files, each file read once.
 
-    Responses are distinct by record id, so the join gives each revisit one row; a revisit whose response is missing
-    keeps a null size.
+    A revisit has no payload; its payload_bytes are what the HTTP headers in its own block say.
     """
-    originals = records.where("record_type = 'response'").groupBy("record_id").agg(F.max("payload_bytes").alias("full_bytes")).withColumnRenamed("record_id", "original_id")
-    # The responses are most records, so they must not be broadcast, whatever size Spark expects of them.
-    joined = records.drop("payload").join(originals.hint("merge"), F.col("refers_to_id") == F.col("original_id"), "left")
-    return joined.select("page_id", "url", "record_type", "refers_to", "payload_digest", F.coalesce("payload_bytes", "full_bytes").alias("payload_bytes"))
+    # A given number of parts, which Spark does not merge however short the list of files is.
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(_read, RECORDS_DDL)
 
 
 def archive(pages: DataFrame, *, folder: str | None = None, min_bytes: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(manifest, records read back) of ``pages`` written as deduplicated WARC archives.
 
-    Of records with equal payloads (UTF-8 of html) of ``min_bytes`` or more, that with the largest page_id is the
-    response and the others revisit it; smaller ones are all responses.  Null html is an empty payload, null url no
-    header.  Rows that repeat the largest page_id of a group are responses too; a null page_id is smaller than any.
-    Other columns are ignored.  An empty table writes no file.
+    Of records with equal payloads (UTF-8 of html) of ``min_bytes`` or more, that with the largest page_id (of equal
+    ones the largest url) is the response and the others revisit it; smaller ones are all responses.  Null html is an
+    empty payload, null url no header.  Rows that repeat the response's page and url revisit it like any other; a null
+    page_id is smaller than any.  A payload of any length is one record, held whole by the task that writes or reads
+    it.  Other columns are ignored, whatever their names.  An empty table writes no file.
     """
     folder = folder or shared_folder(pages.sparkSession)
     manifest = write_archives(resolve(pages, min_bytes=min_bytes), folder)
