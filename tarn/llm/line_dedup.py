@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed
+from tarn.llm.common import checkpointed, fresh
 
-RATIO, MIN_PAGES = 0.02, 3
+#: A line of one page only is not repeated, so it is no boilerplate however few pages the host has.
+RATIO, MIN_PAGES = 0.02, 2
+#: Parts that a host's keys are dealt to by their first two hex digits, so that a look-up goes through few of them.
+PARTS = 256
 
 
 def _lines(text_col: str) -> Column:
-    return F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")
+    return F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "\n")
 
 
 def _key(line: Column) -> Column:
@@ -19,38 +22,67 @@ def _key(line: Column) -> Column:
     return F.md5(F.encode(F.trim(line), "UTF-8"))
 
 
+def _part(key: Column) -> Column:
+    return F.conv(F.substring(key, 1, 2), 16, 10).cast("int")
+
+
 def boilerplate(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line key, pages that have the line, pages of the host) of lines on more than ``ratio`` of a host's pages."""
-    pages = docs.select(F.col(host_col).cast("string").alias("host"), F.array_distinct(F.transform(F.filter(_lines(text_col), lambda x: F.trim(x) != ""), _key)).alias("lines"))
+    pages = docs.select(F.col(f"`{host_col}`").cast("string").alias("host"), F.array_distinct(F.transform(F.filter(_lines(text_col), lambda x: F.trim(x) != ""), _key)).alias("lines"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     counts = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     same = counts["host"].eqNullSafe(totals["host"])
     return counts.join(totals, same).where(F.col("n") > F.col("total") * F.lit(ratio)).select(counts["host"], "line", "n", "total")
 
 
+def _marked(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int, broadcast_bytes: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with all lines and those that stay, as arrays under names that ``docs`` does not have."""
+    found = boilerplate(docs, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages)
+    parts = found.groupBy("host", _part(F.col("line")).alias("part")).agg(F.collect_list("line").alias("lines"))
+    hosts = parts.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("part", "lines"))).alias("m"), F.sum(F.size("lines")).alias("n"))
+    none = F.array().cast("array<string>")
+    table = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.col("m")[k], none))
+    host, bad, every, kept = (fresh(docs, x) for x in ("host_", "bad_", "all_", "kept_"))
+    small = checkpointed(hosts.select(F.col("host").alias(host), table.alias(bad), "n"))
+    size = small.agg(F.sum(F.col("n") * 40 + 16 * PARTS)).first()[0] or 0
+    small = small.drop("n")
+    side = F.broadcast(small) if size <= broadcast_bytes else small
+    joined = docs.join(side, F.col(f"`{host_col}`").cast("string").eqNullSafe(F.col(host)), "left")
+    joined = joined.withColumn(every, F.when(F.col(f"`{text_col}`").isNull(), none).otherwise(_lines(text_col)))
+
+    def stays(x: Column) -> Column:
+        key = _key(x)
+        return (F.trim(x) == "") | ~F.array_contains(F.get(F.col(bad), _part(key)), key)
+
+    return joined.withColumn(kept, F.when(F.col(bad).isNull(), F.col(every)).otherwise(F.filter(every, stays))), every, kept
+
+
 def line_dedup(docs: DataFrame, *, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_bytes: int = 4 << 20) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of the text, and the columns __lines and __dropped (how many).
+    """``docs``, all its columns and rows, with boilerplate lines taken out of the text.
 
     Pages are the rows, hosts the values of ``host_col``; null is a host of its own.  A line (between \\n, outer spaces
-    aside) is boilerplate on a host when at least ``min_pages`` of its pages and more than ``ratio`` of them have it;
-    several times on a page count once.  Blank lines are never dropped.  Null text stays null and has no lines.
-
-    A host has at most (lines of its average page) / ratio boilerplate lines, so each host's make one array.  The
-    arrays' size is summed; up to ``broadcast_bytes`` they are broadcast, beyond that joined by host, where Spark may
-    split the pages of a large host.  All columns of ``docs`` pass through; an empty table stays empty.
+    aside) is boilerplate on a host when more than ``ratio`` of its pages have it, and at least ``min_pages``: without
+    that floor every line of a host with fewer than 1 / ratio pages would be dropped, repeated or not.  Several times
+    on a page count once; pages that repeat, and pages of one id, are pages of their own.  Blank lines are never
+    dropped.  Null text stays null and has no lines, empty text stays empty.  A text of any length is one row and one
+    page, its lines are counted apart.
+
+    A host has at most (lines of its average page) / ratio boilerplate lines, whatever the number of its pages, so each
+    host's make one array, dealt to PARTS arrays by key.  Their size is summed; up to ``broadcast_bytes`` they are
+    broadcast, beyond that joined by host, where Spark may split the pages of a large host.  Columns may have any
+    names; an empty table stays empty.
     """
-    found = boilerplate(docs, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages)
-    bad = checkpointed(found.groupBy("host").agg(F.collect_set("line").alias("__bad")).withColumnRenamed("host", "__host"))
-    size = bad.agg(F.sum(F.size("__bad") * 40 + 64)).first()[0] or 0
-    side = F.broadcast(bad) if size <= broadcast_bytes else bad
-    joined = docs.join(side, F.col(host_col).cast("string").eqNullSafe(F.col("__host")), "left")
-    lines = F.when(F.col(text_col).isNull(), F.array().cast("array<string>")).otherwise(_lines(text_col))
-    kept = F.filter("__all", lambda x: F.col("__bad").isNull() | (F.trim(x) == "") | ~F.array_contains(F.col("__bad"), _key(x)))
-    out = joined.withColumn("__all", lines).withColumn("__kept", kept)
-    out = out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.array_join("__kept", "\n")))
-    out = out.withColumn("__lines", F.size("__all").cast("long")).withColumn("__dropped", (F.size("__all") - F.size("__kept")).cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__lines", "__dropped")
+    out, _, kept = _marked(docs, host_col, text_col, ratio, min_pages, broadcast_bytes)
+    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.array_join(kept, "\n")).alias(text_col)
+    return out.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
+def line_counts(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_bytes: int = 4 << 20) -> DataFrame:
+    """One row per document: its id, n_lines, n_dropped, and the text that `line_dedup` leaves (null stays null)."""
+    out, every, kept = _marked(docs, host_col, text_col, ratio, min_pages, broadcast_bytes)
+    text = F.when(F.col(f"`{text_col}`").isNotNull(), F.array_join(kept, "\n")).alias("text")
+    return out.select(F.col(f"`{id_col}`").alias(id_col), F.size(every).cast("long").alias("n_lines"), (F.size(every) - F.size(kept)).cast("long").alias("n_dropped"), text)
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

@@ -31,7 +31,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, records = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.with_payload_sizes(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+    return line_dedup.digest(line_dedup.line_counts(table(spark, sf_dir, "documents")))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id kept, te
 with l as (select doc_id, source, x, i from (select doc_id, source, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) i from documents where text is not null)),
 t as (select source, count(*) total from documents group by 1),
 c as (select source, trim(x) k, count(distinct doc_id) n from l where trim(x) <> '' group by 1, 2),
-bad as (select c.source, k from c join t on c.source is not distinct from t.source where n >= 3 and n > total * cast(0.02 as double)),
+bad as (select c.source, k from c join t on c.source is not distinct from t.source where n >= 2 and n > total * cast(0.02 as double)),
 j as (select doc_id, x, i, b.k is not null gone from l left join bad b on l.source is not distinct from b.source and trim(x) = b.k),
 g as (select doc_id, count(*)::bigint n_lines, count(*) filter (gone)::bigint n_dropped, string_agg(x, chr(10) order by i) filter (not gone) kept from j group by 1)
 select doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped, sha256(coalesce(kept, '')) kept_sha256

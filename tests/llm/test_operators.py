@@ -141,11 +141,54 @@ def test_decontaminate(spark, max_bytes):
     got = rows_of(decontaminate.digest(found), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     # Ü folds in neither: only A-Z do.
     assert sorted(got, key=repr) == brute_hits(HITTING, ITEMS)
+    kept = decontaminate.without_contaminated(docs, bench, max_bytes=max_bytes)
+    assert kept.columns == docs.columns
+    dirty = [bool(brute_hits([r], ITEMS)[0][5]) for r in HITTING]
+    assert sorted(rows_of(kept, "doc_id", "text"), key=repr) == sorted((r for r, bad in zip(HITTING, dirty, strict=True) if not bad), key=repr)
     for r in found.collect():
         text = next(t for i, t in HITTING if i == r.doc_id and len(decontaminate.normalise(t)) == r.n_words)
         assert [text[s.start : s.end] for s in r.spans] == [s.text for s in r.spans]
 
 
+def test_decontaminate_windows_at_random(spark):
+    rng = random.Random(21)
+    for window in (1, 2, 5, 13):
+        for vocabulary in (2, 4, 30):
+            items = [(k, " ".join(f"v{rng.randrange(vocabulary)}" for _ in range(rng.randrange(0, 40)))) for k in range(8)]
+            items.append((99, items[0][1]))
+            own = decontaminate.Items(items, window)
+            for _ in range(60):
+                text = " ".join(f"v{rng.randrange(vocabulary + 1)}" for _ in range(rng.randrange(30)))
+                if rng.random() < 0.8:
+                    w = rng.choice(items)[1].split()
+                    a = rng.randrange(len(w) + 1)
+                    text += " " + " ".join(w[a : a + rng.randrange(25)]) + rng.choice(["", " v0 v1"])
+                runs, found = own.scan(decontaminate.normalise(text))
+                ((_, _, n_hit, n_items, digest, _),) = brute_hits([(1, text)], items, window)
+                assert (sum(b - a for a, b in runs), len(found)) == (n_hit, n_items)
+                assert hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest() == digest
+
+
+def test_decontaminate_holds_little():
+    """A benchmark of several MB, in a process of its own: what an automaton of MAX_BYTES may need at most."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from tarn.llm.decontaminate import Items
+rng = random.Random(1)
+words = ["w%x" % rng.randrange(1 << 40) for _ in range(60000)]
+items = [(k, " ".join(rng.choices(words, k=200))) for k in range(1600)]
+size = sum(len(t) for _, t in items)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+own = Items(items, 13)
+print(size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024)
+"""
+    size, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert size > 3_000_000 and grown < 40 * size
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.decontaminate(table(spark, [(1, "a b")]), none).collect()] == [0]
@@ -500,12 +543,14 @@ def test_warc(spark, tmp_path):
     pages = [(1, "http://a/1", big), (5, "http://a/5", big), (9, None, big), (2, "http://b\r\nx", "small"), (3, "u", "small"), (4, "n", None), (6, "v", "y" * 999), (7, "v", "y" * 999), (8, "v", "z" * 1000), (10, "v", "z" * 1000), (10, "v", "z" * 1000), (None, "w", "z" * 1000)]
     df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, digest string, n long").repartition(3)
     manifest, records = warc.archive(df, folder=f"file://{tmp_path}/w")
-    got = sorted(rows_of(warc.with_payload_sizes(records), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), key=repr)
-    expect = []
-    for i, _, html in pages:
+    got = sorted(rows_of(records, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), key=repr)
+    expect, seen = [], set()
+    for i, url, html in pages:
         raw = (html or "").encode()
         same = [p for p, _, h in pages if (h or "").encode() == raw and p is not None]
-        revisit = len(raw) >= 1000 and i != max(same)
+        # Of rows that repeat the largest page, one is the response.
+        revisit = len(raw) >= 1000 and (i != max(same) or (i, url) in seen)
+        seen.add((i, url))
         expect.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", max(same) if revisit else None))
     assert got == sorted(expect, key=repr)
     assert manifest.agg(F.sum("records")).first()[0] == len(pages)
@@ -513,6 +558,26 @@ def test_warc(spark, tmp_path):
     assert payloads[9] == big and payloads[4] == ""
 
 
+def test_warc_shuffles_no_body_of_a_revisit(spark, tmp_path):
+    """A page that most rows have leaves each task once; small pages are not shuffled at all."""
+    rows = [(k, f"u{k % 3}", "hot " * 500 if k % 4 else f"own {k} " * 300, k) for k in range(400)] + [(1000, None, "tiny", 0), (None, None, None, 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, record_type int").repartition(4)
+    resolved = warc.resolve(df)
+    assert resolved.where("record_type = 'revisit' and html is not null").count() == 0
+    got = rows_of(resolved.groupBy("record_type").count(), "record_type", "count")
+    assert dict(got) == {"revisit": 299, "response": 103}
+    _, records = warc.archive(df, folder=f"file://{tmp_path}/w")
+    assert {r.refers_to for r in records.where("record_type = 'revisit'").collect()} == {399}
+    assert records.where("record_type = 'revisit'").agg(F.min("payload_bytes"), F.max("payload_bytes")).first() == (2000, 2000)
+
+
+def test_warc_long_page(spark, tmp_path):
+    page = "<p>long é</p>" * 400_000
+    _, records = warc.archive(spark.createDataFrame([(1, "u", page), (2, "u", page)], "page_id long, url string, html string"), folder=f"file://{tmp_path}/w")
+    got = {r.page_id: r for r in records.collect()}
+    assert bytes(got[2].payload).decode() == page and got[1].payload is None and got[1].payload_bytes == len(page.encode())
+
+
 def test_warc_empty(spark, tmp_path):
     manifest, records = warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), folder=f"file://{tmp_path}/w")
     assert manifest.count() == 0 and records.count() == 0
@@ -624,7 +689,33 @@ def test_line_dedup(spark, broadcast_bytes):
         lines = [rng.choice([f"own {i} {k}", " menu ", "menu", "", "footer", f"rare {rng.randrange(90)}"]) for k in range(rng.randrange(6))]
         rows.append((i, host, rng.choice(["\n".join(lines), "\n".join(lines), None])))
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, source string, text string, host string, line long")
-    got = line_dedup.line_dedup(df, ratio=0.1, broadcast_bytes=broadcast_bytes)
-    assert sorted(rows_of(got, "doc_id", "text", "__lines", "__dropped"), key=repr) == brute_lines(rows, 0.1, 3)
-    assert got.columns[:-2] == df.columns
+    got = line_dedup.line_counts(df, ratio=0.1, broadcast_bytes=broadcast_bytes)
+    assert sorted(rows_of(got, "doc_id", "text", "n_lines", "n_dropped"), key=repr) == brute_lines(rows, 0.1, 2)
+    kept = line_dedup.line_dedup(df, ratio=0.1, broadcast_bytes=broadcast_bytes)
+    assert kept.columns == df.columns
+    assert sorted(rows_of(kept, "doc_id", "text"), key=repr) == sorted(((i, t) for i, t, _, _ in brute_lines(rows, 0.1, 2)), key=repr)
     assert line_dedup.line_dedup(df.where("false")).count() == 0
+
+
+def test_line_dedup_odd_tables(spark):
+    """Names that the operator could use itself, null and repeated ids, a host of two pages, a very long text."""
+    long = "\n".join(f"line {k}" for k in range(60_000)) + "\nmenu"
+    rows = [(None, "h", "menu\na", 1), (1, "h", "b\n menu", 2), (1, "h", long, 3), (2, "two", "same\nx", 4), (3, "two", "same\ny", 5), (3, "two", None, 6), (4, "one", "alone\nalone", 7), (4, "one", "", 8), (5, None, "n\nn", 9), (5, None, "n", 9)]
+    names = ["doc_id", "source", "text", "__bad"]
+    for extra in ("host_", "bad_", "HOST_", "all_", "kept_", "__host", "__all", "__lines", "__dropped", "n_lines", "line", "total", "a.b"):
+        df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], f"doc_id long, source string, text string, __bad int, `{extra}` int")
+        got = line_dedup.line_dedup(df)
+        assert got.columns == [*names, extra]
+        if extra in ("bad_", "a.b"):
+            expect = brute_lines([r[:3] for r in rows], 0.02, 2)
+            assert sorted(rows_of(got, "doc_id", "text"), key=repr) == sorted(((i, t) for i, t, _, _ in expect), key=repr)
+            assert sorted(rows_of(line_dedup.line_counts(df), "doc_id", "text", "n_lines", "n_dropped"), key=repr) == expect
+            assert [r.text for r in got.where("source = 'two'").orderBy("__bad").collect()] == ["x", "y", None]
+
+
+def test_exact_dedup_odd_names(spark):
+    for extra in ("kept_id", "__kept_id", "h", "x", "n", "s", "keep_id", "group_size"):
+        df = spark.createDataFrame([(1, "a", 1), (2, "A", 2), (None, "b", 3), (None, "b", 4), (5, "c" * 3_000_000, 5), (6, "C" * 3_000_000, 6)], f"doc_id long, text string, `{extra}` int")
+        got = exact_dedup.drop_copies(df)
+        assert got.columns == df.columns and sorted(rows_of(got, "doc_id"), key=repr) == [(1,), (5,), (None,), (None,)]
+        assert exact_dedup.exact_dedup(df).count() == 6
