@@ -610,12 +610,81 @@ def test_language(spark):
     assert language.language_id(df.where("false")).count() == 0
 
 
-def test_language_without_letters(spark):
-    known = [(i, "the cat sat on the mat", "en") for i in range(20)]
-    asked = ["12 £", "20 °C", "20 °", "§ 5", "«1»", "2×3", "1\u00a02", "", "é", "5 ñ", "дом", ""]
-    df = spark.createDataFrame([*known, *((100 + k, t, None) for k, t in enumerate(asked))], "doc_id long, text string, lang string").coalesce(1)
-    got = {r.doc_id: (r.lang_pred, r.score) for r in language.language_id(df).collect()}
-    assert [got[100 + k] for k in range(len(asked))] == [("en", 1.0) if re.search(r"[^\W\d_]", t) else ("und", 0.0) for t in asked]
+ASKED = ["12 £", "25 °", "20 °C", "£5", "© 2024", "§ 5", "«1»", "2×3", "1\u00a02", "\u00a0", "½", "²", "x²", "٣", "①", "Ⅷ", "\u0301", "e\u0301", "ª", "ˣ", "漢", "〇", "々", "かな", "한국", "😀", "\U00020000", "5 ñ", "дом", "é", "", "\ufffd", "ก", "हि", "abc дом ½ xyz", "Ĳ ß"]
+
+
+def brute_language(model, text, penalty):
+    """lang_pred and score of one text: words one by one, all features and the Viterbi table spelled out."""
+    import bisect
+    import unicodedata
+
+    import numpy as np
+
+    from tarn.llm.common import Words
+
+    if not model.languages or not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+        return "und", 0.0
+    words = re.findall(rb"(?:[A-Za-z]|[^\x00-\x7f])+", text.encode())
+    starts = [s for s, _ in language.SCRIPT_STARTS]
+    rows = []
+    for w in words:
+        raw = np.frombuffer(w, np.uint8)
+        at, _ = language.word_features(Words(raw, np.array([0, len(w)]), language.SEPARATORS, fold=True))
+        script = max(language.SCRIPT_STARTS[bisect.bisect_right(starts, ord(c)) - 1][1] for c in w.decode())
+        each = model.scores[at[0]].sum(axis=0).astype(float)
+        allowed = model.scripts[:, script]
+        low = min(each.min(), 0.0) - 10.0
+        rows.append([x if ok or not allowed.any() else low for x, ok in zip(each, allowed, strict=True)])
+    k = len(model.languages)
+    best, back = list(rows[0]), []
+    for row in rows[1:]:
+        top = max(range(k), key=best.__getitem__)
+        froms = [j if best[j] >= best[top] - penalty else top for j in range(k)]
+        best = [max(best[j], best[top] - penalty) + row[j] for j in range(k)]
+        back.append(froms)
+    at = max(range(k), key=best.__getitem__)
+    path = [at]
+    for froms in reversed(back):
+        at = froms[at]
+        path.append(at)
+    mass = [0.0] * k
+    for w, j in zip(words, path[::-1], strict=True):
+        mass[j] += len(w)
+    return model.languages[max(range(k), key=mass.__getitem__)], max(mass) / sum(mass)
+
+
+def test_language_against_brute_force(spark):
+    known = [(i, "the cat sat on the mat and the dog", "en") for i in range(20)] + [(40 + i, "кот сидел на ковре и пёс", "ru") for i in range(20)] + [(80 + i, "el gato se sentó en la alfombra", "es") for i in range(20)]
+    mixed = [" ".join(k[1] for k in random.Random(s).choices(known, k=5)) for s in range(20)]
+    asked = [*ASKED, *mixed, None, " ".join(["the cat sat"] * 20_000)]
+    df = spark.createDataFrame([*known, *((1000 + k, t, None) for k, t in enumerate(asked))], "doc_id long, text string, lang string").coalesce(1)
+    model = language.learn(df)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.language_id(df, model=model).collect()}
+    for k, text in enumerate(asked):
+        lang, score = brute_language(model, text, language.PENALTY)
+        assert got[1000 + k][0] == lang and got[1000 + k][1] == pytest.approx(score), text
+    und = {t for k, t in enumerate(asked) if got[1000 + k][0] == "und"}
+    assert und >= {"25 °", "£5", "© 2024", "½", "²", "\u00a0", "٣", "①", "\u0301", "😀", "", None} and not und & {"漢", "ª", "ˣ", "x²", "e\u0301", "ก"}
+
+
+def test_language_learns_rare_ones(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(3000)] + [(5000 + i, "кот сидел на ковре", "ru") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df, sample_rows=100)
+    assert model.languages == ["en", "ru"] and (model.scripts.sum(axis=1) > 0).all()
+    with pytest.raises(ValueError, match="languages"):
+        language.learn(df, max_languages=1)
+
+
+def test_scripts_are_told_apart():
+    assert len(language.SCRIPT_STARTS) < 200 and sorted(language.SCRIPT_STARTS) == list(language.SCRIPT_STARTS)
+    import numpy as np
+
+    def script(text):
+        return int(language.scripts(np.frombuffer(text.encode(), np.uint8)).max())
+
+    each = ["a", "α", "ж", "ա", "א", "ب", "ह", "ক", "த", "ก", "ລ", "က", "ა", "한", "ሀ", "ខ", "漢", "か"]
+    assert len({script(x) for x in each}) == len(each) and script("é") == script("a") == script("ẽ") and script("½") == 0
 
 
 def test_viterbi_is_the_best_path():
