@@ -35,10 +35,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan(document_files(table(spark, sf_dir, "documents")))
-    number = F.regexp_extract("path", r"([^/]*)\.txt$", 1).cast("long")
-    origin = F.regexp_extract("license_from", r"([^/]*)\.txt$", 1).cast("long")
-    return found.select(number.alias("doc_id"), "license", F.round("score", 6).alias("score"), "basis", origin.alias("from_doc_id"))
+    found = license_scan(document_files(table(spark, sf_dir, "documents")), id_col="doc_id")
+    return found.select("doc_id", "license", F.round("score", 6).alias("score"), "basis", F.col("from_id").alias("from_doc_id"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

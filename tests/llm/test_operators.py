@@ -729,7 +729,87 @@ def test_licenses(spark):
     assert licenses.license_scan(spark.createDataFrame([], "path string, text string")).count() == 0
     index = licenses.Index(licenses.TEMPLATES)
     for name, text in licenses.TEMPLATES:
-        assert index.best(text) == (name, pytest.approx(1.0))
+        assert index.best(licenses.tokens(text)) == (name, pytest.approx(1.0))
+        assert index.scan(text, 0.6)[:2] == (name, pytest.approx(1.0))
+
+
+GPL_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 2, June 1991
+
+ Copyright (C) 1989, 1991 Free Software Foundation, Inc.,
+ 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The licenses for most software are designed to take away your
+freedom to share and change it.  By contrast, the GNU General Public
+License is intended to guarantee your freedom to share and change free
+software--to make sure the software is free for all its users.
+"""
+
+
+def cosines(text, threshold):
+    """All runs of lines of all lengths against all templates, word by word: what the scan may give at best."""
+    import math
+    from collections import Counter
+
+    lines = [x for x in (licenses.tokens(t) for t in text.split("\n")) if x]
+    df = Counter(w for _, t in licenses.TEMPLATES for w in set(licenses.tokens(t)))
+    n = len(licenses.TEMPLATES)
+
+    def vector(words):
+        return {w: c * math.log(1 + n / df.get(w, 1)) for w, c in Counter(words).items()}
+
+    best = (0.0, 0, None)
+    for at in range(len(lines)):
+        for end in range(at + 1, len(lines) + 1):
+            words = [w for x in lines[at:end] for w in x]
+            if end - at > licenses.TITLE_LINES and (at, end) != (0, len(lines)):
+                continue
+            v = vector(words)
+            for name, t in licenses.TEMPLATES:
+                u = vector(licenses.tokens(t))
+                dot = sum(x * u.get(w, 0.0) for w, x in v.items())
+                score = dot / math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in u.values()))
+                if (round(score, 9), len(words)) > best[:2]:
+                    best = (round(score, 9), len(words), name)
+    return (best[2], best[0]) if best[0] >= threshold else (None, 0.0)
+
+
+def test_licenses_against_brute_force():
+    import textwrap
+
+    rng = random.Random(8)
+    index = licenses.Index(licenses.TEMPLATES)
+    texts = [GPL_FILE, "CC BY-NC 4.0", "CC0 1.0", "nothing here", "", "\n\n", "SPDX-License-Identifier: ISC", "the the the software software", "See LICENSE"]
+    for name, t in rng.sample(licenses.TEMPLATES, 12):
+        texts.append("\n".join(textwrap.wrap(t, 300)))
+        texts.append("word one two\n" + t.replace("\n", " ") + "\nplain words after " * 3)
+        texts.append(" ".join(w if rng.random() < 0.9 else "changed" for w in t.split()))
+    for text in texts:
+        name, score, _ = index.scan(text, 0.6)
+        if text.count("\n") < 15:
+            want = cosines(text, 0.6)
+            assert score == pytest.approx(want[1], abs=1e-6) and (name == want[0] or score == 0), text
+    assert index.scan(GPL_FILE, 0.6)[0] == "GPL-2.0"
+    assert index.scan("CC BY-NC 4.0", 0.6)[0] == "CC-BY-NC-4.0" and index.scan("CC0 1.0", 0.6)[0] == "CC0-1.0"
+    # Wrapped as in files, with a copyright line of its own before it.
+    for name, t in licenses.TEMPLATES:
+        if len(t) > 400 and not name.startswith("GPL"):
+            found = index.scan("Copyright 2020 Some One\n\n" + "\n".join(textwrap.wrap(t, 72)), 0.6)
+            assert found[0] == name and found[2] > 0.9
+
+
+def test_license_query_with_odd_ids(spark, tmp_path):
+    from tarn.llm.queries import QUERIES
+
+    mit = "Released under the MIT License."
+    rows = [(1, mit, "en", "a", 1), (2, "text", "en", "a", 1), (None, "other", "en", "a", 1), (2, "again", "en", "a", 1), (3, None, "en", "b", 1), (4, "", None, None, 1), (4, "x " * 900_000 + "\n" + mit, None, None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(QUERIES["op9_license_scan"](spark, str(tmp_path)), "doc_id", "license", "basis", "from_doc_id")
+    assert sorted(got, key=repr) == sorted([(1, "MIT", "file", None), (2, "MIT", "inherited", 1), (None, "MIT", "inherited", 1), (2, "MIT", "inherited", 1), (3, None, None, None), (4, None, None, None), (4, "MIT", "header", None)], key=repr)
 
 
 # Line dedup
