@@ -29,6 +29,8 @@ REPORTS = frozenset("said says called calls claimed wrote quoted according sagte
 THREATS = frozenset("kill hurt destroy beat burn töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
 THREAT_WEIGHT = 1.5
 SAMPLE_ROWS, LEXICON_TERMS = 20_000, 2_000
+#: A term is learned from so many toxic documents at least, or so large a share of them, if its log-odds reach this.
+LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT = 3, 1 / 400, 2.5
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?;\n]")
@@ -164,17 +166,22 @@ def _terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts]), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "y", "n"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, terms: int = LEXICON_TERMS) -> Model:
-    """Lexicon and weights from at most about ``sample_rows`` labelled rows, chosen by a hash of their id."""
+def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, terms: int = LEXICON_TERMS, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_weight: float = LEAST_WEIGHT) -> Model:
+    """Lexicon and weights from at most about ``sample_rows`` labelled rows, chosen by a hash of their id.
+
+    A word, or a stem of STEMS letters, becomes a term when at least ``least_docs`` and ``least_share`` of the sampled
+    toxic documents have it and its smoothed log-odds are at least ``least_weight``; of more than ``terms`` those stay
+    that have most toxic documents times weight.  Only the sample limits what is learned, never what is scored.
+    """
     train = training_rows(docs, labels, sample_rows)
     totals = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return Model({}, 30.0 if pos else -30.0, (0.0, 0.0, 0.0))
     found = train.mapInArrow(_terms, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n"))).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n"))).alias("b"))
-    found = found.select("term", F.col("a").alias("a"), F.coalesce("b", F.lit(0)).alias("b")).where(F.col("a") >= max(3, pos // 400))
+    found = found.select("term", F.col("a").alias("a"), F.coalesce("b", F.lit(0)).alias("b")).where(F.col("a") >= max(least_docs, int(pos * least_share)))
     weight = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 1) / (neg + 2))
-    best = found.select("term", (weight * F.lit(1.0)).alias("w"), (F.col("a") * weight).alias("gain")).where("w >= 2.5").orderBy(F.desc("gain"), "term").limit(terms).collect()
+    best = found.select("term", (weight * F.lit(1.0)).alias("w"), (F.col("a") * weight).alias("gain")).where(F.col("w") >= least_weight).orderBy(F.desc("gain"), "term").limit(terms).collect()
     lexicon = {r.term: r.w for r in best}
     x, y = [], []
     for r in train.mapInArrow(_featured(docs.sparkSession.sparkContext.broadcast(Model(lexicon, 0.0, (0.0, 0.0, 0.0)))), "y int, x0 double, x1 double, x2 double").toLocalIterator():
@@ -228,27 +235,32 @@ def _scored(model):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, model: Model | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, model: Model | None = None, sample_rows: int = SAMPLE_ROWS, terms: int = LEXICON_TERMS, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_weight: float = LEAST_WEIGHT) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), clauses (text and score of each match).
 
-    The model is learned from rows of ``labels`` (doc_id, toxic 0/1) whose crc32(doc_id as text) mod 5 is not 0, at
-    most about ``sample_rows`` of them, chosen by a hash of the id; labels that contradict each other count as toxic,
-    others than 0 and 1 are ignored.  Only the text enters a score.  Without labels of both kinds, all documents get
-    the score of the only kind, and 0 without any.
+    The model is learned (see `learn` for the limits of the lexicon) from rows of ``labels`` (doc_id, toxic 0/1) whose
+    crc32(doc_id as text) mod 5 is not 0, at most about ``sample_rows`` of them, chosen by a hash of the id; labels that
+    contradict each other count as toxic, others than 0 and 1 are ignored.  Only the text enters a score.  Without
+    labels of both kinds, all documents get the score of the only kind, and 0 without any.
 
     A clause is selected by a learned term or by one of THREATS as a whole word, with or without learned terms.
 
-    Null and empty texts have no clauses and get the score of such texts.  A null doc_id is held out or not as the empty string
-    is.  Repeated ids are scored each.  Other columns are ignored; an empty table gives no rows.
+    Null and empty texts have no clauses and get the score of such texts.  A null doc_id is held out or not as the
+    empty string is.  Repeated ids and repeated rows are scored each.  A text of any length is scored whole, in one
+    task.  Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    model = model or learn(docs, labels, sample_rows=sample_rows)
+    model = model or learn(docs, labels, sample_rows=sample_rows, terms=terms, least_docs=least_docs, least_share=least_share, least_weight=least_weight)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double, clauses array<struct<text:string,score:double>>")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``toxicity`` predicts 0 for."""
+    """The rows of ``docs``, all columns, that ``toxicity`` predicts 0 for.
+
+    Each row is judged by its own text, so null and repeated ids do not matter; other columns pass through whatever
+    their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample_rows=sample_rows))
 
     def run(batches):

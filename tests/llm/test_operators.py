@@ -524,6 +524,54 @@ def test_threats_select_clauses(spark):
     assert {r.doc_id: len(r.clauses) for r in none} == {5001: 0, 5002: 1, 5003: 0}
 
 
+def brute_toxicity(text, model):
+    """The score of one text, clause by clause, from counters in place of the composed transducer."""
+    import math
+
+    found = []
+    for clause in re.split(r"[.!?;\n]", (text or "").lower()):
+        target = negation = 0
+        report, total, any_term = False, 0.0, False
+        for w in re.findall(r"[^\W\d_]+", clause):
+            own = [v for t, v in model.terms.items() if (t[:-1] if t.endswith("*") else t) == (w[: len(t) - 1] if t.endswith("*") else w)]
+            weight = max(own, default=0.0) or (toxicity.THREAT_WEIGHT if w in toxicity.THREATS else 0.0)
+            if weight:
+                any_term = True
+                total += weight * (1.25 if target else 1) * (0.5 if negation else 1) * (0.7 if report else 1)
+                target, negation = max(0, target - 1), max(0, negation - 1)
+            else:
+                target = 6 if w in toxicity.TARGETS else max(0, target - 1)
+                kind = w not in toxicity.TARGETS and w in toxicity.NEGATIONS
+                negation = 3 if kind else max(0, negation - 1)
+                report = report or (w in toxicity.REPORTS and w not in toxicity.TARGETS and not kind)
+        if any_term:
+            found.append(total)
+    z = model.bias + model.weights[0] * max(found, default=0.0) + model.weights[1] * math.log1p(sum(found)) + model.weights[2] * len(found)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(14)
+    parts = ["you", "not", "said", "oaf", "oafs", "grumlet", "kill", "kills", "töten", "word", "they", "never", "never said", ".", "!", "?", ";", "\n", ",", "OAF", "Kill", "x1oaf", "oaf_", "il"]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(300)] + ["", None, "you " * 200_000 + "oaf", "kill"]
+    model = toxicity.Model({"oaf": 2.0, "grum*": 3.0, "kill*": 2.6}, -4.0, (1.0, 0.7, 0.2))
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    rows = [*enumerate(texts), (None, "oaf"), (3, "oaf"), (3, "oaf")]
+    got = toxicity.toxicity(table(spark, rows), none, model=model).collect()
+    want = sorted(((i, round(brute_toxicity(t, model), 9)) for i, t in rows), key=repr)
+    assert sorted(((r.doc_id, round(r.score, 9)) for r in got), key=repr) == want
+    assert all(r.predicted == (r.score >= 0.5) for r in got)
+
+
+def test_lexicon_limits_are_parameters(spark):
+    docs, labels = toxic_corpus()
+    shown = spark.createDataFrame(labels, "doc_id long, toxic int")
+    df = table(spark, docs)
+    every = toxicity.learn(df, shown)
+    assert set(toxicity.learn(df, shown, terms=2).terms) < set(every.terms)
+    assert toxicity.learn(df, shown, least_docs=10_000).terms == toxicity.learn(df, shown, least_weight=99.0).terms == {}
+
+
 def test_stems_win_over_equal_words():
     text = "Losers lost. A loser. Such grumlets"
     for lexicon in ("loser*", "loser", "grumle"), ("loser", "loser*", "grumle*"):
