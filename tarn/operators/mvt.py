@@ -66,6 +66,7 @@ def field(number: int, value: int | bytes) -> bytes:
     return varint(number << 3 | 2) + varint(len(value)) + value
 
 
+#: Varints of small numbers.
 _SMALL = [bytes([v]) if v < 128 else bytes([v & 127 | 128, v >> 7]) for v in range(1 << 14)]
 
 
@@ -111,37 +112,115 @@ def commands(segments: list) -> tuple[int, list[int]]:
     return (2, out) if out else (0, [])
 
 
+def packed_all(values: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets): varints of non-negative integers one after another, and where the given positions are in bytes."""
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        more = values >> (7 * k) > 0
+        if not more.any():
+            break
+        size += more
+    at = np.concatenate(([0], np.cumsum(size)))
+    out = np.empty(at[-1], np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = size > k
+        out[at[:-1][has] + k] = (values[has] >> (7 * k) & 0x7F) | np.where(size[has] > k + 1, 0x80, 0)
+    return out, at[cuts]
+
+
+def _zigzag_all(v: np.ndarray) -> np.ndarray:
+    return (v << 1) ^ (v >> 63)
+
+
+def geometries(rows: np.ndarray, cuts: np.ndarray, gx: np.ndarray, gy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(types, offsets, bytes) of what `commands` gives for many features at once, packed.
+
+    Feature k has the segments rows[k]..rows[k + 1], segment r the points cuts[r]..cuts[r + 1] in grid units.
+    """
+    features, runs = len(rows) - 1, len(cuts) - 1
+    sizes = np.diff(cuts)
+    own = np.repeat(np.arange(features), np.diff(rows))
+    single = np.bincount(own, sizes == 1, features) == np.diff(rows)
+    step_x, step_y = np.diff(gx, prepend=0), np.diff(gy, prepend=0)
+    moves = (step_x != 0) | (step_y != 0)
+    moves[cuts[:-1][sizes > 0]] = False
+    upto = np.concatenate(([0], np.cumsum(moves)))
+    steps = upto[cuts[1:]] - upto[cuts[:-1]]
+    drawn = np.flatnonzero((steps > 0) & ~single[own])
+    # Each drawn segment begins where the one before it in its feature ended.
+    first, last = cuts[drawn], cuts[drawn + 1] - 1
+    follows = np.zeros(len(drawn), bool)
+    follows[1:] = own[drawn[1:]] == own[drawn[:-1]]
+    before = np.append(0, last[:-1]) if len(drawn) else last
+    count = np.zeros(runs, np.int64)
+    count[drawn] = 4 + 2 * steps[drawn]
+    at = np.concatenate(([0], np.cumsum(count)))
+    values = np.empty(at[-1], np.int64)
+    head = at[drawn]
+    values[head] = 9
+    values[head + 1] = _zigzag_all(gx[first] - np.where(follows, gx[before], 0))
+    values[head + 2] = _zigzag_all(gy[first] - np.where(follows, gy[before], 0))
+    values[head + 3] = 2 | steps[drawn] << 3
+    run_of = np.repeat(np.arange(runs), sizes)
+    inside = np.flatnonzero(moves & (count[run_of] > 0))
+    place = at[run_of[inside]] + 4 + 2 * (upto[inside] - upto[cuts[run_of[inside]]])
+    values[place], values[place + 1] = _zigzag_all(step_x[inside]), _zigzag_all(step_y[inside])
+    raw, ends = packed_all(values, at[rows])
+    kinds = np.where(np.diff(ends) > 0, 2, 0).astype(np.int32)
+    points = np.flatnonzero(single & (np.diff(rows) > 0))
+    if not len(points):
+        return kinds, ends, raw
+    parts = [raw[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    for k in points.tolist():
+        kinds[k], numbers = commands([[(int(gx[c]), int(gy[c]))] for c in cuts[rows[k] : rows[k + 1]].tolist()])
+        parts[k] = packed(numbers)
+    return kinds, np.concatenate(([0], np.cumsum([len(x) for x in parts]))), np.frombuffer(b"".join(parts), np.uint8)
+
+
 def geometry(segments: list[np.ndarray], z: int, x: int, y: int) -> tuple[int, bytes]:
     """(type, packed commands) of a feature's segments in metres; type 0: nothing is left to draw."""
     kind, numbers = commands([grid(np.asarray(s, float).reshape(-1, 2), z, x, y) for s in segments])
     return kind, packed(numbers)
 
 
+class Tile:
+    """A tile that features are added to, in order of their ids."""
+
+    def __init__(self):
+        self.layers: dict[int, tuple[dict, dict, list]] = {}
+
+    def add(self, is_poi: bool, osm_id: int, layer: int, kind: int, geometry: bytes, tags: tuple[str | None, ...]) -> None:
+        """``tags`` are class, sac_scale and name; of them only the class may be empty."""
+        own = self.layers.get(layer)
+        if own is None:
+            own = self.layers[layer] = ({"class": 0}, {}, [])
+        keys, values, features = own
+        numbers = [0, values.setdefault(tags[0] or "", len(values))]
+        for key, value in zip(("sac_scale", "name"), tags[1:], strict=True):
+            if value:
+                numbers += [keys.setdefault(key, len(keys)), values.setdefault(value, len(values))]
+        features.append(field(2, field(1, osm_id | POI_BIT if is_poi else osm_id) + field(2, packed(numbers)) + field(3, kind) + field(4, geometry)))
+
+    def encode(self) -> bytes | None:
+        """None if no feature was added."""
+        out = b""
+        for k in sorted(self.layers):
+            keys, values, features = self.layers[k]
+            body = field(1, LAYERS[k].encode()) + b"".join(features) + b"".join(field(3, s.encode()) for s in keys) + b"".join(field(4, field(1, s.encode())) for s in values) + field(5, MVT_EXTENT) + field(15, 2)
+            out += field(3, body)
+        return out or None
+
+
 def assemble_tile(features: list[dict]) -> bytes | None:
     """A tile of features (is_poi, osm_id, layer, class, sac_scale, name, kind, geometry), or None if none has a geometry.
 
     Ways come before points of interest, each by id; layers by number; keys and values in order of first use.
     """
-    layers: dict[int, dict] = {}
+    tile = Tile()
     for f in sorted(features, key=lambda f: (bool(f["is_poi"]), f["osm_id"])):
-        if not f["kind"]:
-            continue
-        own = layers.setdefault(f["layer"], {"keys": {"class": 0}, "values": {}, "features": []})
-        tags = []
-        for key in ("class", "sac_scale", "name"):
-            value = f.get(key)
-            if key == "class" or value:
-                tags += [own["keys"].setdefault(key, len(own["keys"])), own["values"].setdefault(value or "", len(own["values"]))]
-        number = f["osm_id"] | (POI_BIT if f["is_poi"] else 0)
-        own["features"].append(field(1, number) + field(2, packed(tags)) + field(3, f["kind"]) + field(4, f["geometry"]))
-    if not layers:
-        return None
-    out = b""
-    for k in sorted(layers):
-        own = layers[k]
-        body = field(1, LAYERS[k].encode()) + b"".join(field(2, f) for f in own["features"]) + b"".join(field(3, s.encode()) for s in own["keys"]) + b"".join(field(4, field(1, s.encode())) for s in own["values"]) + field(5, MVT_EXTENT) + field(15, 2)
-        out += field(3, body)
-    return out
+        if f["kind"]:
+            tile.add(bool(f["is_poi"]), f["osm_id"], f["layer"], f["kind"], f["geometry"], (f.get("class"), f.get("sac_scale"), f.get("name")))
+    return tile.encode()
 
 
 def encode_tile(z: int, x: int, y: int, features: list[dict]) -> bytes | None:

@@ -13,35 +13,56 @@ from tarn.functions import geo
 from tarn.operators import kernels, mvt
 
 _SEGMENTS = "array<array<struct<x:double,y:double>>>"
-_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
 
-def _lines(col: pa.Array) -> list[np.ndarray]:
-    """Lines of an Arrow list of points, without a Python object a point."""
+def _lines(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Points of all lines of an Arrow list of points, and each line's offset in them."""
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     offs = col.offsets.to_numpy()
     flat = col.values
     xy = np.stack([flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)], 1)
-    return [xy[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    return xy[offs[0] : offs[-1]], (offs - offs[0]).astype(np.int64)
 
 
-def _points(line: np.ndarray) -> list[dict]:
-    return [{"x": x, "y": y} for x, y in line.tolist()]
+def _thinned(xy: np.ndarray, offs: np.ndarray, z: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines without the vertices that Ramer-Douglas-Peucker drops at half a pixel of the zoom."""
+    keep = kernels.keep_all(xy, offs, kernels.extent(z) / geo.TILE_PIXELS / 2)
+    return xy[keep], np.concatenate(([0], np.cumsum(keep)))[offs]
+
+
+def _list(values: pa.Array, offs: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), values)
+
+
+def _points(xy: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
 
 
 def simplified(lines: DataFrame, z: int = geo.DETAIL_ZOOM, column: str = "line") -> DataFrame:
     """Lines thinned by Ramer-Douglas-Peucker with half a pixel of the zoom."""
-    eps = kernels.extent(z) / geo.TILE_PIXELS / 2
 
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index(column)
-            made = pa.array([_points(kernels.simplify(x, eps)) for x in _lines(b.column(at))], pa.list_(_POINT))
-            yield b.set_column(at, b.schema.field(at).name, made)
+            xy, offs = _thinned(*_lines(b.column(at)), z)
+            yield b.set_column(at, b.schema.field(at).name, _list(_points(xy), offs))
 
     return lines.mapInArrow(run, lines.schema)
 
 
+def _cut(xy: np.ndarray, offs: np.ndarray, z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines thinned for a zoom and cut into its tiles, see `kernels.bin_lines`."""
+    return kernels.bin_lines(*_thinned(xy, offs, z), z)
+
+
+def _inside(zooms: tuple[int, ...], box: tuple[float, float, float, float]) -> Column:
+    w, s, e, n = (F.lit(float(v)) for v in box)
+    inside = F.lit(False)
+    for z in zooms:
+        inside = inside | ((F.col("z") == z) & F.col("x").between(geo.lonlat_tile_x(w, z), geo.lonlat_tile_x(e, z)) & F.col("y").between(geo.lonlat_tile_y(n, z), geo.lonlat_tile_y(s, z)))
+    return inside
+
+
 def binned(lines: DataFrame, zooms: tuple[int, ...] = (geo.DETAIL_ZOOM,), box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """z, x, y, way_id, segments of each tile that a line reaches, simplified once for each zoom before it is cut.
 
@@ -52,102 +73,103 @@ def binned(lines: DataFrame, zooms: tuple[int, ...] = (geo.DETAIL_ZOOM,), box: t
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                ids, every = b.column(b.schema.get_field_index("way_id")), _lines(b.column(b.schema.get_field_index("line")))
+                ids, (xy, offs) = b.column(b.schema.get_field_index("way_id")), _lines(b.column(b.schema.get_field_index("line")))
                 for z in zooms:
-                    thin = [kernels.simplify(x, kernels.extent(z) / geo.TILE_PIXELS / 2) for x in every]
-                    offs = np.concatenate(([0], np.cumsum([len(x) for x in thin])))
-                    own, cell, row_offs, run_offs, points = kernels.bin_lines(np.vstack([np.zeros((0, 2)), *thin]), offs, z)
-                    flat = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], names=["x", "y"])
-                    runs = pa.ListArray.from_arrays(pa.array(run_offs.astype(np.int32)), flat)
-                    segments = pa.ListArray.from_arrays(pa.array(row_offs.astype(np.int32)), runs)
+                    own, cell, row_offs, run_offs, points = _cut(xy, offs, z)
+                    segments = _list(_list(_points(points), run_offs), row_offs)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), z, np.int32)), pa.array(cell[:, 0]), pa.array(cell[:, 1]), ids.take(pa.array(own)), segments], names=["z", "x", "y", "way_id", "segments"])
 
     tiles = lines.select("way_id", "line").mapInArrow(run, f"z int, x long, y long, way_id long, segments {_SEGMENTS}")
-    if box is None:
-        return tiles
-    w, s, e, n = (F.lit(float(v)) for v in box)
-    inside = F.lit(False)
-    for z in zooms:
-        inside = inside | ((F.col("z") == z) & F.col("x").between(geo.lonlat_tile_x(w, z), geo.lonlat_tile_x(e, z)) & F.col("y").between(geo.lonlat_tile_y(n, z), geo.lonlat_tile_y(s, z)))
-    return tiles.where(inside)
+    return tiles if box is None else tiles.where(_inside(zooms, box))
 
 
-def way_features(kept: DataFrame, lines: DataFrame, **options) -> DataFrame:
-    """Tile features of classified ways; tags join after the cut, by way."""
-    return binned(lines, **options).join(kept.select("way_id", "layer", "class", "sac_scale", "name"), "way_id").select("z", "x", "y", F.lit(False).alias("is_poi"), F.col("way_id").alias("osm_id"), "layer", "class", "sac_scale", "name", "segments")
+FEATURE = "z int, x long, y long, is_poi boolean, osm_id long, layer int, class string, sac_scale string, name string, kind int, geometry binary"
 
 
-def poi_features(pois: DataFrame, z: int = geo.DETAIL_ZOOM) -> DataFrame:
-    """Tile features of peaks: each in the tile that holds it, in the natural layer."""
-    point = F.array(F.array(F.struct(F.col("mx").alias("x"), F.col("my").alias("y"))))
-    return pois.select(F.lit(z).alias("z"), geo.tile_x("mx", z).alias("x"), geo.tile_y("my", z).alias("y"), F.lit(True).alias("is_poi"), F.col("node_id").alias("osm_id"), F.lit(2).alias("layer"), F.lit("peak").alias("class"), F.lit(None).cast("string").alias("sac_scale"), F.nullif("name", F.lit("")).alias("name"), point.alias("segments"))
+def _geometry(z: np.ndarray, x: np.ndarray, y: np.ndarray, rows: np.ndarray, runs: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Types and packed geometries of features on their tiles' grids, all at once; type 0 if nothing is left to draw."""
+    own = np.repeat(np.arange(len(x)), np.diff(runs[rows]))
+    e = 2 * geo.HALF_WORLD_M / (1 << z)
+    scale = (geo.MVT_EXTENT / e)[own]
+    gx = kernels.away((points[:, 0] - (x * e - geo.HALF_WORLD_M)[own]) * scale)
+    gy = kernels.away(((geo.HALF_WORLD_M - y * e)[own] - points[:, 1]) * scale)
+    kinds, ends, raw = mvt.geometries(rows, runs, gx, gy)
+    return kinds, pa.Array.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw.tobytes())])
 
 
-def _geometries(batches):
-    """Geometry of each feature, encoded where the feature is; those with nothing left to draw are dropped.
+def way_features(kept: DataFrame, lines: DataFrame, zooms: tuple[int, ...] = (geo.DETAIL_ZOOM,), box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Tile features of classified ways (columns FEATURE): ways join their lines by way, and each piece that a tile gets
+    is encoded where the way was cut, so that geometry leaves the task as bytes and is shuffled once, by tile."""
+    tags = ("layer", "class", "sac_scale", "name")
 
-    Points of a batch are put on their tiles' grids at once.
-    """
-    for b in batches:
-        if not b.num_rows:
-            continue
-        z, x, y = (b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("z", "x", "y"))
-        segments = b.column(b.schema.get_field_index("segments"))
-        runs = segments.values
-        rows, cuts = segments.offsets.to_numpy(), runs.offsets.to_numpy()
-        points = runs.values
-        ends = cuts[rows]
-        own = np.repeat(np.arange(b.num_rows), np.diff(ends))
-        mx, my = (points.field(i).to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] for i in (0, 1))
-        e = 2 * geo.HALF_WORLD_M / (1 << z)
-        scale = (geo.MVT_EXTENT / e)[own]
-        gx = kernels.away((mx - (x * e - geo.HALF_WORLD_M)[own]) * scale)
-        gy = kernels.away(((geo.HALF_WORLD_M - y * e)[own] - my) * scale)
-        grid = list(zip(gx.tolist(), gy.tolist(), strict=True))
-        at = (cuts - ends[0]).tolist()
-        kinds, made = [], []
-        for lo, hi in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-            kind, numbers = mvt.commands([grid[at[r] : at[r + 1]] for r in range(lo, hi)])
-            kinds.append(kind)
-            made.append(mvt.packed(numbers))
-        out = b.drop_columns(["segments"]).append_column("kind", pa.array(kinds, pa.int32())).append_column("geometry", pa.array(made, pa.binary()))
-        yield out.filter(pa.array([k > 0 for k in kinds], pa.bool_()))
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                xy, offs = _lines(b.column(b.schema.get_field_index("line")))
+                for z in zooms:
+                    own, cell, rows, runs, points = _cut(xy, offs, z)
+                    zoom = np.full(len(own), z, np.int64)
+                    kinds, drawn = _geometry(zoom, cell[:, 0], cell[:, 1], rows, runs, points)
+                    carried = [b.column(b.schema.get_field_index(c)).take(pa.array(own)) for c in ("way_id", *tags)]
+                    made = pa.RecordBatch.from_arrays([pa.array(zoom, pa.int32()), pa.array(cell[:, 0]), pa.array(cell[:, 1]), pa.array(np.zeros(len(own), bool)), *carried, pa.array(kinds), drawn], names=["z", "x", "y", "is_poi", "osm_id", *tags, "kind", "geometry"])
+                    yield made.filter(pa.array(kinds > 0))
+
+    named = lines.select("way_id", "line").join(kept.select("way_id", F.col("layer").cast("int").alias("layer"), "class", "sac_scale", "name"), "way_id")
+    made = named.select("way_id", "line", *tags).mapInArrow(run, FEATURE)
+    return made if box is None else made.where(_inside(zooms, box))
+
+
+def poi_features(pois: DataFrame, z: int = geo.DETAIL_ZOOM) -> DataFrame:
+    """Tile features of peaks (columns FEATURE): each in the tile that holds it, in the natural layer."""
+
+    def run(batches):
+        for b in batches:
+            x, y, mx, my = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("x", "y", "mx", "my"))
+            every = np.arange(b.num_rows + 1)
+            kinds, drawn = _geometry(np.full(b.num_rows, z), x, y, every, every, np.stack([mx, my], 1))
+            yield b.drop_columns(["mx", "my"]).append_column("kind", pa.array(kinds)).append_column("geometry", drawn)
+
+    none = F.lit(None).cast("string")
+    placed = pois.select(F.lit(z).alias("z"), geo.tile_x("mx", z).cast("long").alias("x"), geo.tile_y("my", z).cast("long").alias("y"), F.lit(True).alias("is_poi"), F.col("node_id").alias("osm_id"), F.lit(2).alias("layer"), F.lit("peak").alias("class"), none.alias("sac_scale"), F.nullif("name", F.lit("")).alias("name"), "mx", "my")
+    return placed.mapInArrow(run, FEATURE)
 
 
 def encoded(features: DataFrame, compress: bool = True) -> DataFrame:
     """tile_id, z, x, y, payload: one vector tile for each tile with anything left to draw.
 
-    Geometries are encoded feature by feature before the shuffle, so a crowded tile only has its features' bytes put
-    together in one task; features are dealt and sorted by tile and streamed, one tile at a time.
+    Features come with their geometry as bytes; they are dealt by tile, sorted by tile, kind and id and streamed, so
+    what a task holds is one tile.
     """
-    plain = "z int, x long, y long, is_poi boolean, osm_id long, layer int, class string, sac_scale string, name string"
-    names = [c.split()[0] for c in plain.split(", ")]
 
     def run(batches):
-        at, held = None, []
+        at, tile = None, mvt.Tile()
+        out: list[tuple] = []
 
         def done():
-            raw = mvt.assemble_tile(held) if at else None
-            return [(*at, gzip.compress(raw, mtime=0) if compress else raw)] if raw else []
+            raw = tile.encode() if at else None
+            if raw:
+                out.append((*at, gzip.compress(raw, 6, mtime=0) if compress else raw))
 
-        def made(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["z", "x", "y", "payload"])
+        def made():
+            rows = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["z", "x", "y", "payload"])
 
         for b in batches:
-            out = []
-            for f in b.to_pylist():
-                key = (f["z"], f["x"], f["y"])
-                if key != at:
-                    out += done()
-                    at, held = key, []
-                held.append(f)
+            for z, x, y, poi, osm_id, layer, kind, geometry, *tags in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (z, x, y) != at:
+                    done()
+                    at, tile = (z, x, y), mvt.Tile()
+                tile.add(poi, osm_id, layer, kind, geometry, tags)
             if out:
-                yield made(out)
-        if rows := done():
-            yield made(rows)
+                yield made()
+        done()
+        if out:
+            yield made()
 
-    drawn = features.select(*names, "segments").mapInArrow(_geometries, f"{plain}, kind int, geometry binary")
-    dealt = drawn.repartition("z", "x", "y").sortWithinPartitions("z", "x", "y")
+    chosen = features.select("z", "x", "y", "is_poi", "osm_id", "layer", "kind", "geometry", "class", "sac_scale", "name")
+    dealt = chosen.repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", "is_poi", "osm_id")
     return dealt.mapInArrow(run, "z int, x long, y long, payload binary").select(geo.hilbert_id("z", "x", "y").alias("tile_id"), "z", "x", "y", "payload")
 
 

@@ -107,6 +107,29 @@ def test_many_lines_as_one_by_one():
     assert got == {(i, x, y): [r.tolist() for r in runs] for i, line in enumerate(lines) for x, y, runs in kernels.bin_line(line, 9)}
 
 
+def test_many_lines_thinned_as_one_by_one():
+    rng = np.random.default_rng(8)
+    many = [rng.normal(0, 10, (n, 2)).cumsum(axis=0).round(rng.integers(0, 3)) for n in (1, 2, 3, 5, 40, 300, 3, 2, 1)] + [np.zeros((6, 2)), np.array([[0, 0], [5, 5], [0, 0.0]]), np.zeros((0, 2))]
+    offs = np.concatenate(([0], np.cumsum([len(x) for x in many])))
+    for eps in (0.5, 3.0, 20.0):
+        keep = kernels.keep_all(np.vstack(many), offs, eps)
+        assert [keep[a:b].tolist() for a, b in zip(offs, offs[1:], strict=False)] == [kernels.keep_flags(x, eps).tolist() if len(x) else [] for x in many]
+
+
+def test_many_geometries_as_one_by_one():
+    rng = np.random.default_rng(9)
+    for trial in range(40):
+        features = [[rng.integers(-3, 4, (rng.choice([1, 1, 2, 3, 30]), 2)) * int(rng.choice([1, 100, 4000])) for _ in range(rng.integers(0, 4))] for _ in range(trial)]
+        runs = [r for f in features for r in f]
+        rows = np.concatenate(([0], np.cumsum([len(f) for f in features], dtype=int)))
+        cuts = np.concatenate(([0], np.cumsum([len(r) for r in runs], dtype=int)))
+        points = np.vstack([np.zeros((0, 2), int), *runs]).astype(np.int64)
+        kinds, ends, raw = mvt.geometries(rows, cuts, points[:, 0], points[:, 1])
+        for k, f in enumerate(features):
+            kind, numbers = mvt.commands(f) if f else (0, [])
+            assert (int(kinds[k]), raw[ends[k] : ends[k + 1]].tobytes()) == (kind, mvt.packed(numbers))
+
+
 def test_rounding():
     assert kernels.away(np.array([0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 0.2])).tolist() == [1, -1, 2, 3, -3, 0, 0]
 
