@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -49,6 +51,10 @@ def _box_distance(px, py):
     return F.sqrt(dx * dx + dy * dy)
 
 
+#: A grid's cells are so many times as wide as those of the grid below it.
+COARSER = 4
+
+
 def nearest(points: DataFrame, trails: DataFrame, *, k: int = 3, cell: float = 0.05, exact: bool = False) -> DataFrame:
     """point_id, trail_id, name, highway, metres (rounded) of the trail nearest to each point (point_id, lng, lat).
 
@@ -56,61 +62,88 @@ def nearest(points: DataFrame, trails: DataFrame, *, k: int = 3, cell: float = 0
     nearest vertex or edge counts, in plain coordinates, its distance as a great circle.  ``exact`` judges all trails
     whose box is no farther than the best found.
 
-    Trails are indexed by the cells that their boxes cover, points look into rings of cells until enough candidates
-    are closer than the ring's edge: each round is an equi-join on the cell for the points still open.
+    Trails are indexed by the cells that their boxes touch.  Points look into their own cell, then into the cells
+    around it, then into the cells around them on coarser and coarser grids, until enough candidates are closer than
+    what they have not seen: each round is an equi-join on at most nine cells for each point that is still open, so a
+    point far from everything costs a few rounds more and not a square of cells.
     """
-    boxes = durable(trails.select(F.col("id").alias("trail_id"), "min_x", "min_y", "max_x", "max_y"))
+    known = durable(trails.select(F.col("id").alias("trail_id"), "min_x", "min_y", "max_x", "max_y", "name", "highway"))
+    boxes = known.drop("name", "highway")
     px, py = F.col("lng"), F.col("lat")
     extent = boxes.agg(F.min("min_x"), F.min("min_y"), F.max("max_x"), F.max("max_y")).first()
     open_points = points.select("point_id", "lng", "lat")
     if extent[0] is None:
         return open_points.select("point_id", F.lit(None).cast("long").alias("trail_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("highway"), F.lit(None).cast("long").alias("metres")).where(F.lit(False))
-    grid = durable(_cell_index(boxes, cell, k))
     open_points = durable(open_points)
     reach = open_points.agg(F.max(F.greatest(F.abs(px - extent[0]), F.abs(px - extent[2]), F.abs(py - extent[1]), F.abs(py - extent[3])))).first()[0] or 0.0
-    found, r = None, 1
+    own = [(0, 0)]
+    around = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
+    size, places, seen = cell, own, 0.0
+    grid = durable(_cell_index(boxes, size, k))
+    found = held = None
     while True:
-        asked = open_points.select("*", F.explode(F.sequence(F.floor(px / cell) - r, F.floor(px / cell) + r)).alias("cx")).select("*", F.explode(F.sequence(F.floor(py / cell) - r, F.floor(py / cell) + r)).alias("cy"))
-        met = asked.join(grid, ["cx", "cy"]).dropDuplicates(["point_id", "trail_id"]).withColumn("d", _box_distance(px, py))
-        ranked = durable(met.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("d", "trail_id"))).where(F.col("rank") <= k).select("point_id", "lng", "lat", "trail_id", "d"))
-        if r * cell >= reach:
+        near = F.array(*(F.struct((F.floor(px / size) + x).alias("cx"), (F.floor(py / size) + y).alias("cy")) for x, y in places))
+        met = open_points.select("*", F.explode(near).alias("c")).select("point_id", "lng", "lat", "c.cx", "c.cy").join(grid, ["cx", "cy"])
+        met = met.select("point_id", "lng", "lat", "trail_id", _box_distance(px, py).alias("d"))
+        # In its own cell a point meets each trail once.
+        every = met if held is None else met.unionByName(held).dropDuplicates(["point_id", "trail_id"])
+        ranked = durable(every.withColumn("rank", F.row_number().over(Window.partitionBy("point_id").orderBy("d", "trail_id"))).where(F.col("rank") <= k).drop("rank"))
+        if seen >= reach:
             found = ranked if found is None else found.unionByName(ranked)
             break
-        # Anything outside of the ring is at least this far away.
-        done = ranked.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")).where((F.col("n") == k) & (F.col("far") < r * cell)).select("point_id")
+        # What is not seen yet is farther away than ``seen``, and not at distance 0.
+        far = F.max("d")
+        done = ranked.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), far.alias("far")).where((F.col("n") == k) & ((F.col("far") < seen) | (F.col("far") == 0))).select("point_id")
         settled = ranked.join(done, "point_id", "left_semi")
         found = settled if found is None else found.unionByName(settled)
         open_points = durable(open_points.join(done, "point_id", "left_anti"))
         if open_points.isEmpty():
             break
-        r *= 4
+        held = ranked.join(done, "point_id", "left_anti")
+        if places is own:
+            places, seen = [p for p in around if p != (0, 0)], size
+        else:
+            size *= COARSER
+            places, seen = around, size
+            grid = durable(_cell_index(boxes, size, k))
     chosen = found.select("point_id", "lng", "lat", "trail_id")
     if exact:
         best = _on_segments(chosen, trails).groupBy("point_id").agg(F.min("d").alias("best"))
-        # Every trail whose box is within the best distance, by cells again.
-        wide = points.join(best, "point_id").withColumns({"x0": F.floor((px - F.col("best")) / cell), "x1": F.floor((px + F.col("best")) / cell), "y0": F.floor((py - F.col("best")) / cell), "y1": F.floor((py + F.col("best")) / cell)})
-        cells = wide.select("point_id", "lng", "lat", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("cx")).select("point_id", "lng", "lat", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
-        chosen = cells.join(_cell_index(boxes, cell, None), ["cx", "cy"]).dropDuplicates(["point_id", "trail_id"]).select("point_id", "lng", "lat", "trail_id")
+        # Every trail whose box is within the best distance, on the grid where that is two cells at most.
+        level = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(F.col("best"), F.lit(cell)) / (2 * cell)) / np.log(COARSER))).cast("int")
+        wide = durable(points.join(best, "point_id").select("point_id", "lng", "lat", "best", level.alias("level")))
+        parts = []
+        for (n,) in wide.select("level").distinct().collect():
+            size = cell * COARSER**n
+
+            def span(v, size=size):
+                return F.sequence(F.floor((v - F.col("best")) / size), F.floor((v + F.col("best")) / size))
+
+            cells = wide.where(F.col("level") == n).withColumn("cx", F.explode(span(px))).withColumn("cy", F.explode(span(py)))
+            parts.append(cells.join(_cell_index(boxes, size, None), ["cx", "cy"]).where(_box_distance(px, py) <= F.col("best")).select("point_id", "lng", "lat", "trail_id"))
+        chosen = reduce(DataFrame.unionByName, parts).dropDuplicates(["point_id", "trail_id"]) if parts else chosen
     hits = _on_segments(chosen, trails)
     first = hits.groupBy("point_id").agg(F.min_by(F.struct("trail_id", "metres"), F.struct("metres", "trail_id") if not exact else F.struct("d", "trail_id")).alias("h"))
-    named = trails.select(F.col("id").alias("trail_id"), "name", "highway")
+    named = known.select("trail_id", "name", "highway")
     return first.select("point_id", "h.trail_id", F.round("h.metres").cast("long").alias("metres")).join(named, "trail_id").select("point_id", "trail_id", "name", "highway", "metres")
 
 
 def _cell_index(boxes: DataFrame, cell: float, k: int | None) -> DataFrame:
     """Boxes by each cell that they touch.
 
-    With ``k``, of the boxes that cover a cell whole only the k smallest ids stay: to a point in the cell all are at
-    distance 0, and to other points the cell's edge is as near by each of them; where one reaches nearer, it touches a
-    nearer cell, too.
+    With ``k``, of the boxes that cover a cell whole only the k smallest ids stay, and of the others only those of
+    smaller ids than all of these, if there are k: to a point in the cell the k are at distance 0, and to other points
+    the cell's edge is as near by each of them as by any box; where one reaches nearer, it touches a nearer cell, too.
     """
     touched = boxes.select("*", F.explode(F.sequence(F.floor(F.col("min_x") / cell), F.floor(F.col("max_x") / cell))).alias("cx")).select("*", F.explode(F.sequence(F.floor(F.col("min_y") / cell), F.floor(F.col("max_y") / cell))).alias("cy"))
     if k is None:
         return touched
-    whole = (F.col("min_x") <= F.col("cx") * cell) & (F.col("max_x") >= (F.col("cx") + 1) * cell) & (F.col("min_y") <= F.col("cy") * cell) & (F.col("max_y") >= (F.col("cy") + 1) * cell)
-    marked = touched.withColumn("whole", whole)
-    first = marked.where("whole").withColumn("rank", F.row_number().over(Window.partitionBy("cx", "cy").orderBy("trail_id"))).where(F.col("rank") <= k).drop("rank")
-    return first.unionByName(marked.where("not whole")).drop("whole")
+    e = cell * 1e-6  # points on a cell's edge are in either cell
+    whole = (F.col("min_x") <= F.col("cx") * cell - e) & (F.col("max_x") >= (F.col("cx") + 1) * cell + e) & (F.col("min_y") <= F.col("cy") * cell - e) & (F.col("max_y") >= (F.col("cy") + 1) * cell + e)
+    # The k smallest ids of the boxes that cover a cell: the limit on the rank is applied in every task first.
+    first = touched.where(whole).select("cx", "cy", "trail_id").withColumn("rank", F.row_number().over(Window.partitionBy("cx", "cy").orderBy("trail_id"))).where(F.col("rank") <= k)
+    last = first.where(F.col("rank") == k).select("cx", "cy", F.col("trail_id").alias("last"))
+    return touched.join(last, ["cx", "cy"], "left").where(F.col("last").isNull() | (F.col("trail_id") <= F.col("last"))).drop("last")
 
 
 def _on_segments(chosen: DataFrame, trails: DataFrame) -> DataFrame:

@@ -43,12 +43,12 @@ g as (select route_id, seq, lng ax, lat ay, lead(lng) over w bx, lead(lat) over
 s as (select point_id, qx, qy, id, seq, ax, ay, bx, by_, least(greatest(coalesce(((qx - ax) * (bx - ax) + (qy - ay) * (by_ - ay)) / nullif((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay), 0), 0), 0), 1) t from c join g on route_id = id where r <= 3 and bx is not null),
 h as (select point_id, id, qx plng, qy plat, ax + t * (bx - ax) lng, ay + t * (by_ - ay) lat from s),
 m as (select point_id, id, min(2 * 6371000 * atan2(sqrt({_HAV}), sqrt(1 - ({_HAV})))) metres from h group by 1, 2)
-select point_id, round(min(metres))::bigint metres from m group by 1""".lstrip('"')
+select point_id, arg_min(id, (metres, id)) trail_id, round(min(metres))::bigint metres from m group by 1""".lstrip('"')
 
 
 @query("jon11_nearest_trail", _NEAR, "peaks", "trails")
 def _(spark, sf):
-    return online.nearest(_points(spark, sf), d.trails(spark, sf)).select("point_id", "metres")
+    return online.nearest(_points(spark, sf), d.trails(spark, sf)).select("point_id", "trail_id", "metres")
 
 
 _CELLS = "(floor({u})::bigint)"

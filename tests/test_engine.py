@@ -84,15 +84,17 @@ def test_pyramid_counts(spark):
     assert tiles.pyramid(box, 5, 6).count() >= 2
 
 
-def test_nearest_is_the_brute_force_answer(spark):
+@pytest.mark.parametrize("spread", [0.02, 0.3])
+def test_nearest_is_the_brute_force_answer(spark, spread):
+    """Trails apart, and trails whose boxes lie over each other; some points are far from all of them."""
     rng = np.random.default_rng(3)
     rows = []
     for i in range(60):
         a = rng.uniform((10, 46), (12, 48))
-        p = a + np.cumsum(rng.normal(0, 0.02, (4, 2)), axis=0)
+        p = (a + np.cumsum(rng.normal(0, spread, (4, 2)), axis=0)).round(2)
         rows.append((i, f"t{i}", "path", [(float(x), float(y)) for x, y in p], *map(float, (p[:, 0].min(), p[:, 1].min(), p[:, 0].max(), p[:, 1].max()))))
     trails = spark.createDataFrame(rows, "id long, name string, highway string, coords array<struct<lng:double,lat:double>>, min_x double, min_y double, max_x double, max_y double")
-    queries = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform((9.5, 45.5), (12.5, 48.5), (25, 2)))]
+    queries = [(k, float(x), float(y)) for k, (x, y) in enumerate(np.vstack([rng.uniform((9.5, 45.5), (12.5, 48.5), (25, 2)).round(2), [[-70, -40], [11, 80]]]))]
 
     def place(q, coords):
         best = None
