@@ -327,7 +327,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, *, pattern: str = PATTERN, buck
     words = texts.mapInArrow(_words_out(kinds, lay), DDL).repartitionById(lay.buckets, "bucket")
     ids = words.mapInArrow(_encode_words(ranks), DDL)
     both = ids.unionByName(texts.mapInArrow(_positions_out(kinds, lay), DDL))
-    return both.groupBy("chunk").applyInArrow(_together, "doc_id long, ids array<int>")
+    return both.repartition(lay.buckets, "chunk").groupBy("chunk").applyInArrow(_together, "doc_id long, ids array<int>")
 
 
 def _decoder(table):

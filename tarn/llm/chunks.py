@@ -228,8 +228,11 @@ def by_bucket(df: DataFrame, lay: Layout, answer: Callable[..., tuple[np.ndarray
     return df.repartitionById(lay.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, DDL)
 
 
-def at_chunk(chunks: DataFrame, replies: DataFrame, step, ddl: str = DDL) -> DataFrame:
-    """``step(documents, {(kind, bucket): blob}, chunk)`` for each packed chunk, with what the buckets answered it."""
+def at_chunk(chunks: DataFrame, replies: DataFrame, lay: Layout, step, ddl: str = DDL) -> DataFrame:
+    """``step(documents, {(kind, bucket): blob}, chunk)`` for each packed chunk, with what the buckets answered it.
+
+    Both sides are dealt to as many parts as there are buckets, so a part grows no more than a bucket does.
+    """
 
     def run(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         got = {(k, b): x for b, k, x in zip(right.column("bucket").to_pylist(), right.column("kind").to_pylist(), right.column("blob").to_pylist(), strict=True)}
@@ -237,4 +240,5 @@ def at_chunk(chunks: DataFrame, replies: DataFrame, step, ddl: str = DDL) -> Dat
         made = [step(Docs.unpack(blob), got, key) for key, blob in zip(left.column("chunk").to_pylist(), left.column("blob").to_pylist(), strict=True)]
         return pa.concat_tables(made) if made else step(Docs(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint8), np.zeros(1, np.int64)), got, b"")
 
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, ddl)
+    left, right = (x.repartition(lay.buckets, "chunk").groupBy("chunk") for x in (chunks, replies))
+    return left.cogroup(right).applyInArrow(run, ddl)

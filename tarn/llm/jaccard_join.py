@@ -411,7 +411,7 @@ def jaccard_join(docs: DataFrame, *, shingle: int = 5, similarity: tuple[int, in
     rows_ = plain(docs)
     lay = layout(rows_)
     counts = by_bucket(rows_.mapInArrow(_count_out(shingle, lay), DDL), lay, _answer_counts)
-    prepared = checkpointed(at_chunk(packed(docs, lay), counts, _prepare(shingle, num, den, lay)))
+    prepared = checkpointed(at_chunk(packed(docs, lay), counts, lay, _prepare(shingle, num, den, lay)))
     each = prepared.where(F.col("kind") == SETS).mapInArrow(_described, "doc_id long, n long, sid binary, home long")
     sets = each.where("sid is not null").groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.max("n").alias("n"), F.min("home").alias("home"))
     keys = prepared.where(F.col("kind") == KEYS)

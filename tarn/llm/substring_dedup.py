@@ -240,15 +240,16 @@ def substring_dedup(docs: DataFrame, *, threshold: int = 13) -> DataFrame:
     that repeats only itself.
 
     Null text has no words.  A null doc_id counts as larger than all others; rows with equal ids take nothing from
-    each other.  Each row gives one row.  Other columns are ignored.  An empty table gives an empty result.
+    each other.  Each row gives one row, repeated rows too.  A text of any length is one chunk at least and is judged
+    whole.  Other columns are ignored, whatever their names.  An empty table gives an empty result.
     """
     lay = layout(plain(docs))
     chunks = packed(docs, lay)
     seeds = by_bucket(plain(docs).mapInArrow(_seeds(lay, threshold), DDL), lay, _answer_seeds)
-    stretches = by_bucket(at_chunk(chunks, seeds, _stretches(lay, threshold)), lay, _answer_stretches)
+    stretches = by_bucket(at_chunk(chunks, seeds, lay, _stretches(lay, threshold)), lay, _answer_stretches)
     known = seeds.unionByName(stretches)
-    windows = by_bucket(at_chunk(chunks, known, _windows(lay, threshold)), lay, _answer_windows)
-    return at_chunk(chunks, known.unionByName(windows), _remove(lay, threshold), _KEPT_DDL)
+    windows = by_bucket(at_chunk(chunks, known, lay, _windows(lay, threshold)), lay, _answer_windows)
+    return at_chunk(chunks, known.unionByName(windows), lay, _remove(lay, threshold), _KEPT_DDL)
 
 
 def digest(found: DataFrame) -> DataFrame:
