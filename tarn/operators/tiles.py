@@ -181,12 +181,23 @@ def ring(tiles: DataFrame, z: int) -> DataFrame:
     return spread.select("x", F.explode(F.transform(near, lambda d: F.least(F.greatest(F.col("y") + d, F.lit(0)), F.lit(last)))).alias("y")).distinct()
 
 
-def first_payloads(tiles: DataFrame, key: Column | str = "key") -> DataFrame:
-    """tile_id, length and first_id, the smallest tile of the same payload; grouped by key on the map side first."""
+#: A payload of so many tiles is joined by broadcast: of n tiles there are at most n / HOT_TILES such payloads.
+HOT_TILES = 1 << 16
+
+
+def first_payloads(tiles: DataFrame, key: Column | str = "key", hot_tiles: int = HOT_TILES) -> DataFrame:
+    """tile_id, length and first_id, the smallest tile of the same payload; grouped by key on the map side first.
+
+    Tiles of a payload that very many have (the empty tile) meet its first tile without a shuffle by key.
+    """
     k = F.col(key) if isinstance(key, str) else key
-    keyed = tiles.withColumn("__k", k)
-    firsts = keyed.groupBy("__k").agg(F.min("tile_id").alias("first_id"))
-    return keyed.join(firsts, "__k").select("tile_id", "length", "first_id")
+    keyed = tiles.withColumn("__k", k.cast("string"))
+    firsts = keyed.groupBy("__k").agg(F.min("tile_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    hot = firsts.where(F.col("n") >= hot_tiles).select("__k", F.col("first_id").alias("hot_id"))
+    cold = firsts.where(F.col("n") < hot_tiles).select(F.col("__k").alias("__j"), "first_id")
+    marked = keyed.join(F.broadcast(hot), "__k", "left")
+    spread = marked.withColumn("__j", F.when(F.col("hot_id").isNull(), F.col("__k")).otherwise(F.concat(F.lit("tile "), F.col("tile_id").cast("string"))))
+    return spread.join(cold, "__j", "left").select("tile_id", "length", F.coalesce("hot_id", "first_id").alias("first_id"))
 
 
 def offsets(firsts: DataFrame, span: int = 1 << 20) -> DataFrame:
@@ -206,16 +217,19 @@ def offsets(firsts: DataFrame, span: int = 1 << 20) -> DataFrame:
 def coalesced(entries: DataFrame, span: int = 1 << 20) -> DataFrame:
     """tile_id, offset, length, run_length: neighbouring tiles of one payload as one entry.
 
-    Islands are found by difference within ranges of ``span`` ids; runs that meet at the edge of a range are joined
-    from one row a run.
+    Islands are found by difference within ranges of ``span`` ids.  Of a range only the run at its first id and that at
+    its last can go on in another, so at most two rows a range are looked at together.
     """
     w = Window.partitionBy("part", "offset", "length").orderBy("tile_id")
     ranged = entries.withColumn("part", F.floor(F.col("tile_id") / span))
     runs = ranged.withColumn("island", F.col("tile_id") - F.row_number().over(w)).groupBy("part", "offset", "length", "island").agg(F.min("tile_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    edge = Window.partitionBy("offset", "length").orderBy("first")
-    starts = F.coalesce(F.lag(F.col("first") + F.col("n")).over(edge) != F.col("first"), F.lit(True)).cast("int")
-    joined = runs.withColumn("starts", starts).withColumn("run", F.sum("starts").over(edge.rowsBetween(Window.unboundedPreceding, 0)))
-    return joined.groupBy("offset", "length", "run").agg(F.min("first").alias("tile_id"), F.sum("n").alias("run_length")).select("tile_id", "offset", "length", "run_length")
+    at_edge = (F.col("first") == F.col("part") * span) | (F.col("first") + F.col("n") == (F.col("part") + 1) * span)
+    inner = runs.where(~at_edge).select(F.col("first").alias("tile_id"), "offset", "length", F.col("n").alias("run_length"))
+    edge = Window.orderBy("first")
+    follows = (F.lag(F.col("first") + F.col("n")).over(edge) == F.col("first")) & (F.lag("offset").over(edge) == F.col("offset")) & (F.lag("length").over(edge) == F.col("length"))
+    joined = runs.where(at_edge).withColumn("starts", (~F.coalesce(follows, F.lit(False))).cast("int"))
+    joined = joined.withColumn("run", F.sum("starts").over(edge.rowsBetween(Window.unboundedPreceding, 0)))
+    return inner.unionByName(joined.groupBy("run", "offset", "length").agg(F.min("first").alias("tile_id"), F.sum("n").alias("run_length")).select("tile_id", "offset", "length", "run_length"))
 
 
 def archive_stats(entries: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import geo
-from tarn.operators import export, terrain, tiles, ways
+from tarn.operators import archive, export, terrain, tiles, ways
 from tarn.plans import derived as d
 from tarn.plans.scalar_queries import HILBERT, W, _tx, _ty, r3
 
@@ -365,8 +365,7 @@ def compiled_archive(spark, sf, path: str, zoom: int = geo.DETAIL_ZOOM) -> DataF
     """The whole compile: features, tiles, an archive at ``path``, and the archive read back."""
     from tarn.sources import pmtiles
 
-    made = tiles.encoded(compiled_features(spark, sf, zoom)).select("tile_id", "payload").orderBy("tile_id")
-    pmtiles.write_archive(path, ((r.tile_id, bytes(r.payload)) for r in made.toLocalIterator()), (9.0, 46.0, 18.0, 49.0), pmtiles.vector_metadata("map"))
+    archive.write_archive(tiles.encoded(compiled_features(spark, sf, zoom)), path, (9.0, 46.0, 18.0, 49.0), pmtiles.vector_metadata("map"))
     spark.dataSource.register(pmtiles.PMTilesSource)
     return spark.read.format("pmtiles").load(path)
 

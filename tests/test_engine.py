@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import geo
 from tarn.functions import text as tx
-from tarn.operators import kernels, mvt, online, terrain, tiles, tracker, ways
+from tarn.operators import archive, kernels, mvt, online, terrain, tiles, tracker, ways
 from tarn.plans import compile as compiler
 from tarn.plans import registry
 from tarn.sources import files, geotiff, pbf, pmtiles
@@ -144,6 +144,40 @@ def fixture(path):
     return nodes, made
 
 
+@pytest.mark.parametrize(("n", "kinds", "dedup"), [(0, 1, True), (300, 7, True), (300, 7, False), (30_000, 9_000, True), (5_000, 1, True)])
+def test_archive_by_tasks_is_that_of_the_driver(spark, tmp_path, n, kinds, dedup):
+    rows = [((k * 7919 % (3 * n or 1)) * 5 + 100, f"payload {k * k % kinds}".encode() * (1 + k % kinds % 3)) for k in range(n)] if kinds > 1 else [(k + 77, b"same") for k in range(n)]
+    rows = sorted(dict(rows).items())
+    args = ((10.0, 46.5, 12.25, 48.0), pmtiles.vector_metadata("x"))
+    want = pmtiles.write_archive(f"{tmp_path}/driver", rows, *args, dedup=dedup)
+    df = spark.createDataFrame(rows, "tile_id long, payload binary").repartition(4)
+    got = archive.write_archive(df, f"{tmp_path}/tasks", *args, dedup=dedup)
+    assert got == want and open(f"{tmp_path}/tasks", "rb").read() == open(f"{tmp_path}/driver", "rb").read()
+    assert sorted(os.listdir(tmp_path)) == ["driver", "tasks"]
+    if n == 300:
+        with pytest.raises(ValueError, match="twice"):
+            archive.write_archive(df.unionByName(df), f"{tmp_path}/again", *args)
+
+
+def test_runs_over_the_edges_of_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows, tile = [], 0
+    for _ in range(300):
+        tile += int(rng.choice([1, 1, 1, 1, 9]))
+        rows.append((tile, int(rng.choice([0, 0, 0, 5])), 5))
+    rows += [(2000 + k, 0, 5) for k in range(100)]
+    df = spark.createDataFrame(rows, "tile_id long, offset long, length long").repartition(4)
+    want = [(e.tile_id, e.offset, e.length, e.run) for e in pmtiles.coalesce_runs(rows)]
+    for span in (1, 7, 16, 1 << 20):
+        assert sorted(map(tuple, tiles.coalesced(df, span).select("tile_id", "offset", "length", "run_length").collect())) == want
+    keyed = spark.createDataFrame([(k, 3, f"k{k % 5 if k % 2 else 0}") for k in range(200)], "tile_id long, length long, key string")
+    first = {}
+    for k in range(200):
+        first.setdefault(k % 5 if k % 2 else 0, k)
+    for hot in (1, 30, 1000):
+        assert {r.tile_id: r.first_id for r in tiles.first_payloads(keyed, hot_tiles=hot).collect()} == {k: first[k % 5 if k % 2 else 0] for k in range(200)}
+
+
 def test_compile_job(spark, tmp_path):
     nodes, made = fixture(str(tmp_path / "x.osm.pbf"))
     grid = np.array([[500 + 10 * x + 5 * y for x in range(60)] for y in range(40)], np.float32)
