@@ -79,7 +79,7 @@ def nearest(points: DataFrame, trails: DataFrame, *, k: int = 3, cell: float = 0
     own = [(0, 0)]
     around = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
     size, places, seen = cell, own, 0.0
-    grid = durable(_cell_index(boxes, size, k))
+    grid = durable(cell_index(boxes, size, k))
     found = held = None
     while True:
         near = F.array(*(F.struct((F.floor(px / size) + x).alias("cx"), (F.floor(py / size) + y).alias("cy")) for x, y in places))
@@ -105,7 +105,7 @@ def nearest(points: DataFrame, trails: DataFrame, *, k: int = 3, cell: float = 0
         else:
             size *= COARSER
             places, seen = around, size
-            grid = durable(_cell_index(boxes, size, k))
+            grid = durable(cell_index(boxes, size, k))
     chosen = found.select("point_id", "lng", "lat", "trail_id")
     if exact:
         best = _on_segments(chosen, trails).groupBy("point_id").agg(F.min("d").alias("best"))
@@ -120,7 +120,7 @@ def nearest(points: DataFrame, trails: DataFrame, *, k: int = 3, cell: float = 0
                 return F.sequence(F.floor((v - F.col("best")) / size), F.floor((v + F.col("best")) / size))
 
             cells = wide.where(F.col("level") == n).withColumn("cx", F.explode(span(px))).withColumn("cy", F.explode(span(py)))
-            parts.append(cells.join(_cell_index(boxes, size, None), ["cx", "cy"]).where(_box_distance(px, py) <= F.col("best")).select("point_id", "lng", "lat", "trail_id"))
+            parts.append(cells.join(cell_index(boxes, size, None), ["cx", "cy"]).where(_box_distance(px, py) <= F.col("best")).select("point_id", "lng", "lat", "trail_id"))
         chosen = reduce(DataFrame.unionByName, parts).dropDuplicates(["point_id", "trail_id"]) if parts else chosen
     hits = _on_segments(chosen, trails)
     first = hits.groupBy("point_id").agg(F.min_by(F.struct("trail_id", "metres"), F.struct("metres", "trail_id") if not exact else F.struct("d", "trail_id")).alias("h"))
@@ -128,7 +128,7 @@ def nearest(points: DataFrame, trails: DataFrame, *, k: int = 3, cell: float = 0
     return first.select("point_id", "h.trail_id", F.round("h.metres").cast("long").alias("metres")).join(named, "trail_id").select("point_id", "trail_id", "name", "highway", "metres")
 
 
-def _cell_index(boxes: DataFrame, cell: float, k: int | None) -> DataFrame:
+def cell_index(boxes: DataFrame, cell: float, k: int | None = None) -> DataFrame:
     """Boxes by each cell that they touch.
 
     With ``k``, of the boxes that cover a cell whole only the k smallest ids stay, and of the others only those of

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import geo
 from tarn.functions import text as tx
-from tarn.operators import export, online, tracker, ways
+from tarn.operators import archive, export, online, tracker, ways
 from tarn.plans import derived as d
 from tarn.plans.scalar_queries import _HAV, r3
+from tarn.sources import files
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -188,17 +191,41 @@ def _(spark, sf):
     return d.read(spark, sf, "pages").select("page_id", kind.alias("kind"), F.coalesce(kind.isin("pbf", "tiff", "pmtiles"), F.lit(False)).alias("valid"))
 
 
-@query("src18_byte_range", "select page_id, strlen(html)::bigint size, sha256(substring(html, 101, 50)) part from pages where html is not null")
+#: The bytes that ranges are read of: an archive's first bytes, then digits.
+RANGE_FILE = b"PMTiles" + b"0123456789" * 1000
+_RANGES = "select o_orderkey::bigint id, o_orderkey * 37 % 10500 o, o_orderkey % 80 n, 'PMTiles' || repeat('0123456789', 1000) t from orders"
+
+
+def _ranges(spark, sf) -> DataFrame:
+    """Ranges of bytes of a file, some over its end and some beyond it."""
+    k = F.col("o_orderkey").cast("long")
+    asked = d.read(spark, sf, "orders").select(k.alias("id"), F.when(k % 2 == 0, F.lit("alps")).otherwise(F.concat(F.lit("alps/"), k.cast("string"))).alias("key"), (k * 37 % 10500).alias("offset"), (k % 80).alias("length"))
+    path = os.path.join(files.shared_folder(spark, "ranges"), "alps.pmtiles")
+    with open(path, "wb") as f:
+        f.write(RANGE_FILE)
+    return files.byte_ranges(asked, {"alps": path})
+
+
+@query("src18_byte_range", f"select id, length(substring(t, o + 1, n))::bigint size, sha256(substring(t, o + 1, n)) part from ({_RANGES})")
+def _(spark, sf):
+    return _ranges(spark, sf).select("id", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("part"))
+
+
+@query("src19_registry_read", f"select case when id % 2 = 0 then 'whole' else 'below' end kind, count(*) reads, sum(length(substring(t, o + 1, n)))::bigint total_bytes from ({_RANGES}) group by 1")
 def _(spark, sf):
-    return d.read(spark, sf, "pages").where("html is not null").select("page_id", F.octet_length("html").cast("long").alias("size"), F.sha2(F.encode(F.substring("html", 101, 50), "UTF-8"), 256).alias("part"))
+    kind = F.when(F.col("key") == "alps", "whole").otherwise("below").alias("kind")
+    return _ranges(spark, sf).groupBy(kind).agg(F.count(F.lit(1)).alias("reads"), F.sum(F.octet_length("payload")).cast("long").alias("total_bytes"))
 
 
 @query("src20_tile_or_blank", "with t as (select p_partkey::bigint id from part), e as (select distinct o_orderkey::bigint id, 'tile ' || o_orderkey::varchar payload from orders where o_orderkey % 3 = 0) select t.id, coalesce(payload, 'blank') payload from t left join e using (id)")
 def _(spark, sf):
-    t = d.read(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id"))
+    """Tiles asked for by zoom, column and row, of an archive that has a third of them."""
     k = F.col("o_orderkey").cast("long")
-    e = d.read(spark, sf, "orders").where(k % 3 == 0).select(k.alias("id"), F.concat(F.lit("tile "), k.cast("string")).alias("payload"))
-    return t.join(e, "id", "left").select("id", F.coalesce("payload", F.lit("blank")).alias("payload"))
+    have = d.read(spark, sf, "orders").where(k % 3 == 0).select(k.alias("tile_id"), F.encode(F.concat(F.lit("tile "), k.cast("string")), "UTF-8").alias("payload"))
+    path = os.path.join(files.shared_folder(spark, "tiles"), "map.pmtiles")
+    archive.write_archive(have, path, (9.0, 46.0, 18.0, 49.0), {"name": "map"})
+    asked = d.read(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id")).withColumn("t", geo.hilbert_tile("id")).select("id", "t.z", "t.x", "t.y")
+    return archive.tiles_or_blank(asked, path, b"blank").select("id", F.decode("payload", "UTF-8").alias("payload"))
 
 
 @query("src17_parse_elements", "select id, name, n from (select route_id id, count(*) n from route_points group by 1 having count(*) >= 2) join (select way_id, coalesce(name, 'Unnamed Trail') as name from kinds) on way_id = id", "route_points", "kinds")
@@ -209,9 +236,16 @@ def _(spark, sf):
     return online.parse_elements(e).select("id", "name", F.size("coords").cast("long").alias("n"))
 
 
-@query("src25_presets", "select * from (values ('alps-west', 6.5::double, 45.0::double, 10.5::double, 47.5::double), ('alps-east', 10.5, 46.0, 14.5, 48.0), ('black-forest', 7.5, 47.5, 8.8, 49.0)) t(region, west, south, east, north)")
+_PRESETS = ", ".join(f"('{n}', {w}::double, {so}::double, {e}::double, {no}::double)" for n, w, so, e, no in files.PRESETS)
+
+
+@query("src25_presets", f", r as (select * from (values {_PRESETS}) t(region, west, south, east, north)) select region, west, south, east, north, count(node_id) nodes from r left join coordinates on lon >= west and lon <= east and lat >= south and lat <= north group by all", "coordinates")
 def _(spark, sf):
-    return spark.createDataFrame([("alps-west", 6.5, 45.0, 10.5, 47.5), ("alps-east", 10.5, 46.0, 14.5, 48.0), ("black-forest", 7.5, 47.5, 8.8, 49.0)], "region string, west double, south double, east double, north double")
+    """The catalogue, and how many nodes each region has; it is a fixed handful of boxes, so each node is tested against all."""
+    c = d.coordinates(spark, sf)
+    region = F.array(*(F.when(F.col("lon").between(w, e) & F.col("lat").between(s, n), F.lit(name)) for name, w, s, e, n in files.PRESETS))
+    counts = c.select(F.explode(F.filter(region, lambda r: r.isNotNull())).alias("region")).groupBy("region").agg(F.count(F.lit(1)).alias("nodes"))
+    return files.presets(spark).join(counts, "region", "left").select("region", "west", "south", "east", "north", F.coalesce("nodes", F.lit(0)).cast("long").alias("nodes"))
 
 
 _RE = r"(?://|#)"
@@ -284,11 +318,7 @@ def _(spark, sf):
     return online.shortest_paths(edges, sources).select("source", "node", r3("cost", "cost"))
 
 
-@query("geo14_cell_index", "with recursive x as (select 1) select cx, cy, count(*) n from (select id, unnest(range(floor(min_x / 0.05::double)::bigint, floor(max_x / 0.05::double)::bigint + 1)) cx, min_y, max_y from (select * from trails)) s, lateral (select unnest(range(floor(min_y / 0.05::double)::bigint, floor(max_y / 0.05::double)::bigint + 1)) cy) l group by 1, 2", "trails")
+@query("geo14_cell_index", "select cx, cy, count(*) n from (select id, cx, unnest(range(floor(min_y / 0.05::double)::bigint, floor(max_y / 0.05::double)::bigint + 1)) cy from (select id, min_y, max_y, unnest(range(floor(min_x / 0.05::double)::bigint, floor(max_x / 0.05::double)::bigint + 1)) cx from trails)) group by 1, 2", "trails")
 def _(spark, sf):
-    t = d.trails(spark, sf)
-    c = t.select("id", "min_y", "max_y", F.explode(F.sequence(F.floor(F.col("min_x") / 0.05), F.floor(F.col("max_x") / 0.05))).alias("cx"))
-    return c.select("cx", F.explode(F.sequence(F.floor(F.col("min_y") / 0.05), F.floor(F.col("max_y") / 0.05))).alias("cy")).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-
-
-ORACLE_SQL["geo14_cell_index"] = d.with_tables("select cx, cy, count(*) n from (select id, cx, unnest(range(floor(min_y / 0.05::double)::bigint, floor(max_y / 0.05::double)::bigint + 1)) cy from (select id, min_y, max_y, unnest(range(floor(min_x / 0.05::double)::bigint, floor(max_x / 0.05::double)::bigint + 1)) cx from trails)) group by 1, 2", "trails")
+    boxes = d.trails(spark, sf).select(F.col("id").alias("trail_id"), "min_x", "min_y", "max_x", "max_y")
+    return online.cell_index(boxes, 0.05).groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators import online, terrain, ways
+from tarn.functions import geo
+from tarn.operators import online, ways
 from tarn.plans import derived as d
 from tarn.plans.online_queries import _TRIP
 from tarn.plans.scalar_queries import r3, svg_paths
@@ -140,12 +141,11 @@ def _(spark, sf):
 @query("geo09_window_rgb")
 def _(spark, sf):
     """Bytes of the raster as one padded tile of colours: how many pixels have each code."""
-    grid = np.full((d.DEM_ROWS, d.DEM_COLS), np.nan)
-    for r in d.dem(spark).where("elev is not null").collect():  # as many pixels as the fixed raster has
-        grid[r.py, r.px] = r.elev
-    code = terrain.rgb(terrain.padded(grid)).astype(int)
-    values, counts = np.unique(code[..., 0] << 16 | code[..., 1] << 8 | code[..., 2], return_counts=True)
-    return spark.createDataFrame(list(zip(values.tolist(), counts.tolist(), strict=True)), "code long, n long")
+    pixels = spark.range(256 * 256).select((F.col("id") % 256).cast("int").alias("px"), F.floor(F.col("id") / 256).cast("int").alias("py"))
+    elev = F.coalesce("elev", F.lit(0.0)).alias("elev")
+    window = pixels.join(d.dem(spark), ["px", "py"], "left").select(geo.terrain_rgb(elev).alias("c"))
+    code = (F.col("c.r") * 65536 + F.col("c.g") * 256 + F.col("c.b")).cast("long").alias("code")
+    return window.groupBy(code).agg(F.count(F.lit(1)).alias("n"))
 
 
 ORACLE_SQL["geo09_window_rgb"] = d.with_tables(f"select round((e + 10000) * 10)::bigint code, count(*) n from (select coalesce(elev, 0) e from dem union all select 0 from range({65536 - d.DEM_COLS * d.DEM_ROWS})) group by 1", "dem")

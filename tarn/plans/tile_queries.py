@@ -408,7 +408,9 @@ def _(spark, sf):
     def run(batches):
         for b in batches:
             xy = np.stack([b.column(i).to_numpy() for i in range(2, 6)], 1)
-            n = [len(kernels.crossed(p[:2], p[2:], geo.DETAIL_ZOOM)) for p in xy]
+            seg, cell = kernels.crossed_all(xy[:, :2], xy[:, 2:], geo.DETAIL_ZOOM)
+            tiles = np.unique(seg << 28 | cell[:, 0] << 14 | cell[:, 1])
+            n = np.bincount(tiles >> 28, minlength=len(xy))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["way_id", "pos", "n_tiles"])
 
     return s.mapInArrow(run, "way_id long, pos int, n_tiles long")

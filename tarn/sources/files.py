@@ -11,7 +11,9 @@ import urllib.request
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 ELEMENTS = "elements array<struct<type:string,id:long,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>"
 
@@ -136,6 +138,34 @@ class Registry:
         return raw
 
 
+def byte_ranges(requests: DataFrame, files: dict[str, str]) -> DataFrame:
+    """``requests`` (key, offset, length, ...) with payload: the bytes of the file that a key matches, fewer at its end.
+
+    ``files`` are archives by name, under paths that all tasks see; each task opens them once and reads what its own
+    rows ask for.  A key that matches none is an error.
+    """
+
+    def run(batches):
+        open_files = Registry()
+        for name, path in files.items():
+            open_files.bind(name, path)
+        for b in batches:
+            asked = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", "offset", "length"))
+            found = [open_files.read(*x) for x in zip(*asked, strict=True)]
+            yield b.append_column("payload", pa.array(found, pa.binary()))
+
+    return requests.mapInArrow(run, StructType([*requests.schema, StructField("payload", BinaryType())]))
+
+
+#: Regions that come with the engine: name, west, south, east, north (fixed values).
+PRESETS = (("alps-west", 6.5, 45.0, 10.5, 47.5), ("alps-east", 10.5, 46.0, 14.5, 48.0), ("black-forest", 7.5, 47.5, 8.8, 49.0))
+
+
+def presets(spark: SparkSession) -> DataFrame:
+    """region, west, south, east, north of the regions in the catalogue."""
+    return spark.createDataFrame(list(PRESETS), "region string, west double, south double, east double, north double")
+
+
 def hiking_query(south: float, west: float, north: float, east: float) -> str:
     """The question for hiking ways of a box."""
     box = f"({south},{west},{north},{east})"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import geo
 from tarn.functions import text as tx
-from tarn.operators import archive, kernels, mvt, online, terrain, tiles, tracker, ways
+from tarn.operators import archive, export, kernels, mvt, online, terrain, tiles, tracker, ways
 from tarn.plans import compile as compiler
 from tarn.plans import registry
 from tarn.sources import files, geotiff, pbf, pmtiles
@@ -159,6 +159,29 @@ def test_archive_by_tasks_is_that_of_the_driver(spark, tmp_path, n, kinds, dedup
             archive.write_archive(df.unionByName(df), f"{tmp_path}/again", *args)
 
 
+def test_tiles_of_an_archive_or_blank(spark, tmp_path):
+    rows = [(k * 3, f"p{k}".encode()) for k in range(20_000)]
+    archive.write_archive(spark.createDataFrame(rows, "tile_id long, payload binary"), f"{tmp_path}/a", (0, 0, 1, 1), {})
+    assert pmtiles.Header.unpack(pmtiles.file_reader(f"{tmp_path}/a")(0, 127)).leaves[1] > 0
+    asked = spark.range(0, 70_000, 7).select(F.col("id"), geo.hilbert_tile("id").alias("t")).select("id", "t.z", "t.x", "t.y", F.lit(1).alias("tile_id"))
+    got = {r.id: bytes(r.payload) for r in archive.tiles_or_blank(asked, f"{tmp_path}/a").collect()}
+    have = dict(rows)
+    assert got == {k: have.get(k, b"") for k in range(0, 70_000, 7)}
+
+
+def test_gpx_document(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+    from datetime import UTC, datetime
+
+    rows = [(2, "b <&> c", "path", [(11.0, 47.0), (11.1, 47.1)]), (1, "a", "track", [(1.0, 2.0), (3.0, 4.0)])]
+    df = spark.createDataFrame(rows, "id long, name string, highway string, coords array<struct<lng:double,lat:double>>")
+    export.write_gpx(df, f"{tmp_path}/a.gpx", name="Alps & more", time=datetime(2024, 5, 6, 7, 8, 9, tzinfo=UTC))
+    ns = {"g": "http://www.topografix.com/GPX/1/1"}
+    root = ET.parse(f"{tmp_path}/a.gpx").getroot()
+    assert [root.findtext(f"g:metadata/g:{k}", namespaces=ns) for k in ("name", "desc", "time")] == ["Alps & more", "2 trails", "2024-05-06T07:08:09.000Z"]
+    assert [t.findtext("g:name", namespaces=ns) for t in root.findall("g:trk", ns)] == ["a", "b <&> c"]
+
+
 def test_runs_over_the_edges_of_ranges(spark):
     rng = np.random.default_rng(5)
     rows, tile = [], 0
