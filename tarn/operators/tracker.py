@@ -43,14 +43,24 @@ def tags(lines: DataFrame, platforms: dict[str, str] | None = None) -> DataFrame
     return parsed.withColumn("error", error).withColumn("detail", detail)
 
 
+def _valid(found: DataFrame) -> DataFrame:
+    return found.where("error is null and kind in ('debt', 'bug')")
+
+
 def inventory(found: DataFrame) -> DataFrame:
-    """kind, id, description, detail, sites (sorted "path:line"), conflicts: sites that differ from the first in description or detail."""
-    valid = found.where("error is null and kind in ('debt', 'bug')")
-    first = valid.groupBy("kind", "id").agg(F.min_by(F.struct("description", "detail"), F.struct("path", "line")).alias("f"))
-    joined = valid.join(first, ["kind", "id"])
-    same = (F.col("description") == F.col("f.description")) & (F.col("detail") == F.col("f.detail"))
-    site = F.concat_ws(":", "path", F.col("line").cast("string"))
-    return joined.groupBy("kind", "id").agg(F.first("f.description").alias("description"), F.first("f.detail").alias("detail"), F.array_sort(F.collect_list(F.when(same, site))).alias("sites"), F.count(F.when(~same, 1)).alias("conflicts"))
+    """kind, id, description, detail, sites and conflicts: how many sites agree with the first, by path and line, and how many do not.
+
+    Sites are counted by what they say before they meet by id, so an id that most lines carry is a row a task and text.
+    """
+    said = _valid(found).groupBy("kind", "id", "description", "detail").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "line")).alias("at"))
+    ids = said.groupBy("kind", "id").agg(F.min_by(F.struct("description", "detail", "n"), "at").alias("f"), F.sum("n").alias("n"))
+    return ids.select("kind", "id", "f.description", "f.detail", F.col("f.n").alias("sites"), (F.col("n") - F.col("f.n")).alias("conflicts"))
+
+
+def sites(found: DataFrame) -> DataFrame:
+    """kind, id, description, detail, site ("path:line"): a row for each site that agrees with the first of its id."""
+    first = inventory(found).select("kind", "id", "description", "detail")
+    return _valid(found).join(first, ["kind", "id", "description", "detail"]).select("kind", "id", "description", "detail", F.concat_ws(":", "path", F.col("line").cast("string")).alias("site"))
 
 
 def missing_mirrors(found: DataFrame, platforms: dict[str, str] | None = None) -> DataFrame:
@@ -88,8 +98,12 @@ def unburied(tracked: DataFrame, live: DataFrame, buried: DataFrame) -> DataFram
 
 
 def report(found: DataFrame) -> DataFrame:
-    """One row: the tracker page, debts and bugs sorted by id with their sites."""
-    rows = inventory(found).select("kind", "id", F.concat(F.lit("- "), "id", F.lit(" "), "description", F.lit(" ["), "detail", F.lit("] "), F.array_join("sites", ", ")).alias("text"))
+    """One row: the tracker page, debts and bugs sorted by id with their sites.
+
+    A page is a text of one row, so it suits as many sites as a reader can look through; `sites` gives them as rows.
+    """
+    listed = sites(found).groupBy("kind", "id", "description", "detail").agg(F.array_sort(F.collect_list("site")).alias("sites"))
+    rows = listed.select("kind", "id", F.concat(F.lit("- "), "id", F.lit(" "), "description", F.lit(" ["), "detail", F.lit("] "), F.array_join("sites", ", ")).alias("text"))
     kinds = rows.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda r: r["text"]), "\n").alias("body"), F.count(F.lit(1)).alias("n"))
     return kinds.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("kind") == "debt", 0).otherwise(1).alias("o"), F.concat(F.lit("## "), "kind", F.lit("\n"), "body").alias("t")))), lambda r: r["t"]), "\n\n").alias("page"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tarn.functions import geo
 from tarn.plans import derived as d
 from tarn.plans.online_queries import _LEN, _PROFILE, _TAGS
-from tarn.plans.scalar_queries import _HAV, W
+from tarn.plans.scalar_queries import _HAV, W, _tx, _ty
 from tarn.streaming.trips import MOVES
 
 E = 2 * W / (1 << geo.DETAIL_ZOOM)
@@ -65,6 +65,22 @@ BINNING = f"""{_recursive(d.with_tables(f", {_thinned(_LINES, _EPS)}, {_CUT}", "
 select {geo.DETAIL_ZOOM}::integer z, tx x, ty y, id way_id, count(*) runs from runs where drawn group by all"""
 
 
+_G = 4096 / E
+
+#: What a decoder must find in each tile: pieces of classified ways on the tile's grid without steps of no length, and peaks.
+_DRAWN = f"""{_recursive(d.with_tables(f""", {_thinned(_LINES + " and way_id in (select way_id from kinds)", _EPS)}, {_CUT},
+snap as (select id, tx, ty, i, sum((not joined)::int) over (partition by id, tx, ty order by i) run,
+  round((fx - (tx * {E!r} - {W!r})) * {_G!r})::bigint gx0, round((({W!r} - ty * {E!r}) - fy) * {_G!r})::bigint gy0,
+  round((lx - (tx * {E!r} - {W!r})) * {_G!r})::bigint gx1, round((({W!r} - ty * {E!r}) - ly) * {_G!r})::bigint gy1 from walk),
+lines as (select id, tx, ty, run, 1 + count(*) filter (gx0 <> gx1 or gy0 <> gy1) n,
+  arg_min(gx0, i) + coalesce(sum(gx1) filter (gx0 <> gx1 or gy0 <> gy1), 0) sx, arg_min(gy0, i) + coalesce(sum(gy1) filter (gx0 <> gx1 or gy0 <> gy1), 0) sy from snap group by all),
+spot as (select node_id id, {_tx('14')} tx, {_ty('14')} ty, mx, my from pois),
+every as (select id, tx, ty, n, sx, sy from lines where n > 1 union all
+  select id, tx, ty, 1, round((mx - (tx * {E!r} - {W!r})) * {_G!r})::bigint, round((({W!r} - ty * {E!r}) - my) * {_G!r})::bigint from spot)""", "line", "kinds", "pois"))}"""
+DECODED = f"{_DRAWN} select tx x, ty y, count(distinct id) features, count(*) segments, sum(n)::bigint vertices, sum(sx)::bigint sum_x, sum(sy)::bigint sum_y from every group by 1, 2"
+ARCHIVED = f"{_DRAWN} select tx x, ty y, count(distinct id) features from every group by 1, 2"
+
+
 def _cell(v: str, up: bool = False) -> str:
     return f"least(greatest(floor(({W!r} - {v}) / {E!r}), 0), {LAST})::bigint" if up else f"least(greatest(floor(({v} + {W!r}) / {E!r}), 0), {LAST})::bigint"
 
@@ -148,6 +164,8 @@ select route_id, seq, round(case when keep then elev else e0 + coalesce((dist -
 ORACLE_SQL: dict[str, str] = {
     "geo01_rdp_simplify": RDP,
     "geo03_tile_binning": BINNING,
+    "geo04_mvt_geometry": DECODED,
+    "snk06_pmtiles_roundtrip": ARCHIVED,
     "gen04_grid_traversal": TRAVERSAL,
     "geo11_hillshade": HILLSHADE,
     "str09_job_states": JOB_STATES,

@@ -263,7 +263,7 @@ def _(spark, sf):
 @query("agg20_tag_inventory", f"{_TAGS}, v as (select *, first_value(description) over w d0, first_value(detail) over w t0 from tg where kind in ('debt', 'bug') window w as (partition by kind, id order by path, line)) select kind, id, any_value(d0) description, any_value(t0) detail, count(*) filter (description = d0 and detail = t0) sites, count(*) filter (not (description = d0 and detail = t0)) conflicts from v group by 1, 2", "source_lines")
 def _(spark, sf):
     i = tracker.inventory(tracker.tags(d.source_lines(spark, sf)))
-    return i.select("kind", "id", "description", "detail", F.size("sites").cast("long").alias("sites"), "conflicts")
+    return i.select("kind", "id", "description", "detail", "sites", "conflicts")
 
 
 @query("jon10_missing_mirrors", f"{_TAGS}, p as (select distinct id, unnest(string_split(detail, ',')) platform from tg where kind = 'debt'), s as (select distinct id, case when path like 'ios/%' then 'ios' when path like 'android/%' then 'android' when path like 'src/%' then 'web' else 'core' end platform from tg where kind = 'debt') select id, platform from p anti join s using (id, platform)", "source_lines")

@@ -370,11 +370,38 @@ def compiled_archive(spark, sf, path: str, zoom: int = geo.DETAIL_ZOOM) -> DataF
     return spark.read.format("pmtiles").load(path)
 
 
+def decoded(tiles_: DataFrame) -> DataFrame:
+    """x, y and what a decoder finds in each tile (tile_id, payload): features, segments, vertices, sums of grid coordinates."""
+    import gzip
+
+    import pyarrow as pa
+
+    from tarn.operators import mvt
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for raw in b.column(1).to_pylist():
+                found = mvt.decode_tile(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+                points = [p for f in found for s in f["segments"] for p in s]
+                out.append((len(found), sum(len(f["segments"]) for f in found), len(points), sum(x for x, _ in points), sum(y for _, y in points)))
+            names = ["features", "segments", "vertices", "sum_x", "sum_y"]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], pa.int64()) for i in range(5))], names=["tile_id", *names])
+
+    found = tiles_.select("tile_id", "payload").mapInArrow(run, "tile_id long, features long, segments long, vertices long, sum_x long, sum_y long")
+    return found.withColumn("t", geo.hilbert_tile("tile_id")).select("t.x", "t.y", "features", "segments", "vertices", "sum_x", "sum_y")
+
+
+@query("geo04_mvt_geometry")
+def _(spark, sf):
+    return decoded(tiles.encoded(compiled_features(spark, sf), compress=False))
+
+
 @query("snk06_pmtiles_roundtrip")
 def _(spark, sf):
     from tarn.sources.files import shared_folder
 
-    return compiled_archive(spark, sf, f"{shared_folder(spark, 'archive')}/map.pmtiles").select("tile_id", "length")
+    return decoded(compiled_archive(spark, sf, f"{shared_folder(spark, 'archive')}/map.pmtiles")).select("x", "y", "features")
 
 
 @query("geo08_terrain_tiles")

@@ -7,6 +7,7 @@ import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,27 +27,46 @@ def metres(lng1: float, lat1: float, lng2: float, lat2: float) -> float:
 
 
 def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Running totals of a trip's current segment; events older than the last one seen are dropped."""
+    """Running totals of a trip's current segment; events not newer than the last one seen are dropped.
+
+    A batch is worked through by columns: segments are counted openings, a fix counts where the event before it that is
+    no fix has opened one, and steps go from each counted fix to the next of its segment.
+    """
     segment, active, lng, lat, total, fixes, ts, seq = state.get if state.exists else (0, False, None, None, 0.0, 0, None, None)
-    rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
-    out = []
-    for r in rows.itertuples(index=False):
-        if ts is not None and (r.ts, r.seq) <= (pd.Timestamp(ts), seq):
-            continue
-        ts, seq = r.ts.to_pydatetime(), int(r.seq)
-        if r.event in ("start", "resume"):
-            if active or fixes:
-                out.append((segment, total, fixes))
-            segment, active, lng, lat, total, fixes = segment + 1, True, None, None, 0.0, 0
-        elif r.event == "pause":
-            active = False
-        elif active:
-            if lng is not None:
-                step = metres(lng, lat, r.lng, r.lat)
-                total += step if step > 1.0 else 0.0
-            lng, lat, fixes = r.lng, r.lat, fixes + 1
+    rows = pd.concat(list(parts)).sort_values(["ts", "seq"]).drop_duplicates(["ts", "seq"])
+    if ts is not None:
+        rows = rows[(rows["ts"] > pd.Timestamp(ts)) | ((rows["ts"] == pd.Timestamp(ts)) & (rows["seq"] > seq))]
+    if len(rows):
+        event = rows["event"].to_numpy()
+        opens, pauses = np.isin(event, ("start", "resume")), event == "pause"
+        own = segment + np.cumsum(opens)
+        since = np.maximum.accumulate(np.where(opens | pauses, np.arange(1, len(rows) + 1), 0))
+        on = np.where(since > 0, opens[since - 1], active)
+        counted = on & ~opens & ~pauses
+        # Fixes that count, after the one that the state ended with.
+        x, y = np.append(lng or 0.0, rows["lng"].to_numpy(float)[counted]), np.append(lat or 0.0, rows["lat"].to_numpy(float)[counted])
+        of = np.append(segment if lng is not None else -1, own[counted])
+        a, b = np.sin(np.radians(np.diff(y)) / 2), np.sin(np.radians(np.diff(x)) / 2)
+        step = 2 * HAVERSINE_RADIUS_M * np.arcsin(np.sqrt(a * a + np.cos(np.radians(y[:-1])) * np.cos(np.radians(y[1:])) * b * b))
+        step[(of[1:] != of[:-1]) | ~(step > 1.0)] = 0.0
+        numbers = np.arange(segment, own[-1] + 1)
+        sums = np.bincount(of[1:] - segment, step, len(numbers)).astype(float)
+        counts = np.bincount(of[1:] - segment, minlength=len(numbers))
+        sums[0], counts[0] = sums[0] + total, counts[0] + fixes
+        last = np.searchsorted(own, numbers, "right") - 1
+        ends_on = np.where(last >= 0, on[last], active)
+        if counted.any():
+            lng, lat = (float(x[-1]), float(y[-1])) if of[-1] == numbers[-1] else (None, None)
+        elif len(numbers) > 1:
+            lng = lat = None
+        told = ends_on | (counts > 0)
+        told[-1] = True
+        out = [(int(n), float(m), int(c)) for n, m, c, t in zip(numbers, sums, counts, told, strict=True) if t]
+        segment, active, total, fixes = int(numbers[-1]), bool(ends_on[-1]), float(sums[-1]), int(counts[-1])
+        ts, seq = rows["ts"].iloc[-1].to_pydatetime(), int(rows["seq"].iloc[-1])
+    else:
+        out = [(segment, total, fixes)]
     state.update((segment, active, lng, lat, total, fixes, ts, seq))
-    out.append((segment, total, fixes))
     yield pd.DataFrame([(key[0], *o) for o in out if o[0] > 0], columns=["trip_id", "segment", "metres", "fixes"])
 
 
