@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import geo
-from tarn.operators import online, ways
+from tarn.operators import export, online, ways
 from tarn.plans import derived as d
 from tarn.plans.online_queries import _TRIP
 from tarn.plans.scalar_queries import r3, svg_paths
@@ -110,6 +110,30 @@ def _(spark, sf):
     return spark.createDataFrame([(r.width, r.height, len(r.offsets), float(r.west), float(r.north))], "width long, height long, chunks long, west double, north double")
 
 
+@query(
+    "src24_feature_read",
+    "select id, case when id % 5 = 0 then 'Unnamed Trail' else name end name, case when id % 3 = 0 then 'path' else highway end highway, n, min_x, min_y, max_x, max_y from trails join (select way_id, count(*) n from line group by 1) on way_id = id where id % 7 <> 0",
+    "trails",
+    "line",
+)
+def _(spark, sf):
+    """Features as a file holds them: some without a name or class, some that are no lines."""
+    folder, k = f"file://{shared_folder(spark, 'features')}", F.col("id")
+    t = d.trails(spark, sf)
+    raw = t.select("id", F.when(k % 5 == 0, F.when(k % 2 == 0, "")).otherwise(F.col("name")).alias("name"), F.when(k % 3 != 0, F.col("highway")).alias("highway"), F.when(k % 7 == 0, "Point").otherwise("LineString").alias("type"), "coords")
+    raw.write.parquet(f"{folder}/features")
+    return export.load_features(spark, folder).select("id", "name", "highway", F.size("coords").cast("long").alias("n"), "min_x", "min_y", "max_x", "max_y")
+
+
+@query("snk16_feature_index", "select cx, cy, count(*) n, min(id) first_id from (select id, cx, unnest(range(floor(min_y / 0.05::double)::bigint, floor(max_y / 0.05::double)::bigint + 1)) cy from (select id, min_y, max_y, unnest(range(floor(min_x / 0.05::double)::bigint, floor(max_x / 0.05::double)::bigint + 1)) cx from trails)) group by 1, 2", "trails")
+def _(spark, sf):
+    """The index that is kept beside saved features, joined with them again."""
+    folder = f"file://{shared_folder(spark, 'features')}"
+    export.save_features(d.trails(spark, sf), folder)
+    index = spark.read.parquet(f"{folder}/index").join(export.load_features(spark, folder).select(F.col("id").alias("trail_id")), "trail_id")
+    return index.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.min("trail_id").alias("first_id"))
+
+
 @query("str04_gps_stream", f"{_TRIP} select trip_id, segment::bigint segment, round(metres, 3) metres from m join (select trip_id, segment, count(*) k from q group by 1, 2) using (trip_id, segment) where metres is not null", "fixes")
 def _(spark, sf):
     folder = shared_folder(spark, "fixes")
