@@ -7,14 +7,18 @@ import shutil
 import tempfile
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from tarn.streaming.trips import retried
+
 ELEMENTS = "elements array<struct<type:string,id:long,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>>>"
 
 
@@ -178,6 +182,32 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ELEMENTS).option("multiLine", True).json(path).selectExpr("inline(elements)")
 
 
+def fetch_elements(boxes: DataFrame, endpoint: str, *, attempts: int = 3, wait_s: float = 1.0, timeout_s: float = 60.0) -> DataFrame:
+    """Elements of the map-data server's answers for ``boxes`` (south, west, north, east), a request a row.
+
+    Requests go out from the tasks, one after the other in each, so the number of parts of ``boxes`` bounds how many are
+    under way.  Busy servers (429, 502, 503, 504) and broken connections are tried again after waits that double, other
+    errors end the query.
+    """
+
+    def run(batches):
+        def transient(e: Exception) -> bool:
+            return e.code in (429, 502, 503, 504) if isinstance(e, urllib.error.HTTPError) else isinstance(e, OSError)
+
+        def ask(box: tuple[float, float, float, float]) -> str:
+            body = urllib.parse.urlencode({"data": hiking_query(*box)}).encode()
+            with urllib.request.urlopen(urllib.request.Request(endpoint, data=body), timeout=timeout_s) as response:
+                return response.read().decode("utf-8")
+
+        for b in batches:
+            answers = [retried(lambda box=box: ask(box), attempts, wait_s, transient) for box in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(answers, pa.string())], names=["body"])
+
+    asked = boxes.select(*(F.col(c).cast("double").alias(c) for c in ("south", "west", "north", "east")))
+    parsed = asked.mapInArrow(run, "body string").select(F.from_json("body", ELEMENTS).alias("r"))
+    return parsed.selectExpr("inline(r.elements)")
+
+
 def with_licence_header(path: str, header: str) -> bool:
     """Puts a header line before a text file unless one of its first three lines has it; says whether it did."""
     with open(path, encoding="utf-8") as f:

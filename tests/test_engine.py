@@ -169,6 +169,38 @@ def test_tiles_of_an_archive_or_blank(spark, tmp_path):
     assert got == {k: have.get(k, b"") for k in range(0, 70_000, 7)}
 
 
+def test_elements_of_a_busy_server(spark):
+    """A server on this machine that refuses every other request."""
+    import http.server
+    import json
+    import threading
+    import urllib.parse
+
+    seen = []
+
+    class Busy(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            query = urllib.parse.parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode())["data"][0]
+            seen.append(query)
+            self.send_response(503 if seen.count(query) == 1 else 200)
+            self.end_headers()
+            if seen.count(query) > 1:
+                self.wfile.write(json.dumps({"elements": [{"type": "way", "id": len(query), "tags": {"highway": "path"}, "geometry": [{"lat": 1.0, "lon": 2.0}, {"lat": 1.5, "lon": 2.5}]}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Busy)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        boxes = spark.createDataFrame([(47.0, 11.0, 47.5, 11.5), (1.0, 2.0, 3.0, 4.0)], "south double, west double, north double, east double").coalesce(1)
+        found = files.fetch_elements(boxes, f"http://127.0.0.1:{server.server_port}/api", wait_s=0.01).collect()
+    finally:
+        server.shutdown()
+    assert sorted(r.id for r in found) == sorted(len(files.hiking_query(*b)) for b in ((47.0, 11.0, 47.5, 11.5), (1.0, 2.0, 3.0, 4.0))) and len(seen) == 4
+    assert online.parse_elements(spark.createDataFrame(found)).first().highway == "path"
+
+
 def test_gpx_document(spark, tmp_path):
     import xml.etree.ElementTree as ET
     from datetime import UTC, datetime
