@@ -318,6 +318,28 @@ def _(spark, sf):
     return online.shortest_paths(edges, sources).select("source", "node", r3("cost", "cost"))
 
 
+_CLASSES = ("path", "footway", "track", "steps", "primary", "motorway", "residential", "cycleway")
+
+
+def _cost_sql() -> str:
+    parts = []
+    for profile, (usual, own) in online.PROFILES.items():
+        cases = " ".join(f"when '{k}' then {'null' if v is None else f'm * {3.6 / v!r}'}" for k, v in own.items())
+        parts.append(f"select '{profile}' profile, route_id, case kind {cases} else m * {3.6 / usual!r} end c from s")
+    kinds = ", ".join(f"'{c}'" for c in _CLASSES)
+    return f"{_LEN}, s as (select route_id, [{kinds}][(route_id % {len(_CLASSES)} + 1)::int] kind, m from q where seq > 0), u as ({' union all '.join(parts)}) select profile, count(c) taken, round(sum(c), 1) as seconds from u group by 1"
+
+
+@query("geo13_edge_costs", _cost_sql(), "route_points")
+def _(spark, sf):
+    """Steps of all routes, on ways of one class each: how many every profile takes, and how long they are for it."""
+    s = ways.with_previous(ways.lengths(d.route_points(spark, sf)), "route_id", "seq", "distance").where("seq > 0")
+    kind = F.element_at(F.array(*map(F.lit, _CLASSES)), (F.col("route_id") % len(_CLASSES) + 1).cast("int"))
+    metres = F.col("distance") - F.coalesce("prev_distance", F.lit(0.0))
+    costs = s.select(F.explode(F.array(*(F.struct(F.lit(p).alias("profile"), online.edge_cost(metres, kind, p).alias("c")) for p in online.PROFILES))).alias("x")).select("x.*")
+    return costs.groupBy("profile").agg(F.count("c").alias("taken"), F.round(F.sum("c"), 1).alias("seconds"))
+
+
 @query("geo14_cell_index", "select cx, cy, count(*) n from (select id, cx, unnest(range(floor(min_y / 0.05::double)::bigint, floor(max_y / 0.05::double)::bigint + 1)) cy from (select id, min_y, max_y, unnest(range(floor(min_x / 0.05::double)::bigint, floor(max_x / 0.05::double)::bigint + 1)) cx from trails)) group by 1, 2", "trails")
 def _(spark, sf):
     boxes = d.trails(spark, sf).select(F.col("id").alias("trail_id"), "min_x", "min_y", "max_x", "max_y")
