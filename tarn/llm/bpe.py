@@ -16,10 +16,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +81,8 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def char_classes() -> np.ndarray:
     """Class of each code point, asked of the library whose results count; regex engines differ in Unicode version."""
+    import tiktoken  # for the driver alone, workers get the classes
+
     codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     every = "".join(map(chr, codes))
     out = np.zeros(0x110000, np.uint8)
@@ -161,13 +161,15 @@ class Chunk:
         end = np.append(begin[1:], len(raw))
         data = np.frombuffer(raw, np.uint8)
         size = end - begin
-        rel = np.arange(len(raw), dtype=np.int64) - np.repeat(begin, size)
-        seq, uniques = pd.factorize(hash_spans(data, begin, end)[0])
-        where = np.empty(len(uniques), np.int64)
+        place = np.int32 if len(raw) < 1 << 31 else np.int64
+        rel = np.arange(len(raw), dtype=place) - np.repeat(begin.astype(place), size)
+        words = pa.array(hash_spans(data, begin, end)[0]).dictionary_encode()
+        seq = words.indices.to_numpy()
+        where = np.empty(len(words.dictionary), np.int64)
         where[seq[::-1]] = np.arange(len(seq) - 1, -1, -1)
         # Every word is compared, byte by byte, with the first of its hash.
         first_of = where[seq]
-        if (size[first_of] != size).any() or (data[np.repeat(begin[first_of], size) + rel] != data).any():
+        if (size[first_of] != size).any() or (data[np.repeat(begin[first_of].astype(place), size) + rel] != data).any():
             _, where, seq = np.unique(np.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], object), return_index=True, return_inverse=True)
         # Frequent words get small numbers, which pack well.
         order = np.argsort(-np.bincount(seq), kind="stable")

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import U, long_column, string_column
+from tarn.llm.common import U, give_back, long_column, string_column
 
 #: Bytes of text: least and most of a chunk, least of a bucket, chunks of a bucket at least, chunks that the input is cut into before they grow.
 CHUNK_BYTES, MAX_CHUNK_BYTES, BUCKET_BYTES, BUCKET_CHUNKS, CHUNKS = 1 << 20, 32 << 20, 16 << 20, 8, 1 << 14
@@ -134,6 +134,7 @@ def documents(batches, size: int = CHUNK_BYTES) -> Iterator[Docs]:
             end = min(n, max(at + 1, int(np.searchsorted(offs, offs[at] + size, "right")) - 1))
             yield Docs(ids[at:end], nulls[at:end], data[offs[at] : offs[end]], offs[at : end + 1] - offs[at])
             at = end
+    give_back()
 
 
 def plain(docs: DataFrame) -> DataFrame:
@@ -224,6 +225,8 @@ def by_bucket(df: DataFrame, lay: Layout, answer: Callable[..., tuple[np.ndarray
                 held.append((chunk, blob))
         if held:
             yield from rows([(at, c, kind, x) for c, x in _answered(held, answer)]).to_batches()
+        held = None
+        give_back()
 
     return df.repartitionById(lay.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, DDL)
 

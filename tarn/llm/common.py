@@ -7,6 +7,7 @@ memory whatever the Arrow batch holds; a single document is never cut.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 from collections.abc import Iterator
@@ -65,6 +66,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: workers are kept for the next, and there are several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits depend on all input bits."""
     x = x ^ (x >> U(30))
