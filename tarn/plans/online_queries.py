@@ -325,9 +325,9 @@ def _cost_sql() -> str:
     parts = []
     for profile, (usual, own) in online.PROFILES.items():
         cases = " ".join(f"when '{k}' then {'null' if v is None else f'm * {3.6 / v!r}'}" for k, v in own.items())
-        parts.append(f"select '{profile}' profile, route_id, case kind {cases} else m * {3.6 / usual!r} end c from s")
+        parts.append(f"select '{profile}' profile, route_id, case kind {cases} else m * {3.6 / usual!r} end c from st")
     kinds = ", ".join(f"'{c}'" for c in _CLASSES)
-    return f"{_LEN}, s as (select route_id, [{kinds}][(route_id % {len(_CLASSES)} + 1)::int] kind, m from q where seq > 0), u as ({' union all '.join(parts)}) select profile, count(c) taken, round(sum(c), 1) as seconds from u group by 1"
+    return f"{_LEN}, st as (select route_id, [{kinds}][(route_id % {len(_CLASSES)} + 1)::int] kind, m from q where seq > 0), u as ({' union all '.join(parts)}) select profile, count(c) taken, round(sum(c), 1) as seconds from u group by 1"
 
 
 @query("geo13_edge_costs", _cost_sql(), "route_points")
