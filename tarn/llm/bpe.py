@@ -133,50 +133,74 @@ def split(text: str, kinds: np.ndarray) -> list[str]:
     return [text[a:b] for a, b in zip(at, [*at[1:], len(text)], strict=True)]
 
 
+#: Bytes of text that are split at a time (a longer text is split alone), and words that are compared at a time.
+SPLIT_BYTES, COMPARED = 1 << 18, 1 << 16
+
+
+def _heads_of(data: np.ndarray, docs_at: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where in the UTF-8 bytes ``data`` pre-tokens begin; documents begin at ``docs_at``."""
+    code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    lead = np.flatnonzero(data & 0xC0 != 0x80)
+    first = np.zeros(len(code) + 1, bool)
+    first[np.searchsorted(lead, docs_at)] = True
+    return lead[token_heads(code, kinds[code], first[:-1])]
+
+
+def _valid(docs: Docs) -> Docs:
+    """The documents, with bytes that are no UTF-8 replaced."""
+    try:
+        docs.data.tobytes().decode("utf-8")
+        return docs
+    except UnicodeDecodeError:
+        raw = [docs.raw(k).decode("utf-8", "replace").encode("utf-8") for k in range(len(docs))]
+        return Docs(docs.ids, docs.nulls, np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))))
+
+
 class Chunk:
-    """Distinct words of some documents, the sequence of their numbers, and how many tokens each document has."""
-
-    def __init__(self, texts: list[str], kinds: np.ndarray):
-        sizes = np.array([len(t) for t in texts], np.int64)
-        joined = "".join(texts)
-        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        n = len(code)
-        self.words: list[bytes] = []
-        self.sequence = np.zeros(0, np.int64)
-        self.counts = np.zeros(len(texts), np.int64)
-        if not n:
-            return
-        first = np.zeros(n + 1, bool)
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        first[starts[:-1]] = True
-        at = np.flatnonzero(token_heads(code, kinds[code], first[:n]))
-        self.counts = np.diff(np.searchsorted(at, starts))
-        wide = np.ones(n, np.int8)
-        wide[code > 0x7F] = 2
-        wide[code > 0x7FF] = 3
-        wide[code > 0xFFFF] = 4
-        byte_at = np.concatenate(([0], np.cumsum(wide, dtype=np.int64)))
-        raw = joined.encode("utf-8")
-        begin = byte_at[at]
-        end = np.append(begin[1:], len(raw))
-        data = np.frombuffer(raw, np.uint8)
-        size = end - begin
-        place = np.int32 if len(raw) < 1 << 31 else np.int64
-        rel = np.arange(len(raw), dtype=place) - np.repeat(begin.astype(place), size)
-        words = pa.array(hash_spans(data, begin, end)[0]).dictionary_encode()
-        seq = words.indices.to_numpy()
-        where = np.empty(len(words.dictionary), np.int64)
+    """Distinct words of some documents, the sequence of their numbers, and how many tokens each document has.
+
+    Documents are split some at a time, so that what is held for every character is held for SPLIT_BYTES of them.
+    """
+
+    def __init__(self, docs: Docs, kinds: np.ndarray):
+        docs = _valid(docs)
+        data, offs = docs.data, docs.offs
+        parts, at = [np.zeros(0, np.int64)], 0
+        while at < len(docs):
+            end = min(len(docs), max(at + 1, int(np.searchsorted(offs, offs[at] + SPLIT_BYTES, "right")) - 1))
+            lo, hi = int(offs[at]), int(offs[end])
+            if lo < hi:
+                parts.append(_heads_of(data[lo:hi], offs[at:end] - lo, kinds) + lo)
+            at = end
+        begin = np.concatenate(parts)
+        end = np.append(begin[1:], len(data))[: len(begin)]
+        self.counts = np.diff(np.searchsorted(begin, offs))
+        found = pa.array(hash_spans(data, begin, end)[0]).dictionary_encode()
+        seq = found.indices.to_numpy()
+        where = np.empty(len(found.dictionary), np.int64)
         where[seq[::-1]] = np.arange(len(seq) - 1, -1, -1)
-        # Every word is compared, byte by byte, with the first of its hash.
-        first_of = where[seq]
-        if (size[first_of] != size).any() or (data[np.repeat(begin[first_of].astype(place), size) + rel] != data).any():
+        raw = data.tobytes()
+        if not _same(data, begin, end, where[seq]):
             _, where, seq = np.unique(np.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], object), return_index=True, return_inverse=True)
         # Frequent words get small numbers, which pack well.
-        order = np.argsort(-np.bincount(seq), kind="stable")
-        number = np.empty_like(order)
+        order = np.argsort(-np.bincount(seq, minlength=len(where)), kind="stable")
+        number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order))
         self.sequence = number[seq]
-        self.words = [raw[a:b] for a, b in zip(begin[where[order]].tolist(), end[where[order]].tolist(), strict=True)]
+        self.words: list[bytes] = [raw[a:b] for a, b in zip(begin[where[order]].tolist(), end[where[order]].tolist(), strict=True)]
+
+
+def _same(data: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every word has the bytes of the word whose number ``other`` gives for it."""
+    size = end - begin
+    if (size[other] != size).any():
+        return False
+    for a in range(0, len(begin), COMPARED):
+        n = size[a : a + COMPARED]
+        steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(begin[other[a : a + COMPARED]], n) + steps] != data[np.repeat(begin[a : a + COMPARED], n) + steps]).any():
+            return False
+    return True
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -209,7 +233,7 @@ def _unpack_words(blob: bytes) -> list[bytes]:
 def _chunks(batches, size: int, kinds) -> Iterator[tuple[bytes, Docs, Chunk]]:
     """(name, documents, chunk) for runs of rows of about ``size`` bytes."""
     for d in documents(batches, size):
-        yield d.key(), d, Chunk([d.raw(k).decode("utf-8", "replace") for k in range(len(d))], kinds)
+        yield d.key(), d, Chunk(d, kinds)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
