@@ -102,6 +102,23 @@ select px, py, round(greatest({_SHADE}, 0) * 255)::integer shade from s""",
     "dem",
 )
 
+#: Marching squares without saddles, which the raster has none of: each cell that a level passes has one segment.
+CONTOURS = d.with_tables(
+    """, k as (select a.px c, a.py r, a.elev a, b.elev b, g.elev g, h.elev h from dem a join dem b on b.px = a.px + 1 and b.py = a.py
+  join dem g on g.px = a.px + 1 and g.py = a.py + 1 join dem h on h.px = a.px and h.py = a.py + 1
+  where a.elev is not null and b.elev is not null and g.elev is not null and h.elev is not null),
+v as (select unnest(range(ceil(min(elev) / 20)::bigint, floor(max(elev) / 20)::bigint + 1)) * 20.0::double e from dem),
+m as (select * from k, v where least(a, b, g, h) < e and greatest(a, b, g, h) >= e),
+p as (select c, r, e, unnest([
+  {'i': 0, 'cut': (a >= e) <> (b >= e), 'x': c + (e - a) / nullif(b - a, 0), 'y': r::double},
+  {'i': 1, 'cut': (b >= e) <> (g >= e), 'x': c + 1.0::double, 'y': r + (e - b) / nullif(g - b, 0)},
+  {'i': 2, 'cut': (g >= e) <> (h >= e), 'x': c + 1 - (e - g) / nullif(h - g, 0), 'y': r + 1.0::double},
+  {'i': 3, 'cut': (h >= e) <> (a >= e), 'x': c::double, 'y': r + 1 - (e - h) / nullif(a - h, 0)}]) t from m),
+s as (select c, r, e, list(t.x order by t.i) x, list(t.y order by t.i) y from p where t.cut group by all)
+select e ele, (e % 100 = 0)::integer as level, count(*) segments, round(sum(sqrt(pow(x[2] - x[1], 2) + pow(y[2] - y[1], 2))), 3) pixels from s group by all""",
+    "dem",
+)
+
 _NEXT = " ".join(f"when state = '{s}' and event = '{e}' then '{to}'" for (s, e), to in MOVES.items())
 JOB_STATES = f"""with recursive e as (select user_id::bigint job_id, row_number() over (partition by user_id order by event_id) i,
   ['enqueue', 'yield', 'finish', 'fail', 'acknowledge'][(event_id % 5 + 1)::int] event from events),
@@ -167,6 +184,7 @@ ORACLE_SQL: dict[str, str] = {
     "geo04_mvt_geometry": DECODED,
     "snk06_pmtiles_roundtrip": ARCHIVED,
     "gen04_grid_traversal": TRAVERSAL,
+    "geo10_contours": CONTOURS,
     "geo11_hillshade": HILLSHADE,
     "str09_job_states": JOB_STATES,
     "snk22_report": REPORT,
