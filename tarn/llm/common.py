@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of its own in the shared folder, read again: made once, whatever executors are lost."""
+    path = f"{shared_base(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def give_back() -> None:
     """Returns freed memory to the system at the end of a task: workers are kept for the next, and there are several."""
     pa.default_memory_pool().release_unused()

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe, line_dedup, substring_dedup, warc
-from tarn.llm.common import table
+from tarn.llm.common import shared_base, table
 from tarn.llm.decontaminate import decontaminate, digest
 from tarn.llm.exact_dedup import exact_dedup
 from tarn.llm.jaccard_join import jaccard_join
 from tarn.llm.language import language_id
+from tarn.llm.lexical_search import lexical_search
 from tarn.llm.licenses import document_files, license_scan
+from tarn.llm.resampling import resample
+from tarn.llm.token_counts import count_tokens
 from tarn.llm.toxicity import toxicity
 
 
@@ -51,11 +55,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).drop("spans")
 
 
-def vocabulary() -> str:
-    """Where the installed tokenizer package keeps the vocabulary of op8."""
+def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    """Where the installed tokenizer package keeps a vocabulary, that of op8 if none is named."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return public_tokenizers.path(name)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +71,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so that every run counts all texts."""
+    cache = f"{shared_base(spark)}/token-counts-{uuid.uuid4().hex}"
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), cache=cache)
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_jaccard_join": op2_jaccard_join,
@@ -78,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_resample": op12_resample,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -133,5 +154,17 @@ j as (select doc_id, x, i, b.k is not null gone from l left join bad b on l.sour
 g as (select doc_id, count(*)::bigint n_lines, count(*) filter (gone)::bigint n_dropped, string_agg(x, chr(10) order by i) filter (not gone) kept from j group by 1)
 select doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_dropped, 0) n_dropped, sha256(coalesce(kept, '')) kept_sha256
 from documents left join g using (doc_id)
+""",
+    "op13_lexical_search": rf"""
+with d as (select doc_id, unnest(regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) t from documents),
+c as (select doc_id, t, count(*) tf from d group by 1, 2),
+l as (select doc_id, sum(tf)::bigint n from c group by 1),
+a as (select count(*) docs, sum(n)::bigint total from l),
+f as (select t, count(*) df from c group by 1),
+q as (select item_id, t, count(*) r from (select item_id, unnest(regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) t from benchmark) group by 1, 2),
+w as (select item_id, q.t, r * floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint w from q join f on q.t = f.t, a),
+m as (select doc_id, 75 + (25 * n * docs) // total m from l, a),
+s as (select item_id, c.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint score from w join c on c.t = w.t join m on m.doc_id = c.doc_id group by 1, 2)
+select item_id, rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int rank from s where score > 0) where rank <= 20
 """,
 }

@@ -19,7 +19,7 @@ def connection():
     return con
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op4_warc", "op5_substring_dedup", "op6_exact_dedup", "op10_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op4_warc", "op5_substring_dedup", "op6_exact_dedup", "op10_line_dedup", "op13_lexical_search"])
 def test_oracle(spark, name):
     from tarn.llm.queries import ORACLE_SQL, QUERIES
 
@@ -33,7 +33,7 @@ def test_all_are_registered(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
