@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import geo
 from tarn.functions import text as tx
-from tarn.operators import archive, export, online, tracker, ways
+from tarn.operators import archive, export, online, ranking, tracker, ways
 from tarn.plans import derived as d
 from tarn.plans.scalar_queries import _HAV, r3
 from tarn.sources import files
@@ -164,12 +164,10 @@ def _saved(spark, sf) -> DataFrame:
     return d.read(spark, sf, "orders").select(k.alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("at"))
 
 
-@query("srt04_saved_routes", "select o_orderkey::bigint id, row_number() over (order by o_orderdate desc, o_orderkey) place from orders qualify place <= 100")
+@query("srt04_saved_routes", "select o_orderkey::bigint id, row_number() over (order by o_orderdate desc, o_orderkey) place from orders")
 def _(spark, sf):
-    top = _saved(spark, sf).orderBy(F.desc("at"), "id").limit(100)
-    from pyspark.sql import Window
-
-    return top.select("id", F.row_number().over(Window.orderBy(F.desc("at"), "id")).cast("long").alias("place"))
+    """All saved routes, newest first."""
+    return ranking.numbered(_saved(spark, sf).select("id", "at"), F.desc("at"), "id").select("id", "place")
 
 
 @query("snk19_route_upsert", "select o_orderkey::bigint id, case when o_orderkey % 10 = 0 then 'new' else o_orderpriority end title from orders where o_orderkey % 10 <> 3")
@@ -236,10 +234,8 @@ def _(spark, sf):
     return online.parse_elements(e).select("id", "name", F.size("coords").cast("long").alias("n"))
 
 
-_PRESETS = ", ".join(f"('{n}', {w}::double, {so}::double, {e}::double, {no}::double)" for n, w, so, e, no in files.PRESETS)
-
-
-@query("src25_presets", f", r as (select * from (values {_PRESETS}) t(region, west, south, east, north)) select region, west, south, east, north, count(node_id) nodes from r left join coordinates on lon >= west and lon <= east and lat >= south and lat <= north group by all", "coordinates")
+@query("src25_presets", """, r as (select * from (values ('innsbruck-area', 11.1::double, 47.1::double, 11.6::double, 47.45::double), ('innsbruck-wide', 10.9::double, 47.0::double, 11.8::double, 47.5::double), ('patscherkofel', 11.35::double, 47.15::double, 11.55::double, 47.25::double)) t(region, west, south, east, north))
+select region, west, south, east, north, count(node_id) nodes from r left join coordinates on lon >= west and lon <= east and lat >= south and lat <= north group by all""", "coordinates")
 def _(spark, sf):
     """The catalogue, and how many nodes each region has; it is a fixed handful of boxes, so each node is tested against all."""
     c = d.coordinates(spark, sf)
@@ -248,6 +244,17 @@ def _(spark, sf):
     return files.presets(spark).join(counts, "region", "left").select("region", "west", "south", "east", "north", F.coalesce("nodes", F.lit(0)).cast("long").alias("nodes"))
 
 
+@query("src25_places", """, p as (select * from (values ('Innsbruck Center', 'Tyrol, Austria', 11.3908::double, 47.2757::double, 12), ('Nordkette Range', 'Alps, Austria', 11.3794::double, 47.3061::double, 13), ('Patscherkofel', 'Alps, Austria', 11.4619::double, 47.2086::double, 13)) t(name, region, lng, lat, zoom)),
+t as (select *, floor((lng + 180) / 360 * pow(2, zoom))::bigint x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * pow(2, zoom))::bigint y from p)
+select name, t.region, lng, t.lat, zoom, x, y, count(node_id) nodes from t left join coordinates c on floor((c.lon + 180) / 360 * pow(2, zoom))::bigint = x and floor((1 - ln(tan(radians(c.lat)) + 1 / cos(radians(c.lat))) / pi()) / 2 * pow(2, zoom))::bigint = y group by all""", "coordinates")
+def _(spark, sf):
+    """The places, their tiles, and how many nodes lie in those."""
+    p = files.places(spark).withColumns({"x": geo.lonlat_tile_x(F.col("lng"), F.col("zoom")), "y": geo.lonlat_tile_y(F.col("lat"), F.col("zoom"))})
+    zooms = sorted({place[4] for place in files.PLACES})
+    c = d.coordinates(spark, sf).select(F.explode(F.array(*(F.struct(F.lit(z).alias("zoom"), geo.lonlat_tile_x(F.col("lon"), z).alias("x"), geo.lonlat_tile_y(F.col("lat"), z).alias("y")) for z in zooms))).alias("t")).groupBy("t.zoom", "t.x", "t.y").agg(F.count(F.lit(1)).alias("nodes"))
+    return p.join(c, ["zoom", "x", "y"], "left").select("name", "region", "lng", "lat", "zoom", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.coalesce("nodes", F.lit(0)).cast("long").alias("nodes"))
+
+
 _RE = r"(?://|#)"
 _TAGS = (
     rf", g as (select path, line, text, case when regexp_matches(text, '{_RE}\s*DEBT\((D\d{{3,}})\):\s*(.+?)\s+(?:—|--)\s+platforms:\s*([a-z, ]+)\s*$') then 'debt' when regexp_matches(text, '{_RE}\s*BUG\((B\d{{3,}})\):\s*(.+?)\s+(?:—|--)\s+severity:\s*(\w+)\s+(?:—|--)\s+repro:\s*(.+)\s*$') then 'bug' when regexp_matches(text, '{_RE}\s*RULE-EXEMPT\(([PR]\d+[a-z]?)\):\s*(\S.*)\s*$') then 'exempt' else 'malformed' end kind from source_lines where regexp_matches(text, '{_RE}.*\b(DEBT|BUG|RULE-EXEMPT)\('))"

@@ -162,7 +162,17 @@ def byte_ranges(requests: DataFrame, files: dict[str, str]) -> DataFrame:
 
 
 #: Regions that come with the engine: name, west, south, east, north (fixed values).
-PRESETS = (("alps-west", 6.5, 45.0, 10.5, 47.5), ("alps-east", 10.5, 46.0, 14.5, 48.0), ("black-forest", 7.5, 47.5, 8.8, 49.0))
+PRESETS = (
+    ("innsbruck-area", 11.1, 47.1, 11.6, 47.45),
+    ("innsbruck-wide", 10.9, 47.0, 11.8, 47.5),
+    ("patscherkofel", 11.35, 47.15, 11.55, 47.25),
+)
+#: Places that come with the engine: name, region, longitude, latitude, zoom (fixed values).
+PLACES = (
+    ("Innsbruck Center", "Tyrol, Austria", 11.3908, 47.2757, 12),
+    ("Nordkette Range", "Alps, Austria", 11.3794, 47.3061, 13),
+    ("Patscherkofel", "Alps, Austria", 11.4619, 47.2086, 13),
+)
 
 
 def presets(spark: SparkSession) -> DataFrame:
@@ -170,6 +180,11 @@ def presets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PRESETS), "region string, west double, south double, east double, north double")
 
 
+def places(spark: SparkSession) -> DataFrame:
+    """name, region, lng, lat, zoom of the places in the catalogue."""
+    return spark.createDataFrame(list(PLACES), "name string, region string, lng double, lat double, zoom int")
+
+
 def hiking_query(south: float, west: float, north: float, east: float) -> str:
     """The question for hiking ways of a box."""
     box = f"({south},{west},{north},{east})"
