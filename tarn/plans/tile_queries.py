@@ -363,10 +363,10 @@ def _(spark, sf):
 
 def compiled_archive(spark, sf, path: str, zoom: int = geo.DETAIL_ZOOM) -> DataFrame:
     """The whole compile: features, tiles, an archive at ``path``, and the archive read back."""
-    from tarn.sources import pmtiles
+    from tarn.sources import pmtiles, tile_archive
 
     archive.write_archive(tiles.encoded(compiled_features(spark, sf, zoom)), path, (9.0, 46.0, 18.0, 49.0), pmtiles.vector_metadata("map"))
-    spark.dataSource.register(pmtiles.PMTilesSource)
+    tile_archive.register(spark)
     return spark.read.format("pmtiles").load(path)
 
 
@@ -476,3 +476,45 @@ def _(spark, sf):
     c = d.read(spark, sf, "conversations")
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "")
     return c.groupBy("conv_id").agg(F.sum(F.octet_length("text")).cast("long").alias("total"), F.sha2(F.encode(parts, "UTF-8"), 256).alias("digest"))
+
+
+#: Nodes by tile of this zoom, as an archive whose payloads say how many.
+NODE_ZOOM = 16
+_BOX = (34_790, 34_815, 22_960, 23_000)
+_NODE_TILES = ", t as (select floor((lon + 180) / 360 * 65536)::bigint x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 65536)::bigint y from coordinates), c as (select x, y, 'nodes: ' || count(*)::varchar payload from t group by 1, 2)"
+
+
+def _node_archive(spark, sf) -> str:
+    """The archive's path, written by the sink."""
+    import os
+
+    from tarn.sources import tile_archive
+    from tarn.sources.files import shared_folder
+
+    at = d.coordinates(spark, sf).select(geo.lonlat_tile_x("lon", NODE_ZOOM).alias("x"), geo.lonlat_tile_y("lat", NODE_ZOOM).alias("y"))
+    made = at.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).select(geo.hilbert_id(F.lit(NODE_ZOOM), "x", "y").alias("tile_id"), F.encode(F.concat(F.lit("nodes: "), F.col("n").cast("string")), "UTF-8").alias("payload"))
+    path = os.path.join(shared_folder(spark, "nodes"), "nodes.pmtiles")
+    tile_archive.write_tiles(made, path, (11.0, 47.0, 11.5, 47.4), {"name": "nodes"}, tile_compression=1)
+    return path
+
+
+@query("snk05_archive_sink", f"{_NODE_TILES} select {NODE_ZOOM} z, x, y, payload, length(payload)::bigint length from c", "coordinates")
+def _(spark, sf):
+    """All tiles of an archive that tasks and a commit have written."""
+    t = spark.read.format("pmtiles").load(_node_archive(spark, sf))
+    return t.select("z", "x", "y", F.decode("payload", "UTF-8").alias("payload"), "length")
+
+
+@query("src18_archive_box", f"{_NODE_TILES} select x, y, payload from c where x between {_BOX[0]} and {_BOX[1]} and y between {_BOX[2]} and {_BOX[3]}", "coordinates")
+def _(spark, sf):
+    """The tiles of a box; the filter tells the source which leaves and payloads to read."""
+    t = spark.read.format("pmtiles").load(_node_archive(spark, sf))
+    inside = t.where((F.col("z") == NODE_ZOOM) & F.col("x").between(*_BOX[:2]) & F.col("y").between(*_BOX[2:]))
+    return inside.select("x", "y", F.decode("payload", "UTF-8").alias("payload"))
+
+
+@query("jon13_archive_directory", f"{_NODE_TILES} select count(*) tiles, sum(length(payload))::bigint bytes, count(distinct payload) contents from c", "coordinates")
+def _(spark, sf):
+    """What an archive's directories say; no payload is read."""
+    t = spark.read.format("pmtiles").schema("tile_id long, offset long, length long").load(_node_archive(spark, sf))
+    return t.agg(F.count(F.lit(1)).alias("tiles"), F.sum("length").alias("bytes"), F.countDistinct("offset").alias("contents"))

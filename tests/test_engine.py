@@ -14,7 +14,7 @@ from tarn.functions import text as tx
 from tarn.operators import archive, export, kernels, mvt, online, terrain, tiles, tracker, ways
 from tarn.plans import compile as compiler
 from tarn.plans import registry
-from tarn.sources import files, geotiff, pbf, pmtiles
+from tarn.sources import files, geotiff, pbf, pmtiles, tile_archive
 from tarn.streaming import trips
 
 DATA = "/root/testdata/sf0.001"
@@ -247,7 +247,7 @@ def test_compile_job(spark, tmp_path):
     header = pmtiles.Header.unpack(pmtiles.file_reader(done.archives[0])(0, 127))
     assert header.tile_type == pmtiles.MVT and header.min_zoom == header.max_zoom == 14
     # The archive holds every kept way and peak of the extract.
-    spark.dataSource.register(pmtiles.PMTilesSource)
+    tile_archive.register(spark)
     ids = {}
     for r in spark.read.format("pmtiles").load(done.archives[0]).collect():
         for f in mvt.decode_tile(gzip.decompress(bytes(r.payload))):
