@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tarn.functions import geo
 
 LON0, LAT0 = 110_000_000, 470_000_000
-#: The raster that the elevation queries use: 60 x 40 pixels of 0.01 degrees, a ramp with some pixels missing.
-DEM_COLS, DEM_ROWS, DEM_WEST, DEM_NORTH, DEM_STEP = 60, 40, 11.0, 47.5, 0.01
+#: The raster that the elevation queries use: a part is a pixel of 0.01 degrees, 50 in a row; a ramp with some pixels missing.
+DEM_COLS, DEM_WEST, DEM_NORTH, DEM_STEP = 50, 11.0, 47.5, 0.01
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,12 +90,12 @@ def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("trip_id"), F.col("ts").cast("timestamp").alias("ts"), i.alias("seq"), event.alias("event"), lng.alias("lng"), lat.alias("lat"), F.col("value").alias("accuracy"))
 
 
-def dem(spark: SparkSession) -> DataFrame:
+def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """px, py, elev; null where the raster has no data."""
-    i = F.col("id")
+    i = F.col("p_partkey").cast("long")
     px, py = (i % DEM_COLS).cast("int"), F.floor(i / DEM_COLS).cast("int")
     elev = F.when((i % 97) != 0, 500.0 + px * 10.0 + py * 5.0)
-    return spark.range(DEM_COLS * DEM_ROWS).select(px.alias("px"), py.alias("py"), elev.alias("elev"))
+    return read(spark, sf_dir, "part").select(px.alias("px"), py.alias("py"), elev.alias("elev"))
 
 
 def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +161,7 @@ CTE: dict[str, str] = {
     "peaks": f"select s_suppkey::bigint + 10000000 node_id, {LON0}::bigint + (s_suppkey::bigint * 15485 % 500000) * 10 lon_u, {LAT0}::bigint + (s_suppkey::bigint * 32452 % 400000) * 10 lat_u, case when s_suppkey % 5 = 0 then '' else s_name end as name from supplier",
     "pois": f"select node_id, {_M[0].format(lon='lon')} mx, {_M[1].format(lat='lat')} my, name from (select node_id, {_DEG.format(u='lon_u')} lon, {_DEG.format(u='lat_u')} lat, name from peaks)",
     "fixes": "select user_id::bigint trip_id, ts, event_id::bigint seq, case event_type when 'signup' then 'start' when 'purchase' then 'pause' when 'error' then 'resume' else 'fix' end event, cast(11.3 as double) + (event_id::bigint * 7 % 1000)::double * cast(0.00001 as double) lng, cast(47.2 as double) + (event_id::bigint * 13 % 1000)::double * cast(0.00001 as double) lat, value accuracy from events",
-    "dem": f"select (i % {DEM_COLS})::integer px, (i // {DEM_COLS})::integer py, case when i % 97 <> 0 then 500.0::double + (i % {DEM_COLS}) * 10 + (i // {DEM_COLS}) * 5 end elev from range({DEM_COLS * DEM_ROWS}) t(i)",
+    "dem": f"select (i % {DEM_COLS})::integer px, (i // {DEM_COLS})::integer py, case when i % 97 <> 0 then 500.0::double + (i % {DEM_COLS}) * 10 + (i // {DEM_COLS}) * 5 end elev from (select p_partkey::bigint i from part)",
     "route_points": "select way_id route_id, pos seq, lon lng, lat from refs join coordinates using (node_id)",
     "trails": "select way_id id, coalesce(name, 'Unnamed Trail') as name, class highway, min_x, min_y, max_x, max_y from kinds join (select route_id, min(lng) min_x, min(lat) min_y, max(lng) max_x, max(lat) max_y from route_points group by 1 having count(*) >= 2) on route_id = way_id where layer = 0",
     "source_lines": r"""select ['ios','android','src','core'][(doc_id % 4 + 1)::int] || '/f' || doc_id::varchar || '.ts' path, (pos + 1)::integer line,

@@ -57,10 +57,10 @@ def _(spark, sf):
     return ways.classify(d.tags(spark, sf)).select("way_id", tx.layer_name("layer").alias("layer_name"))
 
 
-@query("prj05_zoom_resolution", f"select z::integer z, round({2 * W} / pow(2, z), 6) extent, round({2 * W} / pow(2, z) / 256, 6) mpp, round({2 * W} / pow(2, z) / 512, 6) eps from range(23) t(z)")
+@query("prj05_zoom_resolution", f"select id, z::integer z, round({2 * W} / pow(2, z), 6) extent, round({2 * W} / pow(2, z) / 256, 6) mpp, round({2 * W} / pow(2, z) / 512, 6) eps from (select c_custkey::bigint id, c_custkey % 23 z from customer)")
 def _(spark, sf):
-    z = F.col("id").cast("int")
-    return spark.range(23).select(z.alias("z"), F.round(geo.tile_extent(z), 6).alias("extent"), F.round(geo.meters_per_pixel(z), 6).alias("mpp"), F.round(geo.simplify_epsilon(z), 6).alias("eps"))
+    z = (F.col("c_custkey") % 23).cast("int")
+    return d.read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), z.alias("z"), F.round(geo.tile_extent(z), 6).alias("extent"), F.round(geo.meters_per_pixel(z), 6).alias("mpp"), F.round(geo.simplify_epsilon(z), 6).alias("eps"))
 
 
 def _tx(z: str) -> str:
@@ -109,11 +109,11 @@ def _(spark, sf):
     return node_tiles(spark, sf).select("x", "y", F.round(geo.tile_west("x", "z"), 6).alias("west"), F.round(geo.tile_north("y", "z"), 6).alias("north"))
 
 
-@query("prj11_pixel_centres", "select p::integer px, round((2177 + (p + 0.5::double) / 256) / 4096 * 360 - 180, 6) lon, round(degrees(atan(sinh(pi() * (1 - 2 * (1436 + (p + 0.5::double) / 256) / 4096)))), 6) lat from range(256) t(p)")
+@query("prj11_pixel_centres", "select id, p::integer px, round((2177 + (p + 0.5::double) / 256) / 4096 * 360 - 180, 6) lon, round(degrees(atan(sinh(pi() * (1 - 2 * (1436 + (p + 0.5::double) / 256) / 4096)))), 6) lat from (select p_partkey::bigint id, p_partkey * 37 % 256 p from part)")
 def _(spark, sf):
-    p = F.col("id").cast("int")
+    p = (F.col("p_partkey") * 37 % 256).cast("int")
     x, y, z = F.lit(2177), F.lit(1436), F.lit(12)
-    return spark.range(256).select(p.alias("px"), F.round(geo.pixel_lon(x, z, p), 6).alias("lon"), F.round(geo.pixel_lat(y, z, p), 6).alias("lat"))
+    return d.read(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id"), p.alias("px"), F.round(geo.pixel_lon(x, z, p), 6).alias("lon"), F.round(geo.pixel_lat(y, z, p), 6).alias("lat"))
 
 
 _U, _V = "((lon + 180) / 360 * 16384)", "((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 16384)"
@@ -135,14 +135,14 @@ _CODE = "greatest(least(round((coalesce(elev, 0) + 10000) * 10), 16777215), 0)::
 
 @query("prj14_terrain_rgb", f", c as (select px, py, {_CODE} c from dem) select px, py, (c >> 16) & 255 r, (c >> 8) & 255 g, c & 255 b, round(c * 0.1::double - 10000, 3) back from c", "dem")
 def _(spark, sf):
-    rgb = d.dem(spark).select("px", "py", geo.terrain_rgb("elev").alias("c")).select("px", "py", "c.r", "c.g", "c.b")
+    rgb = d.dem(spark, sf).select("px", "py", geo.terrain_rgb("elev").alias("c")).select("px", "py", "c.r", "c.g", "c.b")
     return rgb.select("*", F.round(geo.terrain_elevation("r", "g", "b"), 3).alias("back"))
 
 
-@query("prj15_terrarium", "select (i * 7 % 256)::integer r, (i * 13 % 256)::integer g, (i * 29 % 256)::integer b, round((i * 7 % 256) * 256 + (i * 13 % 256) + (i * 29 % 256) / 256 - 32768, 3) elev from range(1000) t(i)")
+@query("prj15_terrarium", "select (i * 7 % 256)::integer r, (i * 13 % 256)::integer g, (i * 29 % 256)::integer b, round((i * 7 % 256) * 256 + (i * 13 % 256) + (i * 29 % 256) / 256 - 32768, 3) elev from (select c_custkey::bigint i from customer)")
 def _(spark, sf):
-    i = F.col("id")
-    rgb = spark.range(1000).select((i * 7 % 256).cast("int").alias("r"), (i * 13 % 256).cast("int").alias("g"), (i * 29 % 256).cast("int").alias("b"))
+    i = F.col("c_custkey").cast("long")
+    rgb = d.read(spark, sf, "customer").select((i * 7 % 256).cast("int").alias("r"), (i * 13 % 256).cast("int").alias("g"), (i * 29 % 256).cast("int").alias("b"))
     return rgb.select("*", r3(geo.terrarium_elevation("r", "g", "b"), "elev"))
 
 
@@ -186,15 +186,16 @@ def _(spark, sf):
 ORACLE_SQL["prj18_hilbert_id"] = ORACLE_SQL["prj18_hilbert_id"].replace("with ", "with recursive ", 1)
 
 
-@query("prj18_hilbert_inverse", "select i::bigint tile_id, i::bigint back from range(5461) t(i)")
+@query("prj18_hilbert_inverse", "select o_orderkey::bigint tile_id, o_orderkey::bigint back from orders")
 def _(spark, sf):
-    tiles = spark.range(5461).select(F.col("id").alias("tile_id"), geo.hilbert_tile("id").alias("t"))
+    tiles = d.read(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("tile_id")).withColumn("t", geo.hilbert_tile("tile_id"))
     return tiles.select("tile_id", geo.hilbert_id("t.z", "t.x", "t.y").alias("back"))
 
 
-@query("prj19_zoom_base", "select z::integer z, ((1::bigint << (2 * z::int)) - 1) // 3 base from range(26) t(z)")
+@query("prj19_zoom_base", "select id, z::integer z, ((1::bigint << (2 * z::int)) - 1) // 3 base from (select c_custkey::bigint id, c_custkey % 26 z from customer)")
 def _(spark, sf):
-    return spark.range(26).select(F.col("id").cast("int").alias("z"), geo.zoom_base(F.col("id").cast("int")).alias("base"))
+    z = (F.col("c_custkey") % 26).cast("int")
+    return d.read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), z.alias("z"), geo.zoom_base(z).alias("base"))
 
 
 _E = 2 * W / 16384
@@ -208,9 +209,9 @@ def _(spark, sf):
     return c.select("node_id", geo.quantise("mx", "b.min_x", scale).alias("px"), geo.quantise("my", "b.max_y", scale, down=True).alias("py"))
 
 
-@query("prj21_zigzag", "select v, case when v >= 0 then 2 * v else -2 * v - 1 end zz, v back from (select (i * 7919 - 500000)::bigint v from range(1000) t(i))")
+@query("prj21_zigzag", "select v, case when v >= 0 then 2 * v else -2 * v - 1 end zz, v back from (select (o_orderkey * 7919 - 500000)::bigint v from orders)")
 def _(spark, sf):
-    v = spark.range(1000).select((F.col("id") * 7919 - 500000).alias("v"))
+    v = d.read(spark, sf, "orders").select((F.col("o_orderkey").cast("long") * 7919 - 500000).alias("v"))
     return v.select("v", geo.zigzag("v").alias("zz")).select("v", "zz", geo.unzigzag("zz").alias("back"))
 
 
@@ -254,26 +255,31 @@ def _(spark, sf):
     return d.coordinates(spark, sf).select("node_id", geo.e7("lon").alias("lon_e7"), geo.e7("lat").alias("lat_e7"))
 
 
-_BOXES = ("11.15,47.05,11.65,47.45", " 11.15 , 47.05,11.65,47.45 ", "1,2,3", "1,2,3,4,5", "a,2,3,4", "NaN,2,3,4", "-181,0,1,1", "0,-91,1,1", "2,0,1,1", "0,2,1,1", "0,0,181,1", "")
+#: Boxes as people write them, right and wrong; numbers take the places of the letters.
+_BOXES = ("{w},{s},{e},{n}", " {w} , {s},{e},{n} ", "{w},{s},{e}", "{w},{s},{e},{n},5", "a,{s},{e},{n}", "NaN,{s},{e},{n}", "-181,{s},{e},{n}", "{w},-91,{e},{n}", "{e},{s},{w},{n}", "{w},{n},{e},{s}", "{w},{s},181,{n}", "")
 
 
 @query("prj26_bbox_validate")
 def _(spark, sf):
-    return spark.createDataFrame([(b,) for b in _BOXES], "input string").select("input", tx.bbox_error("input").alias("error"), tx.bbox_of("input").alias("box"))
+    k = F.col("c_custkey").cast("long")
+    text = F.element_at(F.array(*map(F.lit, _BOXES)), (k % len(_BOXES) + 1).cast("int"))
+    for mark, v in (("{w}", k % 300 - 150), ("{s}", k % 150 - 75), ("{e}", k % 300 - 149), ("{n}", k % 150 - 73)):
+        text = F.replace(text, F.lit(mark), v.cast("string"))
+    return d.read(spark, sf, "customer").select(k.alias("id"), text.alias("input")).select("id", "input", tx.bbox_error("input").alias("error"), tx.bbox_of("input").alias("box"))
 
 
-ORACLE_SQL["prj26_bbox_validate"] = "with b(input) as (values " + ", ".join(f"('{b}')" for b in _BOXES) + """), p as (select input, list_transform(string_split(input, ','), lambda x: try_cast(trim(x) as double)) v from b),
-e as (select input, v, case when len(v) <> 4 then 'arity' when list_contains(list_transform(v, lambda x: x is null or isnan(x) or isinf(x)), true) then 'number'
+ORACLE_SQL["prj26_bbox_validate"] = f"with b as (select c_custkey::bigint id, replace(replace(replace(replace({list(_BOXES)!r}[(c_custkey % {len(_BOXES)} + 1)::int], '{{w}}', (c_custkey % 300 - 150)::varchar), '{{s}}', (c_custkey % 150 - 75)::varchar), '{{e}}', (c_custkey % 300 - 149)::varchar), '{{n}}', (c_custkey % 150 - 73)::varchar) as input from customer)" + """, p as (select id, input, list_transform(string_split(input, ','), lambda x: try_cast(trim(x) as double)) v from b),
+e as (select id, input, v, case when len(v) <> 4 then 'arity' when list_contains(list_transform(v, lambda x: x is null or isnan(x) or isinf(x)), true) then 'number'
  when v[1] < -180 or v[1] > 180 or v[3] < -180 or v[3] > 180 or v[2] < -90 or v[2] > 90 or v[4] < -90 or v[4] > 90 then 'range' when v[1] >= v[3] or v[2] >= v[4] then 'inverted' end error from p)
-select input, error, v[1] west, v[4] north from e where error is null union all select input, error, null, null from e where error is not null"""
+select id, input, error, v[1] west, v[4] north from e where error is null union all select id, input, error, null, null from e where error is not null"""
 _box = QUERIES["prj26_bbox_validate"]
-QUERIES["prj26_bbox_validate"] = lambda spark, sf: _box(spark, sf).select("input", "error", F.col("box.west").alias("west"), F.col("box.north").alias("north"))
+QUERIES["prj26_bbox_validate"] = lambda spark, sf: _box(spark, sf).select("id", "input", "error", F.col("box.west").alias("west"), F.col("box.north").alias("north"))
 
 
-@query("prj27_reticle_bounds", "select k, round(least(greatest(least(a, b), -180), 180), 4) west, round(least(greatest(greatest(a, b), -180), 180), 4) east, round(least(greatest(s, -85), 85), 4) south, round(least(greatest(n, -85), 85), 4) north, round((least(greatest(greatest(a, b), -180), 180) - least(greatest(least(a, b), -180), 180)) * 111.32::double * cos(radians((least(greatest(s, -85), 85) + least(greatest(n, -85), 85)) / 2)), 3) width_km from (select i::bigint k, -190 + i * 3.7::double a, -170 + i * 2.9::double b, -89 + i::double s, -80 + i * 1.5::double n from range(100) t(i))")
+@query("prj27_reticle_bounds", "select k, round(least(greatest(least(a, b), -180), 180), 4) west, round(least(greatest(greatest(a, b), -180), 180), 4) east, round(least(greatest(s, -85), 85), 4) south, round(least(greatest(n, -85), 85), 4) north, round((least(greatest(greatest(a, b), -180), 180) - least(greatest(least(a, b), -180), 180)) * 111.32::double * cos(radians((least(greatest(s, -85), 85) + least(greatest(n, -85), 85)) / 2)), 3) width_km from (select c_custkey::bigint k, -190 + i * 3.7::double a, -170 + i * 2.9::double b, -89 + i::double s, -80 + i * 1.5::double n from (select c_custkey, c_custkey % 100 i from customer))")
 def _(spark, sf):
-    i = F.col("id")
-    corners = spark.range(100).select(i.alias("k"), (i * 3.7 - 190).alias("a"), (i * 2.9 - 170).alias("b"), (i - 89.0).alias("s"), (i * 1.5 - 80).alias("n"))
+    i = F.col("c_custkey") % 100
+    corners = d.read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("k"), (i * 3.7 - 190).alias("a"), (i * 2.9 - 170).alias("b"), (i - 89.0).alias("s"), (i * 1.5 - 80).alias("n"))
 
     def held(c, most):
         return F.least(F.greatest(c, F.lit(-most)), F.lit(most))
@@ -294,15 +300,16 @@ def _(spark, sf):
     return d.read(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("part_id"), tx.xml_escape(F.concat("p_name", F.lit(" <&> \"'\" "), "p_brand")).alias("xml"))
 
 
-@query("prj30_elapsed", "select s, case when s // 3600 < 10 then '0' || (s // 3600)::varchar else (s // 3600)::varchar end || ':' || lpad((s % 3600 // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') label from (select (i * 977)::bigint s from range(500) t(i))")
+@query("prj30_elapsed", "select s, case when s // 3600 < 10 then '0' || (s // 3600)::varchar else (s // 3600)::varchar end || ':' || lpad((s % 3600 // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') label from (select (o_orderkey * 977)::bigint s from orders)")
 def _(spark, sf):
-    return spark.range(500).select((F.col("id") * 977).alias("s")).select("s", tx.elapsed("s").alias("label"))
+    return d.read(spark, sf, "orders").select((F.col("o_orderkey").cast("long") * 977).alias("s")).select("s", tx.elapsed("s").alias("label"))
 
 
-@query("prj31_formatters", "select n, case when n < 1024 then n::varchar || ' B' when n < 1048576 then round(n / 1024)::bigint::varchar || ' KB' else printf('%.1f', n / 1048576) || ' MB' end label, round(n / 1000)::bigint::varchar || ' m' metres, case when round(n / 7 - 200)::bigint > 0 then '+' else '' end || round(n / 7 - 200)::bigint::varchar || ' m' delta from (select (i * i * 43 + i)::bigint n from range(1000) t(i))")
+@query("prj31_formatters", "select n, case when n < 1024 then n::varchar || ' B' when n < 1048576 then round(n / 1024)::bigint::varchar || ' KB' else printf('%.1f', n / 1048576) || ' MB' end label, round(n / 1000)::bigint::varchar || ' m' metres, case when round(n / 7 - 200)::bigint > 0 then '+' else '' end || round(n / 7 - 200)::bigint::varchar || ' m' delta from (select (c_custkey::bigint * c_custkey * 43 + c_custkey)::bigint n from customer)")
 def _(spark, sf):
     n = F.col("n")
-    return spark.range(1000).select((F.col("id") * F.col("id") * 43 + F.col("id")).alias("n")).select("n", tx.bytes_label("n").alias("label"), tx.metres_label(n / 1000).alias("metres"), tx.delta_label(n / 7 - 200).alias("delta"))
+    k = F.col("c_custkey").cast("long")
+    return d.read(spark, sf, "customer").select((k * k * 43 + k).alias("n")).select("n", tx.bytes_label("n").alias("label"), tx.metres_label(n / 1000).alias("metres"), tx.delta_label(n / 7 - 200).alias("delta"))
 
 
 @query("prj32_halo_radius", "select seq, round(abs(accuracy) * cos(radians(lat)) / 0.075::double * pow(2, 16 - 20), 3) radius from fixes", "fixes")
@@ -334,9 +341,9 @@ def svg_paths(profile: DataFrame) -> DataFrame:
     return p.groupBy("route_id").agg(line.alias("line")).withColumn("area", F.concat("line", F.lit(" L300.0,80.0 L0.0,80.0 Z")))
 
 
-@query("prj34_chart_index", "select x, round(least(greatest(x / 300.0::double, 0), 1) * 49)::bigint chart_at from (select (i * 3 - 50)::bigint x from range(150) t(i))")
+@query("prj34_chart_index", "select x, round(least(greatest(x / 300.0::double, 0), 1) * 49)::bigint chart_at from (select (c_custkey % 150 * 3 - 50)::bigint x from customer)")
 def _(spark, sf):
-    return spark.range(150).select((F.col("id") * 3 - 50).alias("x")).select("x", tx.chart_index("x", F.lit(300.0), F.lit(50)).alias("chart_at"))
+    return d.read(spark, sf, "customer").select((F.col("c_custkey").cast("long") % 150 * 3 - 50).alias("x")).select("x", tx.chart_index("x", F.lit(300.0), F.lit(50)).alias("chart_at"))
 
 
 @query("prj35_style_rules")
@@ -368,15 +375,17 @@ def _style_sql(zoom: int) -> str:
 ORACLE_SQL["prj35_style_rules"] = d.with_tables(_style_sql(14), "kinds")
 
 
-@query("prj36_phase_thermal", "select i::bigint status, case when i <= 1 then 'nominal' when i = 2 then 'fair' when i = 3 then 'serious' else 'critical' end state, case when i <= 2 then 1.0 when i = 3 then 0.5 else 0.0 end::double scale, case when i <= 2 then 0 when i = 3 then 25 else 100 end pause_ms from range(7) t(i)")
+@query("prj36_phase_thermal", "select id, i::bigint status, case when i <= 1 then 'nominal' when i = 2 then 'fair' when i = 3 then 'serious' else 'critical' end state, case when i <= 2 then 1.0 when i = 3 then 0.5 else 0.0 end::double scale, case when i <= 2 then 0 when i = 3 then 25 else 100 end pause_ms from (select event_id::bigint id, event_id % 7 i from events)")
 def _(spark, sf):
-    s = spark.range(7).select(F.col("id").alias("status"), tx.android_thermal("id").alias("state"))
-    return s.select("status", "state", tx.thermal("state", 1).alias("scale"), tx.thermal("state", 2).alias("pause_ms"))
+    k = F.col("event_id").cast("long")
+    s = d.read(spark, sf, "events").select(k.alias("id"), (k % 7).alias("status")).withColumn("state", tx.android_thermal("status"))
+    return s.select("id", "status", "state", tx.thermal("state", 1).alias("scale"), tx.thermal("state", 2).alias("pause_ms"))
 
 
-@query("prj37_progress", "select i::bigint i, round(least((i % 4 + least(greatest(i / 50.0::double, 0), 1)) / 4 * 100, 100), 3) percent from range(60) t(i)")
+@query("prj37_progress", "select i::bigint i, round(least((i % 4 + least(greatest(i / 50.0::double, 0), 1)) / 4 * 100, 100), 3) percent from (select event_id::bigint i from events)")
 def _(spark, sf):
-    return spark.range(60).select(F.col("id").alias("i"), r3(tx.phase_percent(F.col("id") % 4, F.col("id") / 50.0), "percent"))
+    i = F.col("event_id").cast("long")
+    return d.read(spark, sf, "events").select(i.alias("i"), r3(tx.phase_percent(i % 4, i / 50.0), "percent"))
 
 
 @query("prj38_flat_coords", "select id, min_x lo, max_x hi, n from (select way_id id, min(lon) min_x, max(lon) max_x, count(*) n from line group by 1) where n >= 2", "line")
@@ -436,24 +445,24 @@ def _(spark, sf):
     return d.read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), tx.pkce_challenge("c_name").alias("challenge"))
 
 
-@query("prj41_quota", "select n, round(n / 1073741824, 3) used_gb, round(case when n % 5 = 0 then 1 else n * 3 end / 1073741824, 3) quota_gb from (select (i * 123456789)::bigint n from range(1, 200) t(i))")
+@query("prj41_quota", "select n, round(n / 1073741824, 3) used_gb, round(case when n % 5 = 0 then 1 else n * 3 end / 1073741824, 3) quota_gb from (select ((c_custkey + 1) * 123456789)::bigint n from customer)")
 def _(spark, sf):
-    n = spark.range(1, 200).select((F.col("id") * 123456789).alias("n"))
+    n = d.read(spark, sf, "customer").select(((F.col("c_custkey").cast("long") + 1) * 123456789).alias("n"))
     q = F.when(F.col("n") % 5 == 0, F.lit(None)).otherwise(F.col("n") * 3)
     return n.withColumn("q", tx.quota_summary("n", q)).select("n", "q.used_gb", "q.quota_gb")
 
 
-@query("prj42_resume_plan", "select have, total, case when have = 0 then 'fresh' when total is not null and have = total then 'complete' when total is not null and have > total then 'fresh' else 'resume bytes=' || have::varchar || '-' end plan from (select (i % 7)::bigint have, case when i % 3 = 0 then null else (i % 5)::bigint end total from range(105) t(i))")
+@query("prj42_resume_plan", "select id, have, total, case when have = 0 then 'fresh' when total is not null and have = total then 'complete' when total is not null and have > total then 'fresh' else 'resume bytes=' || have::varchar || '-' end plan from (select i id, (i % 7)::bigint have, case when i % 3 = 0 then null else (i % 5)::bigint end total from (select o_orderkey::bigint i from orders))")
 def _(spark, sf):
-    i = F.col("id")
-    n = spark.range(105).select((i % 7).alias("have"), F.when(i % 3 != 0, i % 5).alias("total"))
-    return n.select("have", "total", tx.resume_plan("have", "total").alias("plan"))
+    i = F.col("o_orderkey").cast("long")
+    n = d.read(spark, sf, "orders").select(i.alias("id"), (i % 7).alias("have"), F.when(i % 3 != 0, i % 5).alias("total"))
+    return n.select("id", "have", "total", tx.resume_plan("have", "total").alias("plan"))
 
 
-@query("prj43_progress_fraction", "select i::bigint i, round(least(i * 3.0::double / greatest(i * i % 50, 1), 1), 3) share from range(100) t(i)")
+@query("prj43_progress_fraction", "select i::bigint i, round(least(i * 3.0::double / greatest(i * i % 50, 1), 1), 3) share from (select o_orderkey::bigint i from orders)")
 def _(spark, sf):
-    i = F.col("id")
-    return spark.range(100).select(i.alias("i"), r3(tx.progress_fraction(i * 3, i * i % 50), "share"))
+    i = F.col("o_orderkey").cast("long")
+    return d.read(spark, sf, "orders").select(i.alias("i"), r3(tx.progress_fraction(i * 3, i * i % 50), "share"))
 
 
 @query("prj44_default_names", "select way_id id, coalesce(name, ref, route, 'Unnamed Trail') as name, coalesce(highway, route, 'path') highway from (select way_id, max(v) filter (k = 'name' and v <> '') as name, null as ref, max(v) filter (k = 'waterway') route, max(v) filter (k = 'highway') highway from tags group by 1)", "tags")
@@ -493,11 +502,11 @@ def _(spark, sf):
     return tags.where(F.col("kind") == "peak").select("node_id", F.nullif("name", F.lit("")).alias("name"))
 
 
-@query("fil05_hiking_filter", "select i::bigint i from range(200) t(i) where ['path','footway','track','residential',null][(i % 5 + 1)::int] in ('path','footway') or (['path','footway','track','residential',null][(i % 5 + 1)::int] = 'track' and regexp_matches('grade' || (i % 6)::varchar, '^grade[2-5]$')) or coalesce(case when i % 4 = 0 then 'hiking' end = 'hiking', false)")
+@query("fil05_hiking_filter", "select i from (select o_orderkey::bigint i from orders) where ['path','footway','track','residential',null][(i % 5 + 1)::int] in ('path','footway') or (['path','footway','track','residential',null][(i % 5 + 1)::int] = 'track' and regexp_matches('grade' || (i % 6)::varchar, '^grade[2-5]$')) or coalesce(case when i % 4 = 0 then 'hiking' end = 'hiking', false)")
 def _(spark, sf):
-    i = F.col("id")
+    i = F.col("o_orderkey").cast("long")
     kinds = F.array(*map(F.lit, ("path", "footway", "track", "residential")), F.lit(None))
-    e = spark.range(200).select(i.alias("i"), F.element_at(kinds, (i % 5 + 1).cast("int")).alias("highway"), F.concat(F.lit("grade"), (i % 6).cast("string")).alias("tracktype"), F.when(i % 4 == 0, "hiking").alias("route"))
+    e = d.read(spark, sf, "orders").select(i.alias("i"), F.element_at(kinds, (i % 5 + 1).cast("int")).alias("highway"), F.concat(F.lit("grade"), (i % 6).cast("string")).alias("tracktype"), F.when(i % 4 == 0, "hiking").alias("route"))
     return e.where(online.hiking_filter()).select("i")
 
 
@@ -538,22 +547,24 @@ def _(spark, sf):
 @query("fil11_contour_major", "select px, py, elev from dem where elev % 100 = 0", "dem")
 def _(spark, sf):
     level = (F.col("elev") % 100 == 0).cast("int")
-    return d.dem(spark).withColumn("level", level).where("level >= 1").select("px", "py", "elev")
+    return d.dem(spark, sf).withColumn("level", level).where("level >= 1").select("px", "py", "elev")
 
 
-_JOBS = (("ok_job-1", 5, 14), ("bad job", 5, 14), ("", 5, 14), ("x" * 128, 0, 0), ("x" * 129, 0, 0), ("zoom", 9, 4), ("ä", 1, 2))
 
 
-@query("fil12_job_validate", "with j(job, a, b) as (values " + ", ".join(f"('{j}', {a}, {b})" for j, a, b in _JOBS) + ") select job, case when not regexp_full_match(job, '[A-Za-z0-9_-]{1,128}') then 'job id' when a > b then 'zoom order' end error from j")
+@query("fil12_job_validate", "with j as (select c_custkey::bigint id, ['ok_job-' || c_custkey::varchar, 'bad job', '', repeat('x', (c_custkey % 150)::int), 'zoom', 'ä'][(c_custkey % 6 + 1)::int] job, c_custkey * 7 % 20 a, c_custkey % 20 b from customer) select id, job, case when not regexp_full_match(job, '[A-Za-z0-9_-]{1,128}') then 'job id' when a > b then 'zoom order' end error from j")
 def _(spark, sf):
-    return spark.createDataFrame(list(_JOBS), "job string, a int, b int").select("job", tx.job_error("job", "a", "b").alias("error"))
+    k = F.col("c_custkey").cast("long")
+    names = F.array(F.concat(F.lit("ok_job-"), k.cast("string")), F.lit("bad job"), F.lit(""), F.repeat(F.lit("x"), (k % 150).cast("int")), F.lit("zoom"), F.lit("ä"))
+    jobs = d.read(spark, sf, "customer").select(k.alias("id"), F.element_at(names, (k % 6 + 1).cast("int")).alias("job"), (k * 7 % 20).alias("a"), (k % 20).alias("b"))
+    return jobs.select("id", "job", tx.job_error("job", "a", "b").alias("error"))
 
 
-@query("fil13_chunk_guard", "select i::bigint i from range(100) t(i) where i * 997 * (i * 1009 % 100000) > 0 and i * 997 * (i * 1009 % 100000) <= 67108864")
+@query("fil13_chunk_guard", "select i from (select o_orderkey::bigint i from orders) where i * 997 * (i * 1009 % 100000) > 0 and i * 997 * (i * 1009 % 100000) <= 67108864")
 def _(spark, sf):
-    i = F.col("id")
+    i = F.col("o_orderkey").cast("long")
     area = i * 997 * (i * 1009 % 100000)
-    return spark.range(100).where((area > 0) & (area <= 64 << 20)).select(i.alias("i"))
+    return d.read(spark, sf, "orders").where((area > 0) & (area <= 64 << 20)).select(i.alias("i"))
 
 
 @query("fil16_glyph_ranges", "select distinct unicode(c)::bigint // 256 * 256 first from (select unnest(string_split(coalesce(text, ''), '')) c from documents) where c <> '' and unicode(c) // 256 * 256 in (0, 256, 512, 768, 7680, 8192)")
@@ -562,9 +573,10 @@ def _(spark, sf):
     return codes.where(F.col("first").isin(0, 256, 512, 768, 7680, 8192))
 
 
-@query("fil17_transient_errors", "select i::bigint errno, i in (28, 5) retry from range(40) t(i)")
+@query("fil17_transient_errors", "select id, errno, errno in (28, 5) retry from (select event_id::bigint id, (event_id % 40)::bigint errno from events)")
 def _(spark, sf):
-    return spark.range(40).select(F.col("id").alias("errno"), F.col("id").isin(*tx.TRANSIENT_ERRNOS).alias("retry"))
+    k = F.col("event_id").cast("long")
+    return d.read(spark, sf, "events").select(k.alias("id"), (k % 40).alias("errno")).withColumn("retry", F.col("errno").isin(*tx.TRANSIENT_ERRNOS))
 
 
 assert math.isclose(W, geo.HALF_WORLD_M)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import os
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import geo
-from tarn.operators import export, online, ways
+from tarn.operators import export, online, terrain, ways
 from tarn.plans import derived as d
 from tarn.plans.online_queries import _TRIP
 from tarn.plans.scalar_queries import r3, svg_paths
@@ -89,24 +88,22 @@ def _(spark, sf):
     return view(spark, sf, "peaks").select("node_id", F.round(F.col("lon") * 1e7).cast("long").alias("lon_u"), F.nullif("name", F.lit("")).alias("name"))
 
 
-def raster(spark) -> str:
+def raster(spark, sf) -> str:
+    """The path of the elevation raster as a GeoTIFF that tasks have written."""
     path = os.path.join(shared_folder(spark, "raster"), "dem.tif")
-    grid = np.full((d.DEM_ROWS, d.DEM_COLS), np.nan, np.float32)
-    for r in d.dem(spark).where("elev is not null").collect():  # as many pixels as the fixed raster has
-        grid[r.py, r.px] = r.elev
-    geotiff.write_geotiff(path, grid, d.DEM_WEST, d.DEM_NORTH, d.DEM_STEP, d.DEM_STEP, nodata=9999)
+    terrain.write_raster(d.dem(spark, sf), path, terrain.Affine(d.DEM_WEST, d.DEM_NORTH, d.DEM_STEP, d.DEM_STEP), nodata=9999)
     return path
 
 
 @query("src11_geotiff_scan", "select px, py, elev::float elev from dem", "dem")
 def _(spark, sf):
     spark.dataSource.register(geotiff.GeoTiffSource)
-    return spark.read.format("geotiff").load(raster(spark))
+    return spark.read.format("geotiff").load(raster(spark, sf))
 
 
-@query("src12_raster_metadata", f"select {d.DEM_COLS}::bigint width, {d.DEM_ROWS}::bigint height, {-(-d.DEM_COLS // 16) * -(-d.DEM_ROWS // 16)}::bigint chunks, {d.DEM_WEST}::double west, {d.DEM_NORTH}::double north")
+@query("src12_raster_metadata", f"select max(px) + 1::bigint width, max(py) + 1::bigint height, ((max(px) + 16) // 16 * ((max(py) + 16) // 16))::bigint chunks, {d.DEM_WEST}::double west, {d.DEM_NORTH}::double north from dem", "dem")
 def _(spark, sf):
-    r = geotiff.describe(geotiff._reader(raster(spark)))
+    r = geotiff.describe(geotiff._reader(raster(spark, sf)))
     return spark.createDataFrame([(r.width, r.height, len(r.offsets), float(r.west), float(r.north))], "width long, height long, chunks long, west double, north double")
 
 
@@ -164,15 +161,15 @@ def _(spark, sf):
 
 @query("geo09_window_rgb")
 def _(spark, sf):
-    """Bytes of the raster as one padded tile of colours: how many pixels have each code."""
+    """The raster's first window as one padded tile of colours: how many pixels have each code."""
     pixels = spark.range(256 * 256).select((F.col("id") % 256).cast("int").alias("px"), F.floor(F.col("id") / 256).cast("int").alias("py"))
     elev = F.coalesce("elev", F.lit(0.0)).alias("elev")
-    window = pixels.join(d.dem(spark), ["px", "py"], "left").select(geo.terrain_rgb(elev).alias("c"))
+    window = pixels.join(d.dem(spark, sf), ["px", "py"], "left").select(geo.terrain_rgb(elev).alias("c"))
     code = (F.col("c.r") * 65536 + F.col("c.g") * 256 + F.col("c.b")).cast("long").alias("code")
     return window.groupBy(code).agg(F.count(F.lit(1)).alias("n"))
 
 
-ORACLE_SQL["geo09_window_rgb"] = d.with_tables(f"select round((e + 10000) * 10)::bigint code, count(*) n from (select coalesce(elev, 0) e from dem union all select 0 from range({65536 - d.DEM_COLS * d.DEM_ROWS})) group by 1", "dem")
+ORACLE_SQL["geo09_window_rgb"] = d.with_tables(", c as (select round((coalesce(elev, 0) + 10000) * 10)::bigint code from dem where px < 256 and py < 256) select code, sum(n)::bigint n from (select code, count(*) n from c group by 1 union all select 100000, 65536 - count(*) from c) where n > 0 group by 1", "dem")
 
 
 

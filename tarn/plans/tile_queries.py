@@ -92,7 +92,7 @@ q as (select point_id, floor(u)::integer + i px, floor(v)::integer + j py, (case
 def _(spark, sf):
     points = d.coordinates(spark, sf).select(F.col("node_id").alias("point_id"), "lon", "lat")
     affine = terrain.Affine(d.DEM_WEST, d.DEM_NORTH, d.DEM_STEP, d.DEM_STEP)
-    return terrain.sampled(points, d.dem(spark), affine).select("point_id", F.round("elev", 6).alias("elev"))
+    return terrain.sampled(points, d.dem(spark, sf), affine).select("point_id", F.round("elev", 6).alias("elev"))
 
 
 @query("agg01_features_per_tile", f", f as (select layer, {_tx('14')} tx, {_ty('14')} ty, way_id from line join kinds using (way_id) where n >= 2) select layer, tx, ty, count(*) vertices, count(distinct way_id) ways from f group by 1, 2, 3", "line", "kinds")
@@ -177,7 +177,7 @@ def _(spark, sf):
 
 @query("agg09_window_range", "select px // 16 col, py // 16 row, min(elev) low, max(elev) high from dem group by 1, 2", "dem")
 def _(spark, sf):
-    return terrain.windows(d.dem(spark))
+    return terrain.windows(d.dem(spark, sf))
 
 
 @query("agg10_weighted_mean", f"{_SAMPLE} select point_id, count(*) n, round(sum(w), 3) weight from q join dem using (px, py) where w > 0 and elev is not null group by 1", "coordinates", "dem")
@@ -187,7 +187,7 @@ def _(spark, sf):
     p = points.select("point_id", u.alias("u"), v.alias("v"))
     four = F.array(*(F.struct((F.floor("u").cast("int") + i).alias("px"), (F.floor("v").cast("int") + j).alias("py"), ((F.col("u") - F.floor("u") if i else 1 - (F.col("u") - F.floor("u"))) * (F.col("v") - F.floor("v") if j else 1 - (F.col("v") - F.floor("v")))).alias("w")) for i in (0, 1) for j in (0, 1)))
     q = p.select("point_id", F.explode(four).alias("q")).select("point_id", "q.*").where("w > 0")
-    return q.join(d.dem(spark).where("elev is not null"), ["px", "py"]).groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), r3(F.sum("w"), "weight"))
+    return q.join(d.dem(spark, sf).where("elev is not null"), ["px", "py"]).groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), r3(F.sum("w"), "weight"))
 
 
 @query("agg11_way_bbox", "select way_id, round(min(mx), 3) min_x, round(min(my), 3) min_y, round(max(mx), 3) max_x, round(max(my), 3) max_y from line group by 1 having count(*) >= 2", "line")
@@ -243,11 +243,14 @@ def _(spark, sf):
     return tiles.pyramid(_boxes(spark, sf), 5, 11).groupBy("z").agg(F.count(F.lit(1)).alias("tiles"))
 
 
-@query("gen03_pixel_grid", "select count(*) n, count(distinct cell) cells, round(sum(lon), 3) lon, round(sum(lat), 3) lat from (select i cell, (2177 + (i % 256 + 0.5::double) / 256) / 4096 * 360 - 180 lon, degrees(atan(sinh(pi() * (1 - 2 * (1436 + (i // 256 + 0.5::double) / 256) / 4096)))) lat from range(65536) t(i))")
+_TEN = f", t as (select distinct {_tx('10')} x, {_ty('10')} y from coordinates)"
+
+
+@query("gen03_pixel_grid", f"{_TEN} select x, y, count(*) n, count(distinct cell) cells, round(sum(lon), 3) lon, round(sum(lat), 3) lat from (select x, y, i cell, (x + (i % 256 + 0.5::double) / 256) / 1024 * 360 - 180 lon, degrees(atan(sinh(pi() * (1 - 2 * (y + (i // 256 + 0.5::double) / 256) / 1024)))) lat from t, range(65536) u(i)) group by 1, 2", "coordinates")
 def _(spark, sf):
-    one = spark.range(1).select(F.lit(12).alias("z"), F.lit(2177).cast("long").alias("x"), F.lit(1436).cast("long").alias("y"))
-    p = terrain.tile_pixels(one)
-    return p.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("px", "py").alias("cells"), r3(F.sum("lon"), "lon"), r3(F.sum("lat"), "lat"))
+    """Pixel centres of the tiles of zoom 10 that have nodes."""
+    t = d.coordinates(spark, sf).select(F.lit(10).alias("z"), geo.tile_x("mx", 10).alias("x"), geo.tile_y("my", 10).alias("y")).distinct()
+    return terrain.tile_pixels(t).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("px", "py").alias("cells"), r3(F.sum("lon"), "lon"), r3(F.sum("lat"), "lat"))
 
 
 _NT = f", t as (select distinct {_tx('14')} x, {_ty('14')} y from coordinates)"
@@ -408,19 +411,19 @@ def _(spark, sf):
 def _(spark, sf):
     affine = terrain.Affine(d.DEM_WEST, d.DEM_NORTH, d.DEM_STEP, d.DEM_STEP)
     box = spark.createDataFrame([(0, 11.0, 47.1, 11.6, 47.5)], "box long, west double, south double, east double, north double")
-    made = terrain.rendered(tiles.pyramid(box, 5, 12), d.dem(spark), affine)
+    made = terrain.rendered(tiles.pyramid(box, 5, 12), d.dem(spark, sf), affine)
     return made.select("tile_id", "z", "x", "y", F.length("payload").cast("long").alias("n_bytes"))
 
 
 @query("geo10_contours")
 def _(spark, sf):
-    c = terrain.contours(d.dem(spark))
+    c = terrain.contours(d.dem(spark, sf))
     return c.groupBy("ele", "level").agg(F.count(F.lit(1)).alias("segments"), r3(F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))), "pixels"))
 
 
 @query("geo11_hillshade")
 def _(spark, sf):
-    return terrain.hillshade(d.dem(spark), 1000.0)
+    return terrain.hillshade(d.dem(spark, sf), 1000.0)
 
 
 @query("gen04_grid_traversal")

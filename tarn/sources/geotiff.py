@@ -199,13 +199,19 @@ def write_geotiff(path: str, grid: np.ndarray, west: float, north: float, dx: fl
         chunks = [np.ascontiguousarray(grid[r : r + 16]).tobytes() for r in range(0, h, 16)]
     if compress:
         chunks = [zlib.compress(c) for c in chunks]
-    tags: list[tuple[int, int, tuple]] = [(WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (grid.dtype.itemsize * 8,)), (COMPRESSION, 3, (8 if compress else 1,)), (SAMPLE_FORMAT, 3, (kind,)), (PIXEL_SCALE, 12, (dx, dy, 0.0)), (TIEPOINT, 12, (0.0, 0.0, 0.0, west, north, 0.0))]
+    first, last, _ = envelope(w, h, kind, grid.dtype.itemsize * 8, list(map(len, chunks)), west, north, dx, dy, nodata, tile, compress)
+    with open(path, "wb") as f:
+        f.write(first + b"".join(chunks) + last)
+
+
+def envelope(w: int, h: int, kind: int, bits: int, sizes: list[int], west: float, north: float, dx: float, dy: float, nodata: float | None, tile: int | None, compress: bool) -> tuple[bytes, bytes, list[int]]:
+    """What comes before and after chunks of these sizes, and where each chunk begins."""
+    tags: list[tuple[int, int, tuple]] = [(WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (bits,)), (COMPRESSION, 3, (8 if compress else 1,)), (SAMPLE_FORMAT, 3, (kind,)), (PIXEL_SCALE, 12, (dx, dy, 0.0)), (TIEPOINT, 12, (0.0, 0.0, 0.0, west, north, 0.0))]
     offsets, at = [], 8
-    for c in chunks:
+    for size in sizes:
         offsets.append(at)
-        at += len(c)
-    sizes = tuple(map(len, chunks))
-    tags += [(TILE_WIDTH, 4, (tile,)), (TILE_HEIGHT, 4, (tile,)), (TILE_OFFSETS, 4, tuple(offsets)), (TILE_BYTES, 4, sizes)] if tile else [(STRIP_OFFSETS, 4, tuple(offsets)), (ROWS_PER_STRIP, 4, (16,)), (STRIP_BYTES, 4, sizes)]
+        at += size
+    tags += [(TILE_WIDTH, 4, (tile,)), (TILE_HEIGHT, 4, (tile,)), (TILE_OFFSETS, 4, tuple(offsets)), (TILE_BYTES, 4, tuple(sizes))] if tile else [(STRIP_OFFSETS, 4, tuple(offsets)), (ROWS_PER_STRIP, 4, (16,)), (STRIP_BYTES, 4, tuple(sizes))]
     extra, entries = b"", b""
     directory = at + at % 2
     n = len(tags) + (nodata is not None)
@@ -220,6 +226,5 @@ def write_geotiff(path: str, grid: np.ndarray, west: float, north: float, dx: fl
         else:
             entries += struct.pack("<HHII", t, k, count, after + len(extra))
             extra += raw + b"\0" * (len(raw) % 2)
-    with open(path, "wb") as f:
-        f.write(b"II*\0" + struct.pack("<I", directory) + b"".join(chunks) + b"\0" * (at % 2))
-        f.write(struct.pack("<H", n) + entries + struct.pack("<I", 0) + extra)
+    first = b"II*\0" + struct.pack("<I", directory)
+    return first, b"\0" * (at % 2) + struct.pack("<H", n) + entries + struct.pack("<I", 0) + extra, offsets

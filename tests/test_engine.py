@@ -424,3 +424,26 @@ def test_tiles_are_cut_at_the_production_zoom(spark):
     for name, zooms in {"geo03_tile_binning": {14}, "geo05_mvt_encode": {14}, "geo08_terrain_tiles": set(range(5, 13))}.items():
         assert {r.z for r in registry.QUERIES[name](spark, DATA).select("z").distinct().collect()} == zooms
     assert registry.QUERIES["gen04_grid_traversal"](spark, DATA).agg({"n_tiles": "sum"}).first()[0] > registry.QUERIES["geo03_tile_binning"](spark, DATA).count()
+
+
+def test_raster_by_tasks_is_that_of_the_driver(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    grid = rng.uniform(0, 3000, (37, 50)).astype(np.float32)
+    grid[rng.random(grid.shape) < 0.1] = np.nan
+    grid[16:32, 16:32] = np.nan
+    rows = [(x, y, float(grid[y, x])) for y in range(37) for x in range(50) if not (16 <= x < 32 and 16 <= y < 32)]
+    dem = spark.createDataFrame(rows, "px int, py int, elev double").repartition(4)
+    terrain.write_raster(dem, f"{tmp_path}/tasks.tif", terrain.Affine(11.0, 47.5, 0.01, 0.02), nodata=-5)
+    geotiff.write_geotiff(f"{tmp_path}/driver.tif", grid, 11.0, 47.5, 0.01, 0.02, nodata=-5)
+    assert open(f"{tmp_path}/tasks.tif", "rb").read() == open(f"{tmp_path}/driver.tif", "rb").read()
+    assert sorted(os.listdir(tmp_path)) == ["driver.tif", "tasks.tif"]
+
+
+def test_places_in_an_order(spark):
+    from tarn.operators.ranking import numbered
+
+    rows = [(k, k * 37 % 101, "x") for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, v int, place_at string").repartition(7)
+    got = {r.id: r.n for r in numbered(df, F.desc("v"), "id", name="n").collect()}
+    assert got == {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert numbered(df.limit(0), "id").count() == 0
