@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import checkpointed
+from tarn.sources.scratch import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,18 +13,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-links and repeated links are allowed, links with a null end are ignored; a node without links to others does
     not appear unless it links to itself.  An empty input gives no rows.  Each round halves the longest way at least,
-    so the rounds grow with the logarithm of the size; each is cut off by a checkpoint.
+    so the rounds grow with the logarithm of the size.  Each is written as a table, and the one before is removed then,
+    so the store holds one.
     """
     ends = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     loops = ends.where("a = b").select(F.col("a").alias("node")).distinct()
-    now = checkpointed(_down(ends))
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.keep("links", _down(ends))
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state.n == 0 or state == before:
             break
         before = state
-        now = checkpointed(_small_star(_large_star(now)))
+        now = scratch.keep("links", _small_star(_large_star(now)))
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     return every.unionByName(loops.select("node", F.col("node").alias("root")).join(every.select("node"), "node", "left_anti"))

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import fresh, long_column, slices, string_column
+from tarn.llm.common import fresh, slices, string_column, written
 
 #: Bytes of words: 0-9, a-z after folding, and everything beyond ASCII; the rest becomes a space.
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Bytes of item text that one automaton takes: about 120 MB in each Python worker, see `Items`.
 MAX_BYTES = 8 << 20
+#: A word before A-Z are lower-cased, as `normalise` finds it (fixed value).
+WORD = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
 _cache: dict = {}
 
 
@@ -201,7 +203,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
 
     The items are the only thing that each worker holds.  Their size is summed first: up to ``max_bytes`` of item text
     they make one automaton.  A larger benchmark is cut by id hash into several, each scanned over all texts in its
-    own pass, and the hits are united by id and text, so the result is the same and no worker holds more than one part.
+    own pass whose hits are written before the next begins; they are united by the text's digest, so the result is the
+    same and neither the driver nor a worker holds more than one part.
 
     Null text has no words, an empty one neither; null item text or id is ignored; items that repeat are reported by
     id.  Documents that repeat an id, and repeated rows, are scanned each.  A text of any length is scanned whole, in
@@ -254,8 +257,17 @@ def _hits(rows: DataFrame, id_ddl: str, items: DataFrame, parts: int, window: in
     ddl = f"{id_ddl}, {DDL}"
     if parts == 1:
         return _pass(rows, items, window, _scanner, ddl)
-    found = [_pass(rows, items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p), window, _scanner, ddl) for p in range(parts)]
-    return _united(reduce(DataFrame.unionByName, found), rows.columns[0])
+    found, rows = [], written(rows, "texts")
+    for p in range(parts):
+        # A part's hits are written before the next part is fetched, so the driver and the workers hold one at a time.
+        own = _pass(rows, items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p), window, _scanner, ddl)
+        found.append(written(own.where("n_hit > 0"), "hits"))
+    # Texts that no part hits are not in them.
+    count = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 1)).cast("long")
+    key = rows.columns[0]
+    united = _united(reduce(DataFrame.unionByName, found), key)
+    none = rows.join(united.select(key), key, "left_anti").select(key, count.alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("items"), F.array().cast(united.schema["spans"].dataType).alias("spans"))
+    return united.unionByName(none)
 
 
 def _united(found: DataFrame, key: str) -> DataFrame:
@@ -268,7 +280,7 @@ def _united(found: DataFrame, key: str) -> DataFrame:
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(_glued(F.element_at(acc, -1), x)))).otherwise(F.concat(acc, F.array(x))),
     )
     merged = merged.withColumn("spans", joined)
-    words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + F.size(F.regexp_extract_all(x["text"], F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), 1)))
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + F.size(F.regexp_extract_all(x["text"], F.lit(WORD), 1)))
     return merged.select(key, "n_words", words.alias("n_hit"), "items", "spans")
 
 

@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer maps words to symbols (insult, threat, target, negation, report); small transducers for targets,
-negation and reported speech weigh what follows; their composition scores each clause that holds a matched term or a
-fixed threat word.  The lexicon's terms and their weights, and the weights that turn clause scores into a document's score, are learned from
-labelled rows.
+A lexical transducer maps words to symbols (insult, threat, target, object, negation, report).  Small transducers read
+them, each for a pattern of its own: an insult near its target, under a negation, or reported; a threat whose target
+follows, or whose object goes before it.  Their composition marks each insult and emits each threat, so only words that
+match a pattern score.  The lexicon, its weights, and what every mark is worth are learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
@@ -22,32 +22,38 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpointed, long_column, string_column
 
-#: Fixed word lists of the grammar, in four languages.
-TARGETS = frozenset("you your yours yourself they them their he him she her du dich dir dein ihr euch sie vous toi votre vos tu usted ustedes tú ellos".split())
+#: Fixed word lists of the grammar, in four languages; threats are stems.  Objects are targets that a verb may follow.
+TARGETS = frozenset("you your yours yourself they them their he him she her du dich dir dein ihr ihn euch sie vous toi te votre vos tu usted ustedes tú ellos".split())
+OBJECTS = frozenset("dich dir ihn euch te toi".split())
 NEGATIONS = frozenset("not no never neither nor cannot nicht kein keine nie niemals pas jamais ni aucun nunca ninguno tampoco".split())
 REPORTS = frozenset("said says called calls claimed wrote quoted according sagte nannte behauptete laut dit disait selon écrit dijo llamó según escribió".split())
-THREATS = frozenset("kill hurt destroy beat burn töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
-THREAT_WEIGHT = 1.5
-SAMPLE_ROWS, LEXICON_TERMS = 20_000, 2_000
+THREATS = tuple("kill murder hurt destroy beat burn stab shoot töt schlag vernicht umbring tuer frapp détrui matar golpe destru".split())
+SAMPLE_ROWS = 20_000
 #: A term is learned from so many toxic documents at least, or so large a share of them, if its log-odds reach this.
 LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT = 3, 1 / 400, 2.5
 STEMS = (4, 5, 6)
+#: How many words an insult may come after its target, and a negation reach; how far a threat's target may follow, and its object go before.
+TARGET_REACH, NEGATION_REACH, THREAT_REACH, OBJECT_REACH = 6, 3, 4, 3
+#: What a document's features are, and what each is worth before anything is learned.
+FEATURES = ("largest", "all", "clauses", "targeted", "negated", "reported", "threats")
+PRIOR = (0.0, 0.0, 0.0, 0.25, -0.5, -0.25, 1.5)
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?;\n]")
+_THREAT = re.compile("|".join(THREATS))
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """States 0.., a table (state, symbol) -> (state, factor); symbols that the table lacks lead to ``otherwise``."""
+    """States 0.., a table (state, symbol) -> (state, marks); symbols that the table lacks lead to ``otherwise``."""
 
-    arcs: dict[tuple[int, str], tuple[int, float]]
+    arcs: dict[tuple[int, str], tuple[int, tuple[str, ...]]]
     otherwise: tuple[int, ...]
 
-    def step(self, state: int, symbol: str) -> tuple[int, float]:
-        return self.arcs.get((state, symbol), (self.otherwise[state], 1.0))
+    def step(self, state: int, symbol: str) -> tuple[int, tuple[str, ...]]:
+        return self.arcs.get((state, symbol), (self.otherwise[state], ()))
 
     def compose(self, other: Transducer) -> Transducer:
-        """Both read the same symbols; states pair up and factors multiply."""
+        """Both read the same symbols; states pair up and marks go together."""
         n = len(other.otherwise)
         symbols = {s for _, s in self.arcs} | {s for _, s in other.arcs}
         arcs = {}
@@ -55,25 +61,42 @@ class Transducer:
             for b in range(n):
                 for s in symbols:
                     (x, f), (y, g) = self.step(a, s), other.step(b, s)
-                    arcs[a * n + b, s] = (x * n + y, f * g)
+                    arcs[a * n + b, s] = (x * n + y, f + g)
         return Transducer(arcs, tuple(self.otherwise[a] * n + other.otherwise[b] for a in range(len(self.otherwise)) for b in range(n)))
 
 
-def within(symbol: str, reach: int, factor: float) -> Transducer:
-    """Terms at most ``reach`` words after ``symbol`` weigh ``factor`` times as much."""
-    arcs = {(s, symbol): (reach, 1.0) for s in range(reach + 1)}
+def within(symbols: tuple[str, ...], reach: int, mark: str) -> Transducer:
+    """Insults at most ``reach`` words after one of ``symbols`` get a mark."""
+    arcs: dict = {(s, symbol): (reach, ()) for s in range(reach + 1) for symbol in symbols}
     for s in range(1, reach + 1):
-        for term in ("insult", "threat"):
-            arcs[s, term] = (s - 1, factor)
+        arcs[s, "insult"] = (s - 1, (mark,))
     return Transducer(arcs, tuple(max(0, s - 1) for s in range(reach + 1)))
 
 
-def ever(symbol: str, factor: float) -> Transducer:
-    """Terms after ``symbol`` in the clause weigh ``factor`` times as much."""
-    return Transducer({(0, symbol): (1, 1.0), (1, "insult"): (1, factor), (1, "threat"): (1, factor)}, (0, 1))
+def ever(symbol: str, mark: str) -> Transducer:
+    """Insults after ``symbol`` in the clause get a mark."""
+    return Transducer({(0, symbol): (1, ()), (1, "insult"): (1, (mark,))}, (0, 1))
 
 
-GRAMMAR = within("target", 6, 1.25).compose(within("negation", 3, 0.5)).compose(ever("report", 0.7))
+def pursuit(after: int, before: int, negation: int) -> Transducer:
+    """Emits a threat where a target comes at most ``after`` words behind a threat word, or a threat word at most ``before`` behind an object.
+
+    A threat word at most ``negation`` words behind a negation is none, and a negation drops an object.
+    """
+    # 0: nothing; then words left to wait for a target; then words since an object; then words under a negation.
+    waits, seen, denied = range(1, after + 1), range(after + 1, after + before + 1), range(after + before + 1, after + before + negation + 1)
+    arcs: dict = {}
+    for s in (0, *waits, *seen, *denied):
+        arcs[s, "negation"] = (denied[-1], ())
+        arcs[s, "threat"] = (0, ("threat",)) if s in seen else (0, ()) if s in denied else (waits[-1], ())
+        arcs[s, "object"] = (0, ("threat",)) if s in waits else (s - 1 if s in denied and s > denied[0] else seen[-1] if s not in denied else 0, ())
+        if s in waits:
+            arcs[s, "target"] = (0, ("threat",))
+    less = [0, *(s - 1 for s in waits), *(s - 1 if s > seen[0] else 0 for s in seen), *(s - 1 if s > denied[0] else 0 for s in denied)]
+    return Transducer(arcs, tuple(less))
+
+
+GRAMMAR = within(("target", "object"), TARGET_REACH, "targeted").compose(within(("negation",), NEGATION_REACH, "negated")).compose(ever("report", "reported")).compose(pursuit(THREAT_REACH, OBJECT_REACH, NEGATION_REACH))
 
 
 def symbols(words: Iterable[str], terms: dict[str, float]) -> list[tuple[str, float]]:
@@ -83,30 +106,50 @@ def symbols(words: Iterable[str], terms: dict[str, float]) -> list[tuple[str, fl
         weight = max((terms[t] for t in (w, *(f"{w[:k]}*" for k in STEMS if len(w) >= k)) if t in terms), default=0.0)
         if weight > 0:
             out.append(("insult", weight))
-        elif w in THREATS:
-            out.append(("threat", THREAT_WEIGHT))
+        elif _THREAT.match(w):
+            out.append(("threat", 0.0))
         else:
-            out.append(("target" if w in TARGETS else "negation" if w in NEGATIONS else "report" if w in REPORTS else "other", 0.0))
+            out.append(("object" if w in OBJECTS else "target" if w in TARGETS else "negation" if w in NEGATIONS else "report" if w in REPORTS else "other", 0.0))
     return out
 
 
-def clause_score(clause: str, terms: dict[str, float]) -> float:
-    state, total = 0, 0.0
+@dataclass
+class Found:
+    """What the grammar finds in a clause: weight of its insults, of those with each mark, and how many threats."""
+
+    weight: float = 0.0
+    marked: dict[str, float] = field(default_factory=lambda: {"targeted": 0.0, "negated": 0.0, "reported": 0.0})
+    threats: int = 0
+
+
+def read_clause(clause: str, terms: dict[str, float]) -> Found:
+    state, out = 0, Found()
     for symbol, weight in symbols(_WORD.findall(clause), terms):
-        state, factor = GRAMMAR.step(state, symbol)
-        total += weight * factor
-    return total
+        state, marks = GRAMMAR.step(state, symbol)
+        out.weight += weight
+        for m in marks:
+            if m == "threat":
+                out.threats += 1
+            else:
+                out.marked[m] += weight
+    return out
+
+
+def features(found: list[Found]) -> tuple[float, ...]:
+    """FEATURES of the clauses that score: the largest weight, the log of 1 + all of it, how many score, and logs of 1 + what has each mark."""
+    own = [f for f in found if f.weight > 0 or f.threats]
+    sums = (sum(f.marked[m] for f in own) for m in ("targeted", "negated", "reported"))
+    return (max((f.weight for f in own), default=0.0), math.log1p(sum(f.weight for f in own)), float(len(own)), *map(math.log1p, sums), math.log1p(sum(f.threats for f in own)))
 
 
 class Matcher:
-    """Finds the clauses that hold a term or a threat, with one automaton over the text."""
+    """Finds the clauses that hold a term or a threat word, with one automaton over the text."""
 
     def __init__(self, terms: dict[str, float]):
         self.terms, self.auto = terms, ahocorasick.Automaton()
         # A stem finds all that the equal whole word does, so of both the stem stays.
-        keys = dict.fromkeys((*sorted(THREATS), *(t.rstrip("*") for t in terms)))
-        for k in keys:
-            self.auto.add_word(k, (len(k), f"{k}*" in terms))
+        for k in dict.fromkeys((*sorted(THREATS), *(t.rstrip("*") for t in terms))):
+            self.auto.add_word(k, (len(k), f"{k}*" in terms or k in THREATS))
         self.auto.make_automaton()
 
     def clauses(self, text: str) -> list[str]:
@@ -122,21 +165,26 @@ class Matcher:
             out.append(low[begin:upto])
         return out
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """(largest clause score, log of 1 + all clause scores, how many clauses score) of a text."""
-        scores = [s for c in self.clauses(text or "") if (s := clause_score(c, self.terms)) > 0]
-        return (max(scores, default=0.0), math.log1p(sum(scores)), float(len(scores)))
+    def found(self, text: str | None) -> list[tuple[str, Found]]:
+        """The clauses that score."""
+        every = ((c, read_clause(c, self.terms)) for c in self.clauses(text or ""))
+        return [(c, f) for c, f in every if f.weight > 0 or f.threats]
+
+    def features(self, text: str | None) -> tuple[float, ...]:
+        return features([f for _, f in self.found(text)])
 
 
 @dataclass(frozen=True)
 class Model:
     terms: dict[str, float]
     bias: float
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...] = PRIOR
+
+    def worth(self, values: tuple[float, ...]) -> float:
+        return sum(w * x for w, x in zip(self.weights, values, strict=True))
 
-    def score(self, features: tuple[float, float, float]) -> float:
-        z = self.bias + sum(w * x for w, x in zip(self.weights, features, strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def score(self, values: tuple[float, ...]) -> float:
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + self.worth(values)))))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -166,39 +214,42 @@ def _terms(batches):
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts]), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "y", "n"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, terms: int = LEXICON_TERMS, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_weight: float = LEAST_WEIGHT) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, terms: int | None = None, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_weight: float = LEAST_WEIGHT) -> Model:
     """Lexicon and weights from at most about ``sample_rows`` labelled rows, chosen by a hash of their id.
 
     A word, or a stem of STEMS letters, becomes a term when at least ``least_docs`` and ``least_share`` of the sampled
-    toxic documents have it and its smoothed log-odds are at least ``least_weight``; of more than ``terms`` those stay
-    that have most toxic documents times weight.  Only the sample limits what is learned, never what is scored.
+    toxic documents have it and its smoothed log-odds are at least ``least_weight``; only if ``terms`` is given, of more
+    than so many those stay that have most toxic documents times weight.  What each of FEATURES is worth is learned by
+    logistic regression that draws towards PRIOR, so a pattern that the sample lacks keeps its prior worth.  Only the
+    sample limits what is learned, never what is scored.
     """
     train = training_rows(docs, labels, sample_rows)
     totals = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
-        return Model({}, 30.0 if pos else -30.0, (0.0, 0.0, 0.0))
+        return Model({}, 30.0 if pos else -30.0)
     found = train.mapInArrow(_terms, "term string, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n"))).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n"))).alias("b"))
     found = found.select("term", F.col("a").alias("a"), F.coalesce("b", F.lit(0)).alias("b")).where(F.col("a") >= max(least_docs, int(pos * least_share)))
     weight = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 1) / (neg + 2))
-    best = found.select("term", (weight * F.lit(1.0)).alias("w"), (F.col("a") * weight).alias("gain")).where(F.col("w") >= least_weight).orderBy(F.desc("gain"), "term").limit(terms).collect()
-    lexicon = {r.term: r.w for r in best}
+    best = found.select("term", (weight * F.lit(1.0)).alias("w"), (F.col("a") * weight).alias("gain")).where(F.col("w") >= least_weight).orderBy(F.desc("gain"), "term")
+    # Each term is in `least_docs` documents of the sample at least, so the sample bounds them.
+    lexicon = {r.term: r.w for r in (best if terms is None else best.limit(terms)).collect()}
     x, y = [], []
-    for r in train.mapInArrow(_featured(docs.sparkSession.sparkContext.broadcast(Model(lexicon, 0.0, (0.0, 0.0, 0.0)))), "y int, x0 double, x1 double, x2 double").toLocalIterator():
-        x.append((1.0, r.x0, r.x1, r.x2))
+    for r in train.mapInArrow(_featured(docs.sparkSession.sparkContext.broadcast(Model(lexicon, 0.0))), "y int, x array<double>").toLocalIterator():
+        x.append((1.0, *r.x))
         y.append(r.y)
-    w = logistic(np.array(x), np.array(y, float))
-    return Model(lexicon, float(w[0]), (float(w[1]), float(w[2]), float(w[3])))
+    w = logistic(np.array(x), np.array(y, float), np.array((0.0, *PRIOR)))
+    return Model(lexicon, float(w[0]), tuple(map(float, w[1:])))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method; the first column is the constant and is not shrunk."""
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic regression by Newton's method, drawn towards ``prior``; the first column is the constant and is not."""
+    w = prior.copy()
     shrink = np.full(x.shape[1], ridge)
     shrink[0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * (w - prior))
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -210,7 +261,7 @@ def _featured(model):
         m = Matcher(model.value.terms)
         for batch in batches:
             f = [m.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[i] for x in f], pa.float64()) for i in range(3))], names=["y", "x0", "x1", "x2"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(f, pa.list_(pa.float64()))], names=["y", "x"])
 
     return run
 
@@ -226,24 +277,24 @@ def _scored(model):
             for a in range(0, len(texts), 1000):
                 scores, clauses = [], []
                 for t in texts.slice(a, 1000).to_pylist():
-                    own = [(c, s) for c in m.clauses(t) if (s := clause_score(c, m.terms)) > 0]
-                    each = [s for _, s in own]
-                    scores.append(model.value.score((max(each, default=0.0), math.log1p(sum(each)), float(len(each)))))
-                    clauses.append([{"text": c, "score": s} for c, s in own])
+                    own = m.found(t)
+                    scores.append(model.value.score(features([f for _, f in own])))
+                    clauses.append([{"text": c, "score": model.value.worth(features([f]))} for c, f in own])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + 1000], mask=nulls[a : a + 1000]), pa.array(scores), pa.array(clauses, _OUT.field(2).type)], schema=_OUT)
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, model: Model | None = None, sample_rows: int = SAMPLE_ROWS, terms: int = LEXICON_TERMS, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_weight: float = LEAST_WEIGHT) -> DataFrame:
-    """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), clauses (text and score of each match).
+def toxicity(docs: DataFrame, labels: DataFrame, *, model: Model | None = None, sample_rows: int = SAMPLE_ROWS, terms: int | None = None, least_docs: int = LEAST_DOCS, least_share: float = LEAST_SHARE, least_weight: float = LEAST_WEIGHT) -> DataFrame:
+    """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5), clauses (text, and what it alone is worth in log-odds, of each match).
 
     The model is learned (see `learn` for the limits of the lexicon) from rows of ``labels`` (doc_id, toxic 0/1) whose
     crc32(doc_id as text) mod 5 is not 0, at most about ``sample_rows`` of them, chosen by a hash of the id; labels that
     contradict each other count as toxic, others than 0 and 1 are ignored.  Only the text enters a score.  Without
     labels of both kinds, all documents get the score of the only kind, and 0 without any.
 
-    A clause is selected by a learned term or by one of THREATS as a whole word, with or without learned terms.
+    A clause matches if it has a learned term, or a word of a stem of THREATS with its target at most THREAT_REACH words
+    behind it or its object at most OBJECT_REACH before it, and not under a negation.
 
     Null and empty texts have no clauses and get the score of such texts.  A null doc_id is held out or not as the
     empty string is.  Repeated ids and repeated rows are scored each.  A text of any length is scored whole, in one

@@ -495,66 +495,109 @@ def test_toxicity_without_labels(spark):
 
 def test_grammar():
     terms = {"oaf": 2.0, "grum*": 3.0}
-    base = toxicity.clause_score("such an oaf", terms)
-    assert base == 2.0 and toxicity.clause_score("grumlet", terms) == 3.0
-    assert toxicity.clause_score("you oaf", terms) == 2.5
-    assert toxicity.clause_score("not an oaf", terms) == 1.0
-    assert toxicity.clause_score("he said oaf", terms) == pytest.approx(2.0 * 1.25 * 0.7)
-    assert toxicity.clause_score("we will kill you", terms) == 1.5
+
+    def read(clause):
+        f = toxicity.read_clause(clause, terms)
+        return f.weight, f.marked["targeted"], f.marked["negated"], f.marked["reported"], f.threats
+
+    assert read("such an oaf") == (2.0, 0, 0, 0, 0) and read("grumlet") == (3.0, 0, 0, 0, 0)
+    assert read("you oaf and grumlet") == (5.0, 5.0, 0, 0, 0)
+    assert read("not an oaf") == (2.0, 0, 2.0, 0, 0)
+    assert read("he said oaf") == (2.0, 2.0, 0, 2.0, 0)
+    assert read("we will kill you") == read("ich werde dich töten") == read("they want to burn all of them") == (0, 0, 0, 0, 1)
+    for none in ("the fire will burn wood and beat the cold", "to beat the eggs, hurt nobody", "we will not kill you", "you kill time", "skills for you", "kill a b c d you", "dich a b c töten"):
+        assert read(none) == (0, 0, 0, 0, 0), none
+    assert read("killing you, beating him") == (0, 0, 0, 0, 2)
     assert toxicity.Matcher(terms).clauses("First. The oaf here! Boaf oafs.\nGrumbling on") == [" the oaf here", "grumbling on"]
 
 
-def test_threats_select_clauses(spark):
+def test_threats_need_targets(spark):
     import math
 
-    for terms in ({}, {"oaf": 2.0}, {"kil*": 3.0}):
-        m = toxicity.Matcher(terms)
-        assert m.clauses("Skills here. We will kill you! Killjoys\nIch will dich töten") == [" we will kill you", *([" killjoys"] if "kil*" in terms else []), "ich will dich töten"]
-    assert toxicity.Matcher({}).features("Fine. We will kill you.") == (1.5, math.log1p(1.5), 1.0)
+    m = toxicity.Matcher({})
+    assert [c for c, _ in m.found("Skills here. We will kill you! Killjoys\nIch will dich töten")] == [" we will kill you", "ich will dich töten"]
+    assert m.features("Fine. We will kill you.") == (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, math.log1p(1))
     docs, labels = toxic_corpus()
     shown = spark.createDataFrame(labels, "doc_id long, toxic int")
-    rows = table(spark, [*docs, (5001, ""), (5002, "word1. We will kill you."), (5003, "word2, word3.")])
+    rows = table(spark, [*docs, (5001, ""), (5002, "word1. We will kill you."), (5003, "word2, word3."), (5004, "The fire will burn wood and beat the cold."), (5005, "to beat the eggs, hurt nobody"), (5006, "we will kill you")])
     model = toxicity.learn(rows, shown)
     assert not any(t.rstrip("*").startswith("kil") for t in model.terms)
     got = {r.doc_id: r for r in toxicity.toxicity(rows, shown, model=model).collect()}
-    assert [(c.text, c.score) for c in got[5002].clauses] == [(" we will kill you", 1.5)]
-    assert got[5002].score > got[5001].score == got[5003].score
+    assert [c.text for c in got[5002].clauses] == [" we will kill you"] and got[5002].clauses[0].score > 0.5
+    # A threat is above what only uses such words, which is as any other text.
+    assert got[5006].score == got[5002].score > got[5001].score == got[5003].score == got[5004].score == got[5005].score
     # Without learned terms, threats are found all the same.
     none = toxicity.toxicity(rows.where("doc_id >= 5001"), shown.where("false")).collect()
-    assert {r.doc_id: len(r.clauses) for r in none} == {5001: 0, 5002: 1, 5003: 0}
+    assert {r.doc_id: len(r.clauses) for r in none} == {5001: 0, 5002: 1, 5003: 0, 5004: 0, 5005: 0, 5006: 1}
+
+
+def test_worth_of_marks_is_learned(spark):
+    """Insults are toxic where they have a target, and are not where they are denied."""
+    rng = random.Random(3)
+    plain = [f"word{k}" for k in range(40)]
+    rows, labels = [], []
+    for i in range(900):
+        w = rng.choices(plain, k=12)
+        kind = i % 3
+        if kind == 1:
+            w[4:4] = ["you", "oaf", "grumlet"]
+        elif kind == 2 and i % 4:
+            w[4:4] = ["never", "oaf", "grumlet"]
+        rows.append((i, " ".join([*w, "you", "never"])))
+        labels.append((i, int(kind == 1)))
+    model = toxicity.learn(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), least_weight=0.3)
+    assert {"oaf", "grumle*"} & set(model.terms)
+    worth = dict(zip(toxicity.FEATURES, model.weights, strict=True))
+    assert worth["targeted"] > 0.25 and worth["negated"] < -0.5 and worth["threats"] == pytest.approx(1.5)
+    m = toxicity.Matcher(model.terms)
+    assert model.score(m.features("you oaf grumlet")) > 0.5 > model.score(m.features("never oaf grumlet"))
 
 
 def brute_toxicity(text, model):
-    """The score of one text, clause by clause, from counters in place of the composed transducer."""
+    """The score of one text, clause by clause, from word positions in place of the composed transducer."""
     import math
 
     found = []
     for clause in re.split(r"[.!?;\n]", (text or "").lower()):
-        target = negation = 0
-        report, total, any_term = False, 0.0, False
-        for w in re.findall(r"[^\W\d_]+", clause):
-            own = [v for t, v in model.terms.items() if (t[:-1] if t.endswith("*") else t) == (w[: len(t) - 1] if t.endswith("*") else w)]
-            weight = max(own, default=0.0) or (toxicity.THREAT_WEIGHT if w in toxicity.THREATS else 0.0)
-            if weight:
-                any_term = True
-                total += weight * (1.25 if target else 1) * (0.5 if negation else 1) * (0.7 if report else 1)
-                target, negation = max(0, target - 1), max(0, negation - 1)
-            else:
-                target = 6 if w in toxicity.TARGETS else max(0, target - 1)
-                kind = w not in toxicity.TARGETS and w in toxicity.NEGATIONS
-                negation = 3 if kind else max(0, negation - 1)
-                report = report or (w in toxicity.REPORTS and w not in toxicity.TARGETS and not kind)
-        if any_term:
-            found.append(total)
-    z = model.bias + model.weights[0] * max(found, default=0.0) + model.weights[1] * math.log1p(sum(found)) + model.weights[2] * len(found)
+        w = re.findall(r"[^\W\d_]+", clause)
+        kinds, weights = [], []
+        for x in w:
+            own = [v for t, v in model.terms.items() if (t[:-1] if t.endswith("*") else t) == (x[: len(t) - 1] if t.endswith("*") else x)]
+            weights.append(max(own, default=0.0))
+            kinds.append("insult" if own else "threat" if x.startswith(toxicity.THREATS) else "object" if x in toxicity.OBJECTS else "target" if x in toxicity.TARGETS else "negation" if x in toxicity.NEGATIONS else "report" if x in toxicity.REPORTS else "other")
+        sums = {"targeted": 0.0, "negated": 0.0, "reported": 0.0}
+        for k, kind in enumerate(kinds):
+            if kind == "insult":
+                sums["targeted"] += weights[k] * any(kinds[j] in ("target", "object") for j in range(max(0, k - 6), k))
+                sums["negated"] += weights[k] * ("negation" in kinds[max(0, k - 3) : k])
+                sums["reported"] += weights[k] * ("report" in kinds[:k])
+        threats = 0
+        waiting = seen = denied = 0
+        for kind in kinds:
+            was = waiting, seen, denied
+            waiting, seen, denied = max(0, waiting - 1), max(0, seen - 1), max(0, denied - 1)
+            if kind == "negation":
+                waiting, seen, denied = 0, 0, 3
+            elif kind == "threat":
+                threats += bool(was[1])
+                waiting, seen, denied = (0 if was[1] or was[2] else 4), 0, 0
+            elif kind in ("target", "object") and was[0]:
+                threats += 1
+                waiting = seen = denied = 0
+            elif kind == "object" and not was[2]:
+                waiting, seen, denied = 0, 3, 0
+        if sum(weights) or threats:
+            found.append((sum(weights), sums, threats))
+    values = [max((f[0] for f in found), default=0.0), math.log1p(sum(f[0] for f in found)), len(found), *(math.log1p(sum(f[1][m] for f in found)) for m in ("targeted", "negated", "reported")), math.log1p(sum(f[2] for f in found))]
+    z = model.bias + sum(a * b for a, b in zip(model.weights, values, strict=True))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def test_toxicity_against_brute_force(spark):
     rng = random.Random(14)
-    parts = ["you", "not", "said", "oaf", "oafs", "grumlet", "kill", "kills", "töten", "word", "they", "never", "never said", ".", "!", "?", ";", "\n", ",", "OAF", "Kill", "x1oaf", "oaf_", "il"]
+    parts = ["you", "not", "said", "oaf", "oafs", "grumlet", "kill", "kills", "töten", "dich", "te", "beats", "word", "they", "never", "never said", ".", "!", "?", ";", "\n", ",", "OAF", "Kill", "x1oaf", "oaf_", "il"]
     texts = [" ".join(rng.choices(parts, k=rng.randrange(40))) for _ in range(300)] + ["", None, "you " * 200_000 + "oaf", "kill"]
-    model = toxicity.Model({"oaf": 2.0, "grum*": 3.0, "kill*": 2.6}, -4.0, (1.0, 0.7, 0.2))
+    model = toxicity.Model({"oaf": 2.0, "grum*": 3.0, "beat*": 2.6}, -4.0, (1.0, 0.7, 0.2, 0.4, -0.6, -0.3, 1.1))
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = [*enumerate(texts), (None, "oaf"), (3, "oaf"), (3, "oaf")]
     got = toxicity.toxicity(table(spark, rows), none, model=model).collect()
