@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import geo
-from tarn.operators import export, online, terrain, ways
+from tarn.operators import export, features, online, terrain, ways
 from tarn.plans import derived as d
-from tarn.plans.online_queries import _TRIP
+from tarn.plans.online_queries import _TRIP, VIEW
 from tarn.plans.scalar_queries import r3, svg_paths
 from tarn.sources import geotiff, pbf
 from tarn.sources.files import shared_folder
@@ -131,6 +131,26 @@ def _(spark, sf):
     return index.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.min("trail_id").alias("first_id"))
 
 
+def _feature_file(spark, sf) -> str:
+    """The path of all trails as an indexed feature file."""
+    path = os.path.join(shared_folder(spark, "features"), "trails.fgb")
+    features.write_features(d.trails(spark, sf), path)
+    return path
+
+
+@query("src24_feature_file", "select id, name, highway, n, min_x, min_y, max_x, max_y from trails join (select way_id, count(*) n from line group by 1) on way_id = id", "trails", "line")
+def _(spark, sf):
+    """Trails through the binary file and back."""
+    t = features.read_features(spark, _feature_file(spark, sf))
+    return t.select("id", "name", "highway", F.size("coords").cast("long").alias("n"), *("min_x", "min_y", "max_x", "max_y"))
+
+
+@query("jon17_feature_box", f"select id, name from trails where max_x >= {VIEW[1]} and min_x <= {VIEW[3]} and max_y >= {VIEW[0]} and min_y <= {VIEW[2]}", "trails")
+def _(spark, sf):
+    """Trails of a view; the filter goes down the file's tree."""
+    return online.viewport(features.read_features(spark, _feature_file(spark, sf)), *VIEW).select("id", "name")
+
+
 @query("str04_gps_stream", f"{_TRIP} select trip_id, segment::bigint segment, round(metres, 3) metres from m join (select trip_id, segment, count(*) k from q group by 1, 2) using (trip_id, segment) where metres is not null", "fixes")
 def _(spark, sf):
     folder = shared_folder(spark, "fixes")
