@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tarn.functions import geo
 from tarn.operators import export, features, online, terrain, ways
+from tarn.operators.extract import write_extract
+from tarn.plans import compile as compiler
 from tarn.plans import derived as d
 from tarn.plans.online_queries import _TRIP, VIEW
 from tarn.plans.scalar_queries import r3, svg_paths
@@ -30,30 +32,14 @@ def query(name: str, sql: str | None = None, *tables: str):
     return add
 
 
-def _blocks(rows, size: int, make):
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield make(held)
-            held = []
-    if held:
-        yield make(held)
-
-
 def extract(spark, sf) -> str:
-    """An extract of the derived nodes, peaks and ways, written block by block on the driver."""
+    """An extract of the derived nodes, peaks and ways, whose blocks tasks have written."""
     path = os.path.join(shared_folder(spark, "extract"), "map.osm.pbf")
-    nodes = ((r.node_id, r.lon_u, r.lat_u, []) for r in d.nodes(spark, sf).orderBy("node_id").toLocalIterator())
-    peaks = ((r.node_id, r.lon_u, r.lat_u, [("natural", "peak"), ("name", r.name)]) for r in d.peaks(spark, sf).orderBy("node_id").toLocalIterator())
-    made = ((r.way_id, list(r.refs), [(t.k, t.v) for t in r.tags]) for r in d.ways(spark, sf).orderBy("way_id").toLocalIterator())
-
-    def every():
-        yield from _blocks(nodes, 8000, pbf.dense_block)
-        yield from _blocks(peaks, 8000, pbf.dense_block)
-        yield from _blocks(made, 8000, pbf.way_block)
-
-    pbf.write_pbf(path, every())
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    peak = F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("natural", F.lit("peak")), ("name", F.col("name")))))
+    nodes = d.nodes(spark, sf).select("node_id", "lon_u", "lat_u", none.alias("tags"))
+    peaks = d.peaks(spark, sf).select("node_id", "lon_u", "lat_u", peak.alias("tags"))
+    write_extract(path, nodes, peaks, d.ways(spark, sf).select("way_id", "refs", "tags"))
     return path
 
 
@@ -131,6 +117,16 @@ def _(spark, sf):
     return index.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.min("trail_id").alias("first_id"))
 
 
+@query("str01_sliced_pass", "select node_id, round(mx, 3) mx, round(my, 3) my from coordinates union all select node_id, round(mx, 3), round(my, 3) from pois", "coordinates", "pois")
+def _(spark, sf):
+    """The first pass over an extract, a block a slice, stopped after each and gone on with until it is done."""
+    spark.dataSource.register(pbf.PbfSource)
+    job = compiler.Job("sliced", extract(spark, sf), shared_folder(spark, "job"), (11.0, 47.0, 11.5, 47.4), slice_blocks=1)
+    while not compiler.run_slices(spark, job, "Pass1Nodes", lambda: True):
+        pass
+    return spark.read.parquet(os.path.join(job.folder(), "Pass1Nodes")).select("node_id", r3("mx", "mx"), r3("my", "my"))
+
+
 def _feature_file(spark, sf) -> str:
     """The path of all trails as an indexed feature file."""
     path = os.path.join(shared_folder(spark, "features"), "trails.fgb")

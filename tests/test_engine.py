@@ -447,3 +447,53 @@ def test_places_in_an_order(spark):
     got = {r.id: r.n for r in numbered(df, F.desc("v"), "id", name="n").collect()}
     assert got == {r[0]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
     assert numbered(df.limit(0), "id").count() == 0
+
+
+def test_a_pass_goes_on_where_it_was_stopped(spark, tmp_path, monkeypatch):
+    """Stopped after every block, and killed inside one: the archive is the same to the byte."""
+    fixture(str(tmp_path / "x.osm.pbf"))
+    blocks = pbf.block_count(str(tmp_path / "x.osm.pbf"))
+    assert blocks >= 3
+    plain = compiler.Job("plain", str(tmp_path / "x.osm.pbf"), str(tmp_path / "out"), (11.2, 47.1, 11.5, 47.4), max_zoom=8)
+    whole = compiler.compile_chunk(spark, plain)
+    job = compiler.Job("sliced", plain.pbf_path, plain.out_dir, plain.bbox, max_zoom=8, slice_blocks=1)
+    first = compiler.compile_chunk(spark, job, budget_s=0.0)
+    assert first.status == compiler.YIELDED and first.phase == "Pass1Nodes" and compiler.slices(job, "Pass1Nodes")[1:] == ([0], blocks)
+    # Killed: the second slice is half there.
+    folder = compiler.slices(job, "Pass1Nodes")[0]
+    os.makedirs(f"{folder}/first=1/_temporary")
+    with open(f"{folder}/first=1/part-0.parquet", "wb") as f:
+        f.write(b"torn")
+    assert compiler.slices(job, "Pass1Nodes")[1] == [0]
+    stops, seen = 0, []
+    while (now := compiler.compile_chunk(spark, job, budget_s=0.0, tell=lambda p, phase: seen.append(p))).status == compiler.YIELDED:
+        stops += 1
+    assert now.status == compiler.FINISHED and stops >= 2 * blocks - 2 and seen == sorted(seen) and seen[-1] == 100
+    ours, theirs = (pmtiles.Header.unpack(open(a.archives[0], "rb").read(127)) for a in (now, whole))
+    a, b = (open(x.archives[0], "rb").read() for x in (now, whole))
+    assert a[ours.data[0] :] == b[theirs.data[0] :] and a[slice(ours.root[0], sum(ours.root))] == b[slice(theirs.root[0], sum(theirs.root))]
+    assert not os.path.exists(folder)
+
+
+def test_node_batches_are_the_decoded_nodes(spark, tmp_path):
+    nodes = [(k * 7, 113_000_000 + k * 13, 472_000_000 - k * 5, [("natural", "peak")] if k % 9 == 0 else []) for k in range(300)]
+    path = str(tmp_path / "n.osm.pbf")
+    pbf.write_pbf(path, [pbf.dense_block(nodes[:200]), pbf.dense_block(nodes[200:], compress=False), pbf.plain_block([(9999, 5, 6)], 1000, 7, -8), pbf.way_block([(1, [7, 14], [("highway", "path")])])])
+    spark.dataSource.register(pbf.PbfSource)
+    got = sorted(map(tuple, spark.read.format("osmpbf").load(path).select("node_id", "lon", "lat").collect()))
+    assert got == sorted([(i, 1e-9 * (100 * x), 1e-9 * (100 * y)) for i, x, y, _ in nodes] + [(9999, 1e-9 * (7 + 5000), 1e-9 * (6000 - 8))])
+    some = spark.read.format("osmpbf").option("first_block", 1).option("blocks", 2).load(path)
+    assert {r.block for r in some.select("block").distinct().collect()} == {2, 3} and some.count() == 101
+
+
+def test_extract_by_tasks(spark, tmp_path):
+    from tarn.operators.extract import write_extract
+
+    nodes = [(k * 3 % 401, k, -k, [{"k": "natural", "v": "peak"}] if k % 5 == 0 else None) for k in range(400)]
+    made = [(k, [k, k + 1], [{"k": "highway", "v": "path"}]) for k in range(50)]
+    tags = "tags array<struct<k:string,v:string>>"
+    write_extract(f"{tmp_path}/t.osm.pbf", spark.createDataFrame(nodes, f"node_id long, lon_u long, lat_u long, {tags}").repartition(4), spark.createDataFrame(made, f"way_id long, refs array<long>, {tags}"), entities=60)
+    ordered = sorted(nodes)
+    blocks = [pbf.dense_block([(i, x, y, [(t["k"], t["v"]) for t in own or ()]) for i, x, y, own in ordered[a : a + 60]]) for a in range(0, 400, 60)] + [pbf.way_block([(i, refs, [(t["k"], t["v"]) for t in own]) for i, refs, own in made])]
+    pbf.write_pbf(f"{tmp_path}/d.osm.pbf", blocks)
+    assert open(f"{tmp_path}/t.osm.pbf", "rb").read() == open(f"{tmp_path}/d.osm.pbf", "rb").read()
