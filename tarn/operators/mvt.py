@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tarn.functions.geo import MVT_EXTENT
 from tarn.operators.kernels import away, bounds
@@ -124,7 +126,7 @@ def packed_all(values: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nda
     out = np.empty(at[-1], np.uint8)
     for k in range(int(size.max(initial=0))):
         has = size > k
-        out[at[:-1][has] + k] = (values[has] >> (7 * k) & 0x7F) | np.where(size[has] > k + 1, 0x80, 0)
+        out[at[:-1][has] + k] = (values[has] >> (7 * k) & 0x7F).astype(np.uint8) | np.where(size[has] > k + 1, 0x80, 0).astype(np.uint8)
     return out, at[cuts]
 
 
@@ -211,6 +213,111 @@ class Tile:
         return out or None
 
 
+def varint_sizes(values: np.ndarray) -> np.ndarray:
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        size += values >> (7 * k) > 0
+    return size
+
+
+def _with_bytes(numbers: np.ndarray, cuts: np.ndarray, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of items: the varints numbers[cuts[k]:cuts[k + 1]], then raw[first[k]:first[k] + size[k]]."""
+    head, at = packed_all(numbers, cuts)
+    own = np.diff(at)
+    offs = np.concatenate(([0], np.cumsum(own + size)))
+    out = np.empty(offs[-1], np.uint8)
+    out[np.arange(len(head)) + np.repeat(offs[:-1] - at[:-1], own)] = head
+    before = np.cumsum(size) - size
+    steps = np.arange(int(size.sum()))
+    out[steps + np.repeat(offs[:-1] + own - before, size)] = raw[steps + np.repeat(first - before, size)]
+    return out, offs
+
+
+def _first_use(group: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each event's number of its code in its group, by first use; and the events of first use, by group and number."""
+    if not len(code):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, number = np.unique(group * (int(code.max()) + 1) + code, return_index=True, return_inverse=True)
+    order = np.lexsort((first, group[first]))
+    mine = group[first][order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order)) - np.searchsorted(mine, mine)
+    return place[number.reshape(-1)], first[order]
+
+
+def _bytes_of(column: pa.Array, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a column of strings or binaries (null as empty), and where each begins and ends."""
+    column = pc.fill_null(column.cast(kind), b"" if pa.types.is_large_binary(kind) else "")
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    return np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8), offs
+
+
+_KEYS = ("class", "sac_scale", "name")
+
+
+def tiles_of(tile: np.ndarray, columns: dict[str, pa.Array]) -> list[bytes | None]:
+    """Encoded tiles 0, 1, ... of features given as columns (is_poi, osm_id, layer, kind, geometry and tags), the same as `Tile` makes.
+
+    ``tile`` has the number of each feature's tile, ascending; features of a tile are in the order of their ids.  Keys
+    and values get their numbers by sorting, and all features are put together at once; Python runs once a layer.
+    """
+    if not len(tile):
+        return []
+    count = int(tile[-1]) + 1
+    layer = columns["layer"].to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((layer, tile))
+    group = (tile * len(LAYERS) + layer)[order]
+    poi = columns["is_poi"].to_numpy(zero_copy_only=False).astype(bool)[order]
+    osm_id = columns["osm_id"].to_numpy(zero_copy_only=False).astype(np.uint64)[order] | np.where(poi, np.uint64(POI_BIT), np.uint64(0))
+    kind = columns["kind"].to_numpy(zero_copy_only=False).astype(np.uint64)[order]
+    n = len(order)
+    # Every text has one number in all tiles of the batch.
+    texts = [pc.fill_null(columns[c].cast(pa.large_string()), "").take(pa.array(order)) for c in _KEYS]
+    words = pa.chunked_array(texts).combine_chunks()
+    words = (words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words).dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64).reshape(3, n)
+    there = np.stack([np.ones(n, bool), *(pc.greater(pc.binary_length(t), 0).to_numpy(zero_copy_only=False).astype(bool) for t in texts[1:])])
+    feature, slot = np.nonzero(there.T)
+    value, new_values = _first_use(group[feature], code[slot, feature])
+    key, new_keys = _first_use(group[feature], slot)
+    # The numbers before a feature's geometry: what it is, its size, id, tags, kind, and the geometry's size.
+    raw, offs = _bytes_of(columns["geometry"], pa.large_binary())
+    first, size = offs[:-1][order], np.diff(offs)[order]
+    pairs = there.sum(0)
+    tag_size = np.bincount(feature, varint_sizes(key) + varint_sizes(value), n).astype(np.int64)
+    whole = 1 + varint_sizes(osm_id) + 1 + varint_sizes(tag_size) + tag_size + 1 + varint_sizes(kind) + 1 + varint_sizes(size) + size
+    cuts = np.concatenate(([0], np.cumsum(10 + 2 * pairs)))
+    numbers = np.empty(cuts[-1], np.uint64)
+    at = cuts[:-1]
+    for k, v in enumerate((2 << 3 | 2, whole, 1 << 3, osm_id, 2 << 3 | 2, tag_size)):
+        numbers[at + k] = v
+    place = at[feature] + 6 + 2 * (np.arange(len(feature)) - np.repeat(np.cumsum(pairs) - pairs, pairs))
+    numbers[place], numbers[place + 1] = key, value
+    for k, v in enumerate((3 << 3, kind, 4 << 3 | 2, size)):
+        numbers[cuts[1:] - 4 + k] = v
+    drawn, ends = _with_bytes(numbers, cuts, raw, first, size)
+    # Values of each layer, each a message with one text.
+    text, begin = _bytes_of(words.dictionary, pa.large_string())
+    which = code[slot, feature][new_values]
+    long = np.diff(begin)[which]
+    inner = 1 + varint_sizes(long) + long
+    four = np.stack([np.full(len(which), 4 << 3 | 2), inner, np.full(len(which), 1 << 3 | 2), long], 1).reshape(-1)
+    valued, upto = _with_bytes(four, np.arange(0, 4 * len(which) + 1, 4), text, begin[:-1][which], long)
+    drawn, valued = drawn.tobytes(), valued.tobytes()
+    value_group, key_group, key_slot = group[feature][new_values], group[feature][new_keys], slot[new_keys]
+    key_field = [field(3, k.encode()) for k in _KEYS]
+    out: list[list[bytes]] = [[] for _ in range(count)]
+    heads = np.flatnonzero(np.diff(group, prepend=-1))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), n], strict=True):
+        g = int(group[a])
+        v0, v1 = np.searchsorted(value_group, (g, g + 1)).tolist()
+        k0, k1 = np.searchsorted(key_group, (g, g + 1)).tolist()
+        body = b"".join((field(1, LAYERS[g % len(LAYERS)].encode()), drawn[ends[a] : ends[b]], *(key_field[s] for s in key_slot[k0:k1].tolist()), valued[upto[v0] : upto[v1]], field(5, MVT_EXTENT), field(15, 2)))
+        out[g // len(LAYERS)].append(field(3, body))
+    return [b"".join(layers) or None for layers in out]
+
+
 def assemble_tile(features: list[dict]) -> bytes | None:
     """A tile of features (is_poi, osm_id, layer, class, sac_scale, name, kind, geometry), or None if none has a geometry.
 

@@ -138,34 +138,42 @@ def poi_features(pois: DataFrame, z: int = geo.DETAIL_ZOOM) -> DataFrame:
 def encoded(features: DataFrame, compress: bool = True) -> DataFrame:
     """tile_id, z, x, y, payload: one vector tile for each tile with anything left to draw.
 
-    Features come with their geometry as bytes; they are dealt by tile, sorted by tile, kind and id and streamed, so
-    what a task holds is one tile.
+    Features come with their geometry as bytes; they are dealt by tile, sorted by tile, kind and id and streamed.  What
+    a task holds are the tiles of one batch, and whatever batches one tile fills; all of them are encoded at once, by
+    columns.
     """
 
     def run(batches):
-        at, tile = None, mvt.Tile()
-        out: list[tuple] = []
-
-        def done():
-            raw = tile.encode() if at else None
-            if raw:
-                out.append((*at, gzip.compress(raw, 6, mtime=0) if compress else raw))
+        held: list[pa.RecordBatch] = []
 
         def made():
-            rows = list(zip(*out, strict=True))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["z", "x", "y", "payload"])
+            """The tiles of what is held."""
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            where = np.stack([rows.column(c).to_numpy() for c in ("z", "x", "y")], 1).astype(np.int64)
+            heads = np.flatnonzero((np.diff(where, axis=0, prepend=-1) != 0).any(1))
+            number = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(where))))
+            drawn = mvt.tiles_of(number, {c: rows.column(c).chunk(0) for c in rows.column_names[3:]})
+            full = [k for k, raw in enumerate(drawn) if raw]
+            z, x, y = where[heads[full]].T
+            payload = [gzip.compress(drawn[k], 6, mtime=0) if compress else drawn[k] for k in full]
+            return pa.RecordBatch.from_arrays([pa.array(z.astype(np.int32)), pa.array(x), pa.array(y), pa.array(payload, pa.binary())], names=["z", "x", "y", "payload"])
 
         for b in batches:
-            for z, x, y, poi, osm_id, layer, kind, geometry, *tags in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (z, x, y) != at:
-                    done()
-                    at, tile = (z, x, y), mvt.Tile()
-                tile.add(poi, osm_id, layer, kind, geometry, tags)
-            if out:
+            if not b.num_rows:
+                continue
+            # The last tile of a batch may go on in the next.
+            where = np.stack([b.column(k).to_numpy() for k in range(3)], 1).astype(np.int64)
+            changes = np.flatnonzero((np.diff(where, axis=0) != 0).any(1)) + 1
+            if held:
+                last = held[-1].slice(held[-1].num_rows - 1)
+                if tuple(last.column(k)[0].as_py() for k in range(3)) != tuple(where[0].tolist()):
+                    yield made()
+            if len(changes):
+                held.append(b.slice(0, int(changes[-1])))
                 yield made()
-        done()
-        if out:
+            held.append(b.slice(int(changes[-1]) if len(changes) else 0))
+        if held:
             yield made()
 
     chosen = features.select("z", "x", "y", "is_poi", "osm_id", "layer", "kind", "geometry", "class", "sac_scale", "name")

@@ -7,6 +7,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -339,3 +340,23 @@ def test_download_goes_on(tmp_path):
     assert files.download("http://x/m", path, "pmtiles", lambda r: Response(body, 200)) == len(body) and open(path, "rb").read() == body
     with pytest.raises(files.PayloadError):
         files.download("http://x/h", str(tmp_path / "h"), "tiff", lambda r: Response(b"<html>", 200))
+
+
+def test_tiles_by_columns_are_those_by_features():
+    rng = np.random.default_rng(8)
+    words = [None, "", "path", "a", "é", "track", *(f"n{k}" for k in range(200))]
+    tiles = []
+    for n in (1, 40, 7, 300):
+        features = []
+        for _ in range(n):
+            kind = int(rng.integers(1, 3))
+            features.append({"is_poi": bool(rng.random() < 0.3), "osm_id": int(rng.choice([rng.integers(0, 200), rng.integers(0, 1 << 60)])), "layer": int(rng.integers(0, 4)), "kind": kind, "geometry": rng.bytes(int(rng.integers(0, 300))), **{c: words[int(rng.integers(0, 6 if c == "sac_scale" else len(words)))] for c in ("class", "sac_scale", "name")}})
+        tiles.append(sorted(features, key=lambda f: (f["is_poi"], f["osm_id"])))
+    number = np.repeat(np.arange(len(tiles)), [len(t) for t in tiles])
+    every = [f for t in tiles for f in t]
+    kinds = {"is_poi": pa.bool_(), "osm_id": pa.int64(), "layer": pa.int32(), "kind": pa.int32(), "geometry": pa.binary(), "class": pa.string(), "sac_scale": pa.string(), "name": pa.string()}
+    columns = {c: pa.array([f[c] for f in every], t) for c, t in kinds.items()}
+    assert mvt.tiles_of(number, columns) == [mvt.assemble_tile(t) for t in tiles]
+    shifted = {c: pa.concat_arrays([v.slice(0, 1), v]).slice(1) for c, v in columns.items()}
+    assert mvt.tiles_of(number, shifted) == [mvt.assemble_tile(t) for t in tiles]
+    assert mvt.tiles_of(np.zeros(0, np.int64), {c: v.slice(0, 0) for c, v in columns.items()}) == []
