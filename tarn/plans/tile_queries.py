@@ -521,3 +521,43 @@ def _(spark, sf):
     """What an archive's directories say; no payload is read."""
     t = spark.read.format("pmtiles").schema("tile_id long, offset long, length long").load(_node_archive(spark, sf))
     return t.agg(F.count(F.lit(1)).alias("tiles"), F.sum("length").alias("bytes"), F.countDistinct("offset").alias("contents"))
+
+
+def image_heights(made: DataFrame) -> DataFrame:
+    """z, x, y, codes (the sum of all pixels' codes) and drawn (how many are not 0 m) of PNG terrain tiles (z, x, y, payload)."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            sums, drawn = [], []
+            for raw in b.column(3).to_pylist():
+                size = int.from_bytes(raw[33:37], "big")  # after the signature and the image's head: the pixels
+                rows = np.frombuffer(zlib.decompress(raw[41 : 41 + size]), np.uint8).reshape(256, 1 + 3 * 256)[:, 1:].reshape(-1, 3).astype(np.int64)
+                code = rows[:, 0] << 16 | rows[:, 1] << 8 | rows[:, 2]
+                sums.append(int(code.sum()))
+                drawn.append(int((code != 100_000).sum()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums, pa.int64()), pa.array(drawn, pa.int64())], names=["z", "x", "y", "codes", "drawn"])
+
+    return made.select(F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "payload").mapInArrow(run, "z int, x long, y long, codes long, drawn long")
+
+
+_TERRAIN_BOX = (11.0, 47.1, 11.6, 47.5)
+_HEIGHTS = f""", zs as (select unnest([8, 9, 10]) z),
+xs as (select z, unnest(range(floor(({_TERRAIN_BOX[0]}::double + 180) / 360 * pow(2, z))::bigint, floor(({_TERRAIN_BOX[2]}::double + 180) / 360 * pow(2, z))::bigint + 1)) x from zs),
+ts as (select z, x, unnest(range(floor((1 - ln(tan(radians({_TERRAIN_BOX[3]}::double)) + 1 / cos(radians({_TERRAIN_BOX[3]}::double))) / pi()) / 2 * pow(2, z))::bigint, floor((1 - ln(tan(radians({_TERRAIN_BOX[1]}::double)) + 1 / cos(radians({_TERRAIN_BOX[1]}::double))) / pi()) / 2 * pow(2, z))::bigint + 1)) y from xs),
+pp as (select z, x, y, i, ((x + (i % 256 + 0.5::double) / 256) / pow(2, z) * 360 - 180 - {d.DEM_WEST}::double) / {d.DEM_STEP}::double - 0.5 u, ({d.DEM_NORTH}::double - degrees(atan(sinh(pi() * (1 - 2 * (y + (i // 256 + 0.5::double) / 256) / pow(2, z)))))) / {d.DEM_STEP}::double - 0.5 v from ts, range(65536) t(i)),
+qq as (select z, x, y, i, floor(u)::integer + a px, floor(v)::integer + b py, (case when a = 1 then u - floor(u) else 1 - (u - floor(u)) end) * (case when b = 1 then v - floor(v) else 1 - (v - floor(v)) end) w from pp, range(2) r(a), range(2) s(b)),
+mm as (select z, x, y, i, sum(w * elev) / sum(w) e from qq join dem using (px, py) where w > 0 and elev is not null group by all),
+cc as (select z, x, y, floor((coalesce(e, 0) + 10000) * 10 + 0.5)::bigint code from pp left join mm using (z, x, y, i))
+select z::integer z, x, y, sum(code)::bigint codes, count(*) filter (code <> 100000) drawn from cc group by 1, 2, 3"""
+
+
+@query("geo08_terrain_heights", _HEIGHTS, "dem")
+def _(spark, sf):
+    """Terrain tiles as images, and what a decoder reads from them."""
+    affine = terrain.Affine(d.DEM_WEST, d.DEM_NORTH, d.DEM_STEP, d.DEM_STEP)
+    box = spark.createDataFrame([(0, *_TERRAIN_BOX)], "box long, west double, south double, east double, north double")
+    return image_heights(terrain.rendered(tiles.pyramid(box, 8, 10), d.dem(spark, sf), affine, codec="png"))
