@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import geo
 from tarn.functions import text as tx
-from tarn.operators import archive, export, online, ranking, tracker, ways
+from tarn.operators import archive, export, online, ranking, rules, tracker, ways
 from tarn.plans import derived as d
 from tarn.plans.scalar_queries import _HAV, r3
 from tarn.sources import files
@@ -287,6 +287,20 @@ def _(spark, sf):
     return tracker.violations(d.source_lines(spark, sf), _RULES)
 
 
+_ITEM_RULES = rf", iw as (select item_id, regexp_extract_all(text, '[a-z]{{3,}}') w from benchmark), ir as (select 'I' || item_id rule, w[1] || ' ' || w[2] || '|' || w[3] || ' .*' || w[4] pattern, item_id % 2 = 0 everywhere from iw where len(w) >= 4)"
+
+
+@query("jon08_rule_table", f"{_TAGS}{_ITEM_RULES} select distinct rule, path, line::bigint line from source_lines, ir where regexp_matches(text, pattern) and (everywhere or path like 'ios/%' or regexp_matches(path, '^src/[^/]*\\.ts$')) and not regexp_matches(text, 'RULE-EXEMPT\\(([PR]\\d+[a-z]?)\\):')", "source_lines")
+def _(spark, sf):
+    """A rule for each benchmark item: two of its words side by side, or two others in one line."""
+    w = F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))
+    items = d.read(spark, sf, "benchmark").select("item_id", w.alias("w")).where(F.size("w") >= 4)
+    pattern = F.concat(F.col("w")[0], F.lit(" "), F.col("w")[1], F.lit("|"), F.col("w")[2], F.lit(" .*"), F.col("w")[3])
+    globs = F.when(F.col("item_id") % 2 == 0, F.array(F.lit("**"))).otherwise(F.array(F.lit("ios/**"), F.lit("src/*.ts")))
+    table = items.select(F.concat(F.lit("I"), F.col("item_id").cast("string")).alias("rule"), pattern.alias("pattern"), globs.alias("globs"))
+    return rules.violations(d.source_lines(spark, sf), table)
+
+
 @query("fil15_forbidden_patterns", f"{_VIOL} select rule, count(*) n from r group by 1", "source_lines")
 def _(spark, sf):
     lines = d.source_lines(spark, sf)
