@@ -15,8 +15,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     of a group stays.  The aggregation's key is (MD5, text): rows are dealt and first compared by hash, and the
     aggregation then compares the bytes, so texts that collide in MD5 form groups of their own.  It combines on the
     map side, so a group that holds a third of all rows leaves each task as one row.  A group's text is dropped right
-    after; its rows find it again by MD5, a second hash and length in a join whose large side Spark may split.  SHA-256
-    is taken once a group.
+    after; its rows find it again by SHA-256, of which no two texts are known to agree, in a join whose large side
+    Spark may split.
 
     Null text counts as empty.  A null id takes part with its text; it is kept only if the group has no other id.
     Rows that repeat an id and text are one document: all get the same ``kept``.  A text of any length is one value of
@@ -28,10 +28,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     norm = docs.select(F.col(f"`{id_col}`").alias("id"), (lower_ascii(text) if fold_case else text).alias("norm"))
     keyed = norm.select("id", "norm", F.md5(F.encode("norm", "UTF-8")).alias("h"))
     pick = F.max if keep == "largest" else F.min
-    second, size = F.xxhash64("norm").alias("x"), F.length("norm").alias("n")
-    groups = keyed.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), pick("id").alias("keep_id")).select("h", second, size, F.sha2(F.encode("norm", "UTF-8"), 256).alias("s"), "group_size", "keep_id")
-    rows = keyed.select("id", "h", second, size)
-    return rows.join(groups, ["h", "x", "n"]).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("s").alias("text_sha256"))
+    sha = F.sha2(F.encode("norm", "UTF-8"), 256).alias("s")
+    groups = keyed.groupBy("h", "norm").agg(F.count(F.lit(1)).alias("group_size"), pick("id").alias("keep_id")).select(sha, "group_size", "keep_id")
+    rows = norm.select("id", sha)
+    return rows.join(groups, "s").select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("s").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fold_case: bool = True, keep: str = "smallest") -> DataFrame:
