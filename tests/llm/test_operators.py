@@ -800,7 +800,7 @@ def test_viterbi_is_the_best_path():
 def test_licenses(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     files = [("a/LICENSE", mit), ("a/b/c/x.txt", "code code"), ("a/b/y.txt", "text\n" + apache + "\nmore text here and there, quite a lot of it"), ("a/b/c/NOTICE", apache), ("z/q.txt", "plain"), ("top.txt", "plain"), (None, mit), ("a/b/n.txt", None), ("a/b/c/d/e.txt", ""), ("a/b/c/x.txt", "code code")]
-    got = licenses.license_scan(spark.createDataFrame([(*f, "u", "v") for f in files], "path string, text string, license string, dir string"))
+    got = licenses.license_scan(spark.createDataFrame([(*f, "u", "v") for f in files], "path string, text string, license string, dir string"), file_share=0.5)
     rows = sorted(rows_of(got, "path", "license", "basis", "license_from"), key=repr)
     assert rows == sorted(
         [
@@ -900,7 +900,26 @@ def test_license_query_with_odd_ids(spark, tmp_path):
     rows = [(1, mit, "en", "a", 1), (2, "text", "en", "a", 1), (None, "other", "en", "a", 1), (2, "again", "en", "a", 1), (3, None, "en", "b", 1), (4, "", None, None, 1), (4, "x " * 900_000 + "\n" + mit, None, None, 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = rows_of(QUERIES["op9_license_scan"](spark, str(tmp_path)), "doc_id", "license", "basis", "from_doc_id")
-    assert sorted(got, key=repr) == sorted([(1, "MIT", "file", None), (2, "MIT", "inherited", 1), (None, "MIT", "inherited", 1), (2, "MIT", "inherited", 1), (3, None, None, None), (4, None, None, None), (4, "MIT", "header", None)], key=repr)
+    assert sorted(got, key=repr) == sorted([(1, "MIT", "header", None), (2, None, None, None), (None, None, None, None), (2, None, None, None), (3, None, None, None), (4, None, None, None), (4, "MIT", "header", None)], key=repr)
+
+
+def test_license_of_pages_by_their_addresses(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    files = licenses.page_files(pages)
+    rows = files.select("page_id", "path").collect()
+    host, lang = next(r.path for r in rows if r.path.count("/") == 2).split("/")[:2]
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    planted = [(-1, f"{host}/LICENSE", mit), (-2, f"{host}/{lang}/deep/COPYING", apache), (-3, f"{host}/{lang}/deep/er/a.html", "plain words"), (-4, f"{host}/{lang}/b.html", "plain words"), (-5, f"{host}x/{lang}/c.html", "plain words"), (-6, f"{host}/{lang}/NOTICE", "no notice at all")]
+    every = files.unionByName(spark.createDataFrame(planted, "page_id long, path string, text string"))
+    found = licenses.license_scan(every, id_col="page_id").collect()
+    got = {r.page_id: (r.license, r.basis, r.license_from) for r in found}
+    assert len(found) == len(rows) + len(planted)
+    assert [got[k] for k in (-1, -2, -3, -4, -5, -6)] == [("MIT", "file", None), ("Apache-2.0", "file", None), ("Apache-2.0", "inherited", f"{host}/{lang}/deep/COPYING"), ("MIT", "inherited", f"{host}/LICENSE"), (None, None, None), ("MIT", "inherited", f"{host}/LICENSE")]
+    for r in rows:
+        basis, source = got[r.page_id][1:]
+        assert basis == "header" or (basis, source) == (("inherited", f"{host}/LICENSE") if r.path.startswith(host + "/") else (None, None))
+    odd = spark.createDataFrame([(1, None, None), (2, "http://h.example", "<p>" + mit + "</p>"), (3, "http://h.example/a/", ""), (4, "https://h.example/a/b?x=/LICENSE#y", None)], "page_id long, url string, html string")
+    assert sorted(rows_of(licenses.page_files(odd), "page_id", "path", "text")) == [(1, None, None), (2, "h.example/index.html", "\n" + mit + "\n"), (3, "h.example/a/index.html", ""), (4, "h.example/a/b", None)]
 
 
 # Line dedup
