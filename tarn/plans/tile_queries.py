@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import geo
 from tarn.operators import archive, export, terrain, tiles, ways
+from tarn.operators.tile_store import TileStore
 from tarn.plans import derived as d
 from tarn.plans.scalar_queries import HILBERT, W, _tx, _ty, r3
+from tarn.sources.files import checkpoint_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -320,6 +324,18 @@ def _(spark, sf):
     return d.coordinates(spark, sf).where(F.col("node_id").isin(1, 5, 17, 18, 100)).select("node_id", r3("mx", "mx"), geo.tile_x("mx", 14).alias("tx"))
 
 
+@query("snk04_tile_store", f", a as (select {_tx('14')} x, {_ty('14')} y, node_id from coordinates) select x, y, count(*) filter (node_id % 3 <> 0) as old, count(*) filter (node_id % 3 = 0) as changed, count(*) filter (node_id % 3 = 0) as new from a group by 1, 2", "coordinates")
+def _(spark, sf):
+    """Nodes as features of their tiles; every third comes again under another name, and as many are new: by tile."""
+    at = d.coordinates(spark, sf).select(F.lit(14).alias("z"), geo.tile_x("mx", 14).cast("long").alias("x"), geo.tile_y("my", 14).cast("long").alias("y"), F.lit(False).alias("is_poi"), F.col("node_id").cast("long").alias("osm_id"), F.lit("old").alias("name"))
+    store = TileStore(spark, f"{checkpoint_folder(spark)}/tile-store-{uuid.uuid4().hex}")
+    store.upsert(at)
+    third = at.where(F.col("osm_id") % 3 == 0)
+    store.upsert(third.withColumn("name", F.lit("changed")).unionByName(third.withColumns({"name": F.lit("new"), "osm_id": -F.col("osm_id") - 1})))
+    kinds = {k: F.count_if(F.col("name") == k).alias(k) for k in ("old", "changed", "new")}
+    return store.read().groupBy("x", "y").agg(*kinds.values())
+
+
 @query("src10_cardinality", "select (select count(*) from coordinates) nodes, (select count(*) from sizes) ways, (select count(*) from pois) pois", "coordinates", "sizes", "pois")
 def _(spark, sf):
     counts = [("nodes", d.coordinates(spark, sf)), ("ways", d.refs(spark, sf)), ("pois", d.pois(spark, sf))]
