@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,6 +19,9 @@ from tarn.functions.geo import HAVERSINE_RADIUS_M
 
 FIXES = "trip_id long, ts timestamp, seq long, event string, lng double, lat double, accuracy double"
 _TRIP = "trip_id long, segment long, metres double, fixes long"
+_TIMED = f"{_TRIP}, ended boolean"
+_TIMED_NAMES = ["trip_id", "segment", "metres", "fixes", "ended"]
+_TIMED_STATE = "segment long, active boolean, lng double, lat double, metres double, fixes long, us long, seq long"
 _STATE = "segment long, active boolean, lng double, lat double, metres double, fixes long, ts timestamp, seq long"
 
 
@@ -26,16 +30,16 @@ def metres(lng1: float, lat1: float, lng2: float, lat2: float) -> float:
     return 2 * HAVERSINE_RADIUS_M * math.asin(math.sqrt(a * a + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * b * b))
 
 
-def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Running totals of a trip's current segment; events not newer than the last one seen are dropped.
+def _folded(parts: Iterator[pd.DataFrame], held: tuple | None) -> tuple[tuple, list[tuple[int, float, int]]]:
+    """What is held of a trip after a batch, and (segment, metres, fixes) to tell; events not newer than the last one seen are dropped.
 
     A batch is worked through by columns: segments are counted openings, a fix counts where the event before it that is
     no fix has opened one, and steps go from each counted fix to the next of its segment.
     """
-    segment, active, lng, lat, total, fixes, ts, seq = state.get if state.exists else (0, False, None, None, 0.0, 0, None, None)
+    segment, active, lng, lat, total, fixes, ts, seq = held or (0, False, None, None, 0.0, 0, None, None)
     rows = pd.concat(list(parts)).sort_values(["ts", "seq"]).drop_duplicates(["ts", "seq"])
     if ts is not None:
-        rows = rows[(rows["ts"] > pd.Timestamp(ts)) | ((rows["ts"] == pd.Timestamp(ts)) & (rows["seq"] > seq))]
+        rows = rows[(rows["ts"] > ts) | ((rows["ts"] == ts) & (rows["seq"] > seq))]
     if len(rows):
         event = rows["event"].to_numpy()
         opens, pauses = np.isin(event, ("start", "resume")), event == "pause"
@@ -63,11 +67,20 @@ def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> It
         told[-1] = True
         out = [(int(n), float(m), int(c)) for n, m, c, t in zip(numbers, sums, counts, told, strict=True) if t]
         segment, active, total, fixes = int(numbers[-1]), bool(ends_on[-1]), float(sums[-1]), int(counts[-1])
-        ts, seq = rows["ts"].iloc[-1].to_pydatetime(), int(rows["seq"].iloc[-1])
+        ts, seq = rows["ts"].iloc[-1], int(rows["seq"].iloc[-1])
     else:
         out = [(segment, total, fixes)]
-    state.update((segment, active, lng, lat, total, fixes, ts, seq))
-    yield pd.DataFrame([(key[0], *o) for o in out if o[0] > 0], columns=["trip_id", "segment", "metres", "fixes"])
+    return (segment, active, lng, lat, total, fixes, ts, seq), [o for o in out if o[0] > 0]
+
+
+def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    held = None
+    if state.exists:
+        *rest, ts, seq = state.get
+        held = (*rest, None if ts is None else pd.Timestamp(ts), seq)
+    (*rest, ts, seq), out = _folded(parts, held)
+    state.update((*rest, None if ts is None else ts.to_pydatetime(), seq))
+    yield pd.DataFrame([(key[0], *o) for o in out], columns=["trip_id", "segment", "metres", "fixes"])
 
 
 def trip_updates(fixes: DataFrame) -> DataFrame:
@@ -79,6 +92,50 @@ def trip_updates(fixes: DataFrame) -> DataFrame:
     return fixes.groupBy("trip_id").applyInPandasWithState(_advance, _TRIP, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+class _TimedTrip(StatefulProcessor):
+    """A trip's totals until it has been idle for so many milliseconds of event time."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.trip = handle.getValueState("trip", _TIMED_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.trip.get() if self.trip.exists() else None
+        held, out = _folded(rows, held and tuple(held))
+        held = (*held[:6], int(held[6]), held[7])
+        self.trip.update(held)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(held[6] // 1000 + self.idle_ms)
+        yield pd.DataFrame([(key[0], *o, False) for o in out], columns=_TIMED_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        segment, _, _, _, total, fixes, _, _ = self.trip.get()
+        self.trip.clear()
+        yield pd.DataFrame([(key[0], segment, total, fixes, True)] if segment > 0 else [], columns=_TIMED_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def timed_trip_updates(fixes: DataFrame, *, idle: str = "6 hours", late: str = "10 minutes") -> DataFrame:
+    """trip_id, segment, metres, fixes, ended of a stream of FIXES, as `trip_updates`, for trips that end by themselves.
+
+    A trip whose last event is ``idle`` behind the watermark (the newest event of the stream less ``late``) is over: its
+    last segment is told once more with ``ended``, and its state and timer go, so what is kept grows with the trips
+    under way and not with all there ever were.  An event that comes after is a new trip of that id, from segment 1.
+    Events behind the watermark are dropped.  Needs the state store in RocksDB, which this sets for the session.
+    """
+    spark = fixes.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = fixes.withWatermark("ts", late).select("trip_id", F.unix_micros("ts").alias("us"), "ts", "seq", "event", "lng", "lat")
+    return rows.withColumnRenamed("ts", "at").withColumnRenamed("us", "ts").groupBy("trip_id").transformWithStateInPandas(_TimedTrip(idle_ms), _TIMED, "Update", "EventTime")
+
+
 def _let_through(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
     rows = pd.concat(list(parts)).sort_values(["ms", "seq"])
