@@ -189,6 +189,19 @@ print(size, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024
     assert size > 3_000_000 and grown < 40 * size
 
 
+def test_decontaminate_very_long_text(spark):
+    """A text of a million words, with passages at both ends and far inside, beside columns of clashing names."""
+    passage = " ".join(f"P{k}" for k in range(20))
+    text = passage + " \u00e9" + " filler" * 500_000 + " " + passage.lower() + "!" + " filler" * 500_000 + " " + passage
+    rows = [(1, text, "x", "y"), (1, text, "x", "y"), (2, "filler " * 30, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string, n_hit string")
+    bench = spark.createDataFrame([(7, passage, 0), (8, None, 0), (9, "other words", 0)], "item_id long, text string, doc_id long")
+    got = decontaminate.decontaminate(docs, bench).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got] == [(1, 1_000_061, 60, [7], False)] * 2 + [(2, 30, 0, [], False)]
+    for r in got[:2]:
+        assert [s.text.lower() for s in r.spans] == [passage.lower()] * 3 and [text[s.start : s.end] for s in r.spans] == [s.text for s in r.spans]
+
+
 def test_decontaminate_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.decontaminate(table(spark, [(1, "a b")]), none).collect()] == [0]
@@ -704,6 +717,18 @@ def test_language(spark):
 ASKED = ["12 £", "25 °", "20 °C", "£5", "© 2024", "§ 5", "«1»", "2×3", "1\u00a02", "\u00a0", "½", "²", "x²", "٣", "①", "Ⅷ", "\u0301", "e\u0301", "ª", "ˣ", "漢", "〇", "々", "かな", "한국", "😀", "\U00020000", "5 ñ", "дом", "é", "", "\ufffd", "ก", "हि", "abc дом ½ xyz", "Ĳ ß"]
 
 
+def test_language_of_repeated_rows_and_clashing_columns(spark):
+    import zlib
+
+    texts = {"en": "the river runs through the valley and the hills", "de": "der Fluss flie\u00dft durch das Tal und die H\u00fcgel"}
+    rows = [(k, texts[lang], lang, "s", "p") for k in range(40) for lang in [("en", "de")[k % 2]]]
+    odd = [(3, texts["de"], "de", "s", "p"), (3, texts["de"], "de", "s", "p"), (3, texts["en"], "en", "s", "p"), (None, texts["en"], None, None, None), (None, texts["en"], None, None, None)]
+    df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score string, lang_pred string")
+    got = sorted((str(r.doc_id), r.lang_pred, r.held_out) for r in language.language_id(df).collect())
+    held = {k: zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 0 for k in [None, *range(40)]}
+    assert got == sorted((str(k), "de" if "Fluss" in t else "en", held[k]) for k, t, *_ in rows + odd)
+
+
 def brute_language(model, text, penalty):
     """lang_pred and score of one text: words one by one, all features and the Viterbi table spelled out."""
     import bisect
