@@ -97,6 +97,32 @@ software. Permission is granted to anyone to use this software for any purpose,
     ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
 either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
 )
+#: How templates begin that are title pages of licences, and those that are their terms; all others are notices.
+_TITLES = ("Apache License Version", "GNU GENERAL", "GNU LESSER", "GNU AFFERO", "Mozilla Public License", "Eclipse Public License", "Boost Software License", "CC0 1.0 Universal")
+_TERMS = ("Permission is hereby", "Redistribution and use", "Permission to use", "This software is provided", "This is free and unencumbered")
+_BSD_END = """ IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: How terms go on where the template holds their beginning, which is enough for a header but not for the whole text.
+_ENDS = {
+    "BSD-3-Clause": _BSD_END,
+    "BSD-2-Clause": _BSD_END,
+    "ISC": """ IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib": """, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as
+such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """ In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We
+make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment
+in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE. For more information, please refer to <http://unlicense.org/>""",
+}
+TITLES = tuple((n, t) for n, t in TEMPLATES if t.startswith(_TITLES))
+TERMS = tuple((n, t + _ENDS.get(n, "")) for n, t in TEMPLATES if t.startswith(_TERMS))
+#: The cosine to a title page or to terms from which on a text is that licence itself; a copyright line of its own leaves terms above it.
+OWN_TEXT = 0.9
 FILE_NAMES = r"(?i)^(license|licence|copying|notice|unlicense)(\.[a-z]+)?$"
 #: Lines that a title page may be spread over.
 TITLE_LINES = 3
@@ -178,27 +204,46 @@ class Index:
         return found[2], found[0], found[1] / max(1, len(tokens(text)))
 
 
-def _scanner(templates, threshold: float):
+class LicenceTexts:
+    """Tells texts that are a licence itself, by its terms or under its title page, from those that only name one."""
+
+    def __init__(self):
+        self.titles, self.terms = Index(TITLES), Index(TERMS)
+
+    def own(self, text: str, name: str) -> bool:
+        """Whether the text as a whole is the terms of ``name``, or its first lines hold the title page of ``name``."""
+        lines = [x for x in map(tokens, text.split("\n")) if x]
+        found = [self.terms.best([w for x in lines for w in x])]
+        top = lines[:TITLE_LINES]
+        found += [self.titles.best([w for x in top[a:b] for w in x]) for a in range(len(top)) for b in range(a + 1, len(top) + 1)]
+        return any(n == name and score >= OWN_TEXT for n, score in found)
+
+
+def _scanner(templates, threshold: float, own_texts: bool):
     def run(batches):
-        index = Index(templates.value)
+        index, licences = Index(templates.value), LicenceTexts()
         for batch in batches:
             texts, kept = string_column(batch, "text"), batch.drop_columns(["text"])
             for a in range(0, batch.num_rows, 1000):
-                found = [index.scan(t, threshold) for t in texts.slice(a, 1000).to_pylist()]
+                some = texts.slice(a, 1000).to_pylist()
+                found = [index.scan(t, threshold) for t in some]
                 columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*kept.slice(a, 1000).columns, *columns], names=[*kept.schema.names, "license", "score", "share"])
+                own = pa.array([own_texts and x[0] is not None and licences.own(t, x[0]) for t, x in zip(some, found, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*kept.slice(a, 1000).columns, *columns, own], names=[*kept.schema.names, "license", "score", "share", "own"])
 
     return run
 
 
-def license_scan(files: DataFrame, *, id_col: str | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.6, file_share: float | None = None) -> DataFrame:
+def license_scan(files: DataFrame, *, id_col: str | None = None, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.6, file_share: float | None = None, own_texts: bool = False) -> DataFrame:
     """Per file (path, text): path, license, score, basis, license_from; with ``id_col`` that column first, and from_id.
 
     Lines, a few lines together, paragraphs and the whole file are compared with the templates; the best of a cosine of
     ``threshold`` or more gives the file its licence (basis header).  A file that is named like a licence file and has a
     licence is its directory's licence file (basis file; of several the smallest path, then id); with ``file_share`` so
-    is one whose notice makes up that share of its words, for trees that keep no such names.  A file without a licence takes that of the nearest directory above it that has one (basis
-    inherited), license_from being that licence file and from_id its id.  Others get nulls and score 0.
+    is one whose notice makes up that share of its words, and with ``own_texts`` one that is its licence's own text
+    (terms as a whole, or a title page in its first lines; no notice that only names a licence), for trees that keep no
+    such names.  A file without a licence takes that of the nearest directory above it that has one (basis inherited),
+    license_from being that licence file and from_id its id.  Others get nulls and score 0.
 
     Inheritance is worked out for the distinct directories, each joined with its ancestors by path; files then join
     their directory.  Null and empty texts have no notice, a null path no directory.  Paths and ids that repeat, and
@@ -209,10 +254,10 @@ def license_scan(files: DataFrame, *, id_col: str | None = None, templates: tupl
     rows = files.select(ident.alias("id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     # Files are scanned once; what the scan gives, a short row a file, is read by all that follows.
-    own = checkpointed(rows.mapInArrow(_scanner(files.sparkSession.sparkContext.broadcast(templates), threshold), f"id {kind}, path string, license string, score double, share double"))
+    own = checkpointed(rows.mapInArrow(_scanner(files.sparkSession.sparkContext.broadcast(templates), threshold, own_texts), f"id {kind}, path string, license string, score double, share double, own boolean"))
     own = own.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")).withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
     mostly = F.lit(False) if file_share is None else F.col("share") >= file_share
-    own = own.withColumn("is_file", F.coalesce(F.col("license").isNotNull() & (F.col("name").rlike(FILE_NAMES) | mostly), F.lit(False)))
+    own = own.withColumn("is_file", F.coalesce(F.col("license").isNotNull() & (F.col("name").rlike(FILE_NAMES) | mostly | F.col("own")), F.lit(False)))
     given = own.where("is_file and path is not null").groupBy("dir").agg(F.min(F.struct("path", "id", "license")).alias("f")).select(F.col("dir").alias("above"), F.col("f.path").alias("license_from"), F.col("f.id").alias("from_id"), F.col("f.license").alias("given"))
     dirs = own.where("path is not null").select("dir").distinct()
     parts = F.split("dir", "/")
@@ -234,9 +279,14 @@ def license_scan(files: DataFrame, *, id_col: str | None = None, templates: tupl
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: a source is a directory, a document a file in it; without a source it is in the root."""
+    """Documents as files: a source is a directory, below those that its slashes name, a document a file in it.
+
+    Slashes at its end do not count.  A document with no source, or an empty one, has no path: nobody knows what is
+    above or below it.
+    """
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown")), F.lit(".txt"))
-    return docs.select("doc_id", F.concat_ws("/", "source", name).alias("path"), "text")
+    place = F.rtrim("source", F.lit("/"))
+    return docs.select("doc_id", F.when(place != "", F.concat(place, F.lit("/"), name)).alias("path"), "text")
 
 
 def page_files(pages: DataFrame) -> DataFrame:

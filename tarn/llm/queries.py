@@ -39,7 +39,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan(document_files(table(spark, sf_dir, "documents")), id_col="doc_id")
+    """Documents have no file names, so those that are a licence's own text are the licence files of their source."""
+    found = license_scan(document_files(table(spark, sf_dir, "documents")), id_col="doc_id", own_texts=True)
     return found.select("doc_id", "license", F.round("score", 6).alias("score"), "basis", F.col("from_id").alias("from_doc_id"))
 
 

@@ -928,6 +928,59 @@ def test_license_query_with_odd_ids(spark, tmp_path):
     assert sorted(got, key=repr) == sorted([(1, "MIT", "header", None), (2, None, None, None), (None, None, None, None), (2, None, None, None), (3, None, None, None), (4, None, None, None), (4, "MIT", "header", None)], key=repr)
 
 
+def test_own_texts_of_licences():
+    import textwrap
+
+    licences = licenses.LicenceTexts()
+    own = {t for _, t in licenses.TITLES} | {t for _, t in licenses.TEMPLATES if any(x.startswith(t) for _, x in licenses.TERMS)}
+    assert len(licenses.TITLES) == 10 and len(licenses.TERMS) == 6 and len(own) == 16
+    for name, t in licenses.TITLES:
+        assert licences.own(t, name) and licences.own(t + "\n\n" + "words of the licence\n" * 300, name) and licences.own("A Legal Code\n" + t, name)
+        assert not licences.own("word one\nword two\nword three\n" + t, name) and not licences.own(t, "other")
+    for name, t in licenses.TERMS:
+        file = f"The {name} Licence\n\nCopyright (c) 2020 Some One\n\n" + "\n".join(textwrap.wrap(t, 72))
+        assert licences.own(t, name) and licences.own(file, name)
+        assert not licences.own(file + "\n" + "".join(f"def function{i}(value{i}): pass\n" for i in range(60)), name)
+    for name, t in licenses.TEMPLATES:
+        assert t in own or not licences.own(t, name)
+    assert licences.own(GPL_FILE, "GPL-2.0") and not licences.own("", "MIT") and not licences.own("\n \n", "MIT")
+
+
+def test_license_query_inherits_from_own_texts(spark, tmp_path):
+    from tarn.llm.queries import QUERIES
+
+    terms = next(t for n, t in licenses.TERMS if n == "MIT")
+    mit, notice = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + terms, "Released under the MIT License."
+    code = terms + "\n" + "".join(f"def function{i}(value{i}): pass\n" for i in range(60))
+    rows = [
+        (1, GPL_FILE, "a"), (2, mit, "a/b"), (3, "plain", "a/b/c/d"), (3, "plain", "a/b/c/d"), (4, "plain", "a"), (5, None, "a/b/"), (6, "x\nLicensed under the Apache License, Version 2.0.", "a/b"), (7, "plain", "ab"),
+        (8, mit, None), (9, "plain", None), (10, mit, ""), (11, "", "//"), (12, notice, "n"), (13, "plain", "n"), (14, code, "m"), (15, "plain", "m"), (None, "plain", "a/x"), (16, mit, "a/b"),
+    ]
+    spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(QUERIES["op9_license_scan"](spark, str(tmp_path)), "doc_id", "license", "basis", "from_doc_id")
+    # Of the two in a/b the smallest path gives the licence: 16.txt is before 2.txt.
+    want = [
+        (1, "GPL-2.0", "file", None), (2, "MIT", "file", None), (3, "MIT", "inherited", 16), (3, "MIT", "inherited", 16), (4, "GPL-2.0", "inherited", 1), (5, "MIT", "inherited", 16), (6, "Apache-2.0", "header", None), (7, None, None, None),
+        (8, "MIT", "file", None), (9, None, None, None), (10, "MIT", "file", None), (11, None, None, None), (12, "MIT", "header", None), (13, None, None, None), (14, "MIT", "header", None), (15, None, None, None), (None, "GPL-2.0", "inherited", 1), (16, "MIT", "file", None),
+    ]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_license_query_on_the_table_with_a_licence_text(spark, tmp_path):
+    from tarn.llm.queries import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = {r.doc_id: r for r in QUERIES["op9_license_scan"](spark, "/root/testdata/sf0.01").collect()}
+    terms = next(t for n, t in licenses.TERMS if n == "ISC")
+    docs.unionByName(spark.createDataFrame([(-1, "Copyright Some One\n" + terms, "en", "src3", 1)], docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    after = {r.doc_id: r for r in QUERIES["op9_license_scan"](spark, str(tmp_path)).collect()}
+    assert (after[-1].license, after[-1].basis) == ("ISC", "file") and after.keys() == before.keys() | {-1}
+    src3 = {r.doc_id for r in docs.where("source = 'src3'").collect()}
+    inherits = {k for k, r in before.items() if k in src3 and r.license is None}
+    assert len(inherits) > 10 and all((after[k].license, after[k].basis, after[k].from_doc_id) == ("ISC", "inherited", -1) for k in inherits)
+    assert all(after[k] == r for k, r in before.items() if k not in inherits)
+
+
 def test_license_of_pages_by_their_addresses(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     files = licenses.page_files(pages)
